@@ -33,16 +33,19 @@ TS_ACCESS = rf"{D}{{2}}/{WORD}{{3}}/{D}{{4}}:{_HMS}"
 TS_SEARCH = rf"({TS_ISO}|{TS_SLASH}|{TS_DAYFIRST}|{TS_ACCESS})"
 TS_PREFIX = rf"^(?:{TS_ISO}|{TS_SLASH}|{TS_DAYFIRST})(?:{WS}+)?"
 
-# Anchored forms that split a found timestamp into its pieces.
+# One anchored pattern that splits any found timestamp into its pieces; each
+# shape has its own groups: ISO (1-7, also the structured form whose date and
+# time are separated by any whitespace run), slash (8-14), day-first (15-21),
+# access (22-27).
 _P2 = rf"({D}{{2}})"
 _TIME_PIECES = rf"{_P2}:{_P2}:{_P2}"
-ISO_PIECES = (
-    rf"^({D}{{4}})-{_P2}-{_P2}[ T]{_TIME_PIECES}(?:[.,]({D}+))?(?:Z|[+-]{D}{{2}}:?{D}{{2}})?$"
+TS_PIECES = (
+    rf"^(?:({D}{{4}})-{_P2}-{_P2}(?:[ T]|{WS}+){_TIME_PIECES}(?:[.,]({D}+))?(?:Z|[+-]{D}{{2}}:?{D}{{2}})?"
+    rf"|({D}{{4}})/{_P2}/{_P2}[ T]{_TIME_PIECES}(?:[.,]({D}+))?"
+    rf"|{_P2}-{_P2}-({D}{{4}})[ T]{_TIME_PIECES}(?:[.,]({D}+))?"
+    rf"|{_P2}/({WORD}{{3}})/({D}{{4}}):{_TIME_PIECES})$"
 )
-SLASH_PIECES = rf"^({D}{{4}})/{_P2}/{_P2}[ T]{_TIME_PIECES}(?:[.,]({D}+))?$"
-DAYFIRST_PIECES = rf"^{_P2}-{_P2}-({D}{{4}})[ T]{_TIME_PIECES}(?:[.,]({D}+))?$"
-ACCESS_PIECES = rf"^{_P2}/({WORD}{{3}})/({D}{{4}}):{_TIME_PIECES}$"
-STRUCTURED_TS_PIECES = rf"^({D}{{4}})-{_P2}-{_P2}{WS}+{_TIME_PIECES}(?:,({D}+))?$"
+TS_PIECE_COUNT = 27
 
 # --- line shapes ------------------------------------------------------------
 LEVEL_GROUP = rf"(?:{LEVEL_ALT})"
@@ -170,41 +173,41 @@ def timestamp_from_pieces(y: Column, mo: Column, d: Column, h: Column, mi: Colum
     return F.when(ok, F.try_make_timestamp_ntz(_int(y), _int(mo), _int(d), _int(h), _int(mi), secs))
 
 
-def _from_pattern(v: Column, pattern: str, order: tuple[int, ...], month_name: bool = False) -> Column:
-    g = groups(v, pattern, max(order))
-    y, mo, d, h, mi, s, fr = (
-        F.element_at(g, i) if i else F.lit("") for i in order
-    )
-    if month_name:
-        # Month names are matched case-insensitively, but every capital T was
-        # replaced by a space before parsing, so a name such as "OCT" fails.
-        mo = F.when(~mo.contains("T"), F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(mo)))
-        mo = F.nullif(mo, F.lit(0)).cast("string")
-    return timestamp_from_pieces(y, mo, d, h, mi, s, fr)
-
-
-def parse_found_timestamp(v: Column) -> Column:
-    """Parse a timestamp found by :data:`TS_SEARCH` (one of four shapes)."""
-    return F.coalesce(
-        _from_pattern(v, ISO_PIECES, (1, 2, 3, 4, 5, 6, 7)),
-        _from_pattern(v, SLASH_PIECES, (1, 2, 3, 4, 5, 6, 7)),
-        _from_pattern(v, DAYFIRST_PIECES, (3, 2, 1, 4, 5, 6, 7)),
-        _from_pattern(v, ACCESS_PIECES, (3, 2, 1, 4, 5, 6, 0), month_name=True),
-    )
+def timestamp_pieces(v: Column) -> Column:
+    """Array of the 27 groups of :data:`TS_PIECES` for a timestamp text; NULL if no shape fits."""
+    return groups(v, TS_PIECES, TS_PIECE_COUNT)
+
 
+def _month_number(name: Column) -> Column:
+    # Month names are matched case-insensitively, but every capital T was
+    # replaced by a space before parsing, so a name such as "OCT" fails.
+    pos = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(name))
+    return F.when(~name.contains("T") & (pos > 0), pos.cast("string"))
 
-def parse_structured_timestamp(v: Column) -> Column:
-    return _from_pattern(v, STRUCTURED_TS_PIECES, (1, 2, 3, 4, 5, 6, 7))
 
+def timestamp_from_pieces_array(p: Column) -> Column:
+    """TIMESTAMP_NTZ from the output of :func:`timestamp_pieces` (materialise ``p`` first)."""
+    def g(i: int) -> Column:
+        return nonempty(F.element_at(p, i))
 
-def parse_access_timestamp(v: Column) -> Column:
-    return _from_pattern(v, ACCESS_PIECES, (3, 2, 1, 4, 5, 6, 0), month_name=True)
+    y = F.coalesce(g(1), g(8), g(17), g(24))
+    mo = F.coalesce(g(2), g(9), g(16), _month_number(g(23)))
+    d = F.coalesce(g(3), g(10), g(15), g(22))
+    h = F.coalesce(g(4), g(11), g(18), g(25))
+    mi = F.coalesce(g(5), g(12), g(19), g(26))
+    s = F.coalesce(g(6), g(13), g(20), g(27))
+    fr = F.coalesce(g(7), g(14), g(21))
+    return F.when(p.isNotNull(), timestamp_from_pieces(y, mo, d, h, mi, s, fr))
+
+
+def parse_timestamp_text(v: Column) -> Column:
+    """Parse one timestamp text (found, structured or access form); NULL if invalid."""
+    return timestamp_from_pieces_array(timestamp_pieces(v))
 
 
 def extract_timestamp(line: Column) -> Column:
     """Leftmost timestamp anywhere in the line; only that first candidate is tried."""
-    found = find(line, TS_SEARCH)
-    return F.when(found.isNotNull(), parse_found_timestamp(found))
+    return parse_timestamp_text(find(line, TS_SEARCH))
 
 
 def iso_text(ts: Column) -> Column:
@@ -286,3 +289,4 @@ def lower_contains_any(c: Column, words) -> Column:
         t = low.contains(w)
         out = t if out is None else (out | t)
     return out
+

@@ -66,6 +66,14 @@ def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
     def s(i):
         return F.element_at(st, i)
 
+    # Timestamp text of the line (access / structured group, or the leftmost
+    # timestamp anywhere in a generic line), then its pieces: each step is its
+    # own column so that the regex runs once per line.
+    ts_text = F.when(is_acc, a(2)).when(is_st, s(2)).when(is_log, X.find(raw, X.TS_SEARCH))
+    s3 = s3.select("*", ts_text.alias("_tsv")).select(
+        "*", F.when(F.col("_tsv").isNotNull(), X.timestamp_pieces(F.col("_tsv"))).alias("_tsp")
+    )
+
     st_msg = X.ustrip(s(7))
     st_logger = X.nonempty(s(6))
     st_request = X.ustrip(s(5))
@@ -73,10 +81,7 @@ def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
 
     out = s3.select(
         *keep, "raw", "entry_type",
-        F.when(is_acc, X.parse_access_timestamp(a(2)))
-        .when(is_st, X.parse_structured_timestamp(s(2)))
-        .when(is_log, X.extract_timestamp(raw))
-        .alias("timestamp"),
+        X.timestamp_from_pieces_array(F.col("_tsp")).alias("timestamp"),
         F.when(is_acc, F.lit("INFO"))
         .when(is_st, X.normalize_level(s(1)))
         .when(is_log, X.extract_level(raw))
