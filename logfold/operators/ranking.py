@@ -27,7 +27,7 @@ def timeline(entries: DataFrame, limit: int = P.TIMELINE_LIMIT) -> DataFrame:
     ``(source, rank, line_number, timestamp, message, level)``; ``timestamp``
     is ISO text, ``message`` cut to 200 characters.
     """
-    notable = F.col("level").isin(*P.TIMELINE_LEVELS).cast("int")
+    notable = F.coalesce(F.col("level").isin(*P.TIMELINE_LEVELS), F.lit(False)).cast("int")
     ranked = first_rows(
         entries.select("source", "line_number", "timestamp", "message", "level", notable.alias("_notable")),
         limit,
