@@ -100,7 +100,12 @@ CLEAN_LEVEL_BRACKET = (
 )
 CLEAN_LATER_LEVEL = rf"(?iu){WS}+{WB_BEFORE}{LEVEL_GROUP}{WB_AFTER}.*$"
 
-_STRIP = rf"^{WS}+|{WS}+$"
+# The characters of WS (Python's str.isspace() set) as a literal string for btrim.
+WS_STRING = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def col_(c: Column | str) -> Column:
@@ -109,7 +114,7 @@ def col_(c: Column | str) -> Column:
 
 def ustrip(c: Column | str) -> Column:
     """Python ``str.strip()``: removes Unicode whitespace (and \\x1c-\\x1f) at both ends."""
-    return F.regexp_replace(col_(c), _STRIP, "")
+    return F.btrim(col_(c), F.lit(WS_STRING))
 
 
 def nonempty(c: Column) -> Column:
@@ -205,9 +210,14 @@ def parse_timestamp_text(v: Column) -> Column:
     return timestamp_from_pieces_array(timestamp_pieces(v))
 
 
+def find_timestamp_text(line: Column) -> Column:
+    """Text of the leftmost timestamp in the line (every shape contains ':')."""
+    return F.when(line.contains(":"), find(line, TS_SEARCH))
+
+
 def extract_timestamp(line: Column) -> Column:
     """Leftmost timestamp anywhere in the line; only that first candidate is tried."""
-    return parse_timestamp_text(find(line, TS_SEARCH))
+    return parse_timestamp_text(find_timestamp_text(line))
 
 
 def iso_text(ts: Column) -> Column:
@@ -218,12 +228,43 @@ def iso_text(ts: Column) -> Column:
 
 
 # --- generic fields ----------------------------------------------------------
+#
+# Each extractor takes the stripped line and ``fold``, a case-folded copy used
+# only for cheap ``contains`` guards: a regex runs only on lines that contain
+# the literal it needs.  ``fold`` maps every character that matches an ASCII
+# letter case-insensitively (including dotless i, dotted I, long s and the
+# Kelvin sign) to that letter, so a guard can only be too permissive, never
+# skip a line the regex would match.
+
+def fold_case(line: Column) -> Column:
+    return F.translate(F.lower(line), "\u0131\u017f\u0307", "is")
+
+
+def _any(c: Column, words) -> Column:
+    out = None
+    for w in words:
+        t = c.contains(w)
+        out = t if out is None else (out | t)
+    return out
 
-def extract_level(line: Column) -> Column:
-    return normalize_level(F.coalesce(find(line, BRACKET_LEVEL), find(line, LEVEL_SEARCH)))
 
+def _fold(line: Column, fold: Column | None) -> Column:
+    return fold if fold is not None else fold_case(line)
 
-def extract_logger(line: Column) -> Column:
+
+LEVEL_HINTS = ("debug", "info", "warn", "error", "critical", "fatal", "trace")
+
+def has_level_word(line: Column, fold: Column | None = None) -> Column:
+    """Cheap superset test for 'a level word may occur in the line'."""
+    return _any(_fold(line, fold), LEVEL_HINTS)
+
+
+def extract_level(line: Column, fold: Column | None = None) -> Column:
+    found = F.coalesce(find(line, BRACKET_LEVEL), find(line, LEVEL_SEARCH))
+    return F.when(has_level_word(line, fold), normalize_level(found))
+
+
+def extract_logger(line: Column, fold: Column | None = None) -> Column:
     cands = F.transform(F.regexp_extract_all(line, F.lit(BRACKET_TOKEN), 1), ustrip)
     skip = [F.lit(w) for w in LOGGER_SKIP_WORDS]
     good = F.filter(
@@ -232,36 +273,52 @@ def extract_logger(line: Column) -> Column:
         & ~F.lower(x).isin(*skip)
         & (x.rlike(LOGGER_IDENT) | (x.contains(".") & x.rlike(LOGGER_DOTTED))),
     )
-    return F.coalesce(F.try_element_at(good, F.lit(1)), find(line, LOGGER_WORD))
-
-
-def extract_thread(line: Column) -> Column:
-    return F.coalesce(find(line, THREAD_KEY), find(line, THREAD_BRACKET), find(line, THREAD_POOL))
+    bracketed = F.when(line.contains("["), F.try_element_at(good, F.lit(1)))
+    word = F.when(_any(line, ("ogger", "OGGER", "loger")), find(line, LOGGER_WORD))
+    return F.coalesce(bracketed, word)
+
+
+def extract_thread(line: Column, fold: Column | None = None) -> Column:
+    f = _fold(line, fold)
+    has_thread = f.contains("thread")
+    bracket = line.contains("[")
+    return F.coalesce(
+        F.when(has_thread, find(line, THREAD_KEY)),
+        F.when(bracket & has_thread, find(line, THREAD_BRACKET)),
+        F.when(bracket & _any(f, ("pool-", "hystrix-", "dw-")), find(line, THREAD_POOL)),
+    )
 
 
-def extract_trace(line: Column) -> Column:
-    t = find(line, TRACE_REF)
+def extract_trace(line: Column, fold: Column | None = None) -> Column:
+    t = F.when(line.contains("T:"), find(line, TRACE_REF))
     return F.when(t != "_default_", t)
 
 
-def extract_component(line: Column) -> Column:
-    return F.coalesce(*[find(line, rf"(?iu){tok}[:= ]+([A-Za-z0-9_.-]+)") for tok in COMPONENT_TOKENS])
+def extract_component(line: Column, fold: Column | None = None) -> Column:
+    f = _fold(line, fold)
+    return F.coalesce(*[
+        F.when(f.contains(tok.lower()), find(line, rf"(?iu){tok}[:= ]+([A-Za-z0-9_.-]+)"))
+        for tok in COMPONENT_TOKENS
+    ])
 
 
-def extract_request_id(line: Column) -> Column:
+def extract_request_id(line: Column, fold: Column | None = None) -> Column:
+    f = _fold(line, fold)
     ref = ustrip(F.regexp_extract(line, REQUEST_REF, 1))
-    ref = F.when((ref != "") & (ref != "_default_"), ref)
-    return F.coalesce(ref, *[find(line, p) for p in REQUEST_KEYS], find(line, UUID))
+    ref = F.when(line.contains("R:") & (ref != "") & (ref != "_default_"), ref)
+    guards = (f.contains("request"), f.contains("trace"), f.contains("session"), line.contains("REQ"))
+    keyed = [F.when(g, find(line, p)) for g, p in zip(guards, REQUEST_KEYS)]
+    return F.coalesce(ref, *keyed, F.when(line.contains("-"), find(line, UUID)))
 
 
-def clean_message(line: Column) -> Column:
+def clean_message(line: Column, fold: Column | None = None) -> Column:
     """Five ordered rewrites; the last cuts from the first later level word to the end."""
     m = ustrip(F.regexp_replace(line, TS_PREFIX, ""))
     m = F.regexp_replace(m, CLEAN_LEADING_BRACKETS_LEVEL, "")
     m = F.regexp_replace(m, CLEAN_ONE_BRACKET, "")
     m = F.regexp_replace(m, CLEAN_LEVEL_BRACKET, "")
-    m = F.regexp_replace(m, CLEAN_LATER_LEVEL, "")
-    return ustrip(m)
+    cut = F.regexp_replace(m, CLEAN_LATER_LEVEL, "")
+    return ustrip(F.when(has_level_word(line, fold), cut).otherwise(m))
 
 
 # --- line kinds ---------------------------------------------------------------

@@ -32,6 +32,7 @@ def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
 
     s1 = lines.select(*keep, X.ustrip(raw_line).alias("raw"))
     raw = F.col("raw")
+    fold = F.col("_fold")
     blank = raw == ""
     cont = ~blank & X.is_continuation(raw_line, raw)
     s2 = s1.select(
@@ -69,8 +70,8 @@ def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
     # Timestamp text of the line (access / structured group, or the leftmost
     # timestamp anywhere in a generic line), then its pieces: each step is its
     # own column so that the regex runs once per line.
-    ts_text = F.when(is_acc, a(2)).when(is_st, s(2)).when(is_log, X.find(raw, X.TS_SEARCH))
-    s3 = s3.select("*", ts_text.alias("_tsv")).select(
+    ts_text = F.when(is_acc, a(2)).when(is_st, s(2)).when(is_log, X.find_timestamp_text(raw))
+    s3 = s3.select("*", ts_text.alias("_tsv"), F.when(is_log, X.fold_case(raw)).alias("_fold")).select(
         "*", F.when(F.col("_tsv").isNotNull(), X.timestamp_pieces(F.col("_tsv"))).alias("_tsp")
     )
 
@@ -84,28 +85,28 @@ def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
         X.timestamp_from_pieces_array(F.col("_tsp")).alias("timestamp"),
         F.when(is_acc, F.lit("INFO"))
         .when(is_st, X.normalize_level(s(1)))
-        .when(is_log, X.extract_level(raw))
+        .when(is_log, X.extract_level(raw, fold))
         .alias("level"),
         F.when(is_st, F.when(st_msg != "", st_logger))
-        .when(is_log, X.extract_logger(raw))
+        .when(is_log, X.extract_logger(raw, fold))
         .alias("logger"),
         F.when(is_acc, F.concat(a(3), F.lit(" "), a(4), F.lit(" status="), a(5)))
         .when(is_st, F.when((st_msg == "") & st_logger.isNotNull(), st_logger).otherwise(st_msg))
-        .when(is_log, X.clean_message(raw))
+        .when(is_log, X.clean_message(raw, fold))
         .when(is_cont, raw)
         .otherwise(F.lit(""))
         .alias("message"),
         F.when(is_st, X.ustrip(s(3)))
-        .when(is_log, X.extract_thread(raw))
+        .when(is_log, X.extract_thread(raw, fold))
         .alias("thread_name"),
         F.when(is_acc, F.lit("access_log"))
-        .when(is_log, X.extract_component(raw))
+        .when(is_log, X.extract_component(raw, fold))
         .alias("component"),
         F.when(is_st, F.when((st_request != "") & (st_request != "_default_"), st_request))
-        .when(is_log, X.extract_request_id(raw))
+        .when(is_log, X.extract_request_id(raw, fold))
         .alias("request_id"),
         F.when(is_st, F.when(st_trace != "_default_", st_trace))
-        .when(is_log, X.extract_trace(raw))
+        .when(is_log, X.extract_trace(raw, fold))
         .alias("trace_id"),
         F.when(is_acc, a(1)).alias("client_ip"),
         F.when(is_acc, a(5).try_cast("bigint")).alias("http_status"),
