@@ -128,12 +128,14 @@ def find(c: Column | str, pattern: str, group: int = 1) -> Column:
 
 
 def groups(c: Column | str, pattern: str, n: int) -> Column:
-    """Run ``pattern`` (anchored at the start) once and return all ``n`` groups.
-
-    Lines never contain a newline (it is a line separator), so the groups are
-    joined with ``\\n`` by one ``regexp_replace`` and split again: one regex
-    evaluation instead of one per group.  The result is NULL when the pattern
-    does not match; element ``i`` (1-based) is group ``i``.
+    """Run ``pattern`` (anchored at the start) once and capture all ``n`` groups.
+
+    Lines never contain a newline (it is a line separator), so one
+    ``regexp_replace`` writes ``\\n<g1>\\n<g2>...`` and ``split`` turns it into
+    an array: one regex evaluation instead of one per group.  The array has
+    ``n + 1`` elements when the pattern matched and one element otherwise;
+    read it with :func:`matched` and :func:`group` after materialising it as
+    a column (so the regex is not re-evaluated per use).
     """
     pat = pattern
     flags = ""
@@ -142,12 +144,18 @@ def groups(c: Column | str, pattern: str, n: int) -> Column:
     if not pat.startswith("^"):
         pat = "^" + pat
     if not pat.endswith("$"):
-        pat = f"(?:{pat[1:]})"
-        pat = "^" + pat + ".*$"
+        pat = "^(?:" + pat[1:] + ").*$"
     repl = "".join(f"\n${i}" for i in range(1, n + 1))
-    joined = F.regexp_replace(col_(c), flags + pat, repl)
-    parts = F.split(joined, "\n")
-    return F.when(F.size(parts) == n + 1, F.slice(parts, 2, n))
+    return F.split(F.regexp_replace(col_(c), flags + pat, repl), "\n")
+
+
+def matched(arr: Column) -> Column:
+    return F.size(arr) > 1
+
+
+def group(arr: Column, i: int) -> Column:
+    """Group ``i`` (1-based) of a :func:`groups` array; NULL when the pattern did not match."""
+    return F.try_element_at(arr, F.lit(i + 1))
 
 
 def normalize_level(c: Column) -> Column:
@@ -193,7 +201,7 @@ def _month_number(name: Column) -> Column:
 def timestamp_from_pieces_array(p: Column) -> Column:
     """TIMESTAMP_NTZ from the output of :func:`timestamp_pieces` (materialise ``p`` first)."""
     def g(i: int) -> Column:
-        return nonempty(F.element_at(p, i))
+        return nonempty(group(p, i))
 
     y = F.coalesce(g(1), g(8), g(17), g(24))
     mo = F.coalesce(g(2), g(9), g(16), _month_number(g(23)))
@@ -202,7 +210,7 @@ def timestamp_from_pieces_array(p: Column) -> Column:
     mi = F.coalesce(g(5), g(12), g(19), g(26))
     s = F.coalesce(g(6), g(13), g(20), g(27))
     fr = F.coalesce(g(7), g(14), g(21))
-    return F.when(p.isNotNull(), timestamp_from_pieces(y, mo, d, h, mi, s, fr))
+    return F.when(matched(p), timestamp_from_pieces(y, mo, d, h, mi, s, fr))
 
 
 def parse_timestamp_text(v: Column) -> Column:

@@ -55,7 +55,9 @@ def sequence_entries(parsed: DataFrame, order: list[str], keep_blank: bool = Fal
         *[F.last(prov[f], ignorenulls=True).over(w_before).alias(f"_in_{f}") for f in CONTEXT_FIELDS],
     )
 
-    blocks = shuffled.groupBy(*keys).agg(
+    # The block summary is aggregated from the unshuffled rows: partial
+    # aggregation leaves one small row per block and task for the shuffle.
+    blocks = parsed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.max_by(prov[f], F.when(prov[f].isNotNull(), seq)).alias(f"_last_{f}") for f in CONTEXT_FIELDS],
     )

@@ -42,10 +42,16 @@ def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
         .alias("_kind0"),
     ).select(
         *keep, "raw", "_kind0",
-        F.when(F.col("_kind0").isNull(), X.groups(raw, X.ACCESS, 6)).alias("_acc"),
+        F.when(F.col("_kind0").isNull(), X.groups(raw, X.ACCESS, 6)).alias("_acc0"),
+    ).select(
+        *keep, "raw", "_kind0",
+        F.when(X.matched(F.col("_acc0")), F.col("_acc0")).alias("_acc"),
+    ).select(
+        *keep, "raw", "_kind0", "_acc",
+        F.when(F.col("_kind0").isNull() & F.col("_acc").isNull(), X.groups(raw, X.STRUCTURED, 7)).alias("_st0"),
     ).select(
         *keep, "raw", "_kind0", "_acc",
-        F.when(F.col("_kind0").isNull() & F.col("_acc").isNull(), X.groups(raw, X.STRUCTURED, 7)).alias("_st"),
+        F.when(X.matched(F.col("_st0")), F.col("_st0")).alias("_st"),
     )
 
     acc = F.col("_acc")
@@ -62,10 +68,10 @@ def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
     is_cont = k.isin("exception", "stack_trace")
 
     def a(i):
-        return F.element_at(acc, i)
+        return X.group(acc, i)
 
     def s(i):
-        return F.element_at(st, i)
+        return X.group(st, i)
 
     # Timestamp text of the line (access / structured group, or the leftmost
     # timestamp anywhere in a generic line), then its pieces: each step is its
