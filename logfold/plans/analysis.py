@@ -54,11 +54,11 @@ def analyze_files(spark: SparkSession, paths: str | list[str],
     return static_result(entries, admitted, nest_limit)
 
 
-def result_json(result: DataFrame) -> DataFrame:
+def result_json(result: DataFrame, include_source: bool = False) -> DataFrame:
     """``(source, json)``: the report object with ``analysis_source`` and, only when
     set, ``llm_error``; null fields inside the report are kept."""
     opts = {"ignoreNullFields": "false"}
-    base = [F.col(c) for c in REPORT_FIELDS] + [F.col("analysis_source")]
+    base = ([F.col("source")] if include_source else []) + [F.col(c) for c in REPORT_FIELDS] + [F.col("analysis_source")]
     without = F.to_json(F.struct(*base), opts)
     with_err = F.to_json(F.struct(*base, F.col("llm_error")), opts)
     has_err = F.col("llm_error").isNotNull() & (F.col("llm_error") != "")
@@ -66,5 +66,21 @@ def result_json(result: DataFrame) -> DataFrame:
 
 
 def write_results(result: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON Lines sink, one report object per source (``source`` kept as a field)."""
-    result_json(result).write.mode(mode).json(path)
+    """JSON Lines sink: one report object per line and source (``source`` kept as a field)."""
+    result_json(result, include_source=True).select("json").write.mode(mode).text(path)
+
+
+def analyze_with_model(entries: DataFrame, client_factory, sources: DataFrame | None = None,
+                       nest_limit: int | None = DEFAULT_NEST_LIMIT) -> DataFrame:
+    """Model-first analysis: evidence -> prompt -> completion -> check, with the
+    heuristic report as the per-source fallback (``llm_error`` says why)."""
+    from logfold.operators.assist import (
+        analysis_prompt, check_responses, choose_reports, complete, evidence_bundle,
+    )
+
+    static = static_result(entries, sources, nest_limit)
+    if client_factory is None:
+        return static
+    prompts = analysis_prompt(evidence_bundle(entries))
+    checked = check_responses(complete(prompts, client_factory))
+    return choose_reports(static, checked)

@@ -461,6 +461,48 @@ SELECT source, section, CAST(UNNEST(range(1, len(items) + 1)) AS BIGINT) AS rank
 FROM longf"""
 
 
+_RESP = """CASE doc_id % 6
+      WHEN 0 THEN 'Here is the report:' || chr(10) || '```json' || chr(10) || '{' || summ || ', ' || ov || ', ' || grp
+                  || n || '}]}' || chr(10) || '```'
+      WHEN 1 THEN '{' || summ || ', ' || ov || ', ' || grp || '"' || n || '"}], "extra": 1}'
+      WHEN 2 THEN 'not json ' || CAST(doc_id AS VARCHAR)
+      WHEN 3 THEN '[1, 2]'
+      WHEN 4 THEN '{' || summ || '}'
+      ELSE '{' || summ || ', ' || ov || ', "timeline": null}' END"""
+
+_FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
+
+MODEL_CHOICE = f"""WITH parts AS (
+    SELECT doc_id, toxic,
+      '"executive_summary": "Doc ' || CAST(doc_id AS VARCHAR) || ' quality ' || CAST(quality AS VARCHAR) || '"' AS summ,
+      '"log_overview": {{"total_lines_processed": ' || CAST(doc_id % 100 AS VARCHAR)
+        || ', "log_levels_observed": ["INFO"]}}' AS ov,
+      '"error_analysis": [{{"error_type": "E' || CAST(doc_id % 7 AS VARCHAR) || '", "occurrence_count": ' AS grp,
+      CAST(doc_id % 100 AS VARCHAR) AS n
+    FROM labels),
+  resp AS (
+    SELECT CAST(doc_id AS VARCHAR) AS source,
+      CASE WHEN toxic = 1 AND doc_id % 5 = 0 THEN NULL ELSE {_RESP} END AS response,
+      CASE WHEN toxic = 1 AND doc_id % 5 = 0 THEN 'RuntimeError: upstream unavailable' END AS error
+    FROM parts),
+  c AS (SELECT *, CASE WHEN regexp_matches(trim(response), {q(_FENCE)})
+      THEN trim(regexp_extract(trim(response), {q(_FENCE)}, 1)) ELSE trim(response) END AS body FROM resp),
+  v AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'client'
+      WHEN NOT json_valid(body) THEN 'json'
+      WHEN json_type(body) <> 'OBJECT' THEN 'object'
+      WHEN json_type(body, '$.executive_summary') IS DISTINCT FROM 'VARCHAR'
+        OR json_type(body, '$.log_overview') IS DISTINCT FROM 'OBJECT'
+        OR (json_type(body, '$.timeline') IS NOT NULL AND json_type(body, '$.timeline') <> 'ARRAY') THEN 'shape'
+      END AS error_kind FROM c)
+SELECT source, CASE WHEN error_kind IS NULL THEN 'llm' ELSE 'static_fallback' END AS analysis_source, error_kind,
+  CASE WHEN error_kind IS NULL THEN json_extract_string(body, '$.executive_summary') END AS executive_summary,
+  CASE WHEN error_kind IS NULL THEN CAST(json_extract_string(body, '$.log_overview.total_lines_processed') AS BIGINT)
+  END AS total_lines,
+  CASE WHEN error_kind IS NULL THEN CAST(json_extract_string(body, '$.error_analysis[0].occurrence_count') AS BIGINT)
+  END AS first_count
+FROM v"""
+
+
 ORACLES: dict[str, str] = {
     "parse_fields": with_ev(FLAT_ENTRIES),
     "parse_fields_doc": with_doc(FLAT_ENTRIES),
@@ -486,4 +528,5 @@ FROM entries WHERE entry_type IN ('exception', 'stack_trace')"""),
     "evidence_lines": with_ev(EVIDENCE),
     "report_sections": with_ev(report_sections_sql()),
     "report_sections_doc": with_doc(report_sections_sql()),
+    "model_choice": MODEL_CHOICE,
 }

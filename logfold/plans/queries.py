@@ -140,6 +140,72 @@ def q_report_sections_doc(spark: SparkSession, sf: str) -> DataFrame:
     return report_sections(report_table(doc_entries(spark, sf)))
 
 
+# --- model-assisted path ----------------------------------------------------------
+
+def label_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Completion results synthesised from ``labels`` (one per labelled document).
+
+    Six response shapes by ``doc_id % 6``: a fenced valid report, a bare valid
+    report whose count is the string form, text that is not JSON, a JSON
+    array, a report without ``log_overview`` and a report whose ``timeline``
+    is null; toxic documents with ``doc_id % 5 = 0`` simulate a client error.
+    """
+    lab = spark.read.parquet(f"{sf}/labels.parquet")
+    d = F.col("doc_id").cast("string")
+    q = F.col("quality").cast("string")
+    n = (F.col("doc_id") % 100).cast("string")
+    summary = F.concat(F.lit('"executive_summary": "Doc '), d, F.lit(" quality "), q, F.lit('"'))
+    overview = F.concat(F.lit('"log_overview": {"total_lines_processed": '), n,
+                        F.lit(', "log_levels_observed": ["INFO"]}'))
+    group = F.concat(F.lit('"error_analysis": [{"error_type": "E'), (F.col("doc_id") % 7).cast("string"),
+                     F.lit('", "occurrence_count": '))
+    shape = F.col("doc_id") % 6
+    resp = (
+        F.when(shape == 0, F.concat(F.lit("Here is the report:\n```json\n{"), summary, F.lit(", "), overview,
+                                    F.lit(", "), group, n, F.lit("}]}\n```")))
+        .when(shape == 1, F.concat(F.lit("{"), summary, F.lit(", "), overview, F.lit(", "), group,
+                                   F.lit('"'), n, F.lit('"}], "extra": 1}')))
+        .when(shape == 2, F.concat(F.lit("not json "), d))
+        .when(shape == 3, F.lit("[1, 2]"))
+        .when(shape == 4, F.concat(F.lit("{"), summary, F.lit("}")))
+        .otherwise(F.concat(F.lit("{"), summary, F.lit(", "), overview, F.lit(', "timeline": null}')))
+    )
+    failed = (F.col("toxic") == 1) & (F.col("doc_id") % 5 == 0)
+    return lab.select(
+        d.alias("source"),
+        F.when(~failed, resp).alias("response"),
+        F.when(failed, F.lit("RuntimeError: upstream unavailable")).alias("error"),
+    )
+
+
+def q_model_choice(spark: SparkSession, sf: str) -> DataFrame:
+    from logfold.operators.assist import check_responses
+
+    c = check_responses(label_responses(spark, sf))
+    err = F.col("llm_error")
+    kind = (
+        F.when(err.isNull(), F.lit(None))
+        .when(err.startswith("RuntimeError"), F.lit("client"))
+        .when(err.startswith("Model returned invalid JSON"), F.lit("json"))
+        .when(err.startswith("Model response must be a JSON object"), F.lit("object"))
+        .otherwise(F.lit("shape"))
+    )
+    return c.select(
+        "source",
+        F.when(F.col("report").isNotNull(), F.lit("llm")).otherwise(F.lit("static_fallback")).alias("analysis_source"),
+        kind.alias("error_kind"),
+        F.col("report.executive_summary").alias("executive_summary"),
+        F.col("report.log_overview.total_lines_processed").alias("total_lines"),
+        F.element_at(F.col("report.error_analysis"), 1)["occurrence_count"].alias("first_count"),
+    )
+
+
+def q_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    from logfold.operators.assist import analysis_prompt, evidence_bundle
+
+    return analysis_prompt(evidence_bundle(ev_entries(spark, sf)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_fields": q_parse_fields,
     "parse_fields_doc": q_parse_fields_doc,
@@ -162,4 +228,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evidence_lines": q_evidence_lines,
     "report_sections": q_report_sections,
     "report_sections_doc": q_report_sections_doc,
+    "model_choice": q_model_choice,
+    "prompt": q_prompt,
 }
