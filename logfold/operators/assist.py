@@ -29,6 +29,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from logfold.functions import patterns as P
 from logfold.operators.aggregates import level_counts, source_summary, top_values
 from logfold.operators.evidence import evidence_lines
+from logfold.staging import maybe_stage
 
 REPORT_DDL = (
     "executive_summary string, "
@@ -61,8 +62,9 @@ def _as_map(df: DataFrame, key: str, val: str, rank: str, name: str) -> DataFram
         F.transform("_e", lambda x: F.struct(x["k"], x["v"]))).alias(name))
 
 
-def evidence_bundle(entries: DataFrame) -> DataFrame:
+def evidence_bundle(entries: DataFrame, stage_entries: bool = True) -> DataFrame:
     """``(source, evidence)``; every nested list is bounded by the evidence caps."""
+    entries = maybe_stage(entries, stage_entries, "entries")
     summ = source_summary(entries).select("source", "total_lines", "time_range")
     lv = level_counts(entries)
     lv = lv.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("first_line")))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfold.functions.patterns import KNOWN_LEVELS
+from logfold.staging import maybe_stage
 
 CONTEXT_FIELDS = ("level", "request_id", "thread_name", "logger", "trace_id")
 
@@ -33,7 +34,8 @@ def _provider(f: str) -> F.Column:
     return F.when(provides & ok, value)
 
 
-def sequence_entries(parsed: DataFrame, order: list[str], keep_blank: bool = False) -> DataFrame:
+def sequence_entries(parsed: DataFrame, order: list[str], keep_blank: bool = False,
+                     stage_parsed: bool = True) -> DataFrame:
     """Number lines and carry context within each ``source``.
 
     ``parsed`` needs ``source``, ``block`` (sortable, increasing along the
@@ -41,7 +43,13 @@ def sequence_entries(parsed: DataFrame, order: list[str], keep_blank: bool = Fal
     fields from :func:`logfold.operators.parse.parse_lines`.  Returns the
     entries with ``line_number`` (1-based, blank lines counted) and
     continuation rows filled; blank rows are dropped unless ``keep_blank``.
+
+    With ``stage_parsed`` (default) the parsed rows are first written once to
+    the checkpoint folder, so the regex parse runs once although both the
+    row window and the block summary read the rows (the summary reads only
+    the six small columns it needs).
     """
+    parsed = maybe_stage(parsed, stage_parsed, "parsed")
     keys = ["source", "block"]
     shuffled = parsed.repartition(*keys)
     prov = {f: _provider(f) for f in CONTEXT_FIELDS}

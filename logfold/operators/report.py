@@ -13,6 +13,7 @@ from logfold.functions import patterns as P
 from logfold.operators.aggregates import error_groups, first_values, source_summary, warning_groups
 from logfold.operators.ranking import timeline
 from logfold.operators.snippets import snippets
+from logfold.staging import maybe_stage
 
 # Largest number of error / warning groups nested into one report row.  The
 # complete ranking is always available from ``error_groups`` /
@@ -85,12 +86,15 @@ def _empty_summary_defaults(summary: DataFrame, sources: DataFrame | None) -> Da
 
 
 def report_table(entries: DataFrame, sources: DataFrame | None = None,
-                 nest_limit: int | None = DEFAULT_NEST_LIMIT) -> DataFrame:
+                 nest_limit: int | None = DEFAULT_NEST_LIMIT, stage_entries: bool = True) -> DataFrame:
     """One row per source with every report section as a column.
 
     ``sources`` (optional, column ``source``) lists sources that must appear
-    even when they have no entries (empty files).
+    even when they have no entries (empty files).  The entries feed about ten
+    aggregates; with ``stage_entries`` they are written once to the checkpoint
+    folder first (see :mod:`logfold.staging`).
     """
+    entries = maybe_stage(entries, stage_entries, "entries")
     summary = signal_columns(_empty_summary_defaults(source_summary(entries), sources))
     eg = error_groups(entries)
     wg = warning_groups(entries)

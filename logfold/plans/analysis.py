@@ -33,9 +33,9 @@ def entries_view(entries: DataFrame) -> DataFrame:
 
 
 def static_result(entries: DataFrame, sources: DataFrame | None = None,
-                  nest_limit: int | None = DEFAULT_NEST_LIMIT) -> DataFrame:
+                  nest_limit: int | None = DEFAULT_NEST_LIMIT, stage_entries: bool = True) -> DataFrame:
     """Heuristic report per source with ``analysis_source = 'static_fallback'``."""
-    rep = report_table(entries, sources, nest_limit)
+    rep = report_table(entries, sources, nest_limit, stage_entries)
     return rep.select(
         "source", *REPORT_FIELDS,
         F.lit("static_fallback").alias("analysis_source"),
@@ -78,9 +78,12 @@ def analyze_with_model(entries: DataFrame, client_factory, sources: DataFrame |
         analysis_prompt, check_responses, choose_reports, complete, evidence_bundle,
     )
 
-    static = static_result(entries, sources, nest_limit)
+    from logfold.staging import stage
+
     if client_factory is None:
-        return static
-    prompts = analysis_prompt(evidence_bundle(entries))
+        return static_result(entries, sources, nest_limit)
+    entries = stage(entries, "entries")
+    static = static_result(entries, sources, nest_limit, stage_entries=False)
+    prompts = analysis_prompt(evidence_bundle(entries, stage_entries=False))
     checked = check_responses(complete(prompts, client_factory))
     return choose_reports(static, checked)

@@ -19,6 +19,7 @@ from logfold.operators.ranking import timeline
 from logfold.operators.report import report_sections, report_table, signal_columns
 from logfold.operators.snippets import snippets
 from logfold.sources.corpus import doc_entries, ev_entries
+from logfold.staging import stage
 
 ENTRY_OUT = (
     "source", "line_number", "raw", "entry_type", "ts", "level", "logger", "message",
@@ -125,11 +126,11 @@ def q_signals_doc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_snippets(spark: SparkSession, sf: str) -> DataFrame:
-    return snippets(ev_entries(spark, sf))
+    return snippets(stage(ev_entries(spark, sf), "entries"))
 
 
 def q_evidence_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence_lines(ev_entries(spark, sf))
+    return evidence_lines(stage(ev_entries(spark, sf), "entries"))
 
 
 def q_report_sections(spark: SparkSession, sf: str) -> DataFrame:

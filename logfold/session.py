@@ -42,7 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the setting names a shared folder and is left untouched.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="logfold-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
