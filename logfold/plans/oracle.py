@@ -156,13 +156,16 @@ def generic_message(x: str) -> str:
 
 # --- corpora ------------------------------------------------------------------
 
-def _ev_lines_cte() -> str:
+def _ev_lines_cte(chunk: int | None = None) -> str:
     lvl = "CASE event_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in EV_LEVELS) + " ELSE 'INFO' END"
     msgs = "[" + ", ".join(q(m) for m in EV_MESSAGES) + "]"
     tc = "replace(t, '.', ',')"
     t19 = "substr(t, 1, 19)"
     u = "CAST(user_id AS VARCHAR)"
     e = "CAST(event_id AS VARCHAR)"
+    src = "'svc-' || CAST(user_id % 8 AS VARCHAR)"
+    if chunk is not None:
+        src += f" || '#' || CAST(event_id // {chunk} AS VARCHAR)"
     raw = f"""CASE event_id % 12
       WHEN 0 THEN {t19} || ' ' || lvl || ' ' || msg
       WHEN 1 THEN replace(t, ' ', 'T') || 'Z ' || lvl || ' ' || msg
@@ -185,7 +188,7 @@ def _ev_lines_cte() -> str:
     SELECT event_id, user_id, event_type, ts, CAST(ts AS VARCHAR) AS t, {lvl} AS lvl,
            {msgs}[CAST(event_id % 7 AS INTEGER) + 1] AS msg
     FROM events),
-  ev_raw AS (SELECT 'svc-' || CAST(user_id % 8 AS VARCHAR) AS source, event_id, {raw} AS raw_line FROM ev_src),
+  ev_raw AS (SELECT {src} AS source, event_id, {raw} AS raw_line FROM ev_src),
   lines AS (
     SELECT source, row_number() OVER (PARTITION BY source ORDER BY event_id) AS line_number, raw_line FROM ev_raw)"""
 
@@ -262,6 +265,12 @@ def with_ev(body: str) -> str:
     return f"WITH {_ev_lines_cte()},\n  {_parse_ctes()}\n{body}"
 
 
+def with_ev_files(body: str) -> str:
+    from logfold.sources.corpus import EV_FILE_CHUNK
+
+    return f"WITH {_ev_lines_cte(EV_FILE_CHUNK)},\n  {_parse_ctes()}\n{body}"
+
+
 def with_doc(body: str) -> str:
     return f"WITH {_doc_lines_cte()},\n  {_parse_ctes()}\n{body}"
 
@@ -507,6 +516,7 @@ ORACLES: dict[str, str] = {
     "parse_fields": with_ev(FLAT_ENTRIES),
     "parse_fields_doc": with_doc(FLAT_ENTRIES),
     "line_numbering": with_doc("SELECT source, line_number, raw FROM entries"),
+    "file_scan": with_ev_files(FLAT_ENTRIES),
     "access_lines": with_ev(f"""SELECT source, line_number, client_ip, http_status, {iso('ts_val')} AS ts, message
 FROM entries WHERE entry_type = 'access_log'"""),
     "structured_lines": with_ev(f"""SELECT source, line_number, level, {iso('ts_val')} AS ts, thread_name, trace_id,

@@ -39,6 +39,22 @@ def q_parse_fields_doc(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_entries(doc_entries(spark, sf))
 
 
+def q_file_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """EV corpus written as text files, then read back through the file source.
+
+    Exercises the text-file path end to end (scan, block offsets, carry
+    across blocks); ``source`` is ``<service>#<chunk>`` taken from the path.
+    """
+    from logfold.sources.corpus import write_event_log_files
+    from logfold.sources.text_files import read_log_entries
+
+    path = write_event_log_files(spark, sf)
+    e = read_log_entries(spark, path, extensions=[".txt"])
+    src = F.concat(F.regexp_extract("source", r"source=([^/]+)/", 1), F.lit("#"),
+                   F.regexp_extract("source", r"chunk=([0-9]+)/", 1))
+    return _flat_entries(e.withColumn("source", src))
+
+
 def q_line_numbering(spark: SparkSession, sf: str) -> DataFrame:
     return doc_entries(spark, sf).select("source", "line_number", "raw")
 
@@ -211,6 +227,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_fields": q_parse_fields,
     "parse_fields_doc": q_parse_fields_doc,
     "line_numbering": q_line_numbering,
+    "file_scan": q_file_scan,
     "access_lines": q_access_lines,
     "structured_lines": q_structured_lines,
     "context_fill": q_context_fill,

@@ -80,6 +80,30 @@ def ev_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries_from_lines(event_lines(table(spark, sf_dir, "events")), order="event_id")
 
 
+# Events per log file when the EV corpus is written out as text files.
+EV_FILE_CHUNK = 1 << 16
+
+
+def write_event_log_files(spark: SparkSession, sf_dir: str, chunk: int = EV_FILE_CHUNK) -> str:
+    """Write the EV corpus as text files ``<dir>/source=<s>/chunk=<c>/part-*.txt``.
+
+    One file per (source, event_id div chunk), lines in event_id order, so no
+    task writes more than ``chunk`` events.  Written under the session's
+    checkpoint folder; returns the directory.
+    """
+    import uuid
+
+    from logfold.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logfold/ev-files-{uuid.uuid4().hex}"
+    lines = event_lines(table(spark, sf_dir, "events")).withColumn(
+        "chunk", F.floor(F.col("event_id") / F.lit(chunk)).cast("bigint"))
+    (lines.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "event_id")
+     .select(F.col("raw_line").alias("value"), "source", "chunk")
+     .write.partitionBy("source", "chunk").text(path))
+    return path
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return split_text_lines(docs, F.col("doc_id"), F.col("text"))
