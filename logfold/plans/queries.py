@@ -77,18 +77,18 @@ def q_context_fill(spark: SparkSession, sf: str) -> DataFrame:
                     "thread_name", "logger", "trace_id")
 
 
-def _overview(e: DataFrame) -> DataFrame:
+def overview_of(e: DataFrame) -> DataFrame:
     s = A.source_summary(e)
     return s.select("source", "total_lines", "time_range",
                     F.array_join("levels", ", ").alias("levels"), "error_total", "warning_total")
 
 
 def q_overview(spark: SparkSession, sf: str) -> DataFrame:
-    return _overview(ev_entries(spark, sf))
+    return overview_of(ev_entries(spark, sf))
 
 
 def q_overview_doc(spark: SparkSession, sf: str) -> DataFrame:
-    return _overview(doc_entries(spark, sf))
+    return overview_of(doc_entries(spark, sf))
 
 
 def q_first_values(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +124,7 @@ def q_timeline_doc(spark: SparkSession, sf: str) -> DataFrame:
     return timeline(doc_entries(spark, sf))
 
 
-def _signals(e: DataFrame) -> DataFrame:
+def signals_of(e: DataFrame) -> DataFrame:
     s = signal_columns(A.source_summary(e))
     return s.select(
         "source", "error_events", "warning_events",
@@ -134,11 +134,11 @@ def _signals(e: DataFrame) -> DataFrame:
 
 
 def q_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return _signals(ev_entries(spark, sf))
+    return signals_of(ev_entries(spark, sf))
 
 
 def q_signals_doc(spark: SparkSession, sf: str) -> DataFrame:
-    return _signals(doc_entries(spark, sf))
+    return signals_of(doc_entries(spark, sf))
 
 
 def q_snippets(spark: SparkSession, sf: str) -> DataFrame:
