@@ -51,6 +51,12 @@ TS_PIECE_COUNT = 27
 LEVEL_GROUP = rf"(?:{LEVEL_ALT})"
 BRACKET_LEVEL = rf"(?iu)^\[({LEVEL_ALT})\]"
 LEVEL_SEARCH = rf"(?iu){WB_BEFORE}({LEVEL_ALT}){WB_AFTER}"
+# The same searches on the case-folded line (see fold_case): case-sensitive
+# and lower case, which Java matches much faster than (?iu).
+_LEVEL_ALT_LOWER = LEVEL_ALT.lower()
+BRACKET_LEVEL_FOLDED = rf"^\[({_LEVEL_ALT_LOWER})\]"
+LEVEL_SEARCH_FOLDED = rf"{WB_BEFORE}({_LEVEL_ALT_LOWER}){WB_AFTER}"
+LATER_LEVEL_FOLDED = rf"{WS}+{WB_BEFORE}(?:{_LEVEL_ALT_LOWER}){WB_AFTER}"
 
 STRUCTURED = (
     rf"(?iu)^\[({LEVEL_ALT})\]{WS}*"
@@ -245,7 +251,10 @@ def iso_text(ts: Column) -> Column:
 # skip a line the regex would match.
 
 def fold_case(line: Column) -> Column:
-    return F.translate(F.lower(line), "\u0131\u017f\u0307", "is")
+    """Lower case, with dotted I, dotless i and long s mapped to ASCII first
+    (dotted I would lower-case to two characters).  Same length as ``line``
+    and aligned with it character by character."""
+    return F.translate(F.lower(F.translate(line, "\u0130\u0131\u017f", "iis")), "\u0131", "i")
 
 
 def _any(c: Column, words) -> Column:
@@ -268,8 +277,15 @@ def has_level_word(line: Column, fold: Column | None = None) -> Column:
 
 
 def extract_level(line: Column, fold: Column | None = None) -> Column:
-    found = F.coalesce(find(line, BRACKET_LEVEL), find(line, LEVEL_SEARCH))
-    return F.when(has_level_word(line, fold), normalize_level(found))
+    """Bracketed level at the start, else the leftmost whole-word level.
+
+    Matched on the folded line, which equals a case-insensitive match on the
+    line itself (the fold maps exactly the characters that match an ASCII
+    letter case-insensitively) and keeps word boundaries in place.
+    """
+    f = _fold(line, fold)
+    found = F.coalesce(find(f, BRACKET_LEVEL_FOLDED), find(f, LEVEL_SEARCH_FOLDED))
+    return F.when(has_level_word(line, f), normalize_level(found))
 
 
 def extract_logger(line: Column, fold: Column | None = None) -> Column:
@@ -325,7 +341,11 @@ def clean_message(line: Column, fold: Column | None = None) -> Column:
     m = F.regexp_replace(m, CLEAN_LEADING_BRACKETS_LEVEL, "")
     m = F.regexp_replace(m, CLEAN_ONE_BRACKET, "")
     m = F.regexp_replace(m, CLEAN_LEVEL_BRACKET, "")
-    cut = F.regexp_replace(m, CLEAN_LATER_LEVEL, "")
+    # Cut from the first "whitespace + level word" to the end.  The position
+    # is found on the folded text, which is aligned with ``m`` character by
+    # character (fold_case keeps lengths).
+    kept = F.length(F.regexp_replace(fold_case(m), LATER_LEVEL_FOLDED + ".*$", ""))
+    cut = F.substring(m, F.lit(1), kept)
     return ustrip(F.when(has_level_word(line, fold), cut).otherwise(m))
 
 
