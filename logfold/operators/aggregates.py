@@ -124,8 +124,7 @@ def _groups(entries: DataFrame, selector: Column, unknown: str, explanation: str
             F.min_by("raw", real).alias("first_message_raw"),
         )
     )
-    w = Window.partitionBy("source").orderBy(F.col("occurrence_count").desc(), F.col("first_line"))
-    return grouped.select(
+    out = grouped.select(
         "source", "group_key",
         F.substring("group_key", 1, P.GROUP_LABEL_CHARS).alias("label"),
         "occurrence_count",
@@ -133,8 +132,12 @@ def _groups(entries: DataFrame, selector: Column, unknown: str, explanation: str
         iso_text(F.col("last_ts")).alias("last_occurrence"),
         F.lit(explanation).alias("short_explanation"),
         "first_line", "first_message_line", "first_message_raw",
-        F.row_number().over(w).cast("bigint").alias("rank"),
     )
+    # Full ranking of every group (count desc, first appearance): exact and
+    # skew-safe, see ranking.rank_by_count.
+    from logfold.operators.ranking import rank_by_count
+
+    return rank_by_count(out)
 
 
 def error_groups(entries: DataFrame) -> DataFrame:

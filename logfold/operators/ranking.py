@@ -44,3 +44,41 @@ def timeline(entries: DataFrame, limit: int = P.TIMELINE_LIMIT) -> DataFrame:
             "level",
         )
     )
+
+
+# Groups per block when ranking groups within a source (see rank_by_count).
+RANK_BLOCK = 1 << 20
+
+
+def rank_by_count(groups: DataFrame, count: str = "occurrence_count", tie: str = "first_line",
+                  block: int = RANK_BLOCK) -> DataFrame:
+    """Exact ``row_number() over (partition by source order by count desc, tie)``
+    without sorting a whole source in one task.
+
+    ``tie`` must be unique within a source (a first line number is).  The rank
+    of a group is: groups of the source with a larger count, plus groups with
+    the same count in earlier ``tie`` blocks, plus the position inside its own
+    block.  Every window and join is keyed by ``(source, count, tie div block)``
+    or runs over the small count/block tables, so even a source holding a
+    third of all groups, most of them with the same count, is spread over
+    bounded tasks.
+    """
+    g = groups.withColumn("_blk", F.floor(F.col(tie) / F.lit(block)).cast("bigint"))
+    per_count = g.groupBy("source", count).agg(F.count(F.lit(1)).alias("_n"))
+    before_count = per_count.select(
+        "source", count,
+        F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy(F.col(count).desc())
+                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_c_off"),
+    )
+    per_block = g.groupBy("source", count, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = per_block.select(
+        "source", count, "_blk",
+        F.coalesce(F.sum("_n").over(Window.partitionBy("source", count).orderBy("_blk")
+                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b_off"),
+    ).join(before_count, ["source", count])
+    idx = F.row_number().over(Window.partitionBy("source", count, "_blk").orderBy(tie))
+    return (
+        g.join(offsets, ["source", count, "_blk"])
+        .withColumn("rank", (F.col("_c_off") + F.col("_b_off") + idx).cast("bigint"))
+        .drop("_blk", "_c_off", "_b_off")
+    )
