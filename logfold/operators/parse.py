@@ -19,6 +19,23 @@ ENTRY_FIELDS = (
 )
 
 
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the default parallelism when the input scan
+    yields fewer partitions (e.g. one small Parquet row group).
+
+    The parse is CPU-bound and row-local, so a narrow scan would run it on a
+    few cores.  Inputs at scale already have many partitions and are left
+    alone (no shuffle).  Order is carried by explicit columns, never by
+    position, so this never changes a result.
+    """
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < target
+    except Exception:  # no RDD API (e.g. a remote session): leave as is
+        return df
+    return df.repartition(target) if narrow else df
+
+
 def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
     """Add parsed columns; keeps the input columns.
 

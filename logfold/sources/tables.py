@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logfold.functions.patterns import ALL_LINE_SEPARATORS
 from logfold.operators.context import sequence_entries
-from logfold.operators.parse import parse_lines
+from logfold.operators.parse import parse_lines, spread_if_narrow
 
 # Lines per block for table-held logs (a hot source is spread over blocks).
 BLOCK_LINES = 1 << 20
@@ -37,7 +37,7 @@ def entries_from_lines(lines: DataFrame, order: str = "line_number") -> DataFram
     if order == "line_number":
         with_block = with_block.withColumnRenamed("line_number", "_given_line")
         order = "_given_line"
-    parsed = parse_lines(with_block)
+    parsed = parse_lines(spread_if_narrow(with_block))
     out = sequence_entries(parsed, order=[order])
     return out.drop("_given_line") if order == "_given_line" else out
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from logfold.functions.patterns import ALLOWED_EXTENSIONS, EXTRA_LINE_SEPARATORS
 from logfold.operators.context import sequence_entries
-from logfold.operators.parse import parse_lines
+from logfold.operators.parse import parse_lines, spread_if_narrow
 
 
 def extension_glob(extensions: Iterable[str]) -> str:
@@ -88,5 +88,5 @@ def read_log_entries(
 ) -> DataFrame:
     """Parsed entries of log files (schema: see ``logfold.plans.analysis.ENTRY_COLUMNS``)."""
     lines = read_log_lines(spark, paths, extensions, max_file_size_mb)
-    parsed = parse_lines(lines)
+    parsed = parse_lines(spread_if_narrow(lines))
     return sequence_entries(parsed, order=["mid", "pos"])

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logfold.functions.patterns import ALLOWED_EXTENSIONS, EXTRA_LINE_SEPARATORS
 from logfold.operators.context import sequence_entries
-from logfold.operators.parse import parse_lines
+from logfold.operators.parse import parse_lines, spread_if_narrow
 from logfold.plans.analysis import result_json, static_result
 from logfold.session import ensure_checkpoint_dir
 from logfold.sources.text_files import extension_glob, parse_extensions
@@ -44,7 +44,7 @@ def batch_entries(batch: DataFrame) -> DataFrame:
         "source", "block", F.monotonically_increasing_id().alias("mid"),
         F.posexplode(F.split("value", EXTRA_LINE_SEPARATORS, -1)).alias("pos", "raw_line"),
     )
-    return sequence_entries(parse_lines(lines), order=["mid", "pos"])
+    return sequence_entries(parse_lines(spread_if_narrow(lines)), order=["mid", "pos"])
 
 
 def start_file_reports(spark: SparkSession, directory: str, output_path: str,
