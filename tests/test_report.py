@@ -119,3 +119,18 @@ def test_admission_audit(spark, tmp_path):
              admission_audit(spark, [str(tmp_path), str(tmp_path / "missing.log")], max_file_size_mb=1).collect()}
     assert audit == {"a.LOG": "admitted", "b.json": "rejected", "big.txt": "rejected", "bad.log": "admitted",
                      "missing.log": "missing"}
+
+
+def test_multi_source_equals_single_sources(spark, lines_df):
+    """A report computed for many sources at once equals each source computed alone."""
+    from logfold.operators.report import report_sections, report_table
+    from logfold.sources.tables import entries_from_lines
+
+    a = (FIXTURES / "sample_incident.log").read_text().splitlines()
+    b = (FIXTURES / "multiline_service.log").read_text().splitlines()
+    both = lines_df(a, "a").unionByName(lines_df(b, "b"))
+
+    def sections(df):
+        return sorted(tuple(r) for r in report_sections(report_table(entries_from_lines(df))).collect())
+
+    assert sections(both) == sorted(sections(lines_df(a, "a")) + sections(lines_df(b, "b")))
