@@ -49,10 +49,9 @@ TS_PIECE_COUNT = 27
 
 # --- line shapes ------------------------------------------------------------
 LEVEL_GROUP = rf"(?:{LEVEL_ALT})"
-BRACKET_LEVEL = rf"(?iu)^\[({LEVEL_ALT})\]"
-LEVEL_SEARCH = rf"(?iu){WB_BEFORE}({LEVEL_ALT}){WB_AFTER}"
-# The same searches on the case-folded line (see fold_case): case-sensitive
-# and lower case, which Java matches much faster than (?iu).
+# Level searches run on the case-folded line (see fold_case): case-sensitive
+# and lower case, which Java matches much faster than (?iu), and equal to a
+# case-insensitive search on the line itself.
 _LEVEL_ALT_LOWER = LEVEL_ALT.lower()
 BRACKET_LEVEL_FOLDED = rf"^\[({_LEVEL_ALT_LOWER})\]"
 LEVEL_SEARCH_FOLDED = rf"{WB_BEFORE}({_LEVEL_ALT_LOWER}){WB_AFTER}"
@@ -104,7 +103,6 @@ CLEAN_ONE_BRACKET = rf"^\[[^\]]+\]{WS}*"
 CLEAN_LEVEL_BRACKET = (
     rf"(?iu)^(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|CRITICAL|FATAL){WS}+\[[^\]]+\]{WS}*"
 )
-CLEAN_LATER_LEVEL = rf"(?iu){WS}+{WB_BEFORE}{LEVEL_GROUP}{WB_AFTER}.*$"
 
 # The characters of WS (Python's str.isspace() set) as a literal string for btrim.
 WS_STRING = (
@@ -368,10 +366,11 @@ def is_exception_line(stripped: Column) -> Column:
 
 
 def lower_contains_any(c: Column, words) -> Column:
-    low = F.lower(c)
-    out = None
-    for w in words:
-        t = low.contains(w)
-        out = t if out is None else (out | t)
-    return out
+    """Any of ``words`` in ``lower(c)``; pass an already lower-cased column as
+    :func:`contains_any` to lower once for many word lists."""
+    return contains_any(F.lower(c), words)
+
+
+def contains_any(lowered: Column, words) -> Column:
+    return _any(lowered, words)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfold.functions import patterns as P
-from logfold.functions.extract import iso_text, lower_contains_any
+from logfold.functions.extract import contains_any, iso_text
 
 STAT_DIMENSIONS = (("components", "component"), ("request_ids", "request_id"), ("thread_names", "thread_name"))
 
@@ -30,17 +30,18 @@ def source_summary(entries: DataFrame) -> DataFrame:
     CRITICAL, FATAL), warning_total, and boolean flags ``kw_<name>``.
     """
     level = F.col("level")
-    msg = F.col("message")
+    low = F.col("_low")
     flags = {
-        "kw_timeout": lower_contains_any(msg, ["timeout"]),
-        "kw_retry": lower_contains_any(msg, ["retry"]),
-        "kw_shutdown": lower_contains_any(msg, ["shutdown"]),
+        "kw_timeout": contains_any(low, ["timeout"]),
+        "kw_retry": contains_any(low, ["retry"]),
+        "kw_shutdown": contains_any(low, ["shutdown"]),
     }
     for i, (_, words) in enumerate(P.DETECTOR_PATTERN_RULES):
-        flags[f"kw_pattern{i}"] = lower_contains_any(msg, words)
+        flags[f"kw_pattern{i}"] = contains_any(low, words)
     for i, (_, words) in enumerate(P.DETECTOR_ANOMALY_RULES):
-        flags[f"kw_anomaly{i}"] = lower_contains_any(msg, words)
-    agg = entries.groupBy("source").agg(
+        flags[f"kw_anomaly{i}"] = contains_any(low, words)
+    rows = entries.select("source", "timestamp", "level", F.lower("message").alias("_low"))
+    agg = rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("total_lines"),
         F.min("timestamp").alias("min_ts"),
         F.max("timestamp").alias("max_ts"),

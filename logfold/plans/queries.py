@@ -217,6 +217,13 @@ def q_model_choice(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_report_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested report per EV source as its JSON document (the sink's rows)."""
+    from logfold.plans.analysis import result_json, static_result
+
+    return result_json(static_result(ev_entries(spark, sf)), include_source=True)
+
+
 def q_prompt(spark: SparkSession, sf: str) -> DataFrame:
     from logfold.operators.assist import analysis_prompt, evidence_bundle
 
@@ -248,4 +255,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_sections_doc": q_report_sections_doc,
     "model_choice": q_model_choice,
     "prompt": q_prompt,
+    "report_json": q_report_json,
 }
