@@ -134,3 +134,23 @@ def test_multi_source_equals_single_sources(spark, lines_df):
         return sorted(tuple(r) for r in report_sections(report_table(entries_from_lines(df))).collect())
 
     assert sections(both) == sorted(sections(lines_df(a, "a")) + sections(lines_df(b, "b")))
+
+
+def test_clean_log_has_no_connection_anomaly(spark, lines_df):
+    from logfold.operators.aggregates import source_summary
+    from logfold.operators.report import signal_columns
+    from logfold.sources.tables import entries_from_lines
+
+    s = signal_columns(source_summary(entries_from_lines(
+        lines_df(["2024-01-01 10:00:00 INFO Healthy heartbeat"])))).first()
+    assert s.pattern_detection == [] and s.anomalies == []
+
+
+def test_non_ascii_lines(spark, lines_df):
+    from logfold.sources.tables import entries_from_lines
+
+    r = entries_from_lines(lines_df(["2024-01-01 10:00:00 ERROR Überlauf 数据库 ıNFO ſervice=Zahlung"])).first()
+    assert r.level == "ERROR"
+    assert r.component == "Zahlung"  # 'ſervice' matches Service case-insensitively
+    # dotless i matches I case-insensitively, so the message is cut at " ıNFO"
+    assert r.message == "ERROR Überlauf 数据库"
