@@ -8,7 +8,7 @@ unstripped line), access log, structured, generic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfold.functions import extract as X
@@ -36,6 +36,10 @@ def spread_if_narrow(df: DataFrame) -> DataFrame:
     return df.repartition(target) if narrow else df
 
 
+_HELPERS = ("_kind0", "_acc0", "_acc", "_st0", "_st", "_tsv", "_fold", "_tsp")
+_STAGE_CACHE: dict = {}
+
+
 def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
     """Add parsed columns; keeps the input columns.
 
@@ -43,34 +47,45 @@ def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
     :func:`logfold.operators.context.sequence_entries` fills them from the
     preceding lines.  Blank lines are kept (``entry_type = 'blank'``) because
     they still count for line numbers.
+
+    The work is a chain of projections; an intermediate value used by several
+    fields (the stripped line, the access / structured / timestamp group
+    arrays, the folded line) is its own column, so Catalyst keeps it
+    materialised and each regex runs once per line.
     """
-    raw_line = F.col(raw_col)
-    keep = [c for c in lines.columns]
+    df = lines
+    for stage in _stages(raw_col):
+        df = df.select("*", *stage)
+    return df.drop(*_HELPERS)
+
+
+def _stages(raw_col: str) -> list[list[Column]]:
+    # The expressions only name columns, so they are built once per process
+    # (thousands of py4j calls) and reused for every DataFrame.
+    from pyspark import SparkContext
+
+    key = (raw_col, id(SparkContext._gateway))
+    if key not in _STAGE_CACHE:
+        _STAGE_CACHE[key] = _build_stages(raw_col)
+    return _STAGE_CACHE[key]
 
-    s1 = lines.select(*keep, X.ustrip(raw_line).alias("raw"))
+
+def _build_stages(raw_col: str) -> list[list[Column]]:
+    raw_line = F.col(raw_col)
     raw = F.col("raw")
     fold = F.col("_fold")
     blank = raw == ""
     cont = ~blank & X.is_continuation(raw_line, raw)
-    s2 = s1.select(
-        *keep, "raw",
-        F.when(blank, F.lit("blank"))
-        .when(cont, F.when(X.is_exception_line(raw), F.lit("exception")).otherwise(F.lit("stack_trace")))
-        .alias("_kind0"),
-    ).select(
-        *keep, "raw", "_kind0",
-        F.when(F.col("_kind0").isNull(), X.groups(raw, X.ACCESS, 6)).alias("_acc0"),
-    ).select(
-        *keep, "raw", "_kind0",
-        F.when(X.matched(F.col("_acc0")), F.col("_acc0")).alias("_acc"),
-    ).select(
-        *keep, "raw", "_kind0", "_acc",
-        F.when(F.col("_kind0").isNull() & F.col("_acc").isNull(), X.groups(raw, X.STRUCTURED, 7)).alias("_st0"),
-    ).select(
-        *keep, "raw", "_kind0", "_acc",
-        F.when(X.matched(F.col("_st0")), F.col("_st0")).alias("_st"),
-    )
-
+    stages: list[list[Column]] = [
+        [X.ustrip(raw_line).alias("raw")],
+        [F.when(blank, F.lit("blank"))
+         .when(cont, F.when(X.is_exception_line(raw), F.lit("exception")).otherwise(F.lit("stack_trace")))
+         .alias("_kind0")],
+        [F.when(F.col("_kind0").isNull(), X.groups(raw, X.ACCESS, 6)).alias("_acc0")],
+        [F.when(X.matched(F.col("_acc0")), F.col("_acc0")).alias("_acc")],
+        [F.when(F.col("_kind0").isNull() & F.col("_acc").isNull(), X.groups(raw, X.STRUCTURED, 7)).alias("_st0")],
+        [F.when(X.matched(F.col("_st0")), F.col("_st0")).alias("_st")],
+    ]
     acc = F.col("_acc")
     st = F.col("_st")
     kind = (
@@ -79,7 +94,7 @@ def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
         .when(st.isNotNull(), F.lit("structured"))
         .otherwise(F.lit("log"))
     )
-    s3 = s2.select(*keep, "raw", "_acc", "_st", kind.alias("entry_type"))
+    stages.append([kind.alias("entry_type")])
     k = F.col("entry_type")
     is_acc, is_st, is_log = k == "access_log", k == "structured", k == "log"
     is_cont = k.isin("exception", "stack_trace")
@@ -91,20 +106,16 @@ def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
         return X.group(st, i)
 
     # Timestamp text of the line (access / structured group, or the leftmost
-    # timestamp anywhere in a generic line), then its pieces: each step is its
-    # own column so that the regex runs once per line.
+    # timestamp anywhere in a generic line), then its pieces.
     ts_text = F.when(is_acc, a(2)).when(is_st, s(2)).when(is_log, X.find_timestamp_text(raw))
-    s3 = s3.select("*", ts_text.alias("_tsv"), F.when(is_log, X.fold_case(raw)).alias("_fold")).select(
-        "*", F.when(F.col("_tsv").isNotNull(), X.timestamp_pieces(F.col("_tsv"))).alias("_tsp")
-    )
+    stages.append([ts_text.alias("_tsv"), F.when(is_log, X.fold_case(raw)).alias("_fold")])
+    stages.append([F.when(F.col("_tsv").isNotNull(), X.timestamp_pieces(F.col("_tsv"))).alias("_tsp")])
 
     st_msg = X.ustrip(s(7))
     st_logger = X.nonempty(s(6))
     st_request = X.ustrip(s(5))
     st_trace = X.ustrip(s(4))
-
-    out = s3.select(
-        *keep, "raw", "entry_type",
+    stages.append([
         X.timestamp_from_pieces_array(F.col("_tsp")).alias("timestamp"),
         F.when(is_acc, F.lit("INFO"))
         .when(is_st, X.normalize_level(s(1)))
@@ -133,5 +144,5 @@ def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
         .alias("trace_id"),
         F.when(is_acc, a(1)).alias("client_ip"),
         F.when(is_acc, a(5).try_cast("bigint")).alias("http_status"),
-    )
-    return out
+    ])
+    return stages
