@@ -9,7 +9,7 @@ Two groups of timings, every query executed in full with the ``noop`` sink
 * report sections over the staged entries, as a user runs them after one
   ingest; plus ``driver_*``: three driver queries end to end (parse included).
 
-The median of ``$BENCH_REPEAT`` runs (default 1) is reported after a warm-up.
+The median of ``$BENCH_REPEAT`` runs (default 3) is reported after a warm-up.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def timed(fn, repeat: int) -> tuple[float, object]:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")),
                           app="logfold-bench")
     run(Q.q_overview(spark, "/root/testdata/sf0.001"))  # warm-up: JIT, codegen cache
