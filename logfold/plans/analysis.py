@@ -48,9 +48,14 @@ def analyze_files(spark: SparkSession, paths: str | list[str],
                   max_file_size_mb: float | None = None,
                   nest_limit: int | None = DEFAULT_NEST_LIMIT) -> DataFrame:
     """Static report for every admitted log file under ``paths`` (empty files included)."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
     audit = admission_audit(spark, paths, extensions, max_file_size_mb)
+    missing = {r.path for r in audit.filter(F.col("status") == "missing").select("path").collect()}
+    existing = [p for p in paths if p not in missing]
+    if not existing:
+        raise FileNotFoundError(f"none of the input paths exists: {paths}")
     admitted = audit.filter(F.col("status") == "admitted").select(F.col("path").alias("source"))
-    entries = read_log_entries(spark, paths, extensions, max_file_size_mb)
+    entries = read_log_entries(spark, existing, extensions, max_file_size_mb)
     return static_result(entries, admitted, nest_limit)
 
 
