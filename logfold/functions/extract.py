@@ -324,45 +324,86 @@ def extract_component(line: Column, fold: Column | None = None) -> Column:
     ])
 
 
-def extract_request_id(line: Column, fold: Column | None = None) -> Column:
+def request_ref(line: Column) -> Column:
+    """Stripped ``R:`` reference text ('' when absent); materialise it, it is read thrice."""
+    return F.when(line.contains("R:"), ustrip(F.regexp_extract(line, REQUEST_REF, 1))).otherwise(F.lit(""))
+
+
+def _count_char(line: Column, ch: str) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(ch), F.lit("")))
+
+
+def extract_request_id(line: Column, fold: Column | None = None, ref: Column | None = None) -> Column:
     f = _fold(line, fold)
-    ref = ustrip(F.regexp_extract(line, REQUEST_REF, 1))
-    ref = F.when(line.contains("R:") & (ref != "") & (ref != "_default_"), ref)
+    ref = ref if ref is not None else request_ref(line)
+    ref = F.when((ref != "") & (ref != "_default_"), ref)
     guards = (f.contains("request"), f.contains("trace"), f.contains("session"), line.contains("REQ"))
     keyed = [F.when(g, find(line, p)) for g, p in zip(guards, REQUEST_KEYS)]
-    return F.coalesce(ref, *keyed, F.when(line.contains("-"), find(line, UUID)))
+    return F.coalesce(ref, *keyed, F.when(_count_char(line, "-") >= 4, find(line, UUID)))
+
+
+def first_char_is_digit(c: Column) -> Column:
+    return F.substring(c, 1, 1).rlike(rf"^{D}$")
+
+
+# Message cleaning as four steps; the parse materialises each step as a column
+# (each step reads its input several times), clean_message composes them.
+
+def message_step1(line: Column) -> Column:
+    """Drop a leading timestamp (it can only start with a digit)."""
+    return ustrip(F.when(first_char_is_digit(line), F.regexp_replace(line, TS_PREFIX, "")).otherwise(line))
+
+
+def message_step2(m: Column) -> Column:
+    """Drop a leading bracket run + optional word + level, then one leading bracket."""
+    both = F.regexp_replace(F.regexp_replace(m, CLEAN_LEADING_BRACKETS_LEVEL, ""), CLEAN_ONE_BRACKET, "")
+    return F.when(m.startswith("["), both).otherwise(m)
+
+
+def message_step3(m: Column) -> Column:
+    """Drop a leading ``LEVEL [x]``."""
+    return F.when(m.contains("["), F.regexp_replace(m, CLEAN_LEVEL_BRACKET, "")).otherwise(m)
+
+
+def message_step4(m: Column, level_hint: Column) -> Column:
+    """Cut from the first "whitespace + level word" to the end of the line.
+
+    The position is found on the folded text, which is aligned with ``m``
+    character by character (fold_case keeps lengths).
+    """
+    kept = F.length(F.regexp_replace(fold_case(m), LATER_LEVEL_FOLDED + ".*$", ""))
+    return ustrip(F.when(level_hint, F.substring(m, F.lit(1), kept)).otherwise(m))
 
 
 def clean_message(line: Column, fold: Column | None = None) -> Column:
     """Five ordered rewrites; the last cuts from the first later level word to the end."""
-    m = ustrip(F.regexp_replace(line, TS_PREFIX, ""))
-    m = F.regexp_replace(m, CLEAN_LEADING_BRACKETS_LEVEL, "")
-    m = F.regexp_replace(m, CLEAN_ONE_BRACKET, "")
-    m = F.regexp_replace(m, CLEAN_LEVEL_BRACKET, "")
-    # Cut from the first "whitespace + level word" to the end.  The position
-    # is found on the folded text, which is aligned with ``m`` character by
-    # character (fold_case keeps lengths).
-    kept = F.length(F.regexp_replace(fold_case(m), LATER_LEVEL_FOLDED + ".*$", ""))
-    cut = F.substring(m, F.lit(1), kept)
-    return ustrip(F.when(has_level_word(line, fold), cut).otherwise(m))
+    m = message_step3(message_step2(message_step1(line)))
+    return message_step4(m, has_level_word(line, fold))
 
 
 # --- line kinds ---------------------------------------------------------------
 
-def is_continuation(raw_line: Column, stripped: Column) -> Column:
+def is_continuation(raw_line: Column, stripped: Column, fold: Column | None = None,
+                    exception_line: Column | None = None) -> Column:
     """Stack frame / exception / 'Caused by' test; ``raw_line`` is the unstripped line."""
+    exc = exception_line if exception_line is not None else is_exception_line(stripped, fold)
+    lead_ws = F.instr(F.lit(WS_STRING), F.substring(raw_line, 1, 1)) > 0
+    stack = raw_line.startswith("\t") | raw_line.startswith("Caused by:") | (lead_ws & raw_line.rlike(STACK_START))
     return (
         stripped.startswith("at ")
-        | raw_line.rlike(STACK_START)
+        | stack
         | stripped.startswith("Caused by:")
-        | stripped.rlike(EXCEPTION_LINE)
+        | exc
         | stripped.contains("common frames omitted")
         | stripped.startswith("MULTIEXCEPTION")
     )
 
 
-def is_exception_line(stripped: Column) -> Column:
-    return stripped.rlike(EXCEPTION_LINE)
+def is_exception_line(stripped: Column, fold: Column | None = None) -> Column:
+    """Single identifier ending in Exception/Error (case-insensitive), optional ': text'."""
+    f = _fold(stripped, fold)
+    hint = f.contains("exception") | f.contains("error")
+    return F.when(hint, stripped.rlike(EXCEPTION_LINE)).otherwise(F.lit(False))
 
 
 def lower_contains_any(c: Column, words) -> Column:

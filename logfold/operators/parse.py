@@ -36,7 +36,8 @@ def spread_if_narrow(df: DataFrame) -> DataFrame:
     return df.repartition(target) if narrow else df
 
 
-_HELPERS = ("_kind0", "_acc0", "_acc", "_st0", "_st", "_tsv", "_fold", "_tsp")
+_HELPERS = ("_fold", "_exc", "_kind0", "_acc0", "_acc", "_st0", "_st", "_tsv", "_tsp", "_rref",
+            "_m1", "_m2", "_m3")
 _STAGE_CACHE: dict = {}
 
 
@@ -75,15 +76,21 @@ def _build_stages(raw_col: str) -> list[list[Column]]:
     raw = F.col("raw")
     fold = F.col("_fold")
     blank = raw == ""
-    cont = ~blank & X.is_continuation(raw_line, raw)
+    exc = F.col("_exc")
+    cont = ~blank & X.is_continuation(raw_line, raw, fold, exc)
+    # Literal guards: an access line contains "HTTP/", a structured line
+    # starts with "[", so most lines skip those regexes entirely.
     stages: list[list[Column]] = [
         [X.ustrip(raw_line).alias("raw")],
+        [X.fold_case(raw).alias("_fold")],
+        [X.is_exception_line(raw, fold).alias("_exc")],
         [F.when(blank, F.lit("blank"))
-         .when(cont, F.when(X.is_exception_line(raw), F.lit("exception")).otherwise(F.lit("stack_trace")))
+         .when(cont, F.when(exc, F.lit("exception")).otherwise(F.lit("stack_trace")))
          .alias("_kind0")],
-        [F.when(F.col("_kind0").isNull(), X.groups(raw, X.ACCESS, 6)).alias("_acc0")],
+        [F.when(F.col("_kind0").isNull() & raw.contains("HTTP/"), X.groups(raw, X.ACCESS, 6)).alias("_acc0")],
         [F.when(X.matched(F.col("_acc0")), F.col("_acc0")).alias("_acc")],
-        [F.when(F.col("_kind0").isNull() & F.col("_acc").isNull(), X.groups(raw, X.STRUCTURED, 7)).alias("_st0")],
+        [F.when(F.col("_kind0").isNull() & F.col("_acc").isNull() & raw.startswith("["),
+                X.groups(raw, X.STRUCTURED, 7)).alias("_st0")],
         [F.when(X.matched(F.col("_st0")), F.col("_st0")).alias("_st")],
     ]
     acc = F.col("_acc")
@@ -108,8 +115,16 @@ def _build_stages(raw_col: str) -> list[list[Column]]:
     # Timestamp text of the line (access / structured group, or the leftmost
     # timestamp anywhere in a generic line), then its pieces.
     ts_text = F.when(is_acc, a(2)).when(is_st, s(2)).when(is_log, X.find_timestamp_text(raw))
-    stages.append([ts_text.alias("_tsv"), F.when(is_log, X.fold_case(raw)).alias("_fold")])
-    stages.append([F.when(F.col("_tsv").isNotNull(), X.timestamp_pieces(F.col("_tsv"))).alias("_tsp")])
+    stages.append([
+        ts_text.alias("_tsv"),
+        F.when(is_log, X.request_ref(raw)).alias("_rref"),
+        F.when(is_log, X.message_step1(raw)).alias("_m1"),
+    ])
+    stages.append([
+        F.when(F.col("_tsv").isNotNull(), X.timestamp_pieces(F.col("_tsv"))).alias("_tsp"),
+        X.message_step2(F.col("_m1")).alias("_m2"),
+    ])
+    stages.append([X.message_step3(F.col("_m2")).alias("_m3")])
 
     st_msg = X.ustrip(s(7))
     st_logger = X.nonempty(s(6))
@@ -126,7 +141,7 @@ def _build_stages(raw_col: str) -> list[list[Column]]:
         .alias("logger"),
         F.when(is_acc, F.concat(a(3), F.lit(" "), a(4), F.lit(" status="), a(5)))
         .when(is_st, F.when((st_msg == "") & st_logger.isNotNull(), st_logger).otherwise(st_msg))
-        .when(is_log, X.clean_message(raw, fold))
+        .when(is_log, X.message_step4(F.col("_m3"), X.has_level_word(raw, fold)))
         .when(is_cont, raw)
         .otherwise(F.lit(""))
         .alias("message"),
@@ -137,7 +152,7 @@ def _build_stages(raw_col: str) -> list[list[Column]]:
         .when(is_log, X.extract_component(raw, fold))
         .alias("component"),
         F.when(is_st, F.when((st_request != "") & (st_request != "_default_"), st_request))
-        .when(is_log, X.extract_request_id(raw, fold))
+        .when(is_log, X.extract_request_id(raw, fold, F.col("_rref")))
         .alias("request_id"),
         F.when(is_st, F.when(st_trace != "_default_", st_trace))
         .when(is_log, X.extract_trace(raw, fold))
