@@ -130,7 +130,11 @@ def complete(prompts: DataFrame, client_factory: Callable[[], Any]) -> DataFrame
 
     ``client_factory`` is called once per partition on the executor, so a
     client holding a connection is created near the data; it must be
-    picklable (a top-level function or class).
+    picklable (a top-level function or class).  A prompt can hold up to ~950
+    evidence lines, so a session running this step with many sources per
+    partition should keep ``spark.sql.execution.arrow.maxRecordsPerBatch``
+    small (for example 64): batches then stay a few MB, and the model calls,
+    not the batch size, set the pace.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -96,7 +96,9 @@ def report_table(entries: DataFrame, sources: DataFrame | None = None,
     """
     entries = maybe_stage(entries, stage_entries, "entries")
     summary = signal_columns(_empty_summary_defaults(source_summary(entries), sources))
-    eg = error_groups(entries)
+    # The ranked error groups feed four consumers (nested list, facts, primary
+    # issue, snippets); staged with the entries so the ranking runs once.
+    eg = maybe_stage(error_groups(entries), stage_entries, "error_groups")
     wg = warning_groups(entries)
 
     group_fields = ["error_type", "occurrence_count", "first_occurrence", "last_occurrence", "short_explanation"]
