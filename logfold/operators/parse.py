@@ -42,7 +42,7 @@ _STAGE_CACHE: dict = {}
 
 
 def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
-    """Add parsed columns; keeps the input columns.
+    """Add parsed columns; keeps the input columns except the unstripped line.
 
     Continuation rows get NULL level / logger / thread / request / trace here;
     :func:`logfold.operators.context.sequence_entries` fills them from the
@@ -57,7 +57,10 @@ def parse_lines(lines: DataFrame, raw_col: str = "raw_line") -> DataFrame:
     df = lines
     for stage in _stages(raw_col):
         df = df.select("*", *stage)
-    return df.drop(*_HELPERS)
+    # The unstripped line is only needed for the continuation test; ``raw``
+    # (the stripped line) replaces it, so it is not carried into shuffles or
+    # staged tables.
+    return df.drop(*_HELPERS, raw_col)
 
 
 def _stages(raw_col: str) -> list[list[Column]]:
