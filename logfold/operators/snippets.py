@@ -32,8 +32,12 @@ def snippets(entries: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     cand = eg.filter(F.col("first_message_line").isNotNull()).select(
         F.col("source").alias("c_source"), "group_key", "first_message_line", "first_message_raw",
     )
+    # The group table streams and the (at most three per source) labels are
+    # the build / buffered side: AQE broadcasts them when small, and a
+    # sort-merge fallback buffers only three rows per source, however many
+    # groups a hot source has.
     matched = (
-        top.join(cand, (top["source"] == cand["c_source"]) & cand["group_key"].startswith(top["prefix"]))
+        cand.join(top, (top["source"] == cand["c_source"]) & cand["group_key"].startswith(top["prefix"]))
         .groupBy("source", "g_rank")
         .agg(F.min_by("first_message_raw", "first_message_line").alias("raw"))
     )

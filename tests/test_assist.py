@@ -86,3 +86,20 @@ def test_fallback_on_client_error_and_bad_output(spark, lines_df):
 def test_disabled_model_step(spark, lines_df):
     r = _run(spark, lines_df, None)
     assert r["analysis_source"] == "static_fallback" and "llm_error" not in r
+
+
+def test_prompts_contain_rules_schema_and_evidence(spark, lines_df):
+    from logfold.operators.assist import analysis_prompt, refinement_prompt
+    from logfold.plans.analysis import static_result
+
+    e = _entries(lines_df)
+    p = analysis_prompt(evidence_bundle(e)).first().prompt
+    assert p.startswith("You are an on-call log analysis agent.\nAnalyze ONLY the evidence below")
+    assert "- Return valid JSON only, matching the schema exactly." in p
+    schema = p.split("JSON schema:\n", 1)[1].split("\n\nEvidence bundle:\n", 1)[0]
+    assert json.loads(schema)["log_overview"]["total_lines_processed"] == "integer"
+    evidence = json.loads(p.split("Evidence bundle:\n", 1)[1])
+    assert evidence["total_lines"] == 6 and len(evidence["error_lines"]) == 2
+    r = refinement_prompt(static_result(e)).first().prompt
+    assert r.startswith("Refine this structured log analysis report")
+    assert json.loads(r.split("Report:\n", 1)[1])["log_overview"]["total_lines_processed"] == 6
