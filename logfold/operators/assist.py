@@ -4,7 +4,8 @@
   statistics maps, at most 150/150/150/500 lines).
 * :func:`analysis_prompt` / :func:`refinement_prompt` - prompt columns.
 * :func:`complete` - ``mapInPandas`` that calls a caller-supplied client once
-  per row (one client per partition); failures are captured per row.
+  per row (one client per partition and worker thread, optional concurrent
+  calls per task); failures are captured per row.
 * :func:`check_responses` - extracts the JSON object (a fenced block is
   preferred) and validates it against the report shape with the same
   accept/reject rules as the original model layer; a small Arrow-batched
@@ -125,32 +126,41 @@ def refinement_prompt(reports: DataFrame) -> DataFrame:
 
 # --- completion ----------------------------------------------------------------
 
-def complete(prompts: DataFrame, client_factory: Callable[[], Any]) -> DataFrame:
+def complete(prompts: DataFrame, client_factory: Callable[[], Any], concurrency: int = 1) -> DataFrame:
     """``(source, response, error)``: one ``client.generate(prompt)`` call per row.
 
-    ``client_factory`` is called once per partition on the executor, so a
-    client holding a connection is created near the data; it must be
-    picklable (a top-level function or class).  A prompt can hold up to ~950
-    evidence lines, so a session running this step with many sources per
-    partition should keep ``spark.sql.execution.arrow.maxRecordsPerBatch``
-    small (for example 64): batches then stay a few MB, and the model calls,
-    not the batch size, set the pace.
+    ``client_factory`` is called on the executor, once per partition and
+    worker thread, so a client holding a connection is created near the data;
+    it must be picklable (a top-level function or class).  ``concurrency``
+    calls run at once per task (the calls wait on the model, not the CPU);
+    results keep the row order.  A prompt can hold up to ~950 evidence lines,
+    so a session running this step with many sources per partition should
+    keep ``spark.sql.execution.arrow.maxRecordsPerBatch`` small (for example
+    64): batches then stay a few MB, and the model calls set the pace.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = None
-        for pdf in batches:
-            responses, errors = [], []
-            for prompt in pdf["prompt"]:
-                try:
-                    if client is None:
-                        client = client_factory()
-                    responses.append(client.generate(prompt))
-                    errors.append(None)
-                except Exception as exc:  # captured per row, never fails the task
-                    responses.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}")
-            yield pd.DataFrame({"source": pdf["source"], "response": responses, "error": errors})
+        import threading
+        from concurrent.futures import ThreadPoolExecutor
+
+        local = threading.local()
+
+        def call(prompt: str) -> tuple[str | None, str | None]:
+            try:
+                if getattr(local, "client", None) is None:
+                    local.client = client_factory()
+                return local.client.generate(prompt), None
+            except Exception as exc:  # captured per row, never fails the task
+                return None, f"{type(exc).__name__}: {exc}"
+
+        with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+            for pdf in batches:
+                results = list(pool.map(call, pdf["prompt"]))
+                yield pd.DataFrame({
+                    "source": pdf["source"],
+                    "response": [r for r, _ in results],
+                    "error": [e for _, e in results],
+                })
 
     return prompts.select("source", "prompt").mapInPandas(run, "source string, response string, error string")
 

@@ -76,7 +76,7 @@ def write_results(result: DataFrame, path: str, mode: str = "overwrite") -> None
 
 
 def analyze_with_model(entries: DataFrame, client_factory, sources: DataFrame | None = None,
-                       nest_limit: int | None = DEFAULT_NEST_LIMIT) -> DataFrame:
+                       nest_limit: int | None = DEFAULT_NEST_LIMIT, concurrency: int = 1) -> DataFrame:
     """Model-first analysis: evidence -> prompt -> completion -> check, with the
     heuristic report as the per-source fallback (``llm_error`` says why)."""
     from logfold.operators.assist import (
@@ -90,5 +90,5 @@ def analyze_with_model(entries: DataFrame, client_factory, sources: DataFrame |
     entries = stage(entries, "entries")
     static = static_result(entries, sources, nest_limit, stage_entries=False)
     prompts = analysis_prompt(evidence_bundle(entries, stage_entries=False))
-    checked = check_responses(complete(prompts, client_factory))
+    checked = check_responses(complete(prompts, client_factory, concurrency))
     return choose_reports(static, checked)

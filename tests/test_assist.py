@@ -103,3 +103,19 @@ def test_prompts_contain_rules_schema_and_evidence(spark, lines_df):
     r = refinement_prompt(static_result(e)).first().prompt
     assert r.startswith("Refine this structured log analysis report")
     assert json.loads(r.split("Report:\n", 1)[1])["log_overview"]["total_lines_processed"] == 6
+
+
+def test_concurrent_completion_keeps_order(spark):
+    from logfold.operators.assist import complete
+
+    class Echo:
+        def generate(self, prompt):
+            if prompt.endswith("7"):
+                raise ValueError("bad seven")
+            return prompt.upper()
+
+    prompts = spark.createDataFrame([(f"s{i}", f"p{i}") for i in range(40)], "source string, prompt string")
+    rows = {r.source: (r.response, r.error) for r in complete(prompts.repartition(3), Echo, concurrency=4).collect()}
+    assert rows["s3"] == ("P3", None)
+    assert rows["s17"] == (None, "ValueError: bad seven")
+    assert len(rows) == 40
