@@ -87,3 +87,12 @@ def test_invalid_utf8_replaced(spark, tmp_path):
     (tmp_path / "bad.log").write_bytes(b"2024-01-01 10:00:00 INFO caf\xff\xfe ok\n")
     r = read_log_entries(spark, str(tmp_path)).select(F.col("raw")).first()
     assert "�" in r.raw
+
+
+def test_crlf_and_unicode_separators_match_splitlines(spark, tmp_path):
+    text = ("2024-01-01 10:00:00 INFO a\r\n\r\n2024-01-01 10:00:01 ERROR b\x0bpart\r\n"
+            "line next\x85third\r2024-01-01 10:00:02 WARN c")
+    (tmp_path / "x.log").write_bytes(text.encode("utf-8"))
+    got = sorted((r.line_number, r.raw) for r in read_log_entries(spark, str(tmp_path)).collect())
+    want = [(i + 1, ln.strip()) for i, ln in enumerate(text.splitlines()) if ln.strip()]
+    assert got == want
