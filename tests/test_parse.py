@@ -118,3 +118,8 @@ def test_context_carry_forward(lines_df):
 def test_stack_after_error_is_error(lines_df):
     rows = entries_from_lines(lines_df(["2024-01-01 10:00:00 ERROR a", "\tat x.y(Z.java:1)"])).collect()
     assert [r.level for r in rows] == ["ERROR", "ERROR"]
+
+
+def test_non_ascii_digit_timestamp_is_null(lines_df):
+    # Python's strptime matches ASCII digits only, so such a date is no timestamp.
+    assert parse_one(lines_df, "٢٠٢٤-٠١-٠١ ١٠:٠٠:٠٠ INFO x").timestamp is None
