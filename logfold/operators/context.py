@@ -88,7 +88,8 @@ def sequence_entries(parsed: DataFrame, order: list[str], keep_blank: bool = Fal
         if c in helper:
             continue
         cols.append(filled[c].alias(c) if c in filled else F.col(c))
-    out = joined.select(*cols, (F.col("_offset") + F.col("_idx")).cast("bigint").alias("line_number"))
+    offset = F.coalesce(F.col("_offset"), F.lit(0))  # a NULL source key finds no block row
+    out = joined.select(*cols, (offset + F.col("_idx")).cast("bigint").alias("line_number"))
     if not keep_blank:
         out = out.filter(F.col("entry_type") != "blank")
     return out
