@@ -109,7 +109,7 @@ def top_values(entries: DataFrame, limit: int = P.TOP_VALUES_LIMIT) -> DataFrame
     return counted.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= limit)
 
 
-def _groups(entries: DataFrame, selector: Column, unknown: str, explanation: str) -> DataFrame:
+def _groups(entries: DataFrame, selector: Column, unknown: str, explanation: str, stage: bool) -> DataFrame:
     msg = F.col("message")
     key = F.when(msg != "", msg).otherwise(F.lit(unknown))
     real = F.when(msg != "", F.col("line_number"))
@@ -134,6 +134,11 @@ def _groups(entries: DataFrame, selector: Column, unknown: str, explanation: str
         F.lit(explanation).alias("short_explanation"),
         "first_line", "first_message_line", "first_message_raw",
     )
+    if stage:
+        # The ranking reads the groups twice (rows and block counts).
+        from logfold.staging import stage as write_stage
+
+        out = write_stage(out, "groups")
     # Full ranking of every group (count desc, first appearance): exact and
     # skew-safe, see ranking.rank_by_count.
     from logfold.operators.ranking import rank_by_count
@@ -141,17 +146,17 @@ def _groups(entries: DataFrame, selector: Column, unknown: str, explanation: str
     return rank_by_count(out)
 
 
-def error_groups(entries: DataFrame) -> DataFrame:
+def error_groups(entries: DataFrame, stage: bool = False) -> DataFrame:
     """Error-level entries (ERROR, CRITICAL, FATAL) grouped by exact message.
 
     ``rank`` orders by count desc, ties by first appearance.  ``label`` is the
     key's first 120 characters (two keys may share a label).
     """
-    return _groups(entries, F.col("level").isin(*P.ERROR_LEVELS), P.UNKNOWN_ERROR, P.ERROR_EXPLANATION)
+    return _groups(entries, F.col("level").isin(*P.ERROR_LEVELS), P.UNKNOWN_ERROR, P.ERROR_EXPLANATION, stage)
 
 
-def warning_groups(entries: DataFrame) -> DataFrame:
-    return _groups(entries, F.col("level") == P.WARNING_LEVEL, P.UNKNOWN_WARNING, P.WARNING_EXPLANATION)
+def warning_groups(entries: DataFrame, stage: bool = False) -> DataFrame:
+    return _groups(entries, F.col("level") == P.WARNING_LEVEL, P.UNKNOWN_WARNING, P.WARNING_EXPLANATION, stage)
 
 
 def statistics(entries: DataFrame) -> DataFrame:

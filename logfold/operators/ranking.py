@@ -64,13 +64,13 @@ def rank_by_count(groups: DataFrame, count: str = "occurrence_count", tie: str =
     bounded tasks.
     """
     g = groups.withColumn("_blk", F.floor(F.col(tie) / F.lit(block)).cast("bigint"))
-    per_count = g.groupBy("source", count).agg(F.count(F.lit(1)).alias("_n"))
+    per_block = g.groupBy("source", count, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    per_count = per_block.groupBy("source", count).agg(F.sum("_n").alias("_n"))
     before_count = per_count.select(
         "source", count,
         F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy(F.col(count).desc())
                                     .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_c_off"),
     )
-    per_block = g.groupBy("source", count, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     offsets = per_block.select(
         "source", count, "_blk",
         F.coalesce(F.sum("_n").over(Window.partitionBy("source", count).orderBy("_blk")

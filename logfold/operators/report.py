@@ -98,8 +98,8 @@ def report_table(entries: DataFrame, sources: DataFrame | None = None,
     summary = signal_columns(_empty_summary_defaults(source_summary(entries), sources))
     # The ranked error groups feed four consumers (nested list, facts, primary
     # issue, snippets); staged with the entries so the ranking runs once.
-    eg = maybe_stage(error_groups(entries), stage_entries, "error_groups")
-    wg = warning_groups(entries)
+    eg = maybe_stage(error_groups(entries, stage=stage_entries), stage_entries, "error_groups")
+    wg = warning_groups(entries, stage=stage_entries)
 
     group_fields = ["error_type", "occurrence_count", "first_occurrence", "last_occurrence", "short_explanation"]
     eg_n = eg if nest_limit is None else eg.filter(F.col("rank") <= nest_limit)

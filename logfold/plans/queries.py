@@ -109,11 +109,11 @@ def _groups_out(g: DataFrame) -> DataFrame:
 
 
 def q_error_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return _groups_out(A.error_groups(ev_entries(spark, sf)))
+    return _groups_out(A.error_groups(ev_entries(spark, sf), stage=True))
 
 
 def q_warning_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return _groups_out(A.warning_groups(ev_entries(spark, sf)))
+    return _groups_out(A.warning_groups(ev_entries(spark, sf), stage=True))
 
 
 def q_timeline(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,7 +142,8 @@ def q_signals_doc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_snippets(spark: SparkSession, sf: str) -> DataFrame:
-    return snippets(stage(ev_entries(spark, sf), "entries"))
+    e = stage(ev_entries(spark, sf), "entries")
+    return snippets(e, stage(A.error_groups(e, stage=True), "error_groups"))
 
 
 def q_evidence_lines(spark: SparkSession, sf: str) -> DataFrame:
