@@ -34,18 +34,18 @@ def evidence_lines(entries: DataFrame) -> DataFrame:
         "source", "line_number", "level", "message",
         format_line(F.col("timestamp"), F.col("level"), F.col("raw")).alias("line"),
     )
-    k = P.EVIDENCE_LEVEL_LINES
-    order = [F.col("line_number")]
-
-    def section(name: str, pred: Column) -> DataFrame:
-        return first_rows(base.filter(pred), k, order).select(
-            "source", F.lit(name).alias("section"), "rank", "line_number", "line"
-        )
-
-    errors = section("error_lines", F.col("level").isin(*P.ERROR_LEVELS))
-    warnings = section("warning_lines", F.col("level") == P.WARNING_LEVEL)
-    lifecycle = section("lifecycle_lines", lower_contains_any(F.col("message"), P.LIFECYCLE_KEYWORDS))
-    prioritized_all = errors.unionByName(warnings).unionByName(lifecycle)
+    # The three level/lifecycle sections in one pass: each entry is tagged
+    # with the sections it belongs to, then one rank-then-filter window per
+    # (source, section) keeps the first 150 of each.
+    tags = F.array_compact(F.array(
+        F.when(F.col("level").isin(*P.ERROR_LEVELS), F.lit("error_lines")),
+        F.when(F.col("level") == P.WARNING_LEVEL, F.lit("warning_lines")),
+        F.when(lower_contains_any(F.col("message"), P.LIFECYCLE_KEYWORDS), F.lit("lifecycle_lines")),
+    ))
+    tagged = base.select("source", "line_number", "line", F.explode(tags).alias("section"))
+    prioritized_all = first_rows(
+        tagged, P.EVIDENCE_LEVEL_LINES, [F.col("line_number")], partition=("source", "section")
+    ).select("source", "section", "rank", "line_number", "line")
 
     prioritized = prioritized_all.groupBy("source", "line").agg(F.min("line_number").alias("first_line"))
     n = P.EVIDENCE_HEAD_TAIL
