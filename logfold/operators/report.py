@@ -86,20 +86,22 @@ def _empty_summary_defaults(summary: DataFrame, sources: DataFrame | None) -> Da
 
 
 def report_table(entries: DataFrame, sources: DataFrame | None = None,
-                 nest_limit: int | None = DEFAULT_NEST_LIMIT, stage_entries: bool = True) -> DataFrame:
+                 nest_limit: int | None = DEFAULT_NEST_LIMIT, stage_entries: bool = True,
+                 stage_groups: bool = True) -> DataFrame:
     """One row per source with every report section as a column.
 
     ``sources`` (optional, column ``source``) lists sources that must appear
     even when they have no entries (empty files).  The entries feed about ten
     aggregates; with ``stage_entries`` they are written once to the checkpoint
-    folder first (see :mod:`logfold.staging`).
+    folder first (see :mod:`logfold.staging`); with ``stage_groups`` the
+    ranked error groups, which feed four sections, are staged as well.
     """
     entries = maybe_stage(entries, stage_entries, "entries")
     summary = signal_columns(_empty_summary_defaults(source_summary(entries), sources))
     # The ranked error groups feed four consumers (nested list, facts, primary
     # issue, snippets); staged with the entries so the ranking runs once.
-    eg = maybe_stage(error_groups(entries, stage=stage_entries), stage_entries, "error_groups")
-    wg = warning_groups(entries, stage=stage_entries)
+    eg = maybe_stage(error_groups(entries, stage=stage_groups), stage_groups, "error_groups")
+    wg = warning_groups(entries, stage=stage_groups)
 
     group_fields = ["error_type", "occurrence_count", "first_occurrence", "last_occurrence", "short_explanation"]
     eg_n = eg if nest_limit is None else eg.filter(F.col("rank") <= nest_limit)
