@@ -24,7 +24,12 @@ from logfold.operators.ranking import first_rows
 
 def snippets(entries: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """``(source, rank, raw)`` with at most five rows per source."""
-    eg = groups if groups is not None else error_groups(entries)
+    if groups is None:
+        # Read twice below (labels and candidates): staged once.
+        from logfold.staging import stage
+
+        groups = stage(error_groups(entries, stage=True), "error_groups")
+    eg = groups
     top = eg.filter(F.col("rank") <= P.SNIPPET_GROUPS).select(
         "source", F.col("rank").alias("g_rank"),
         F.substring("label", 1, P.SNIPPET_PREFIX_CHARS).alias("prefix"),
