@@ -84,9 +84,10 @@ def test_extension_filter(spark, tmp_path):
 
 
 def test_invalid_utf8_replaced(spark, tmp_path):
-    (tmp_path / "bad.log").write_bytes(b"2024-01-01 10:00:00 INFO caf\xff\xfe ok\n")
+    data = b"2024-01-01 10:00:00 INFO caf\xff\xfe ok \xe2\x82 x \xf0\x9f\x98 y \xed\xa0\x80 z\n"
+    (tmp_path / "bad.log").write_bytes(data)
     r = read_log_entries(spark, str(tmp_path)).select(F.col("raw")).first()
-    assert "�" in r.raw
+    assert r.raw == data.decode("utf-8", errors="replace").strip()
 
 
 def test_crlf_and_unicode_separators_match_splitlines(spark, tmp_path):
