@@ -1,9 +1,11 @@
-"""Line classification and field extraction (row-local, no shuffle).
+"""Line classification and field extraction (row-local).
 
 ``parse_lines`` adds the typed fields of one log line to any DataFrame that
 carries the unstripped line in ``raw_line``.  The dispatch order is part of
 the semantics: blank, continuation (stack frame / exception, tested on the
-unstripped line), access log, structured, generic.
+unstripped line), access log, structured, generic.  The parse itself needs no
+shuffle; ``spread_if_narrow`` only rebalances inputs that arrive in fewer
+partitions than cores.
 """
 
 from __future__ import annotations
