@@ -7,25 +7,42 @@ reused: the input would be scanned and regex-parsed once per branch.  Writing
 the DataFrame once to the shared ``spark.checkpoint.dir`` cuts the lineage
 (executor loss re-reads the table instead of recomputing the parse) and lets
 every consumer read only the columns it needs.
+
+Staged tables live under ``<spark.checkpoint.dir>/logfold/``; a job that no
+longer needs them removes them with :func:`clear_staged`.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from logfold.session import ensure_checkpoint_dir
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet under ``<spark.checkpoint.dir>/logfold/`` and read it back."""
+def staged_root(spark: SparkSession, base: str | None = None) -> str:
+    return (base or ensure_checkpoint_dir(spark)).rstrip("/") + "/logfold"
+
+
+def stage(df: DataFrame, name: str = "stage", base: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the staging folder and read it back."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/logfold/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_root(spark, base)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
 def maybe_stage(df: DataFrame, enabled: bool, name: str = "stage") -> DataFrame:
     return stage(df, name) if enabled else df
+
+
+def clear_staged(spark: SparkSession, base: str | None = None) -> bool:
+    """Delete every staged table under the staging folder (Hadoop FileSystem API).
+
+    DataFrames read from staged tables must not be used afterwards.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(staged_root(spark, base))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))
