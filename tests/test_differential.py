@@ -75,3 +75,44 @@ def test_spark_parse_equals_duckdb_oracle(spark, lines_df, seed):
     diffs = [(n, spark_rows[n], duck_rows[n]) for n in sorted(spark_rows) if spark_rows[n] != duck_rows[n]]
     detail = [(n, {c: (a, b) for c, a, b in zip(COLS, s, d) if a != b}) for n, s, d in diffs]
     assert not diffs, detail[:6]
+
+
+REPORT_FRAGMENTS = [
+    "2024-01-0{d} 10:00:0{s} ERROR Database connection timeout",
+    "2024-01-0{d} 10:00:0{s} ERROR Database connection timeout for user {n}",
+    "2024-01-0{d} 10:00:0{s} CRITICAL disk full on node {n}",
+    "2024-01-0{d} 10:00:0{s} WARN Slow response observed",
+    "2024-01-0{d} 10:00:0{s} WARNING retry {n} scheduled",
+    "2024-01-0{d} 10:00:0{s} INFO Application started",
+    "2024-01-0{d} 10:00:0{s} INFO Shutdown initiated",
+    "[ERROR] [2024-01-0{d} 10:00:0{s},1] [pool-1-thread-{n}] T:t{n} - R:r{n} [Handler]: Read timed out",
+    "com.example.Db{n}Exception: connection reset",
+    "\tat com.example.Db.query(Db.java:{n})",
+    "GC pause {n} ms, memory usage high",
+    "thread pool exhausted Service=Api{n}",
+    "",
+]
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_report_sections_equal_duckdb_oracle(spark, lines_df, seed):
+    from logfold.operators.report import report_sections, report_table
+
+    rnd = random.Random(seed)
+    df = None
+    rows = []
+    for src in ("a", "b", "c", "d"):
+        n = rnd.randint(0, 60)
+        lines = [rnd.choice(REPORT_FRAGMENTS).format(d=rnd.randint(1, 9), s=rnd.randint(0, 9), n=rnd.randint(0, 3))
+                 for _ in range(n)]
+        rows += [(src, i + 1, t) for i, t in enumerate(lines)]
+        part = lines_df(lines, src)
+        df = part if df is None else df.unionByName(part)
+    got = sorted(tuple(r) for r in report_sections(report_table(entries_from_lines(df))).collect())
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE src (source VARCHAR, line_number BIGINT, raw_line VARCHAR)")
+    con.executemany("INSERT INTO src VALUES (?, ?, ?)", rows)
+    sql = f"WITH lines AS (SELECT * FROM src),\n  {O._parse_ctes()}\n{O.report_sections_sql()}"
+    want = sorted(tuple(r) for r in con.execute(sql).fetchall())
+    assert got == want
