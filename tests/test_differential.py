@@ -116,3 +116,25 @@ def test_report_sections_equal_duckdb_oracle(spark, lines_df, seed):
     sql = f"WITH lines AS (SELECT * FROM src),\n  {O._parse_ctes()}\n{O.report_sections_sql()}"
     want = sorted(tuple(r) for r in con.execute(sql).fetchall())
     assert got == want
+
+
+def test_evidence_lines_equal_duckdb_oracle(spark, lines_df):
+    from logfold.operators.evidence import evidence_lines
+
+    rnd = random.Random(21)
+    df = None
+    rows = []
+    for src, n in (("big", 400), ("small", 30), ("tiny", 3)):
+        lines = [rnd.choice(REPORT_FRAGMENTS).format(d=rnd.randint(1, 9), s=rnd.randint(0, 9), n=rnd.randint(0, 3))
+                 for _ in range(n)]
+        rows += [(src, i + 1, t) for i, t in enumerate(lines)]
+        part = lines_df(lines, src)
+        df = part if df is None else df.unionByName(part)
+    got = sorted(tuple(r) for r in evidence_lines(entries_from_lines(df)).collect())
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE src (source VARCHAR, line_number BIGINT, raw_line VARCHAR)")
+    con.executemany("INSERT INTO src VALUES (?, ?, ?)", rows)
+    sql = f"WITH lines AS (SELECT * FROM src),\n  {O._parse_ctes()}\n{O.EVIDENCE}"
+    want = sorted(tuple(r) for r in con.execute(sql).fetchall())
+    assert got == want
