@@ -30,7 +30,8 @@ def stage(df: DataFrame, name: str = "stage", base: str | None = None) -> DataFr
     spark = df.sparkSession
     path = f"{staged_root(spark, base)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    # The schema is known: no footer reads to infer it.
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def maybe_stage(df: DataFrame, enabled: bool, name: str = "stage") -> DataFrame:
