@@ -280,7 +280,7 @@ def with_doc(body: str) -> str:
 ERR = "('ERROR', 'CRITICAL', 'FATAL')"
 
 FLAT_ENTRIES = f"""SELECT source, line_number, raw, entry_type, {iso('ts_val')} AS ts, level, logger, message,
-  thread_name, component, request_id, trace_id, client_ip, http_status FROM entries"""
+  thread_name, component, request_id, trace_id, client_ip, CAST(http_status AS VARCHAR) AS http_status FROM entries"""
 
 OVERVIEW = f"""SELECT source, count(*) AS total_lines,
   CASE WHEN min(ts_val) IS NULL THEN NULL ELSE {iso('min(ts_val)')} || ' -> ' || {iso('max(ts_val)')} END AS time_range,
@@ -505,10 +505,10 @@ MODEL_CHOICE = f"""WITH parts AS (
       END AS error_kind FROM c)
 SELECT source, CASE WHEN error_kind IS NULL THEN 'llm' ELSE 'static_fallback' END AS analysis_source, error_kind,
   CASE WHEN error_kind IS NULL THEN json_extract_string(body, '$.executive_summary') END AS executive_summary,
-  CASE WHEN error_kind IS NULL THEN CAST(json_extract_string(body, '$.log_overview.total_lines_processed') AS BIGINT)
-  END AS total_lines,
-  CASE WHEN error_kind IS NULL THEN CAST(json_extract_string(body, '$.error_analysis[0].occurrence_count') AS BIGINT)
-  END AS first_count
+  CASE WHEN error_kind IS NULL THEN CAST(CAST(json_extract_string(body, '$.log_overview.total_lines_processed')
+    AS BIGINT) AS VARCHAR) END AS total_lines,
+  CASE WHEN error_kind IS NULL THEN CAST(CAST(json_extract_string(body, '$.error_analysis[0].occurrence_count')
+    AS BIGINT) AS VARCHAR) END AS first_count
 FROM v"""
 
 

@@ -28,7 +28,10 @@ ENTRY_OUT = (
 
 
 def _flat_entries(e: DataFrame) -> DataFrame:
-    return e.withColumn("ts", iso_text(F.col("timestamp"))).select(*ENTRY_OUT)
+    # A nullable integer is exposed as text: engines differ in how they hand
+    # a BIGINT column with NULLs to pandas (float vs nullable integer).
+    return (e.withColumn("ts", iso_text(F.col("timestamp")))
+            .withColumn("http_status", F.col("http_status").cast("string")).select(*ENTRY_OUT))
 
 
 def q_parse_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,8 +215,8 @@ def q_model_choice(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("report").isNotNull(), F.lit("llm")).otherwise(F.lit("static_fallback")).alias("analysis_source"),
         kind.alias("error_kind"),
         F.col("report.executive_summary").alias("executive_summary"),
-        F.col("report.log_overview.total_lines_processed").alias("total_lines"),
-        F.element_at(F.col("report.error_analysis"), 1)["occurrence_count"].alias("first_count"),
+        F.col("report.log_overview.total_lines_processed").cast("string").alias("total_lines"),
+        F.element_at(F.col("report.error_analysis"), 1)["occurrence_count"].cast("string").alias("first_count"),
     )
 
 
