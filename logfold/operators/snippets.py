@@ -37,12 +37,23 @@ def snippets(entries: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     cand = eg.filter(F.col("first_message_line").isNotNull()).select(
         F.col("source").alias("c_source"), "group_key", "first_message_line", "first_message_raw",
     )
-    # The group table streams and the (at most three per source) labels are
-    # the build / buffered side: AQE broadcasts them when small, and a
-    # sort-merge fallback buffers only three rows per source, however many
-    # groups a hot source has.
+    # A full 40-character prefix matches exactly the groups whose first 40
+    # characters equal it: an equi-join on (source, prefix), spread over the
+    # distinct prefixes of a hot source.  A shorter label is a whole message;
+    # it is matched with a prefix test on `source`, where the group table
+    # streams and at most three labels per source are buffered (or broadcast
+    # by AQE when small).
+    n = P.SNIPPET_PREFIX_CHARS
+    long_top = top.filter(F.length("prefix") == n)
+    short_top = top.filter(F.length("prefix") < n)
+    long_cand = cand.filter(F.length("group_key") >= n).withColumn("_k", F.substring("group_key", 1, n))
+    long_match = long_cand.join(
+        long_top, (long_top["source"] == long_cand["c_source"]) & (long_top["prefix"] == long_cand["_k"]))
+    short_match = cand.join(
+        short_top, (short_top["source"] == cand["c_source"]) & cand["group_key"].startswith(short_top["prefix"]))
+    cols = ["source", "g_rank", "first_message_line", "first_message_raw"]
     matched = (
-        cand.join(top, (top["source"] == cand["c_source"]) & cand["group_key"].startswith(top["prefix"]))
+        long_match.select(*cols).unionByName(short_match.select(*cols))
         .groupBy("source", "g_rank")
         .agg(F.min_by("first_message_raw", "first_message_line").alias("raw"))
     )
