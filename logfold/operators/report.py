@@ -109,6 +109,12 @@ def report_table(entries: DataFrame, sources: DataFrame | None = None,
     err_list = _collect_sorted(eg_n.withColumnRenamed("label", "error_type"), "error_analysis", group_fields)
     warn_fields = ["warning_type"] + group_fields[1:]
     warn_list = _collect_sorted(wg_n.withColumnRenamed("label", "warning_type"), "warning_analysis", warn_fields)
+    # How many groups exist in total (the nested lists stop at nest_limit; the
+    # full ranking is the error_groups / warning_groups table).
+    group_counts = (
+        eg.groupBy("source").agg(F.count(F.lit(1)).alias("error_group_count"))
+        .join(wg.groupBy("source").agg(F.count(F.lit(1)).alias("warning_group_count")), "source", "full")
+    )
 
     fact = F.concat(
         F.col("label"), F.lit(" occurred "), _str(F.col("occurrence_count")), F.lit(" time(s) between "),
@@ -138,6 +144,7 @@ def report_table(entries: DataFrame, sources: DataFrame | None = None,
         .join(tl, "source", "left")
         .join(sn, "source", "left")
         .join(fv_lists, "source", "left")
+        .join(group_counts, "source", "left")
     )
     empty_s = F.array().cast("array<string>")
 
@@ -208,6 +215,8 @@ def report_table(entries: DataFrame, sources: DataFrame | None = None,
         F.coalesce(F.transform("_snip", lambda x: x["raw"]), empty_s).alias("interesting_log_snippets"),
         F.col("error_total").alias("error_occurrences"),
         F.col("warning_total").alias("warning_occurrences"),
+        F.coalesce(F.col("error_group_count"), F.lit(0)).alias("error_group_count"),
+        F.coalesce(F.col("warning_group_count"), F.lit(0)).alias("warning_group_count"),
     )
 
 

@@ -154,3 +154,13 @@ def test_non_ascii_lines(spark, lines_df):
     assert r.component == "Zahlung"  # 'ſervice' matches Service case-insensitively
     # dotless i matches I case-insensitively, so the message is cut at " ıNFO"
     assert r.message == "ERROR Überlauf 数据库"
+
+
+def test_nest_limit_keeps_counts_whole(spark, lines_df):
+    from logfold.operators.report import report_table
+    from logfold.sources.tables import entries_from_lines
+
+    lines = [f"2024-01-01 10:00:00 ERROR failure kind {i % 7}" for i in range(50)]
+    r = report_table(entries_from_lines(lines_df(lines)), nest_limit=3).first()
+    assert len(r.error_analysis) == 3 and r.error_group_count == 7 and r.error_occurrences == 50
+    assert [g.occurrence_count for g in r.error_analysis] == [8, 7, 7]
