@@ -97,3 +97,19 @@ def test_crlf_and_unicode_separators_match_splitlines(spark, tmp_path):
     got = sorted((r.line_number, r.raw) for r in read_log_entries(spark, str(tmp_path)).collect())
     want = [(i + 1, ln.strip()) for i, ln in enumerate(text.splitlines()) if ln.strip()]
     assert got == want
+
+
+def test_size_filter_and_extension_list(spark, tmp_path):
+    from logfold.sources.text_files import extension_glob, parse_extensions
+
+    assert parse_extensions(".LOG, txt,") == (".log", ".txt")
+    assert extension_glob([".log"]) == "*.[lL][oO][gG]"
+    assert extension_glob([".log", ".txt"]) == "*.{[lL][oO][gG],[tT][xX][tT]}"
+    (tmp_path / "small.log").write_text("2024-01-01 10:00:00 INFO a\n")
+    (tmp_path / "big.log").write_text("2024-01-01 10:00:00 INFO b\n" * 50000)  # about 1.3 MiB
+    got = {r.source.rsplit("/", 1)[-1] for r in
+           read_log_entries(spark, str(tmp_path), max_file_size_mb=1).select("source").distinct().collect()}
+    assert got == {"small.log"}
+    got = {r.source.rsplit("/", 1)[-1] for r in
+           read_log_entries(spark, str(tmp_path), extensions=".log,.txt").select("source").distinct().collect()}
+    assert got == {"small.log", "big.log"}
