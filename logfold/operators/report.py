@@ -72,10 +72,14 @@ def signal_columns(s: DataFrame) -> DataFrame:
 
 
 def _empty_summary_defaults(summary: DataFrame, sources: DataFrame | None) -> DataFrame:
-    """Left-join the summary onto a source listing so empty sources get a row."""
+    """Add listed sources without entries (empty files) to the summary.
+
+    A full join: a source with entries is never dropped, even if the listing
+    spells its path differently.
+    """
     if sources is None:
         return summary
-    j = sources.select("source").distinct().join(summary, "source", "left")
+    j = sources.select("source").distinct().join(summary, "source", "full")
     fills = {c: F.coalesce(F.col(c), F.lit(0)) for c in
              ("total_lines", "error_events", "warning_events", "error_total", "warning_total")}
     fills["levels"] = F.coalesce(F.col("levels"), F.array().cast("array<string>"))
