@@ -40,7 +40,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's ``spark.checkpoint.dir``; set a scratch one only when unset.
 
-    On a cluster the setting names a shared folder and is left untouched.
+    On a cluster the setting names a shared folder and is left untouched; when
+    it is unset there, this raises instead of falling back to a local folder.
+    A ``/tmp`` scratch folder is only used for local sessions (tests).
     """
     try:
         sc = spark.sparkContext
@@ -48,6 +50,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local"):
+            # A machine-local folder is no place for shared intermediate tables.
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, object store) on a cluster")
         current = tempfile.mkdtemp(prefix="logfold-ckpt-", dir="/tmp")
         try:
             spark.conf.set("spark.checkpoint.dir", current)
