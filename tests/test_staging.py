@@ -13,3 +13,26 @@ def test_stage_and_clear(spark, tmp_path):
     assert (tmp_path / "ckpt" / "logfold").exists()
     assert clear_staged(spark, base=base)
     assert not (tmp_path / "ckpt" / "logfold").exists()
+
+
+def test_no_local_fallback_on_a_cluster():
+    import pytest
+
+    from logfold.session import ensure_checkpoint_dir
+
+    class Ctx:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext = Ctx()
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="shared folder"):
+        ensure_checkpoint_dir(Session())
