@@ -386,7 +386,7 @@ SNIPPET_CTES = f""", eg AS ({groups_sql(f"level IN {ERR}", P.UNKNOWN_ERROR)}),
 SNIPPETS = SNIPPET_CTES + "\nSELECT source, rank, raw FROM snip"
 
 _FMT = f"'[' || coalesce({iso('ts_val')}, 'unknown') || '] ' || coalesce(nullif(level, ''), 'UNKNOWN') || ' ' || raw"
-EVIDENCE = f""", base AS (SELECT source, line_number, level, message, {_FMT} AS line FROM entries),
+EVIDENCE_CTES = f""", base AS (SELECT source, line_number, level, message, {_FMT} AS line FROM entries),
   sect AS (
     SELECT source, 'error_lines' AS section, row_number() OVER (PARTITION BY source ORDER BY line_number) AS rank,
       line_number, line FROM base WHERE level IN {ERR} QUALIFY rank <= 150
@@ -409,10 +409,30 @@ EVIDENCE = f""", base AS (SELECT source, line_number, level, message, {_FMT} AS
       line_number, line FROM (
         SELECT source, first_line AS line_number, line, 0 AS part, first_line AS pos FROM prio
         UNION ALL SELECT source, line_number, line, part, pos FROM ht)
-    QUALIFY rank <= 500)
+    QUALIFY rank <= 500)"""
+
+EVIDENCE = EVIDENCE_CTES + """
 SELECT source, section, rank, line_number, line FROM sect
 UNION ALL SELECT source, section, rank, line_number, line FROM sample"""
 
+EVIDENCE_BUNDLE = EVIDENCE_CTES + f""",
+  tot AS (SELECT source, count(*) AS total_lines,
+      CASE WHEN min(ts_val) IS NULL THEN NULL ELSE {iso('min(ts_val)')} || ' -> ' || {iso('max(ts_val)')} END AS time_range
+    FROM entries GROUP BY source),
+  lv AS (SELECT source, string_agg(level, ',' ORDER BY first_line) AS level_keys FROM (
+      SELECT source, level, min(line_number) AS first_line FROM entries WHERE nullif(level, '') IS NOT NULL
+      GROUP BY source, level) GROUP BY source),
+  cnt AS (SELECT source,
+      count(*) FILTER (WHERE section = 'error_lines') AS n_error,
+      count(*) FILTER (WHERE section = 'warning_lines') AS n_warning,
+      count(*) FILTER (WHERE section = 'lifecycle_lines') AS n_lifecycle FROM sect GROUP BY source),
+  smp AS (SELECT source, count(*) AS n_sample, arg_min(line, rank) AS first_sample, arg_max(line, rank) AS last_sample
+    FROM sample GROUP BY source)
+SELECT t.source, t.total_lines, t.time_range, coalesce(l.level_keys, '') AS level_keys,
+  coalesce(c.n_error, 0) AS n_error, coalesce(c.n_warning, 0) AS n_warning, coalesce(c.n_lifecycle, 0) AS n_lifecycle,
+  coalesce(m.n_sample, 0) AS n_sample, m.first_sample, m.last_sample
+FROM tot t LEFT JOIN lv l USING (source) LEFT JOIN cnt c USING (source) LEFT JOIN smp m USING (source)"""
+
 
 def report_sections_sql() -> str:
     fact_rules = ", ".join(
@@ -539,4 +559,5 @@ FROM entries WHERE entry_type IN ('exception', 'stack_trace')"""),
     "report_sections": with_ev(report_sections_sql()),
     "report_sections_doc": with_doc(report_sections_sql()),
     "model_choice": MODEL_CHOICE,
+    "evidence_bundle": with_ev(EVIDENCE_BUNDLE),
 }

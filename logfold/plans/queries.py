@@ -227,6 +227,23 @@ def q_report_json(spark: SparkSession, sf: str) -> DataFrame:
     return result_json(static_result(ev_entries(spark, sf)), include_source=True)
 
 
+def q_evidence_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """The evidence bundle per EV source, flattened to its sizes and ends."""
+    from logfold.operators.assist import evidence_bundle
+
+    b = evidence_bundle(ev_entries(spark, sf)).select("source", "evidence.*")
+    return b.select(
+        "source", "total_lines", "time_range",
+        F.array_join(F.map_keys("statistics.levels"), ",").alias("level_keys"),
+        F.size("error_lines").cast("bigint").alias("n_error"),
+        F.size("warning_lines").cast("bigint").alias("n_warning"),
+        F.size("lifecycle_lines").cast("bigint").alias("n_lifecycle"),
+        F.size("sample_lines").cast("bigint").alias("n_sample"),
+        F.try_element_at("sample_lines", F.lit(1)).alias("first_sample"),
+        F.try_element_at("sample_lines", F.lit(-1)).alias("last_sample"),
+    )
+
+
 def q_prompt(spark: SparkSession, sf: str) -> DataFrame:
     from logfold.operators.assist import analysis_prompt, evidence_bundle
 
@@ -257,6 +274,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_sections": q_report_sections,
     "report_sections_doc": q_report_sections_doc,
     "model_choice": q_model_choice,
+    "evidence_bundle": q_evidence_bundle,
     "prompt": q_prompt,
     "report_json": q_report_json,
 }
