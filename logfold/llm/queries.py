@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.llm import simhash, vectors
+from logfold.llm import language, packing, pieces, quality, quotes, secrets, simhash, urls, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +18,84 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "kept")
+
+
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
 
 
+def op5_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = pieces.sample_segmentations(table(spark, sf_dir, "conversations"), public_tokenizers.path("piece_bpe_32k.model"),
+                                        ["conv_id", "turn"])
+    ids = F.array_join("ids", " ").cast("binary")
+    return found.select("conv_id", "turn", "sample", F.size("ids").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"),
+                        "log_prob", "inclusion")
+
+
+#: Rules of the query (fixed values): host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
+
+
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex",
+                        F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_live", "n_example")
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_quotation_linking": op3_quotation_linking,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_gumbel_segmentations": op5_gumbel_segmentations,
+    "op6_url_filter": op6_url_filter,
+    "op7_warc_archive": op7_warc_archive,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_language_id": op9_language_id,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
