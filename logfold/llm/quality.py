@@ -121,7 +121,10 @@ def binomial_cdf(n: Column, k: Column, p: float) -> Column:
 def fit_thresholds(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
                    max_false: float = MAX_FALSE, error: float = ERROR, cost: int = COST,
                    grid: dict[str, tuple[float, ...]] = GRID) -> DataFrame:
-    """(stratum, cutoffs map<rule, cutoff>): certified cutoffs; strata without one are left out."""
+    """(stratum, cutoffs map<rule, cutoff>): certified cutoffs; strata without one are left out.
+
+    ``feats``: a stored table of ``features``.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(
         F.col(id_col).alias("id")).agg((F.min(label_col) > 0).alias("good"))
     rates = _rates()
@@ -164,11 +167,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               stratum_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps, thresholds fitted on the labelled rows of ``docs``."""
-    known = labels.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
-    held = docs.join(known, F.col(id_col) == F.col("_id"), "left_semi")
-    cut = fit_thresholds(features(held, id_col, text_col, stratum_col), labels, id_col)
-    src = docs.select(F.struct("*").alias("doc"), F.col(stratum_col).cast("string").alias("stratum"),
+    src = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"),
                       F.col(text_col).cast("string").alias("_text"))
-    feats = _with_counts(src, "_text", ["doc", "stratum"]).withColumn("base_failed", base_failed())
-    good = judge(feats, cut).where("kept")
+    # Written once: a filter on computed counts would be pushed below them and evaluate them again and again.
+    marked = stage(_with_counts(src, "_text", ["doc", "id", "stratum"]).withColumn("base_failed", base_failed()), "quality-docs")
+    good = judge(marked, fit_thresholds(marked, labels, id_col)).where("kept")
     return good.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
