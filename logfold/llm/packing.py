@@ -23,6 +23,7 @@ Only the id and text columns are read, so further columns cannot clash.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,13 +32,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logfold.llm.workers import worker_state
 from logfold.staging import stage
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks (bytes between ASCII white space) cached per task, and the longest that is cached.
+#: Chunks cached in a worker, and bytes of text tokenised at a time.
 CACHE_CHUNKS = 400_000
-CACHE_BYTES = 64
+TEXT_BYTES = 2 << 20
+
+
+class ChunkIndex(dict):
+    """Numbers for chunks in the order of their first use; ``pending`` are those not yet tokenised."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.pending: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        n = self[chunk] = len(self)
+        self.pending.append(chunk)
+        return n
+
+
+class ChunkTokenizer:
+    """Token ids of whole texts, as little-endian 32-bit bytes, through a cache of chunks.
+
+    Chunks end at ASCII white space, and before ASCII punctuation that follows an
+    ASCII letter: the tokenizer splits there in any case.  ASCII capitals are folded,
+    as the tokenizer does.  A text that may hold a special token is cut at white
+    space only.
+    """
+
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.encode = tokenizer.encode_batch_fast
+        vocab = tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.word_end[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
+        self.split_at = re.compile(rb"([a-z])(?=[!-/:-@\[-`{-~])").sub
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.parts = ChunkIndex(), []
+
+    def chunks(self, data: bytes) -> list[int]:
+        if b"<|" not in data:
+            data = self.split_at(rb"\1 ", data.lower())
+        return list(map(self.index.__getitem__, data.split()))
+
+    def _tokenise(self) -> None:
+        """Fill ``parts`` for the pending chunks; chunks of letters alone share calls, each is one word."""
+        texts = [c.decode() for c in self.index.pending]
+        self.index.pending = []
+        base = len(self.parts)
+        self.parts += [b""] * len(texts)
+        words = [i for i, t in enumerate(texts) if t.isalpha()]
+        alone = [i for i, t in enumerate(texts) if not t.isalpha()]
+        blocks = [words[i:i + 256] for i in range(0, len(words), 256)]
+        found = self.encode([" ".join([texts[i] for i in b]) for b in blocks], add_special_tokens=False)
+        for block, e in zip(blocks, found, strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if ends.size != len(block) or ends[-1] != ids.size:  # not one word each after all
+                alone += block
+                continue
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            for i, lo, hi in zip(block, [0, *ends[:-1]], ends, strict=True):
+                self.parts[base + i] = raw[lo:hi]
+        found = self.encode([texts[i] for i in alone], add_special_tokens=False)
+        for i, e in zip(alone, found, strict=True):
+            self.parts[base + i] = np.array(e.ids, "<u4").tobytes()
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        numbers = [self.chunks(t) for t in texts]
+        self._tokenise()
+        parts = self.parts
+        out = [b"".join([parts[i] for i in n]) for n in numbers]
+        if len(parts) > CACHE_CHUNKS:
+            self.clear()
+        return out
 
 
 def piece_table(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
@@ -46,45 +122,34 @@ def piece_table(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     end = np.array([end_id], "<u4").tobytes()
     size = 4 * capacity
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + with_ids]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][:5 + with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+        tokenizer = worker_state(("packing", tokenizer_file), lambda: ChunkTokenizer(tokenizer_file))
 
-        encode = Tokenizer.from_file(tokenizer_file).encode_batch
-        cache: dict[bytes, bytes] = {}
-
-        def tokens(chunks: list[bytes]) -> list[bytes]:
-            found = encode([c.decode() for c in chunks], add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-        def ids_of(data: bytes) -> bytes:
-            chunks = data.split()
-            missing = [c for c in set(chunks) if c not in cache]
-            own: dict[bytes, bytes] = {}
-            if missing:
-                if len(cache) > CACHE_CHUNKS:
-                    cache.clear()
-                    missing = list(set(chunks))
-                for c, t in zip(missing, tokens(missing), strict=True):
-                    (cache if len(c) <= CACHE_BYTES else own)[c] = t
-            if own:
-                return b"".join([own[c] if c in own else cache[c] for c in chunks])
-            return b"".join(map(cache.__getitem__, chunks))
+        def pieces(rows: list[int], texts: list[bytes], part: pa.RecordBatch) -> Iterator[tuple]:
+            for k, ids in zip(rows, tokenizer.texts(texts), strict=True):
+                ids += end
+                for piece, lo in enumerate(range(0, len(ids), size)):
+                    cut = ids[lo:lo + size]
+                    yield part.column(0)[k].as_py(), piece, lo // 4, len(cut) // 4, zlib.crc32(cut), cut
 
         for b in batches:
-            out: list[tuple] = []
-            texts = b.column(1)
-            for k, doc in enumerate(b.column(0).to_pylist()):
-                x = texts[k]
-                ids = (ids_of(x.as_buffer().to_pybytes()) if x.is_valid else b"") + end
-                for piece, lo in enumerate(range(0, len(ids), size)):
-                    part = ids[lo:lo + size]
-                    out.append((doc, piece, lo // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][:5 + with_ids]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)  # noqa: B905
+            rows, texts, held, out = [], [], 0, []
+            for k in range(b.num_rows):
+                x = b.column(1)[k]
+                texts.append(x.as_buffer().to_pybytes() if x.is_valid else b"")
+                rows.append(k)
+                held += len(texts[-1])
+                if held >= TEXT_BYTES or k + 1 == b.num_rows:
+                    out += pieces(rows, texts, b)
+                    rows, texts, held = [], [], 0
+                if out and (with_ids or k + 1 == b.num_rows) and not rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds)], names)  # noqa: B905
+                    out = []
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + with_ids]
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logfold.llm.workers import worker_state
+
 SAMPLES = 2
 #: Sharpness of the sampling distribution: weights are (piece probability) ** ALPHA.
 ALPHA = 1.0
@@ -172,7 +174,7 @@ def sample_segmentations(rows: DataFrame, model_file: str, key_cols: list[str],
     schema = StructType([*src.schema.fields[:m], *_parse_datatype_string(extra).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model_file, alpha)
+        lattice = worker_state(("pieces", model_file, alpha), lambda: Lattice(model_file, alpha))
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
