@@ -147,7 +147,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = _scanned(docs, text_col, [F.col(id_col).cast("long").alias("id"), F.col(owner_col).cast("string").alias("owner"),
                                         F.col(repo_col).cast("string").alias("repo")])
     done = scanned.join(_judged(scanned, max_owners), "row", "left")
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    kinds = F.transform("base", lambda s: s["kind"])
+    count = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return done.select("id", *count, _text(F.col("base")).alias("base_spans"), _text(_merged()).alias("spans"),
                        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
 
