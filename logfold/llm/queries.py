@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logfold.llm import language, packing, pieces, quality, quotes, secrets, simhash, urls, vectors, warc
+from logfold.llm.oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,5 +98,3 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
 }
-
-ORACLES: dict[str, str] = {}
