@@ -54,7 +54,7 @@ def odd_documents(spark, sf):
     rows = [tuple(r) for r in docs.collect()]
     rows += rnd.sample(rows, 20)
     rows += [(9001, None, "en", "s", None), (9002, "", None, None, 0), (None, rows[3][1], "en", "s", 5), (9003, "12 34 " * 60, "en", "s", 360),
-             (9005, "password=abc123def " + max((r[1] for r in rows), key=len), "en", "s", 9),
+             (9005, "password=abc123def the and of that " + " ".join(f"on{i}er the thing" for i in range(40)), "en", "s", 9),
              (9004, "the and of thing that with for " + " ".join(f"than{chr(97 + i % 26)}er{chr(97 + i // 26 % 26)}" for i in range(30_000)),
               "en", "s", 1)]
     df = spark.createDataFrame([(*r, "c", 1, "d", 2) for r in rows], docs.schema.simpleString()[7:-1].replace(":", " ")
