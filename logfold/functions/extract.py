@@ -234,9 +234,9 @@ def extract_timestamp(line: Column) -> Column:
 
 def iso_text(ts: Column) -> Column:
     """``datetime.isoformat()``: no fraction when it is zero, else six digits."""
-    base = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    frac = F.date_format(ts, "SSSSSS")
-    return F.when(ts.isNotNull(), F.when(frac == "000000", base).otherwise(F.concat(base, F.lit("."), frac)))
+    # The text of a zone-less timestamp does not pass through the session's zone, as date_format would.
+    text = F.replace(ts.cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T"))
+    return F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
 
 
 # --- generic fields ----------------------------------------------------------

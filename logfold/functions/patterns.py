@@ -53,7 +53,6 @@ ANALYZER_PATTERN_LIMIT = 8
 EVIDENCE_LEVEL_LINES = 150
 EVIDENCE_SAMPLE_LINES = 500
 EVIDENCE_HEAD_TAIL = 50
-MAX_FILE_SIZE_MB = 200
 ALLOWED_EXTENSIONS = (".log", ".txt")
 
 # Analyzer sentences.

@@ -7,9 +7,8 @@
   per row (one client per partition and worker thread, optional concurrent
   calls per task); failures are captured per row.
 * :func:`check_responses` - extracts the JSON object (a fenced block is
-  preferred) and validates it against the report shape with the same
-  accept/reject rules as the original model layer; a small Arrow-batched
-  helper (per-row ``json.loads``), the only Python in the path.
+  preferred) and tests it in column expressions; objects are validated against
+  the report shape by a small Arrow-batched helper.
 * :func:`choose_reports` - per source, the model's report when it is valid,
   otherwise the heuristic report with the reason in ``llm_error``.
 """
@@ -28,6 +27,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType, StructField, StructType
 
 from logfold.functions import patterns as P
+from logfold.functions.extract import ustrip
 from logfold.operators.aggregates import level_counts, source_summary, top_values
 from logfold.operators.evidence import evidence_lines
 from logfold.staging import maybe_stage
@@ -63,7 +63,8 @@ def _as_map(df: DataFrame, key: str, val: str, rank: str, name: str) -> DataFram
         F.transform("_e", lambda x: F.struct(x["k"], x["v"]))).alias(name))
 
 
-def evidence_bundle(entries: DataFrame, stage_entries: bool = True) -> DataFrame:
+def evidence_bundle(entries: DataFrame, stage_entries: bool = True, level_lines: int = P.EVIDENCE_LEVEL_LINES,
+                    sample_lines: int = P.EVIDENCE_SAMPLE_LINES) -> DataFrame:
     """``(source, evidence)``; every nested list is bounded by the evidence caps."""
     entries = maybe_stage(entries, stage_entries, "entries")
     summ = source_summary(entries).select("source", "total_lines", "time_range")
@@ -75,7 +76,7 @@ def evidence_bundle(entries: DataFrame, stage_entries: bool = True) -> DataFrame
         _as_map(top.filter(F.col("dimension") == d), "value", "n", "rank", d)
         for d in ("components", "request_ids", "thread_names")
     ]
-    ev = evidence_lines(entries)
+    ev = evidence_lines(entries, level_lines, sample_lines)
     lists = ev.groupBy("source").pivot(
         "section", ["sample_lines", "error_lines", "warning_lines", "lifecycle_lines"]
     ).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
@@ -167,8 +168,13 @@ def complete(prompts: DataFrame, client_factory: Callable[[], Any], concurrency:
 
 # --- response checking ----------------------------------------------------------
 
-_FENCE = re.compile(r"```(?:json)?\s*([\s\S]*?)\s*```")
+# The fence of a JSON block and the reasons users see.
+FENCED_JSON = r"```(?:json)?\s*([\s\S]*?)\s*```"
+NOT_JSON = "LLM returned invalid JSON: "
+NOT_AN_OBJECT = "LLM response must be a JSON object."
+
 _REQUIRED = object()
+_WHOLE = re.compile(r"[+-]?\d+(?:\.0+)?")
 
 
 class ShapeError(ValueError):
@@ -190,11 +196,8 @@ def _int(v, path):
         return v
     if isinstance(v, float) and v.is_integer():
         return int(v)
-    if isinstance(v, str):
-        try:
-            return int(v.strip())
-        except ValueError:
-            pass
+    if isinstance(v, str) and len(v) < 100 and _WHOLE.fullmatch(v.strip()):
+        return int(v.strip().partition(".")[0])
     raise ShapeError(f"{path}: input should be a valid integer")
 
 
@@ -280,42 +283,47 @@ def validate_report(payload: Any) -> dict:
     }
 
 
-def check_response(response: str | None, error: str | None) -> tuple[str | None, str | None]:
-    """``(normalised report JSON, None)`` or ``(None, reason)`` for one completion."""
-    if error:
-        return None, error
-    if response is None:
-        return None, "Model returned no content."
-    cleaned = response.strip()
-    m = _FENCE.search(cleaned)
-    if m:
-        cleaned = m.group(1).strip()
-    try:
-        payload = json.loads(cleaned)
-    except json.JSONDecodeError as exc:
-        return None, f"Model returned invalid JSON: {exc}"
-    if not isinstance(payload, dict):
-        return None, "Model response must be a JSON object."
+def _shape(body: str | None) -> tuple[str | None, str | None]:
+    """(normalised report JSON, None) or (None, problem) of a JSON object's text."""
+    if body is None:
+        return None, None
     try:
-        return json.dumps(validate_report(payload)), None
+        return json.dumps(validate_report(json.loads(body))), None
     except ShapeError as exc:
         return None, f"Report validation failed: {exc}"
+    except (ValueError, RecursionError) as exc:  # numbers or nesting beyond what a report can hold
+        return None, f"{NOT_JSON}{type(exc).__name__}"
 
 
-_CHECK_TYPE = StructType([StructField("report_json", StringType()), StructField("llm_error", StringType())])
+_SHAPE_TYPE = StructType([StructField("report_json", StringType()), StructField("problem", StringType())])
 
 
-@pandas_udf(_CHECK_TYPE)
-def _check_udf(response: pd.Series, error: pd.Series) -> pd.DataFrame:
-    out = [check_response(r if isinstance(r, str) else None, e if isinstance(e, str) else None)
-           for r, e in zip(response, error)]
-    return pd.DataFrame(out, columns=["report_json", "llm_error"])
+@pandas_udf(_SHAPE_TYPE)
+def _shape_udf(body: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_shape(x if isinstance(x, str) else None) for x in body], columns=["report_json", "problem"])
 
 
 def check_responses(responses: DataFrame) -> DataFrame:
-    """``(source, report, llm_error)``: ``report`` is the parsed struct (NULL when rejected)."""
-    checked = responses.select("source", _check_udf("response", "error").alias("c"))
-    return checked.select("source", F.from_json("c.report_json", REPORT_DDL).alias("report"), "c.llm_error")
+    """``(source, report, llm_error)``: ``report`` is the parsed struct (NULL when rejected).
+
+    The JSON text is cut out and tested in column expressions; a reply that is
+    not JSON, not an object or nested beyond reason gives a row with its
+    reason.  Only objects reach the shape check.
+    """
+    text = ustrip("response")
+    fenced = F.when(text.rlike(FENCED_JSON), ustrip(F.regexp_extract(text, FENCED_JSON, 1)))
+    replies = responses.select("source", F.nullif("error", F.lit("")).alias("failed"), F.coalesce(fenced, text).alias("body"))
+    value = F.try_parse_json("body")
+    reason = (
+        F.when(F.col("failed").isNotNull(), F.col("failed"))
+        .when(F.col("body").isNull(), F.lit("Model returned no content."))
+        .when(value.isNull(), F.concat(F.lit(NOT_JSON), F.substring("body", 1, 80)))
+        .when(~F.schema_of_variant(value).startswith("OBJECT"), F.lit(NOT_AN_OBJECT))
+    )
+    judged = replies.select("source", "body", reason.alias("reason"))
+    shaped = judged.select("source", "reason", _shape_udf(F.when(F.col("reason").isNull(), F.col("body"))).alias("c"))
+    return shaped.select("source", F.from_json("c.report_json", REPORT_DDL).alias("report"),
+                         F.coalesce("reason", "c.problem").alias("llm_error"))
 
 
 def choose_reports(static: DataFrame, checked: DataFrame | None) -> DataFrame:

@@ -50,7 +50,9 @@ def sequence_entries(parsed: DataFrame, order: list[str], keep_blank: bool = Fal
     the six small columns it needs).
     """
     parsed = maybe_stage(parsed, stage_parsed, "parsed")
-    keys = ["source", "block"]
+    # A NULL source is a group like any other: the struct around it is not null, so it joins.
+    parsed = parsed.withColumn("_src", F.struct("source"))
+    keys = ["_src", "block"]
     shuffled = parsed.repartition(*keys)
     prov = {f: _provider(f) for f in CONTEXT_FIELDS}
     seq = F.struct(*[F.col(c) for c in order])
@@ -69,7 +71,7 @@ def sequence_entries(parsed: DataFrame, order: list[str], keep_blank: bool = Fal
         F.count(F.lit(1)).alias("_n"),
         *[F.max_by(prov[f], F.when(prov[f].isNotNull(), seq)).alias(f"_last_{f}") for f in CONTEXT_FIELDS],
     )
-    w_blocks = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    w_blocks = Window.partitionBy("_src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     entering = blocks.select(
         *keys,
         F.coalesce(F.sum("_n").over(w_blocks), F.lit(0)).alias("_offset"),
@@ -82,14 +84,13 @@ def sequence_entries(parsed: DataFrame, order: list[str], keep_blank: bool = Fal
         f: F.when(cont, F.coalesce(F.col(f"_in_{f}"), F.col(f"_enter_{f}"))).otherwise(F.col(f))
         for f in CONTEXT_FIELDS
     }
-    helper = {"_idx", "_offset"} | {f"_in_{f}" for f in CONTEXT_FIELDS} | {f"_enter_{f}" for f in CONTEXT_FIELDS}
+    helper = {"_idx", "_offset", "_src"} | {f"_in_{f}" for f in CONTEXT_FIELDS} | {f"_enter_{f}" for f in CONTEXT_FIELDS}
     cols = []
     for c in windowed.columns:
         if c in helper:
             continue
         cols.append(filled[c].alias(c) if c in filled else F.col(c))
-    offset = F.coalesce(F.col("_offset"), F.lit(0))  # a NULL source key finds no block row
-    out = joined.select(*cols, (offset + F.col("_idx")).cast("bigint").alias("line_number"))
+    out = joined.select(*cols, (F.col("_offset") + F.col("_idx")).cast("bigint").alias("line_number"))
     if not keep_blank:
         out = out.filter(F.col("entry_type") != "blank")
     return out

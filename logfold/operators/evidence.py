@@ -27,7 +27,8 @@ def format_line(ts: Column, level: Column, raw: Column) -> Column:
     )
 
 
-def evidence_lines(entries: DataFrame) -> DataFrame:
+def evidence_lines(entries: DataFrame, level_lines: int = P.EVIDENCE_LEVEL_LINES,
+                   sample_lines: int = P.EVIDENCE_SAMPLE_LINES) -> DataFrame:
     """``(source, section, rank, line_number, line)`` for sections
     error_lines, warning_lines, lifecycle_lines and sample_lines."""
     base = entries.select(
@@ -36,7 +37,7 @@ def evidence_lines(entries: DataFrame) -> DataFrame:
     )
     # The three level/lifecycle sections in one pass: each entry is tagged
     # with the sections it belongs to, then one rank-then-filter window per
-    # (source, section) keeps the first 150 of each.
+    # (source, section) keeps the first ``level_lines`` of each.
     tags = F.array_compact(F.array(
         F.when(F.col("level").isin(*P.ERROR_LEVELS), F.lit("error_lines")),
         F.when(F.col("level") == P.WARNING_LEVEL, F.lit("warning_lines")),
@@ -44,7 +45,7 @@ def evidence_lines(entries: DataFrame) -> DataFrame:
     ))
     tagged = base.select("source", "line_number", "line", F.explode(tags).alias("section"))
     prioritized_all = first_rows(
-        tagged, P.EVIDENCE_LEVEL_LINES, [F.col("line_number")], partition=("source", "section")
+        tagged, level_lines, [F.col("line_number")], partition=("source", "section")
     ).select("source", "section", "rank", "line_number", "line")
 
     prioritized = prioritized_all.groupBy("source", "line").agg(F.min("line_number").alias("first_line"))
@@ -61,7 +62,7 @@ def evidence_lines(entries: DataFrame) -> DataFrame:
     w = Window.partitionBy("source").orderBy("part", "pos")
     sample = (
         sample.withColumn("rank", F.row_number().over(w).cast("bigint"))
-        .filter(F.col("rank") <= P.EVIDENCE_SAMPLE_LINES)
+        .filter(F.col("rank") <= sample_lines)
         .select("source", F.lit("sample_lines").alias("section"), "rank", "line_number", "line")
     )
     return prioritized_all.unionByName(sample)

@@ -3,9 +3,8 @@
 ``parse_lines`` adds the typed fields of one log line to any DataFrame that
 carries the unstripped line in ``raw_line``.  The dispatch order is part of
 the semantics: blank, continuation (stack frame / exception, tested on the
-unstripped line), access log, structured, generic.  The parse itself needs no
-shuffle; ``spread_if_narrow`` only rebalances inputs that arrive in fewer
-partitions than cores.
+unstripped line), access log, structured, generic.  The parse needs no
+shuffle and plans no job; a caller with a narrow input repartitions it first.
 """
 
 from __future__ import annotations
@@ -21,23 +20,6 @@ ENTRY_FIELDS = (
 )
 
 
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the default parallelism when the input scan
-    yields fewer partitions (e.g. one small Parquet row group).
-
-    The parse is CPU-bound and row-local, so a narrow scan would run it on a
-    few cores.  Inputs at scale already have many partitions and are left
-    alone (no shuffle).  Order is carried by explicit columns, never by
-    position, so this never changes a result.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        narrow = df.rdd.getNumPartitions() < target
-    except Exception:  # no RDD API (e.g. a remote session): leave as is
-        return df
-    return df.repartition(target) if narrow else df
-
-
 _HELPERS = ("_fold", "_exc", "_kind0", "_acc0", "_acc", "_st0", "_st", "_tsv", "_tsp", "_rref",
             "_m1", "_m2", "_m3")
 _STAGE_CACHE: dict = {}

@@ -15,10 +15,10 @@ from logfold.operators.ranking import timeline
 from logfold.operators.snippets import snippets
 from logfold.staging import maybe_stage
 
-# Largest number of error / warning groups nested into one report row.  The
-# complete ranking is always available from ``error_groups`` /
-# ``warning_groups``; ``None`` nests all of them.
-DEFAULT_NEST_LIMIT = 1000
+# A report nests all of its error / warning groups unless the caller passes a
+# limit; ``error_groups`` / ``warning_groups`` give the same groups as rows,
+# the form to use for a source with very many of them.
+DEFAULT_NEST_LIMIT = None
 
 
 def _compact(*items: Column) -> Column:

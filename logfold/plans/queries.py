@@ -206,8 +206,8 @@ def q_model_choice(spark: SparkSession, sf: str) -> DataFrame:
     kind = (
         F.when(err.isNull(), F.lit(None))
         .when(err.startswith("RuntimeError"), F.lit("client"))
-        .when(err.startswith("Model returned invalid JSON"), F.lit("json"))
-        .when(err.startswith("Model response must be a JSON object"), F.lit("object"))
+        .when(err.startswith("LLM returned invalid JSON"), F.lit("json"))
+        .when(err.startswith("LLM response must be a JSON object"), F.lit("object"))
         .otherwise(F.lit("shape"))
     )
     return c.select(

@@ -75,9 +75,14 @@ def event_lines(events: DataFrame) -> DataFrame:
     )
 
 
+def _spread(lines: DataFrame) -> DataFrame:
+    """The driver's tables are single files: deal their lines out before the parse, which is the dear step."""
+    return lines.repartition(lines.sparkSession.sparkContext.defaultParallelism)
+
+
 def ev_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed entries of the EV corpus (file order = event_id within source)."""
-    return entries_from_lines(event_lines(table(spark, sf_dir, "events")), order="event_id")
+    return entries_from_lines(_spread(event_lines(table(spark, sf_dir, "events"))), order="event_id")
 
 
 # Events per log file when the EV corpus is written out as text files.
@@ -110,4 +115,4 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entries_from_lines(doc_lines(spark, sf_dir))
+    return entries_from_lines(_spread(doc_lines(spark, sf_dir)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from logfold.operators.assist import check_response, evidence_bundle
+from logfold.operators.assist import check_responses, evidence_bundle
 from logfold.plans.analysis import analyze_with_model, result_json
 from logfold.sources.tables import entries_from_lines
 
@@ -23,22 +23,39 @@ def _entries(lines_df):
     return entries_from_lines(lines_df((FIXTURES / "sample_incident.log").read_text().splitlines()))
 
 
-def test_check_response_rules():
-    ok, err = check_response("noise\n```json\n" + json.dumps(VALID) + "\n```", None)
-    assert err is None
-    rep = json.loads(ok)
-    assert rep["log_overview"]["total_lines_processed"] == 6
-    assert rep["error_analysis"][0]["occurrence_count"] == 2
-    assert rep["error_analysis"][0]["short_explanation"] == ""
-    assert rep["likely_root_cause"] == {"observed_facts": [], "possible_causes": [], "assumptions": []}
-    assert check_response("not json", None)[1].startswith("Model returned invalid JSON")
-    assert check_response("[1]", None)[1] == "Model response must be a JSON object."
-    assert "log_overview" in check_response('{"executive_summary": "x"}', None)[1]
-    bad = dict(VALID, timeline=None)
-    assert check_response(json.dumps(bad), None)[1].startswith("Report validation failed")
-    bad = dict(VALID, timeline=[{"timestamp": "t"}])
-    assert "message" in check_response(json.dumps(bad), None)[1]
-    assert check_response(None, "TimeoutError: slow") == (None, "TimeoutError: slow")
+def test_check_responses_rules(spark):
+    deep = "[" * 50_000
+    replies = {
+        "fenced": "noise\n```json\n" + json.dumps(VALID) + "\n```",
+        "plain": json.dumps(VALID),
+        "words": "not json",
+        "list": "[1]",
+        "partial": '{"executive_summary": "x"}',
+        "null_list": json.dumps(dict(VALID, timeline=None)),
+        "bad_item": json.dumps(dict(VALID, timeline=[{"timestamp": "t"}])),
+        "deep": '{"executive_summary": ' + deep,
+        "digits": '{"executive_summary": ' + "9" * 5000 + "}",
+        "decimal": json.dumps(dict(VALID, log_overview={"total_lines_processed": "5.0"})),
+        "half": json.dumps(dict(VALID, log_overview={"total_lines_processed": "5.5"})),
+        "none": None,
+    }
+    df = spark.createDataFrame([(k, v, None) for k, v in replies.items()] + [("failed", None, "TimeoutError: slow")],
+                               "source string, response string, error string")
+    got = {r.source: r for r in check_responses(df).collect()}
+    for k in ("fenced", "plain"):
+        rep = got[k].report
+        assert got[k].llm_error is None and rep.log_overview.total_lines_processed == 6
+        assert rep.error_analysis[0].occurrence_count == 2 and rep.error_analysis[0].short_explanation == ""
+        assert rep.likely_root_cause.asDict() == {"observed_facts": [], "possible_causes": [], "assumptions": []}
+    assert got["words"].llm_error.startswith("LLM returned invalid JSON")
+    assert got["list"].llm_error == "LLM response must be a JSON object."
+    assert "log_overview" in got["partial"].llm_error
+    assert got["null_list"].llm_error.startswith("Report validation failed")
+    assert "message" in got["bad_item"].llm_error
+    assert got["deep"].llm_error and got["digits"].llm_error and got["none"].llm_error == "Model returned no content."
+    assert got["decimal"].report.log_overview.total_lines_processed == 5
+    assert got["half"].llm_error.startswith("Report validation failed")
+    assert got["failed"].report is None and got["failed"].llm_error == "TimeoutError: slow"
 
 
 def test_evidence_bundle_shape(spark, lines_df):

@@ -164,3 +164,12 @@ def test_nest_limit_keeps_counts_whole(spark, lines_df):
     r = report_table(entries_from_lines(lines_df(lines)), nest_limit=3).first()
     assert len(r.error_analysis) == 3 and r.error_group_count == 7 and r.error_occurrences == 50
     assert [g.occurrence_count for g in r.error_analysis] == [8, 7, 7]
+
+
+def test_every_group_is_in_the_report(spark, lines_df):
+    from logfold.operators.report import report_table
+    from logfold.sources.tables import entries_from_lines
+
+    lines = [f"2024-01-01 10:00:00 ERROR failure number x{i}y" for i in range(1500)]
+    r = report_table(entries_from_lines(lines_df(lines))).first()
+    assert len(r.error_analysis) == r.error_group_count > 1000
