@@ -51,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         master = sc.master if sc is not None else ""
-        if not master.startswith("local"):
+        if master != "local" and not master.startswith("local["):
             # A machine-local folder is no place for shared intermediate tables.
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, object store) on a cluster")
         current = tempfile.mkdtemp(prefix="logfold-ckpt-", dir="/tmp")

@@ -3,13 +3,15 @@
 The file stream source hands each new file to exactly one micro-batch, whole,
 so every batch holds complete sources: ``foreachBatch`` runs the same batch
 plan as :func:`logfold.plans.analysis.analyze_files` on the batch's files and
-appends one report per file to a JSON Lines sink.  Progress (which files are
-done) lives in the stream checkpoint, so a restarted query neither skips nor
-repeats files.
+writes one report per file to a JSON Lines sink.  Progress (which files are
+done) lives in the stream checkpoint, by default one per output path in the
+configured checkpoint folder, so a restarted query neither skips nor repeats
+files.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,21 +54,23 @@ def start_file_reports(spark: SparkSession, directory: str, output_path: str,
                        extensions: Iterable[str] | str = ALLOWED_EXTENSIONS,
                        available_now: bool = False,
                        processing_time: str | None = "1 minute") -> StreamingQuery:
-    """Start the stream; each micro-batch appends its reports to ``output_path``.
+    """Start the stream; each micro-batch writes its reports under ``output_path``.
 
     ``checkpoint_location`` defaults to a folder under the session's
     ``spark.checkpoint.dir``.  ``available_now=True`` processes the files
     present now and stops (useful for scheduled runs and tests).
     """
     if checkpoint_location is None:
-        checkpoint_location = ensure_checkpoint_dir(spark).rstrip("/") + "/logfold/stream-file-reports"
+        # The configured folder itself: the context's own sub-folder is new in every application, and
+        # staged tables next door may be cleared; either would report every file again.
+        base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+        checkpoint_location = base.rstrip("/") + f"/logfold-streams/{hashlib.sha256(output_path.encode()).hexdigest()[:16]}"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         entries = batch_entries(batch)
         result = static_result(entries)
         (result_json(result, include_source=True).select("json")
-         .withColumn("batch_id", F.lit(batch_id))
-         .write.mode("append").partitionBy("batch_id").text(output_path))
+         .write.mode("overwrite").text(f"{output_path.rstrip('/')}/batch_id={batch_id}"))  # a retried batch replaces itself
 
     writer = (
         stream_lines(spark, directory, extensions).writeStream

@@ -27,3 +27,16 @@ def test_stream_reports_new_files(spark, tmp_path):
     q = start_file_reports(spark, str(src), str(out), str(tmp_path / "ckpt"), available_now=True)
     q.awaitTermination(300)
     assert spark.read.text(str(out)).count() == 2
+
+
+def test_progress_outlives_cleared_staging(spark, tmp_path):
+    from logfold.staging import clear_staged
+
+    src = tmp_path / "in"
+    src.mkdir()
+    shutil.copy(FIXTURES / "sample_incident.log", src / "a.log")
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        start_file_reports(spark, str(src), out, available_now=True).awaitTermination(300)
+        clear_staged(spark)
+        assert spark.read.text(out).count() == 1
