@@ -32,6 +32,7 @@ def main(argv: list[str] | None = None) -> int:
     from logfold.plans.analysis import analyze_files, result_json, write_results
     from logfold.session import ensure_checkpoint_dir
     from logfold.sources.admission import admission_audit
+    from logfold.staging import staging_run
 
     builder = SparkSession.builder.appName("logfold").config("spark.ui.enabled", "false")
     if args.master:
@@ -40,17 +41,18 @@ def main(argv: list[str] | None = None) -> int:
     ensure_checkpoint_dir(spark)
 
     audit = admission_audit(spark, args.paths, args.extensions, args.max_file_size_mb)
-    for r in audit.filter(F.col("status") != "admitted").collect():
+    for r in audit.filter(F.col("status") != "admitted").toLocalIterator():
         print(f"skipped {r.path}: {r.status} ({r.reason})", file=sys.stderr)
     if audit.filter(F.col("status") == "admitted").limit(1).count() == 0:
         print("no admissible log file", file=sys.stderr)
         return 1
-    result = analyze_files(spark, args.paths, args.extensions, args.max_file_size_mb)
-    if args.out:
-        write_results(result, args.out)
-    else:
-        for r in result_json(result, include_source=True).toLocalIterator():
-            print(json.dumps(json.loads(r.json), indent=2))
+    with staging_run(spark):
+        result = analyze_files(spark, args.paths, args.extensions, args.max_file_size_mb)
+        if args.out:
+            write_results(result, args.out)
+        else:
+            for r in result_json(result, include_source=True).toLocalIterator():
+                print(json.dumps(json.loads(r.json), indent=2))
     return 0
 
 

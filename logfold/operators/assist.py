@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType, StructField, StructType
@@ -30,6 +30,7 @@ from logfold.functions import patterns as P
 from logfold.functions.extract import ustrip
 from logfold.operators.aggregates import level_counts, source_summary, top_values
 from logfold.operators.evidence import evidence_lines
+from logfold.operators.joins import join_keys
 from logfold.staging import maybe_stage
 
 REPORT_DDL = (
@@ -53,14 +54,10 @@ REPORT_FIELDS = (
 
 # --- evidence -----------------------------------------------------------------
 
-def _as_map(df: DataFrame, key: str, val: str, rank: str, name: str) -> DataFrame:
-    """``(source, name)`` = map key->val, entries in ``rank`` order (bounded inputs only)."""
-    packed = df.groupBy("source").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(key).alias("k"), F.col(val).alias("v"))))
-        .alias("_e")
-    )
-    return packed.select("source", F.map_from_entries(
-        F.transform("_e", lambda x: F.struct(x["k"], x["v"]))).alias(name))
+def _map_of(dimension: str) -> Column:
+    """Aggregate: the values of one dimension and their counts as a map in rank order (at most ten, or the levels)."""
+    rows = F.collect_list(F.when(F.col("dimension") == dimension, F.struct("rank", "value", "n")))
+    return F.map_from_entries(F.transform(F.array_sort(rows), lambda x: F.struct(x["value"], x["n"]))).alias(dimension)
 
 
 def evidence_bundle(entries: DataFrame, stage_entries: bool = True, level_lines: int = P.EVIDENCE_LEVEL_LINES,
@@ -68,21 +65,18 @@ def evidence_bundle(entries: DataFrame, stage_entries: bool = True, level_lines:
     """``(source, evidence)``; every nested list is bounded by the evidence caps."""
     entries = maybe_stage(entries, stage_entries, "entries")
     summ = source_summary(entries).select("source", "total_lines", "time_range")
-    lv = level_counts(entries)
-    lv = lv.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("first_line")))
-    levels = _as_map(lv, "level", "n", "rank", "levels")
-    top = top_values(entries)
-    maps = [
-        _as_map(top.filter(F.col("dimension") == d), "value", "n", "rank", d)
-        for d in ("components", "request_ids", "thread_names")
-    ]
+    lv = level_counts(entries).select(
+        "source", F.lit("levels").alias("dimension"), F.col("level").alias("value"), "n",
+        F.row_number().over(Window.partitionBy("source").orderBy("first_line")).cast("bigint").alias("rank"))
+    counts = lv.unionByName(top_values(entries).select("source", "dimension", "value", "n", "rank"))
+    maps = counts.groupBy("source").agg(*[_map_of(d) for d in ("levels", "components", "request_ids", "thread_names")])
     ev = evidence_lines(entries, level_lines, sample_lines)
     lists = ev.groupBy("source").pivot(
         "section", ["sample_lines", "error_lines", "warning_lines", "lifecycle_lines"]
     ).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
     out = summ
-    for m in [levels, *maps, lists]:
-        out = out.join(m, "source", "left")
+    for part in (maps, lists):
+        out = join_keys(out, part, ["source"])
     empty_map = F.create_map().cast("map<string,bigint>")
     empty = F.array().cast("array<string>")
 
@@ -334,8 +328,7 @@ def choose_reports(static: DataFrame, checked: DataFrame | None) -> DataFrame:
     """
     if checked is None:
         return static
-    j = static.drop("analysis_source", "llm_error").join(
-        checked.withColumnRenamed("llm_error", "_model_error"), "source", "left")
+    j = join_keys(static.drop("analysis_source", "llm_error"), checked.withColumnRenamed("llm_error", "_model_error"), ["source"])
     use = F.col("report").isNotNull()
     cols = [F.when(use, F.col("report")[c]).otherwise(F.col(c)).alias(c) for c in REPORT_FIELDS]
     return j.select(

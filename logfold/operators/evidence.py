@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from logfold.functions import patterns as P
 from logfold.functions.extract import iso_text, lower_contains_any
+from logfold.operators.joins import join_keys
 from logfold.operators.ranking import first_rows
 
 
@@ -54,7 +55,7 @@ def evidence_lines(entries: DataFrame, level_lines: int = P.EVIDENCE_LEVEL_LINES
         "source", "line_number", "line", F.lit(1).alias("part"), F.col("line_number").alias("pos"))
     tail = first_rows(base, n, [F.col("line_number").desc()]).select(
         "source", "line_number", "line", F.lit(2).alias("part"), F.col("line_number").alias("pos"))
-    head_tail = head.unionByName(tail).join(prioritized.select("source", "line"), ["source", "line"], "left_anti")
+    head_tail = join_keys(head.unionByName(tail), prioritized.select("source", "line"), ["source", "line"], "left_anti")
     sample = prioritized.select(
         "source", F.col("first_line").alias("line_number"), "line",
         F.lit(0).alias("part"), F.col("first_line").alias("pos"),

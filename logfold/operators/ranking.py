@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logfold.functions import patterns as P
 from logfold.functions.extract import iso_text
+from logfold.operators.joins import join_keys
 
 
 def first_rows(df: DataFrame, k: int, order: list[Column], partition: tuple[str, ...] = ("source",)) -> DataFrame:
@@ -71,14 +72,15 @@ def rank_by_count(groups: DataFrame, count: str = "occurrence_count", tie: str =
         F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy(F.col(count).desc())
                                     .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_c_off"),
     )
-    offsets = per_block.select(
+    blocks = per_block.select(
         "source", count, "_blk",
         F.coalesce(F.sum("_n").over(Window.partitionBy("source", count).orderBy("_blk")
                                     .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b_off"),
-    ).join(before_count, ["source", count])
+    )
+    offsets = join_keys(blocks, before_count, ["source", count], "inner")
     idx = F.row_number().over(Window.partitionBy("source", count, "_blk").orderBy(tie))
     return (
-        g.join(offsets, ["source", count, "_blk"])
+        join_keys(g, offsets, ["source", count, "_blk"], "inner")
         .withColumn("rank", (F.col("_c_off") + F.col("_b_off") + idx).cast("bigint"))
         .drop("_blk", "_c_off", "_b_off")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logfold.functions import patterns as P
 from logfold.operators.aggregates import error_groups, first_values, source_summary, warning_groups
+from logfold.operators.joins import join_keys
 from logfold.operators.ranking import timeline
 from logfold.operators.snippets import snippets
 from logfold.staging import maybe_stage
@@ -113,11 +114,12 @@ def report_table(entries: DataFrame, sources: DataFrame | None = None,
     err_list = _collect_sorted(eg_n.withColumnRenamed("label", "error_type"), "error_analysis", group_fields)
     warn_fields = ["warning_type"] + group_fields[1:]
     warn_list = _collect_sorted(wg_n.withColumnRenamed("label", "warning_type"), "warning_analysis", warn_fields)
-    # How many groups exist in total (the nested lists stop at nest_limit; the
+    # How many groups exist in total (the nested lists may stop at nest_limit; the
     # full ranking is the error_groups / warning_groups table).
     group_counts = (
-        eg.groupBy("source").agg(F.count(F.lit(1)).alias("error_group_count"))
-        .join(wg.groupBy("source").agg(F.count(F.lit(1)).alias("warning_group_count")), "source", "full")
+        eg.select("source", F.lit(1).alias("e"), F.lit(0).alias("w"))
+        .unionByName(wg.select("source", F.lit(0).alias("e"), F.lit(1).alias("w")))
+        .groupBy("source").agg(F.sum("e").alias("error_group_count"), F.sum("w").alias("warning_group_count"))
     )
 
     fact = F.concat(
@@ -140,16 +142,9 @@ def report_table(entries: DataFrame, sources: DataFrame | None = None,
         F.array_sort(F.collect_list("value")).alias("v")
     )
 
-    r = (
-        summary.join(err_list, "source", "left")
-        .join(warn_list, "source", "left")
-        .join(top3, "source", "left")
-        .join(primary, "source", "left")
-        .join(tl, "source", "left")
-        .join(sn, "source", "left")
-        .join(fv_lists, "source", "left")
-        .join(group_counts, "source", "left")
-    )
+    r = summary
+    for part in (err_list, warn_list, top3, primary, tl, sn, fv_lists, group_counts):
+        r = join_keys(r, part, ["source"])
     empty_s = F.array().cast("array<string>")
 
     def arr(c: str) -> Column:

@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 
 from logfold.functions import patterns as P
 from logfold.operators.aggregates import error_groups
+from logfold.operators.joins import join_keys
 from logfold.operators.ranking import first_rows
 
+# Lines per block when short labels are matched with the groups of a source.
+SNIPPET_BLOCK = 1 << 20
+
 
 def snippets(entries: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """``(source, rank, raw)`` with at most five rows per source."""
@@ -39,18 +43,22 @@ def snippets(entries: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     )
     # A full 40-character prefix matches exactly the groups whose first 40
     # characters equal it: an equi-join on (source, prefix), spread over the
-    # distinct prefixes of a hot source.  A shorter label is a whole message;
-    # it is matched with a prefix test on `source`, where the group table
-    # streams and at most three labels per source are buffered (or broadcast
-    # by AQE when small).
+    # distinct prefixes of a hot source.  A shorter label is a whole message,
+    # matched by a prefix test.  Its source's groups are cut into blocks of
+    # first lines, and the (at most three) labels are handed to each block
+    # that exists, so this too is an equi-join with bounded tasks.
     n = P.SNIPPET_PREFIX_CHARS
     long_top = top.filter(F.length("prefix") == n)
     short_top = top.filter(F.length("prefix") < n)
     long_cand = cand.filter(F.length("group_key") >= n).withColumn("_k", F.substring("group_key", 1, n))
     long_match = long_cand.join(
-        long_top, (long_top["source"] == long_cand["c_source"]) & (long_top["prefix"] == long_cand["_k"]))
+        long_top, long_top["source"].eqNullSafe(long_cand["c_source"]) & (long_top["prefix"] == long_cand["_k"]))
+    cand = cand.withColumn("c_block", F.floor(F.col("first_message_line") / F.lit(SNIPPET_BLOCK)))
+    blocks = cand.select(F.col("c_source").alias("b_source"), F.col("c_block").alias("b_block")).distinct()
+    short_top = short_top.join(blocks, F.col("source").eqNullSafe(F.col("b_source")))
     short_match = cand.join(
-        short_top, (short_top["source"] == cand["c_source"]) & cand["group_key"].startswith(short_top["prefix"]))
+        short_top, short_top["source"].eqNullSafe(cand["c_source"]) & (short_top["b_block"] == cand["c_block"])
+        & cand["group_key"].startswith(short_top["prefix"]))
     cols = ["source", "g_rank", "first_message_line", "first_message_raw"]
     matched = (
         long_match.select(*cols).unionByName(short_match.select(*cols))
@@ -64,7 +72,7 @@ def snippets(entries: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         .groupBy("source", "raw").agg(F.min("line_number").alias("first_line"))
     )
     head = first_rows(err_raw, P.SNIPPET_LIMIT + P.SNIPPET_GROUPS, [F.col("first_line")])
-    rest = head.join(matched.select("source", "raw"), ["source", "raw"], "left_anti")
+    rest = join_keys(head, matched.select("source", "raw"), ["source", "raw"], "left_anti")
 
     both = matched.select(
         "source", F.lit(0).alias("part"), F.col("g_rank").cast("bigint").alias("pos"), "raw"

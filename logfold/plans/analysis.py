@@ -1,7 +1,9 @@
 """End-to-end plans: files or tables -> entries -> report / evidence / result.
 
-These compose the operators into the plans a user runs; every function
-returns a lazy DataFrame.
+These compose the operators into the plans a user runs.  The DataFrames they
+return are lazy, but tables that feed several consumers (parsed lines, entries,
+groups) are written while the plan is built; :func:`logfold.staging.staging_run`
+removes them when their results are stored.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logfold.functions.patterns import ALLOWED_EXTENSIONS
 from logfold.operators.report import DEFAULT_NEST_LIMIT, report_table
-from logfold.sources.admission import admission_audit
+from logfold.sources.admission import admission_audit, split_inputs
 from logfold.sources.text_files import read_log_entries
 
 ENTRY_COLUMNS = (
@@ -47,13 +49,11 @@ def analyze_files(spark: SparkSession, paths: str | list[str],
                   extensions: Iterable[str] | str = ALLOWED_EXTENSIONS,
                   max_file_size_mb: float | None = None,
                   nest_limit: int | None = DEFAULT_NEST_LIMIT) -> DataFrame:
-    """Static report for every admitted log file under ``paths`` (empty files included)."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    audit = admission_audit(spark, paths, extensions, max_file_size_mb)
-    missing = {r.path for r in audit.filter(F.col("status") == "missing").select("path").collect()}
-    existing = [p for p in paths if p not in missing]
+    """Static report for every admitted log file under ``paths`` (files, directories or globs; empty files included)."""
+    existing, _ = split_inputs(spark, paths)
     if not existing:
         raise FileNotFoundError(f"none of the input paths exists: {paths}")
+    audit = admission_audit(spark, existing, extensions, max_file_size_mb)
     admitted = audit.filter(F.col("status") == "admitted").select(F.col("path").alias("source"))
     entries = read_log_entries(spark, existing, extensions, max_file_size_mb)
     return static_result(entries, admitted, nest_limit)

@@ -434,7 +434,8 @@ SELECT t.source, t.total_lines, t.time_range, coalesce(l.level_keys, '') AS leve
 FROM tot t LEFT JOIN lv l USING (source) LEFT JOIN cnt c USING (source) LEFT JOIN smp m USING (source)"""
 
 
-def report_sections_sql() -> str:
+def _report_ctes() -> str:
+    """CTEs up to ``r2``: the text sections of the report, one row per source."""
     fact_rules = ", ".join(
         f"CASE WHEN len(list_filter(facts, lambda f: contains(lower(f), {q(w)}))) > 0 THEN {q(s)} END"
         for w, s in P.CAUSE_RULES)
@@ -460,7 +461,8 @@ def report_sections_sql() -> str:
         CASE WHEN warning_total > 0 THEN {q(P.REC_WARNINGS)} END,
         {rec_rules}], lambda x: x IS NOT NULL) AS recs0
     FROM r0),
-  r2 AS (SELECT source,
+  r2 AS (SELECT source, total_lines, levels_txt,
+      CASE WHEN min_ts IS NOT NULL THEN {iso('min_ts')} || ' -> ' || {iso('max_ts')} END AS time_range,
       [CASE WHEN total_lines = 0 THEN {q(P.SUMMARY_EMPTY)} ELSE concat_ws(' ',
         'The log contains ' || CAST(total_lines AS VARCHAR) || ' parsed line(s) with levels '
           || (CASE WHEN levels_txt = '' THEN 'unknown' ELSE levels_txt END) || '.',
@@ -476,7 +478,11 @@ def report_sections_sql() -> str:
       CASE WHEN len(facts) = 0 THEN [{q(P.ASSUMPTION_NO_FACTS)}] ELSE []::VARCHAR[] END AS assumptions,
       (CASE WHEN len(recs0) = 0 THEN [{q(P.REC_DEFAULT)}] ELSE recs0 END)[1:6] AS recommendations,
       snippets AS interesting_log_snippets
-    FROM r1),
+    FROM r1)"""
+
+
+def report_sections_sql() -> str:
+    return f"""{_report_ctes()},
   longf AS (
     SELECT source, 'executive_summary' AS section, executive_summary AS items FROM r2
     UNION ALL SELECT source, 'pattern_detection', pattern_detection FROM r2
@@ -490,6 +496,45 @@ SELECT source, section, CAST(UNNEST(range(1, len(items) + 1)) AS BIGINT) AS rank
 FROM longf"""
 
 
+def _group_list(table: str, name: str, explanation: str) -> str:
+    return f"""SELECT source, list({{'{name}': label, 'occurrence_count': occurrence_count,
+      'first_occurrence': first_occurrence, 'last_occurrence': last_occurrence,
+      'short_explanation': {q(explanation)}}} ORDER BY rank) AS items FROM {table} GROUP BY source"""
+
+
+def report_json_sql() -> str:
+    """The nested report of each source as compact JSON text, all ten sections."""
+    return f"""{_report_ctes()},
+  wg AS ({groups_sql("level = 'WARNING'", P.UNKNOWN_WARNING)}),
+  err_list AS ({_group_list('eg', 'error_type', 'Repeated error condition observed in logs.')}),
+  warn_list AS ({_group_list('wg', 'warning_type', 'Repeated warning condition observed in logs.')}),
+  fv AS ({FIRST_VALUES}),
+  fvl AS (SELECT source, list(value ORDER BY rank) FILTER (WHERE dimension = 'component') AS comps,
+      list(value ORDER BY rank) FILTER (WHERE dimension = 'request_id') AS reqs,
+      list(value ORDER BY rank) FILTER (WHERE dimension = 'thread_name') AS thr FROM fv GROUP BY source),
+  tl AS (SELECT source, list({{'timestamp': "timestamp", 'message': message, 'source': level}} ORDER BY rank) AS items
+    FROM ({TIMELINE}) GROUP BY source)
+SELECT r.source, CAST(to_json({{'source': r.source, 'executive_summary': r.executive_summary[1],
+    'log_overview': {{'time_range': r.time_range, 'total_lines_processed': r.total_lines,
+      'log_levels_observed': CASE WHEN levels_txt = '' THEN [] ELSE string_split(levels_txt, ', ') END,
+      'major_components': coalesce(f.comps, []), 'request_identifiers': coalesce(f.reqs, []),
+      'thread_names': coalesce(f.thr, [])}},
+    'timeline': coalesce(t.items, []), 'error_analysis': coalesce(e.items, []), 'warning_analysis': coalesce(w.items, []),
+    'pattern_detection': r.pattern_detection, 'anomalies': r.anomalies,
+    'likely_root_cause': {{'observed_facts': r.observed_facts, 'possible_causes': r.possible_causes,
+      'assumptions': r.assumptions}},
+    'recommendations': r.recommendations, 'interesting_log_snippets': r.interesting_log_snippets,
+    'analysis_source': 'static_fallback'}}) AS VARCHAR) AS json
+FROM r2 r LEFT JOIN fvl f USING (source) LEFT JOIN tl t USING (source) LEFT JOIN err_list e USING (source)
+LEFT JOIN warn_list w USING (source)"""
+
+
+ADMISSION = f"""SELECT source AS folder, 'admitted' AS status, '' AS reason,
+  CAST(sum(octet_length(encode(raw_line)) + 1) AS BIGINT) AS bytes
+FROM lines GROUP BY source
+UNION ALL SELECT 'json', 'rejected', {q("unsupported file type '.json'")}, 0"""
+
+
 _RESP = """CASE doc_id % 6
       WHEN 0 THEN 'Here is the report:' || chr(10) || '```json' || chr(10) || '{' || summ || ', ' || ov || ', ' || grp
                   || n || '}]}' || chr(10) || '```'
@@ -560,4 +605,6 @@ FROM entries WHERE entry_type IN ('exception', 'stack_trace')"""),
     "report_sections_doc": with_doc(report_sections_sql()),
     "model_choice": MODEL_CHOICE,
     "evidence_bundle": with_ev(EVIDENCE_BUNDLE),
+    "report_json": with_ev(report_json_sql()),
+    "admission": with_ev_files(ADMISSION),
 }

@@ -58,6 +58,21 @@ def q_file_scan(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_entries(e.withColumn("source", src))
 
 
+def q_admission(spark: SparkSession, sf: str) -> DataFrame:
+    """Admission audit over the EV corpus as text files next to a JSON copy of the events (not a log)."""
+    from logfold.sources.admission import admission_audit
+    from logfold.sources.corpus import table, write_event_log_files
+
+    path = write_event_log_files(spark, sf)
+    table(spark, sf, "events").write.json(f"{path}-json")
+    audit = admission_audit(spark, [path, f"{path}-jso?"])  # the second as a glob
+    folder = F.concat(F.regexp_extract("path", r"source=([^/]+)/", 1), F.lit("#"), F.regexp_extract("path", r"chunk=([0-9]+)/", 1))
+    admitted = F.col("status") == "admitted"
+    return audit.groupBy(F.when(admitted, folder).otherwise(F.lit("json")).alias("folder"), "status",
+                         F.coalesce("reason", F.lit("")).alias("reason")).agg(
+        F.sum(F.when(admitted, F.col("size")).otherwise(F.lit(0))).alias("bytes"))
+
+
 def q_line_numbering(spark: SparkSession, sf: str) -> DataFrame:
     return doc_entries(spark, sf).select("source", "line_number", "raw")
 
@@ -277,4 +292,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evidence_bundle": q_evidence_bundle,
     "prompt": q_prompt,
     "report_json": q_report_json,
+    "admission": q_admission,
 }

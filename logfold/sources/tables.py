@@ -31,15 +31,21 @@ def entries_from_lines(lines: DataFrame, order: str = "line_number") -> DataFram
     """Parse rows ``(source, <order>, raw_line)`` where ``order`` gives file order.
 
     Line numbers are rebuilt as 1..n by ``order`` within each source (blank
-    lines counted), so ``order`` may be any increasing key, e.g. an event id.
+    lines counted).  ``line_number`` is taken to be dense, so its blocks are
+    fixed ranges of it.  Any other key (event ids, microseconds) may be sparse
+    or uneven: its blocks are the partitions of a range sort by (source, key),
+    which hold about as many lines each whatever the key looks like.  The key
+    must be unique within a source; lines with equal keys stay in one block, in
+    any order.
     """
-    with_block = lines.withColumn("block", F.floor(F.col(order) / F.lit(BLOCK_LINES)).cast("bigint"))
-    if order == "line_number":
-        with_block = with_block.withColumnRenamed("line_number", "_given_line")
-        order = "_given_line"
-    parsed = parse_lines(with_block)
-    out = sequence_entries(parsed, order=[order])
-    return out.drop("_given_line") if order == "_given_line" else out
+    if order != "line_number":
+        # Written once by sequence_entries, so the partition numbers are those of one sort.
+        n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = lines.repartitionByRange(n, "source", order).withColumn("block", F.spark_partition_id().cast("bigint"))
+        return sequence_entries(parse_lines(ranged), order=[order])
+    dense = lines.withColumn("block", F.floor(F.col(order) / F.lit(BLOCK_LINES)).cast("bigint"))
+    parsed = parse_lines(dense.withColumnRenamed("line_number", "_given_line"))
+    return sequence_entries(parsed, order=["_given_line"]).drop("_given_line")
 
 
 def entries_from_text_column(df: DataFrame, source: Column | str, text: Column | str) -> DataFrame:

@@ -24,6 +24,7 @@ from logfold.operators.parse import parse_lines
 from logfold.plans.analysis import result_json, static_result
 from logfold.session import ensure_checkpoint_dir
 from logfold.sources.text_files import extension_glob, parse_extensions
+from logfold.staging import staging_run
 
 
 def stream_lines(spark: SparkSession, directory: str,
@@ -67,10 +68,10 @@ def start_file_reports(spark: SparkSession, directory: str, output_path: str,
         checkpoint_location = base.rstrip("/") + f"/logfold-streams/{hashlib.sha256(output_path.encode()).hexdigest()[:16]}"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        entries = batch_entries(batch)
-        result = static_result(entries)
-        (result_json(result, include_source=True).select("json")
-         .write.mode("overwrite").text(f"{output_path.rstrip('/')}/batch_id={batch_id}"))  # a retried batch replaces itself
+        with staging_run(batch.sparkSession):
+            result = static_result(batch_entries(batch))
+            (result_json(result, include_source=True).select("json")
+             .write.mode("overwrite").text(f"{output_path.rstrip('/')}/batch_id={batch_id}"))  # a retried batch replaces itself
 
     writer = (
         stream_lines(spark, directory, extensions).writeStream

@@ -173,3 +173,53 @@ def test_every_group_is_in_the_report(spark, lines_df):
     lines = [f"2024-01-01 10:00:00 ERROR failure number x{i}y" for i in range(1500)]
     r = report_table(entries_from_lines(lines_df(lines))).first()
     assert len(r.error_analysis) == r.error_group_count > 1000
+
+
+def test_audit_agrees_with_the_scan(spark, tmp_path):
+    """Globs, hidden folders, zero-length files and suffixes: the audit admits what the scan reads."""
+    from logfold.sources.text_files import read_log_entries
+
+    line = "2024-01-01 10:00:00 ERROR boom\n"
+    for name in ("a.log", "b.LOG", "sub/c.log", "_temporary/h.log", ".hid/h.log", "x.log.gz", "odd [1].log"):
+        f = tmp_path / name
+        f.parent.mkdir(exist_ok=True)
+        f.write_text(line)
+    (tmp_path / "x.log.gz").unlink()
+    (tmp_path / "notes.md").write_text("x")
+    (tmp_path / "empty.log").write_text("")
+    audit = admission_audit(spark, str(tmp_path)).collect()
+    admitted = {r.path for r in audit if r.status == "admitted"}
+    read = {r.source for r in read_log_entries(spark, str(tmp_path)).select("source").distinct().collect()}
+    assert admitted == read | {p for p in admitted if p.endswith("/empty.log")} and len(admitted) == 5
+    assert {(r.path.rsplit("/", 1)[-1], r.status, r.reason) for r in audit if r.status != "admitted"} == {
+        ("notes.md", "rejected", "unsupported file type '.md'")}
+    reports = analyze_files(spark, [f"{tmp_path}/*.log", f"{tmp_path}/none-*.log"]).select("source", "executive_summary").collect()
+    assert sorted(r.source.rsplit("/", 1)[-1] for r in reports) == ["a.log", "empty.log", "odd%20%5B1%5D.log"]
+    gone = admission_audit(spark, [f"{tmp_path}/none-*.log"]).collect()
+    assert [(r.path.rsplit("/", 1)[-1], r.status) for r in gone] == [("none-*.log", "missing")]
+
+
+def test_null_source_has_a_whole_report(spark, lines_df):
+    from pyspark.sql import functions as F
+
+    from logfold.operators.report import report_sections, report_table
+    from logfold.sources.tables import entries_from_lines
+
+    lines = (FIXTURES / "sample_incident.log").read_text().splitlines()
+    named = report_table(entries_from_lines(lines_df(lines, "a")))
+    unnamed = report_table(entries_from_lines(lines_df(lines, "a").withColumn("source", F.lit(None).cast("string"))))
+    assert [tuple(r)[1:] for r in unnamed.collect()] == [tuple(r)[1:] for r in named.collect()]
+    assert report_sections(unnamed).count() == report_sections(named).count() > 0
+
+
+def test_short_labels_match_in_every_block(spark, lines_df, monkeypatch):
+    """A short label that begins longer messages: the first entry wins, however the groups are cut."""
+    import logfold.operators.snippets as S
+    from logfold.sources.tables import entries_from_lines
+
+    lines = [f"2024-01-01 10:00:0{i % 10} ERROR boom{'' if i >= 7 else f' early {i}'}" for i in range(12)]
+    entries = entries_from_lines(lines_df(lines))
+    want = [tuple(r) for r in S.snippets(entries).orderBy("rank").collect()]
+    assert want[0][2] == lines[0]
+    monkeypatch.setattr(S, "SNIPPET_BLOCK", 2)
+    assert [tuple(r) for r in S.snippets(entries).orderBy("rank").collect()] == want

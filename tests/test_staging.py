@@ -36,3 +36,15 @@ def test_no_local_fallback_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="shared folder"):
         ensure_checkpoint_dir(Session())
+
+
+def test_run_removes_only_its_own_tables(spark, tmp_path):
+    from logfold.staging import staging_run
+
+    base = str(tmp_path / "shared")
+    other = stage(spark.range(3), "other", base=base)
+    with staging_run(spark, base) as folder:
+        own = stage(spark.range(5), "own")
+        assert own.count() == 5 and folder in own.inputFiles()[0]
+    assert other.count() == 3
+    assert [p.name[:5] for p in (tmp_path / "shared" / "logfold").iterdir()] == ["other"]
