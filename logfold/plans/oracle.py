@@ -193,6 +193,24 @@ def _ev_lines_cte(chunk: int | None = None) -> str:
     SELECT source, row_number() OVER (PARTITION BY source ORDER BY event_id) AS line_number, raw_line FROM ev_raw)"""
 
 
+def _branch_lines_cte() -> str:
+    e, u, t = "CAST(event_id AS VARCHAR)", "CAST(user_id AS VARCHAR)", "substr(CAST(ts AS VARCHAR), 1, 19)"
+    return f"""branch_raw AS (SELECT 'gen-' || CAST(user_id % 8 AS VARCHAR) AS source, event_id, CASE event_id % 10
+      WHEN 0 THEN {t} || ' FATAL disk lost T:trace' || {e} || ' halted'
+      WHEN 1 THEN '[core] CRITICAL: quota of tenant ' || {u} || ' exceeded'
+      WHEN 2 THEN {t} || ' ERROR [Thread-' || CAST(user_id % 4 AS VARCHAR) || '] queue full'
+      WHEN 3 THEN {t} || ' INFO AuditLogger rotated file ' || {e}
+      WHEN 4 THEN {t} || ' WARN R:req' || {u} || ' slow answer'
+      WHEN 5 THEN {t} || ' DEBUG job 0f8fad5b-d9cb-469f-a165-70867728' || lpad(CAST(user_id % 10000 AS VARCHAR), 4, '0') || ' ended'
+      WHEN 6 THEN 'Caused by: java.io.IOException: stream ' || {u} || ' closed'
+      WHEN 7 THEN {t} || ' INFO session-id=s' || {e} || ' thread name: worker' || CAST(user_id % 5 AS VARCHAR) || ' opened'
+      WHEN 8 THEN {t} || ' [hystrix-' || CAST(user_id % 3 AS VARCHAR) || '] TRACE trace_id=t' || {u} || ' step'
+      ELSE {t} || ' INFO ' || ['Service', 'Component', 'Controller', 'Worker', 'Scheduler', 'DB', 'Cache', 'API'][
+        CAST(user_id % 8 AS INTEGER) + 1] || '=unit' || CAST(user_id % 6 AS VARCHAR) || ' REQ-' || {e} || ' served' END AS raw_line FROM events),
+  lines AS (
+    SELECT source, row_number() OVER (PARTITION BY source ORDER BY event_id) AS line_number, raw_line FROM branch_raw)"""
+
+
 def _doc_lines_cte() -> str:
     return f"""doc_split AS (
     SELECT CAST(doc_id AS VARCHAR) AS source, string_split_regex(coalesce(text, ''), {q(SEP)}) AS parts FROM documents),
@@ -271,6 +289,10 @@ def with_ev_files(body: str) -> str:
     return f"WITH {_ev_lines_cte(EV_FILE_CHUNK)},\n  {_parse_ctes()}\n{body}"
 
 
+def with_branches(body: str) -> str:
+    return f"WITH {_branch_lines_cte()},\n  {_parse_ctes()}\n{body}"
+
+
 def with_doc(body: str) -> str:
     return f"WITH {_doc_lines_cte()},\n  {_parse_ctes()}\n{body}"
 
@@ -580,6 +602,7 @@ FROM v"""
 ORACLES: dict[str, str] = {
     "parse_fields": with_ev(FLAT_ENTRIES),
     "parse_fields_doc": with_doc(FLAT_ENTRIES),
+    "parse_branches": with_branches(FLAT_ENTRIES),
     "line_numbering": with_doc("SELECT source, line_number, raw FROM entries"),
     "file_scan": with_ev_files(FLAT_ENTRIES),
     "access_lines": with_ev(f"""SELECT source, line_number, client_ip, http_status, {iso('ts_val')} AS ts, message

@@ -18,7 +18,7 @@ from logfold.operators.evidence import evidence_lines
 from logfold.operators.ranking import timeline
 from logfold.operators.report import report_sections, report_table, signal_columns
 from logfold.operators.snippets import snippets
-from logfold.sources.corpus import doc_entries, ev_entries
+from logfold.sources.corpus import branch_entries, doc_entries, ev_entries
 from logfold.staging import stage
 
 ENTRY_OUT = (
@@ -42,6 +42,10 @@ def q_parse_fields_doc(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_entries(doc_entries(spark, sf))
 
 
+def q_parse_branches(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat_entries(branch_entries(spark, sf))
+
+
 def q_file_scan(spark: SparkSession, sf: str) -> DataFrame:
     """EV corpus written as text files, then read back through the file source.
 
@@ -268,6 +272,7 @@ def q_prompt(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_fields": q_parse_fields,
     "parse_fields_doc": q_parse_fields_doc,
+    "parse_branches": q_parse_branches,
     "line_numbering": q_line_numbering,
     "file_scan": q_file_scan,
     "access_lines": q_access_lines,

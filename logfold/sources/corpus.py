@@ -29,6 +29,9 @@ EV_MESSAGES = (
 )
 EV_LEVELS = (("error", "ERROR"), ("purchase", "WARN"), ("signup", "INFO"), ("view", "INFO"), ("click", "DEBUG"))
 
+# FIXED VALUES: the component words of the branch shapes.
+BRANCH_COMPONENTS = ("Service", "Component", "Controller", "Worker", "Scheduler", "DB", "Cache", "API")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,6 +78,38 @@ def event_lines(events: DataFrame) -> DataFrame:
     )
 
 
+def branch_lines(events: DataFrame) -> DataFrame:
+    """``(source, event_id, raw_line)``: ten generic shapes for the extractor branches the EV shapes do not reach.
+
+    Fatal and critical levels, ``[x] LEVEL:`` prefixes, bracketed threads, bare
+    logger words, ``T:`` and ``R:`` marks, session and trace keys, UUIDs,
+    ``Caused by:`` lines and every component word.
+    """
+    e, u = F.col("event_id").cast("string"), F.col("user_id")
+    us, t19 = u.cast("string"), F.substring(F.col("ts").cast("string"), 1, 19)
+    word = F.element_at(F.array(*[F.lit(w) for w in BRANCH_COMPONENTS]), (u % len(BRANCH_COMPONENTS) + 1).cast("int"))
+    shapes = [
+        (t19, " FATAL disk lost T:trace", e, " halted"),
+        ("[core] CRITICAL: quota of tenant ", us, " exceeded"),
+        (t19, " ERROR [Thread-", (u % 4).cast("string"), "] queue full"),
+        (t19, " INFO AuditLogger rotated file ", e),
+        (t19, " WARN R:req", us, " slow answer"),
+        (t19, " DEBUG job 0f8fad5b-d9cb-469f-a165-70867728", F.lpad((u % 10000).cast("string"), 4, "0"), " ended"),
+        ("Caused by: java.io.IOException: stream ", us, " closed"),
+        (t19, " INFO session-id=s", e, " thread name: worker", (u % 5).cast("string"), " opened"),
+        (t19, " [hystrix-", (u % 3).cast("string"), "] TRACE trace_id=t", us, " step"),
+        (t19, " INFO ", word, "=unit", (u % 6).cast("string"), " REQ-", e, " served"),
+    ]
+    lines = [F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]) for parts in shapes]
+    raw = F.element_at(F.array(*lines), (F.col("event_id") % len(lines) + 1).cast("int"))
+    return events.select(F.concat(F.lit("gen-"), (u % 8).cast("string")).alias("source"), "event_id", raw.alias("raw_line"))
+
+
+def branch_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed entries of :func:`branch_lines` (file order = event_id within source)."""
+    return entries_from_lines(branch_lines(table(spark, sf_dir, "events")), order="event_id")
+
+
 def _spread(lines: DataFrame) -> DataFrame:
     """The driver's tables are single files: deal their lines out before the parse, which is the dear step."""
     return lines.repartition(lines.sparkSession.sparkContext.defaultParallelism)
