@@ -83,7 +83,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex",
-                        F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_live", "n_example")
+                        F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "ownership",
+                        "n_live", "n_example")
 
 
 QUERIES = {

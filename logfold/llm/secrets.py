@@ -6,10 +6,11 @@ characters with letters and digits and high entropy that touch no base span.
 Every candidate and base value is hashed.  The hashes are aggregated over the
 corpus by distinct owners and distinct repositories, each in two map-side
 combined groupings, so a value copied into a third of all rows is reduced
-before any shuffle.  A value with more than ``max_owners`` owners is a widely
-copied example; the rest are owner-specific and look live.  Base spans always
-stay; a further candidate becomes a span (kind ``entropy``) only if it is
-owner-specific.
+before any shuffle.  A value with more than ``max_owners`` owners, or in more
+than ``max_repos`` repositories, is a widely copied example; the rest are
+owner-specific and look live.  Base spans always stay; a further candidate
+becomes a span (kind ``entropy``) only if it is owner-specific.  Both counts of
+every value are returned beside its place (``ownership``).
 
 Defined results: a null text is empty and has no spans; an empty span list
 gives the hash of the empty string; null owners or repositories count as one
@@ -34,6 +35,8 @@ from logfold.staging import stage
 
 KINDS = ("assign", "access", "hex", "entropy")
 MAX_OWNERS = 2
+#: A live value may occur in some versions and files of its owner; above this it is an example that one owner repeats.
+MAX_REPOS = 100
 MIN_ENTROPY = 3.5
 MASK = "[secret]"
 
@@ -117,14 +120,15 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return owners.join(repos, "hash")
 
 
-def _judged(scanned: DataFrame, max_owners: int) -> DataFrame:
-    """(row, live_more, n_live, n_example) of the rows that hold any value."""
+def _judged(scanned: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+    """(row, live_more, counted, n_live, n_example) of the rows that hold any value."""
     some = scanned.where((F.size("base") > 0) | (F.size("more") > 0))
     values = some.select("row", F.explode(F.concat("base", "more")).alias("s"))
     freq = stage(ownership(scanned), "secrets-owners")
-    live = F.col("owners") <= max_owners
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
     return values.select("row", "s", F.col("s.hash").alias("hash")).join(freq, "hash").groupBy("row").agg(
         F.array_sort(F.collect_list(F.when(live & (F.col("s.kind") == 3), F.struct("s.start", "s.kind", "s.end")))).alias("live_more"),
+        F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.end", "owners", "repos"))).alias("counted"),
         F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_example"))
 
 
@@ -135,21 +139,25 @@ def _merged() -> Column:
     return F.array_sort(F.concat(base, F.coalesce("live_more", none)))
 
 
-def _text(spans: Column) -> Column:
+def _text(spans: Column, *further: str) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
-        ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+        ":", F.get(names, s["kind"]), *[s[c].cast("string") for c in ("start", "end", *further)])), ",")
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(id, n_assign, n_access, n_hex, base_spans, spans, n_live, n_example) of every row."""
+                 repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """(id, n_assign, n_access, n_hex, base_spans, spans, ownership, n_live, n_example) of every row.
+
+    ``ownership`` has every base value and candidate as kind:start:end:owners:repositories.
+    """
     scanned = _scanned(docs, text_col, [F.col(id_col).cast("long").alias("id"), F.col(owner_col).cast("string").alias("owner"),
                                         F.col(repo_col).cast("string").alias("repo")])
-    done = scanned.join(_judged(scanned, max_owners), "row", "left")
+    done = scanned.join(_judged(scanned, max_owners, max_repos), "row", "left")
     kinds = F.transform("base", lambda s: s["kind"])
     count = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return done.select("id", *count, _text(F.col("base")).alias("base_spans"), _text(_merged()).alias("spans"),
+                       F.coalesce(_text(F.col("counted"), "owners", "repos"), F.lit("")).alias("ownership"),
                        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
 
 
@@ -166,11 +174,11 @@ def mask(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id",
-           length_col: str | None = "n_chars", max_owners: int = MAX_OWNERS) -> DataFrame:
+           length_col: str | None = "n_chars", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """``docs`` with every span masked in the text; ``length_col`` (if there is one) follows the new text."""
     scanned = _scanned(docs, text_col, [
         F.struct("*").alias("doc"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo")])
-    judged = _judged(scanned, max_owners).where(F.size("live_more") > 0).select("row", "live_more")
+    judged = _judged(scanned, max_owners, max_repos).where(F.size("live_more") > 0).select("row", "live_more")
     # Only rows with a further candidate can gain spans; the others keep their base spans.
     open_rows = scanned.where(F.size("more") > 0).join(judged, "row", "left").select("doc", _merged().alias("spans"))
     rest = scanned.where(F.size("more") == 0).withColumn("live_more", F.lit(None)).select("doc", _merged().alias("spans"))

@@ -72,3 +72,19 @@ def test_hot_value_in_many_rows(spark):
     rows = secrets.find_secrets(df).collect()
     assert {(r.n_example, r.spans) for r in rows} == {(1, "assign:0:18")} and len(rows) == 2000
     assert hashlib.sha256(b"").hexdigest()[:8] == "e3b0c442"
+
+
+def test_copies_of_one_owner_are_examples(spark):
+    key, copied = "ghpA1b2C3d4E5f6G7h8I9j0KLmn", "sampleX9y8Z7w6V5u4T3s2R1q0"
+    rows = [(k, f"the {copied} of the manual", "hot") for k in range(3000)]
+    rows += [(5000 + k, f"see {key} here", "hot") for k in range(secrets.MAX_REPOS)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.id: r for r in secrets.find_secrets(df).collect()}
+    assert {(found[k].spans, found[k].n_live, found[k].n_example) for k in range(3000)} == {("", 0, 1)}
+    assert found[0].ownership == f"entropy:4:{4 + len(copied)}:1:3000"
+    assert found[5000].n_live == 1 and found[5000].spans == f"entropy:4:{4 + len(key)}"
+    assert found[5000].ownership == f"entropy:4:{4 + len(key)}:1:{secrets.MAX_REPOS}"
+    wider = secrets.find_secrets(df, max_repos=3000).where("id = 0").first()
+    assert wider.spans == f"entropy:4:{4 + len(copied)}" and wider.n_live == 1
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert copied in out[0] and out[5000] == "see [secret] here"
