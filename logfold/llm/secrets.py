@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Pass 1 (Arrow, whole texts) finds the base spans (assignments, access keys,
-hexadecimal keys) and further candidates: maximal runs of 20 or more key
-characters with letters and digits and high entropy that touch no base span.
+hexadecimal keys) and further candidates: 20 or more key characters in a row
+with letters and digits and high entropy, where the base spans end a run (what
+a maximal run has before, between and after them are candidates of their own).
 Every candidate and base value is hashed.  The hashes are aggregated over the
 corpus by distinct owners and distinct repositories, each in two map-side
 combined groupings, so a value copied into a third of all rows is reduced
@@ -38,12 +39,13 @@ MAX_OWNERS = 2
 #: A live value may occur in some versions and files of its owner; above this it is an example that one owner repeats.
 MAX_REPOS = 100
 MIN_ENTROPY = 3.5
+MIN_RUN = 20
 MASK = "[secret]"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # equals dropping maximal runs of fewer than 24
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_RUN},}}")
 _WORDS = ("password", "passwd", "secret", "token", "api")
 
 
@@ -64,17 +66,21 @@ def _entropy(s: str) -> float:
 
 
 def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Key-like runs that touch no base span, in the same form."""
+    """Key-like runs, cut at the base spans, in the same form."""
     out, k = [], 0
-    by_end = sorted((s, e) for s, _, e, _ in base)
-    reach = 0
+    by_start = sorted((s, e) for s, _, e, _ in base)
+    reach = 0  # end of the base spans so far
     for m in _RUN.finditer(text):
-        while k < len(by_end) and by_end[k][0] < m.end():
-            reach = max(reach, by_end[k][1])
+        parts, at = [], m.start()
+        while k < len(by_start) and by_start[k][0] < m.end():
+            at = max(at, reach)
+            parts.append((at, by_start[k][0]))
+            reach = max(reach, by_start[k][1])
             k += 1
-        v = m[0]
-        if reach <= m.start() and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and _entropy(v) >= MIN_ENTROPY:
-            out.append((m.start(), 3, m.end(), v))
+        for start, end in [*parts, (max(at, reach), m.end())]:
+            v = text[start:end]
+            if end - start >= MIN_RUN and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and _entropy(v) >= MIN_ENTROPY:
+                out.append((start, 3, end, v))
     return out
 
 
