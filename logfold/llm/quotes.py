@@ -3,8 +3,9 @@
 1. An Arrow pass parses every whole message into lines with nested quote
    levels (the number of leading ``>``), separates its own text from the quoted
    passages (runs of lines of one level) and from attribution lines, and hashes
-   the normalised passages (lower case, single spaces): a quoted run as a whole
-   and each of its lines; of the own text the whole, each paragraph and line.
+   the normalised passages (lower case, single spaces): of a quoted run and of
+   the own text alike the whole, each paragraph and each line.  Paragraphs end
+   at blank lines; those of the own text also where a quote comes between.
 2. The earliest message of a conversation that holds a passage is its original
    (one map-side combined grouping).  Quoted passages join originals on
    (conversation, hash); at most one original each, so nothing multiplies.
@@ -46,13 +47,17 @@ def _hash(passage: str) -> bytes:
     return hashlib.sha256(passage.encode("utf-8", "surrogatepass")).digest()
 
 
+def _paragraphs(text: str) -> list[str]:
+    return re.split(r"\n\s*\n", text)
+
+
 def parse_message(text: str) -> tuple[str, list[bytes], list[tuple[int, int, int, bytes]], int]:
     """(own text, hashes of own passages, (run, level, characters, hash) of quoted ones, quoted runs)."""
     lines = []
     for line in text.split("\n"):
         m = _QUOTE.match(line)
         lines.append((m[0].count(">") if m else 0, line[m.end():] if m else line))
-    own, runs = [], []
+    own, parts, runs = [], [[]], []
     for k, (level, line) in enumerate(lines):
         ahead = next((v for v, s in lines[k + 1:k + 3] if v or s.strip()), 0)
         if level:
@@ -61,13 +66,17 @@ def parse_message(text: str) -> tuple[str, list[bytes], list[tuple[int, int, int
                 runs[-1][2] = k
             else:
                 runs.append([level, [line], k])
+            if parts[-1]:
+                parts.append([])
         elif not (ahead and _ATTRIBUTION.fullmatch(line)):
             own.append(line)
+            parts[-1].append(line)
     body = "\n".join(own).strip("\n") if runs else text
-    passages = {normalise(x) for x in (body, *re.split(r"\n\s*\n", body), *body.split("\n"))} - {""}
+    between = [x for part in parts for x in _paragraphs("\n".join(part))]
+    passages = {normalise(x) for x in (body, *_paragraphs(body), *between, *body.split("\n"))} - {""}
     quoted = []
     for r, (level, part, _) in enumerate(runs):
-        for p in {normalise(x) for x in (" ".join(part), *part)} - {""}:
+        for p in {normalise(x) for x in (" ".join(part), *_paragraphs("\n".join(part)), *part)} - {""}:
             quoted.append((r, level, len(p), _hash(p)))
     return body, [_hash(p) for p in sorted(passages)], sorted(quoted), len(runs)
 

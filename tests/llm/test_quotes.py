@@ -59,3 +59,20 @@ def test_messages_without_quotes_keep_their_text(spark, sf):
     got = quotes.reply_ordered(df)
     assert got.select("conv_id", "turn", "role", "text").exceptAll(df.select("conv_id", "turn", "role", "text")).count() == 0
     assert got.where("position <> turn").count() == 0
+
+
+def test_rewrapped_quote_of_some_paragraphs(spark):
+    first = "The first paragraph is\nwritten in two lines.\n\nThe second one has a\nline break elsewhere.\n\nThe third is never quoted."
+    reply = "> The first paragraph\n> is written\n> in two lines.\n>\n> The second one\n> has a line break elsewhere.\n\nI agree.\nWholly."
+    nested = "> > The second one has\n> > a line break\n> > elsewhere.\n> >\n> > never said\n>\n> I agree. Wholly.\n\nSo do I\n> hm\nin part"
+    rows = [(1, 0, "u", first), (1, 1, "u", "Between."), (1, 2, "u", reply), (1, 3, "u", nested),
+            (1, 4, "u", "> The second one has a line\n> break, says nobody\n>\n> nor this\nNo link."),
+            (1, 5, "u", "> So do\n> I\n>\n> something else\nA part between quotes.")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in quotes.reply_ordered(df).collect()}
+    assert got[2].parent_turn == 0 and got[2].thread_turn == 0 and got[2].n_linked == got[2].n_quotes == 1
+    assert got[3].parent_turn == 2 and got[3].thread_turn == 0 and got[3].n_linked == 2
+    assert got[4].parent_turn is None and got[5].parent_turn == 3
+    assert [r.turn for r in sorted(got.values(), key=lambda r: r.position)] == [0, 2, 3, 5, 1, 4]
+    passages = quotes.parse_message(reply)[2]
+    assert quotes._hash("the second one has a line break elsewhere.") in {h for *_, h in passages}
