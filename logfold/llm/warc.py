@@ -17,7 +17,11 @@ source, for archives in a store that only Spark reaches.  Both load the
 dictionary from the leading frame and check each record: version line, header
 syntax, Content-Length against the block, the record's closing, frame end,
 and the payload digest.  A faulty record is a row with its ``error``; records
-after it in the archive are still read while frames can be found.
+after it in the archive are still read while frames can be found.  After a
+damaged frame reading goes on where its block headers say that it ends, if a
+frame or the end of the archive is there, or else at the next frame magic that
+starts a sound frame or a damaged one with a known end; what lies between
+gives no further row.
 
 Defined results: a null payload is empty; a null URL leaves out the target
 header and line ends in a URL are written as %0D and %0A; a null id is kept as null; records with equal payloads under the
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -50,6 +55,10 @@ DICT_SAMPLE_BYTES = 2 << 20
 MIN_REVISIT_BYTES = 100
 LEVEL = 3
 _READ = 1 << 18
+_FRAME = b"\x28\xb5\x2f\xfd"
+_MAGIC = re.compile(rb"\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18")
+_BLOCK_BYTES = 128 << 10  # bound of the format
+_LOST_SKIP_BYTES = 1 << 20  # in a search for the next frame, larger skippable frames are searched through
 _FIELDS = ["page_id", "record_type", "url", "payload", "payload_bytes", "payload_digest", "refers_to", "error"]
 
 
@@ -160,49 +169,119 @@ class ArchiveWriter:
         return self.out.getvalue()
 
 
+class _Ahead:
+    """The bytes of a stream that come next, read as they are asked for."""
+
+    def __init__(self, stream: io.RawIOBase) -> None:
+        self.stream, self.held = stream, b""
+
+    def reach(self, n: int) -> bool:
+        """Whether n more bytes are there; they are held then."""
+        if len(self.held) < n:
+            parts, size = [self.held], len(self.held)
+            while size < n and (more := self.stream.read(_READ)):
+                parts.append(more)
+                size += len(more)
+            self.held = b"".join(parts)
+        return len(self.held) >= n
+
+    def drop(self, n: int) -> None:
+        self.held = self.held[n:]
+
+    def is_boundary(self, at: int) -> bool:
+        """Whether a frame starts, or the stream ends, at this place."""
+        return bool(_MAGIC.match(self.held, at)) if self.reach(at + 4) else len(self.held) == at
+
+    def seek_magic(self) -> bool:
+        """Drop what comes before the next frame magic; False if there is none."""
+        while not (m := _MAGIC.search(self.held)):
+            if not (more := self.stream.read(_READ)):
+                return False
+            self.held = self.held[-3:] + more
+        self.drop(m.start())
+        return True
+
+
+def _frame_end(ahead: _Ahead) -> int | None:
+    """Length of the frame that comes next by its header and block headers; None unless a boundary follows."""
+    if not ahead.reach(5) or ahead.held[:4] != _FRAME:
+        return None
+    flags = ahead.held[4]
+    single = flags >> 5 & 1
+    at = 5 + (1 - single) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6]
+    while ahead.reach(at + 3):
+        block = int.from_bytes(ahead.held[at:at + 3], "little")
+        last, kind, size = block & 1, block >> 1 & 3, block >> 3
+        if kind == 3 or size > _BLOCK_BYTES:
+            return None
+        at += 3 + (1 if kind == 1 else size)
+        if last:
+            at += 4 * (flags >> 2 & 1)
+            return at if ahead.is_boundary(at) else None
+    return None
+
+
 def read_frames(stream: io.RawIOBase) -> Iterator[bytes | ValueError]:
-    """The content of each frame of an archive, one at a time; an error ends the archive unless the next frame is known."""
+    """The content of each frame of an archive, one at a time; one error for each damaged frame, then the frames after it."""
     import zstandard
 
-    def exactly(n: int) -> bytes:
-        nonlocal held
-        while len(held) < n and (more := stream.read(_READ)):
-            held += more
-        got, held = held[:n], held[n:]
-        return got
-
-    held, dictionary, first = b"", None, True
-    while head := exactly(4):
-        magic = int.from_bytes(head, "little")
+    ahead, dictionary, first = _Ahead(stream), None, True
+    lost = False  # after an error row, while no frame has been found yet
+    while ahead.reach(1):
+        if lost and not ahead.seek_magic():
+            return
+        magic = int.from_bytes(ahead.held[:4], "little") if ahead.reach(4) else 0
         if magic in SKIP_MAGICS:
-            size = exactly(4)
-            data = exactly(int.from_bytes(size, "little"))
-            if len(size) < 4 or len(data) < int.from_bytes(size, "little"):
-                yield ValueError("skippable frame is cut off")
-                return
-            if first and magic == DICT_MAGIC:
-                if data[:4] == b"\x28\xb5\x2f\xfd":  # the dictionary may itself be compressed
-                    data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
-                dictionary = zstandard.ZstdCompressionDict(data)
+            size = int.from_bytes(ahead.held[4:8], "little") if ahead.reach(8) else 0
+            whole = len(ahead.held) >= 8 and (size <= _LOST_SKIP_BYTES or not lost) and ahead.reach(8 + size)
+            error = None if whole else "skippable frame is cut off"
+            if whole and first and magic == DICT_MAGIC:
+                try:
+                    data = ahead.held[8:8 + size]
+                    if data[:4] == _FRAME:  # the dictionary may itself be compressed
+                        data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+                    dictionary = zstandard.ZstdCompressionDict(data)
+                except zstandard.ZstdError as e:
+                    error = f"bad dictionary: {e}"
             first = False
+            sure = whole and ahead.is_boundary(8 + size)
+            if not lost and not sure:
+                error = error or "no frame follows the skippable frame"
+            if error and not lost:
+                yield ValueError(error)
+            ahead.drop(8 + size if sure else 4)  # a wrong size must not hide the frames that follow
+            lost = not sure
             continue
         first = False
-        frame = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
-        parts, data = [], head + held
-        held = b""
+        data, raw, parts, error = ahead.held, [], [], None
+        ahead.held = b""
         try:
+            frame = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
             while True:
+                raw.append(data)
                 parts.append(frame.decompress(data))
                 if frame.eof:
-                    held = frame.unused_data
                     break
                 if not (data := stream.read(_READ)):
-                    yield ValueError("frame is cut off")
-                    return
+                    error = "frame is cut off"
+                    break
         except zstandard.ZstdError as e:
-            yield ValueError(f"bad frame: {e}")
-            return
-        yield b"".join(parts)
+            error = f"bad frame: {e}"
+        if error is None:
+            ahead.held, content = frame.unused_data, b"".join(parts)
+            if not lost or content.startswith(b"WARC/") or ahead.is_boundary(0):
+                lost = False
+                yield content
+                continue
+            ahead.held = b"".join(raw) + ahead.held[len(frame.unused_data):]
+        else:
+            ahead.held = b"".join(raw)
+        # In a search a frame without a known end is no frame: these are bytes of the damaged one.
+        end = _frame_end(ahead) if error else None
+        if error and (end or not lost):
+            yield ValueError(error)
+        lost = end is None
+        ahead.drop(end or 1)
 
 
 def read_records(stream: io.RawIOBase) -> Iterator[dict]:

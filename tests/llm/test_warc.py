@@ -97,3 +97,67 @@ def test_faulty_records_are_named(old, new):
     assert warc.parse_record(record)["page_id"] == 1
     with pytest.raises(ValueError):
         warc.parse_record(record.replace(old, new, 1))
+
+
+def frame_starts(data):
+    """Places of the record frames of ``archive()``."""
+    import zstandard
+
+    at = 8 + int.from_bytes(data[4:8], "little")
+    made, out = zstandard.ZstdCompressionDict(data[8:at]), []
+    while at < len(data):
+        out.append(at)
+        frame = zstandard.ZstdDecompressor(dict_data=made).decompressobj()
+        frame.decompress(data[at:])
+        at = len(data) - len(frame.unused_data)
+    return out
+
+
+def damaged(data, *places):
+    out = bytearray(data)
+    for k in places:
+        out[k] ^= 0x5A
+    return bytes(out)
+
+
+def pages_and_errors(data):
+    rows = list(warc.read_records(io.BytesIO(data)))
+    return [r["page_id"] for r in rows if r["error"] is None], sum(r["error"] is not None for r in rows)
+
+
+@pytest.mark.parametrize("read", [7, 1 << 18])
+def test_records_after_a_damaged_frame_are_read(spark, monkeypatch, read):
+    monkeypatch.setattr(warc, "_READ", read)
+    data, _ = archive()
+    at = frame_starts(data)
+    assert len(at) == 30 and pages_and_errors(data) == (list(range(30)), 0)
+    rest = [k for k in range(30) if k != 12]
+    for place in (at[13] - 1, at[12], at[12] + 3, at[12] + 4, *range(at[12] + 5, at[13], 11)):  # checksum, magic, header, blocks
+        assert pages_and_errors(damaged(data, place)) == (rest, 1), place - at[12]
+    assert pages_and_errors(data[:at[12] + 20] + data[at[13]:]) == (rest, 1)
+    assert pages_and_errors(data[:at[13]] + b"junk" + data[at[13]:]) == (list(range(30)), 1)
+    two = [k for k in range(30) if k not in (12, 13)]
+    assert pages_and_errors(damaged(data, at[13] - 1, at[14] - 1)) == (two, 2)
+    assert pages_and_errors(damaged(data, at[30 - 1] + 30)) == (list(range(29)), 1)
+    # A wrong size of the leading frame spoils the dictionary, but each record still has its row.
+    assert sum(pages_and_errors(damaged(data, 7))[1:]) >= 30
+    rows = [("a", damaged(data, at[13] - 1)), ("b", data)]
+    got = warc.read_binary(spark.createDataFrame(rows, "path string, content binary")).collect()
+    assert [sum(r.path == p and r.error is None for r in got) for p in "ab"] == [29, 30]
+
+
+def test_frames_inside_a_damaged_frame_are_no_records():
+    import os
+
+    import zstandard
+
+    inner = zstandard.ZstdCompressor(write_checksum=True).compress(b"not a record")
+    w = warc.ArchiveWriter()
+    for i in range(3):
+        data = os.urandom(3000) + inner + os.urandom(3000)
+        w.add(warc.build_record(i, "http://x", data, hashlib.sha256(data).hexdigest(), None, False))
+    data = w.finish()
+    middle = data.index(b"\x28\xb5\x2f\xfd", data.index(inner) + len(inner))
+    assert inner in data and pages_and_errors(data) == ([0, 1, 2], 0)
+    assert pages_and_errors(damaged(data, middle)) == ([0, 2], 1)
+    assert pages_and_errors(damaged(data, middle + 900)) == ([0, 2], 1)
