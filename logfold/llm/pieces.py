@@ -1,8 +1,11 @@
 """SentencePiece encoding and decoding; segmentations sampled without replacement.
 
 The lattice of a text has an edge for every vocabulary piece (bytes for a
-character without one).  No usable piece crosses the start of a word, so the
-lattice is a chain of word lattices, built once per distinct word and task.
+character without one).  A word begins with all space marks before it, and
+pieces of several marks are edges within it.  No usable piece crosses the start
+of a word, so the lattice is a chain of word lattices, built once per distinct
+word and task.  A model with pieces that cross it (a mark after another
+character) has each whole text as one word.
 
 Gumbel top-k: the leaves (segmentations) of the lattice, perturbed with Gumbel
 noise, in decreasing order are samples without replacement.  The noise is drawn
@@ -39,7 +42,7 @@ SAMPLES = 2
 ALPHA = 1.0
 CACHE_WORDS = 100_000
 CACHE_CHARS = 48
-_WORDS = re.compile("▁[^▁]*|[^▁]+")
+_WORDS = re.compile("▁+[^▁]*|[^▁]+")
 
 
 class Lattice:
@@ -50,8 +53,9 @@ class Lattice:
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = sp.get_piece_size()
-        usable = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))
-                  and "▁" not in sp.id_to_piece(i)[1:]]
+        usable = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
+        crossing = any("▁" in sp.id_to_piece(i).lstrip("▁") for i in usable)
+        self.words = re.compile(".+", re.S) if crossing else _WORDS
         scores = {i: sp.get_score(i) for i in usable}
         least = min(scores.values())
         if least < -1000:  # merge ranks, not log probabilities: a Zipf law over the ranks
@@ -109,7 +113,7 @@ class Lattice:
 
     def sample(self, text: str, k: int, key: str) -> list[tuple[list[int], float, float, float]]:
         """Up to k distinct (ids, log_prob, perturbed value, inclusion score), largest perturbed value first."""
-        words = _WORDS.findall(self.sp.normalize(text)) if text else []
+        words = self.words.findall(self.sp.normalize(text)) if text else []
         tables = [self.word(w) for w in words]
         uniform, log, exp, log1p = random.Random(key).random, math.log, math.exp, math.log1p
         # Open nodes (value, order, word, position, log prob, path), the best last, at most k + 1 with the leaves.

@@ -83,3 +83,37 @@ def test_encode_and_decode_are_inverse(spark):
     assert back[1].again == "Hello wörld" and back[2].ids is None and back[2].again is None and back[3].again == ""
     with pytest.raises(ValueError):
         pieces.encode(ids, MODEL)
+
+
+def test_runs_of_spaces_have_their_pieces(lattice):
+    for text in ("a\n b", "a   b", "    ", "if x:\n        y  = 1", " " * 40):
+        every = leaves(lattice, text) if len(text) < 10 else None
+        own = tuple(lattice.sp.encode(text))
+        if every:
+            assert own in every and math.fsum(map(math.exp, every.values())) == pytest.approx(1)
+        at, tables = 0, [(w, lattice.word(w)) for w in pieces._WORDS.findall(lattice.sp.normalize(text))]
+        for word, table in tables:  # the model's own segmentation is a path
+            i = 0
+            while i < len(word):
+                j, ids = next((j, ids) for j, ids, _ in table[i] if own[at:at + len(ids)] == ids)
+                i, at = j, at + len(ids)
+        assert at == len(own)
+        got = lattice.sample(text, 2, "k")
+        assert len(got) == 2 and got[0][0] != got[1][0] and all(g[3] <= 1 for g in got)
+        assert {lattice.sp.decode(g[0]) for g in got} == {lattice.sp.decode(list(own))}
+    assert len(leaves(lattice, "   ")) == 8
+    assert len(lattice.sample(" " * 100_000, 2, "k")) == 2
+
+
+def test_pieces_across_words(tmp_path):
+    import sentencepiece
+
+    file = str(tmp_path / "across.model")
+    with open(file, "wb") as f:
+        sentencepiece.SentencePieceTrainer.train(
+            sentence_iterator=iter(["of the day in the end of the week", "in the night of the day"] * 50), model_writer=f, vocab_size=40,
+            split_by_whitespace=False, hard_vocab_limit=False, minloglevel=2)
+    lattice = pieces.Lattice(file)
+    own = lattice.sp.encode("of the day")
+    assert any("▁" in lattice.sp.id_to_piece(i).lstrip("▁") for i in own)
+    assert own in [g[0] for g in lattice.sample("of the day", 100_000, "k")]
