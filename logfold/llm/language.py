@@ -4,9 +4,12 @@
   (every other character is a space), weight (1 + ln tf) * idf, unit length.
 * Document frequencies come from all learning rows, summed by Spark.
 * Weights: follow-the-regularised-leader (FTRL-proximal) with elastic-net
-  penalties, on a sample of at most ``sample_rows`` labelled rows (chosen by
-  the hash of the id; a documented bound).  A fifth of the sample is kept out
-  of the weights and sets the temperature of the softmax.
+  penalties, on a sample of at most ``sample_rows`` labelled rows (a documented
+  bound).  Spark counts the languages; each has at least ``sample_rows`` /
+  (2 x languages) rows of the sample if it has so many, the rest goes in
+  proportion; within a language the hash of the id chooses.  A fifth of each
+  language's sample is kept out of the weights and sets the temperature of the
+  softmax.  More than ``max_languages`` languages are refused with an error.
 * Prediction reads every whole text in an Arrow pass with the broadcast
   weights, whose size is n-gram buckets x languages, both bounded.
 
@@ -25,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfold.staging import stage
@@ -145,58 +148,81 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def _quotas(counts: dict[str, int], sample_rows: int) -> dict[str, int]:
+    """Sample rows of each language: at least an equal share of half the sample, the rest in proportion."""
+    if sum(counts.values()) <= sample_rows:
+        return counts
+    least = {k: min(n, max(1, sample_rows // (2 * len(counts)))) for k, n in counts.items()}
+    rest, more = sample_rows - sum(least.values()), sum(counts.values()) - sum(least.values())
+    return {k: least[k] + rest * (n - least[k]) // more for k, n in counts.items()}
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Learn from the rows outside the held-out fold that have a text and a language; None if there are none."""
+        sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> Model | None:
+    """Learn from the rows outside the held-out fold that have a text and a language; None if there are none.
+
+    ValueError if there are more than ``max_languages`` (or ``sample_rows``) languages.
+    """
     learn = docs.where(~held_out(id_col)).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).cast("string").alias("text"))
-    cut = learn.select("h").orderBy("h").limit(sample_rows).agg(F.max("h").alias("h")).first().h
-    if cut is None:
+    bound = min(max_languages, sample_rows)
+    found = learn.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("low")).limit(bound + 1).collect()
+    if not found:
         return None
+    if len(found) > bound:
+        raise ValueError(f"more than {bound} languages: raise max_languages (and sample_rows, if it is smaller)")
+    quotas = _quotas({r.lang: r.n for r in found}, sample_rows)
+    # The hash range that holds the quota of a language, with some room; at least its row of the lowest hash.
+    share = {r.lang: min(1.0, (quotas[r.lang] + 4 * quotas[r.lang] ** 0.5 + 10) / r.n) for r in found}
+    cuts = {r.lang: max(r.low, int(share[r.lang] * (1 << 64)) - (1 << 63)) for r in found}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, df = NGrams(), np.zeros(BUCKETS, np.int64)
         kind = pa.list_(pa.int32())
         for b in batches:
             rows = []
-            texts, chosen, langs = b.column(2), b.column(0).to_pylist(), b.column(1)
+            texts, hashes, langs = b.column(2), b.column(0).to_pylist(), b.column(1).to_pylist()
             for k in range(b.num_rows):
                 found = grams.counts(texts[k].as_py())
                 if found is not None:
                     df[found[0]] += 1
-                    if chosen[k]:
-                        rows.append((langs[k].as_py(), *found))
+                    if hashes[k] <= cuts[langs[k]]:
+                        rows.append((langs[k], *found, hashes[k]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], kind),
-                 pa.array([r[2] for r in rows], kind), pa.nulls(len(rows), pa.int64())], ["lang", "ids", "counts", "n"])
+                 pa.array([r[2] for r in rows], kind), pa.nulls(len(rows), pa.int64()),
+                 pa.array([r[3] for r in rows], pa.int64())], ["lang", "ids", "counts", "n", "h"])
         # One row a bucket: the documents of this task that hold it.
         ids = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(ids.size, pa.string()), pa.array(list(ids[:, None].astype(np.int32)), kind),
-             pa.nulls(ids.size, kind), pa.array(df[ids])], ["lang", "ids", "counts", "n"])
+             pa.nulls(ids.size, kind), pa.array(df[ids]), pa.nulls(ids.size, pa.int64())], ["lang", "ids", "counts", "n", "h"])
 
-    found = stage(learn.select((F.col("h") <= cut).alias("chosen"), "lang", "text").mapInArrow(
-        run, "lang string, ids array<int>, counts array<int>, n long"), "language-grams")
+    found = stage(learn.mapInArrow(run, "lang string, ids array<int>, counts array<int>, n long, h long"), "language-grams")
     # Document frequencies: at most one row a bucket reaches the driver.
     freq = np.zeros(BUCKETS)
     sums = found.where("n is not null").groupBy(F.col("ids")[0].alias("bucket")).agg(F.sum("n").alias("n"))
     for r in sums.collect():
         freq[r.bucket] = r.n
-    sample = found.where("lang is not null").limit(sample_rows).collect()  # at most sample_rows x buckets numbers
-    languages = sorted({r.lang for r in sample})[:MAX_LANGUAGES]
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "ids", "counts"))
+    quota = F.element_at(F.create_map(*[F.lit(x) for item in quotas.items() for x in item]), F.col("lang"))
+    sample = found.where("lang is not null").withColumn("rank", rank).where(F.col("rank") <= sample_rows).where(
+        F.col("rank") <= quota).collect()  # at most sample_rows x buckets numbers
+    languages = sorted({r.lang for r in sample})
     if not languages:
         return None
     n_docs = max(float(freq.max()), 1.0)
     idf = np.log((1 + n_docs) / (1 + freq)) + 1
-    rows = []
+    rows, tune, n_of = [], [], dict.fromkeys(languages, 0)
     for r in sorted(sample, key=lambda r: (r.lang, r.ids, r.counts)):
-        if r.lang in languages:
-            ids, x = np.array(r.ids), (1 + np.log(np.array(r.counts, np.float64)))
-            x *= idf[ids]
-            rows.append((ids, x / np.sqrt((x * x).sum()), languages.index(r.lang)))
-    tune = [r for k, r in enumerate(rows) if k % 5 == 0] if len(rows) >= 50 else rows
-    weights = train_ftrl([r for k, r in enumerate(rows) if k % 5] if len(rows) >= 50 else rows, len(languages))
+        ids, x = np.array(r.ids), (1 + np.log(np.array(r.counts, np.float64)))
+        x *= idf[ids]
+        n_of[r.lang] += 1
+        keep = tune if len(sample) >= 50 and n_of[r.lang] % 5 == 0 else rows  # a language's first rows are always learned from
+        keep.append((ids, x / np.sqrt((x * x).sum()), languages.index(r.lang)))
+    weights = train_ftrl(rows, len(languages))
+    tune = tune or rows
     model = Model(languages, idf, weights)
     logits = np.array([x @ weights[ids] + weights[-1] for ids, x, _ in tune])
     model.temperature = _temperature(logits, np.array([y for _, _, y in tune]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 
 from logfold.llm import language
 
@@ -62,3 +63,32 @@ def test_temperature_is_the_best_of_a_scan():
         return -np.log(p[np.arange(300), y]).mean()
 
     assert loss(t) <= min(loss(u) for u in np.exp(np.linspace(-2.9, 2.9, 400))) + 1e-6
+
+
+def test_rare_languages_are_learned(spark, docs):
+    from pyspark.sql import functions as F
+
+    many = docs.crossJoin(spark.range(10).withColumnRenamed("id", "k")).select((F.col("doc_id") * 10 + F.col("k")).alias("doc_id"), "text", "lang")
+    late = spark.range(10**6, 10**6 + 5000).withColumnRenamed("id", "doc_id").where(~language.held_out()).orderBy(
+        F.xxhash64(F.col("doc_id").cast("string")).desc()).limit(4).collect()  # a plain hash sample takes these last
+    greek = "ο γρήγορος σκύλος τρέχει στο δάσος και η γάτα κοιμάται στο σπίτι"
+    df = many.unionAll(spark.createDataFrame([(r.doc_id, greek, "el") for r in late], "doc_id long, text string, lang string"))
+    model = language.fit(df, sample_rows=300)
+    assert "el" in model.languages and set(model.languages) - {"el"} == {r.lang for r in docs.select("lang").distinct().collect()}
+    got = language.predict(spark.createDataFrame([(1, greek), (2, "the and of thing that with")], "doc_id long, text string"), model)
+    assert [r.lang_pred for r in sorted(got.collect())] == ["el", "en"]
+
+
+def test_many_languages_are_learned_or_refused(spark):
+    df = spark.range(1500).selectExpr("id as doc_id", "concat('word ', char(97 + id % 26)) as text", "concat('l', id % 300) as lang")
+    assert len(language.fit(df, max_languages=300).languages) == 300
+    with pytest.raises(ValueError, match="256"):
+        language.fit(df)
+
+
+def test_quotas_keep_the_bound():
+    for counts, size in (({"a": 10**6, "b": 3, "c": 900}, 3000), ({"a": 5, "b": 2}, 3000), (dict.fromkeys(range(256), 10**6), 300),
+                         ({"a": 10**9, "b": 10**9}, 3000)):
+        got = language._quotas(counts, size)
+        assert got.keys() == counts.keys() and all(1 <= got[k] <= n for k, n in counts.items())
+        assert min(size, sum(counts.values())) - len(counts) <= sum(got.values()) <= size
