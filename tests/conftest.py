@@ -8,8 +8,6 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-FIXTURES = ROOT / "tests" / "fixtures"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -8,7 +8,7 @@ from logfold.operators.assist import check_responses, evidence_bundle
 from logfold.plans.analysis import analyze_with_model, result_json
 from logfold.sources.tables import entries_from_lines
 
-from conftest import FIXTURES
+from log_fixtures import FIXTURES
 
 VALID = {
     "executive_summary": "Model summary.",

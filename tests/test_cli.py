@@ -7,7 +7,7 @@ import shutil
 
 from logfold.__main__ import main
 
-from conftest import FIXTURES
+from log_fixtures import FIXTURES
 
 
 def test_cli_prints_reports(spark, tmp_path, capsys):

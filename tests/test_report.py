@@ -12,7 +12,7 @@ from logfold.operators.evidence import evidence_lines
 from logfold.plans.analysis import analyze_files, result_json
 from logfold.sources.admission import admission_audit
 
-from conftest import FIXTURES
+from log_fixtures import FIXTURES
 
 
 def _reports(spark, tmp_path):

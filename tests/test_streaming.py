@@ -7,7 +7,7 @@ import shutil
 
 from logfold.streaming.files import start_file_reports
 
-from conftest import FIXTURES
+from log_fixtures import FIXTURES
 
 
 def test_stream_reports_new_files(spark, tmp_path):
