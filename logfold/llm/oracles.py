@@ -96,9 +96,48 @@ SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
 FROM m
 """
 
+OP11 = r"""
+WITH bits AS (  -- CRC-32 of the bytes 0 to 255, reflected polynomial EDB88320
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS tab
+  FROM range(256) r(i)
+), corpus AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), target AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), words AS (
+  SELECT word, hex(encode(word)) AS h
+  FROM (SELECT unnest(w) AS word FROM corpus UNION SELECT unnest(w) FROM target)
+), hashed AS (
+  SELECT word, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, [('0x' || substr(h, 2 * i - 1, 2))::BIGINT FOR i IN range(1, length(h) // 2 + 1)]),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+  FROM words, bits
+), counts AS (SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM corpus) JOIN hashed USING (word) GROUP BY ALL),
+s AS (SELECT bucket, sum(n) AS n FROM counts GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM (SELECT unnest(w) AS word FROM target) JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t_all),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000) / ((s.n + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS g
+  FROM s LEFT JOIN t USING (bucket), totals
+), weighed AS (SELECT doc_id, sum(n * g)::BIGINT AS weight FROM counts JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                    / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM corpus LEFT JOIN weighed USING (doc_id)
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
 ORACLES = {
     "op1_embedding_near_dedup": OP1,
     "op2_quality_rules": OP2,
     "op6_url_filter": OP6,
     "op7_warc_archive": OP7,
+    "op11_importance_resampling": OP11,
 }

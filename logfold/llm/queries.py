@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.llm import language, packing, pieces, quality, quotes, secrets, simhash, urls, vectors, warc
+from logfold.llm import importance, language, packing, pieces, quality, quotes, secrets, simhash, urls, vectors, warc
 from logfold.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -87,6 +87,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "n_live", "n_example")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -98,4 +103,5 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
+    "op11_importance_resampling": op11_importance_resampling,
 }

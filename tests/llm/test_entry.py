@@ -21,14 +21,14 @@ from logfold.llm.oracles import ORACLES
 
 def test_eleven_queries_are_registered():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names} == set(range(1, 11)) and len(names) == 10
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names} == set(range(1, 12)) and len(names) == 11
     assert "pipeline" in E.queries() and set(ORACLES) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     df = E.queries()[name](spark, sf)
     rel = con.sql(ORACLES[name])
