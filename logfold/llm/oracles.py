@@ -134,10 +134,37 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN r
 FROM scored LEFT JOIN placed USING (doc_id)
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         sha256('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+), src AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM d GROUP BY source
+), sorted AS (  -- sources in the order in which their targets stop
+  SELECT *, row_number() OVER o AS k,
+         3 * sum(source_size) OVER () - 2 * (sum(2 * source_size) OVER o - 2 * source_size) AS num,
+         2 * (sum(w) OVER () - sum(w) OVER o + w) AS den
+  FROM src WINDOW o AS (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), level AS (SELECT num, den FROM sorted WHERE w * num <= 2 * source_size * den ORDER BY k LIMIT 1),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN w * l.num > 2 * source_size * l.den THEN (2 * source_size)::DOUBLE ELSE (w * l.num)::DOUBLE / l.den::DOUBLE END AS target,
+         CASE WHEN w * l.num > 2 * source_size * l.den THEN 2 * source_size ELSE w * l.num // l.den END AS words
+  FROM sorted, level l
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d
+)
+SELECT doc_id, size, t.source, source_size, target,
+       (least(size, greatest(words - start, 0)) + least(size, greatest(words - source_size - start, 0)))::BIGINT AS taken
+FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+"""
+
 ORACLES = {
     "op1_embedding_near_dedup": OP1,
     "op2_quality_rules": OP2,
     "op6_url_filter": OP6,
     "op7_warc_archive": OP7,
     "op11_importance_resampling": OP11,
+    "op12_source_mixing": OP12,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.llm import importance, language, packing, pieces, quality, quotes, secrets, simhash, urls, vectors, warc
+from logfold.llm import importance, language, mixing, packing, pieces, quality, quotes, secrets, simhash, urls, vectors, warc
 from logfold.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -92,6 +92,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -104,4 +108,5 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_source_mixing": op12_source_mixing,
 }
