@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.llm import importance, language, mixing, packing, pieces, quality, quotes, secrets, simhash, urls, vectors, warc
+from logfold.llm import alignment, importance, language, mixing, packing, pieces, quality, quotes, secrets, simhash, urls, vectors, warc
 from logfold.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -96,6 +96,13 @@ def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                     public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -109,4 +116,5 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_source_mixing": op12_source_mixing,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }

@@ -19,9 +19,9 @@ from logfold.llm import language, secrets
 from logfold.llm.oracles import ORACLES
 
 
-def test_eleven_queries_are_registered():
+def test_queries_are_registered():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names} == set(range(1, 13)) and len(names) == 12
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names} == set(range(1, 14)) and len(names) == 13
     assert "pipeline" in E.queries() and set(ORACLES) <= set(E.oracle_sql())
 
 
