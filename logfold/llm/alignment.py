@@ -46,8 +46,10 @@ from logfold.staging import stage
 #: Pairs whose counts are sent to every task (about 32 MB); more are joined.
 MAX_BROADCAST = 2_000_000
 SALTS = 32
-#: Bytes of chunks and tokens that a task keeps, chunks aligned at a time, and pairs it sums before they leave.
-CACHE_BYTES = 48 << 20
+#: Bytes of chunks and tokens that a task keeps, bytes of text it works on at a time, chunks aligned at a time, and
+#: pairs it sums before they leave.
+CACHE_BYTES = 64 << 20
+TEXT_BYTES = 2 << 20
 RUN_CHUNKS = 20_000
 TASK_PAIRS = 300_000
 _CHUNK = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
@@ -65,8 +67,8 @@ def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
             break
         if b[low] < end:
             step = 1
-            while low + step < n and b[low + step] < end:  # b[low] stays below end
-                low += step
+            while low + step < n and b[low + step] < end:
+                low += step  # b[low] stays below end
                 step += step
             high = min(low + step, n)
             low += 1
@@ -96,28 +98,13 @@ def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.repeat(np.arange(n.size), n), np.repeat(first, n) + offset
 
 
-class Chunk:
-    """Token ids, their decimals and byte lengths of one chunk; ``joined`` holds the token bytes if they are not the chunk's."""
-
-    __slots__ = ("a", "b", "a_text", "b_text", "a_len", "b_len", "joined")
-
-    def __init__(self, data: bytes, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]):
-        self.a, self.b = a, b
-        self.a_text, self.b_text = list(map(str, a)), list(map(str, b))
-        self.a_len, self.b_len = list(map(len, a_bytes)), list(map(len, b_bytes))
-        joined = b"".join(a_bytes), b"".join(b_bytes)
-        self.joined = None if joined == (data, data) else joined
-
-
-class Chunks(dict):
-    """Encoded chunks by their text; emptied when they hold about ``CACHE_BYTES``."""
+class Chunks:
+    """Token ids (32-bit, as bytes) of chunks: (A ids, B ids, None or the token bytes where they are not the chunk's)."""
 
     def __init__(self, byte_file: str, piece_file: str):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.held = 0
         tokenizer = Tokenizer.from_file(byte_file)
         tokenizer.encode_special_tokens = True
         self.encode_a = tokenizer.encode_batch_fast
@@ -125,16 +112,24 @@ class Chunks(dict):
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in plain}
         byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.a_bytes = {i: bytes(map(byte_of.__getitem__, s)) if byte_of.keys() >= set(s) else s.encode()
-                        for s, i in tokenizer.get_vocab().items()}
+        vocab = tokenizer.get_vocab()
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for s, i in vocab.items():
+            self.a_bytes[i] = bytes(map(byte_of.__getitem__, s)) if byte_of.keys() >= set(s) else s.encode()
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         n = sp.get_piece_size()
         self.b_bytes = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
                         for i in range(n)]
+        self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        # Decimals of the ids followed by each separator; an id's row is separator x ids + id.
+        self.ids = max(len(self.a_bytes), n)
+        self.decimals = [f"{i}{c}".encode() for c in ",|;" for i in range(self.ids)]
         self.space = sp.piece_to_id("▁")
         words = [sp.id_to_piece(i) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         self.cut = (sp.normalize(" a \n  b ") == "▁▁a▁\n▁▁b▁" and sp.id_to_piece(self.space) == "▁"
                     and not any("▁" in p.lstrip("▁") or "\n" in p for p in words))
+        self.known: dict[str, tuple] = {}
+        self.held = 0
 
     def _pieces(self, chunk: str) -> list[int]:
         """B's ids of a chunk as it stands in a text; the model puts a space before whatever it is given."""
@@ -145,48 +140,78 @@ class Chunks(dict):
             raise ValueError("the piece model joins a space and a line feed")
         return ids[1:]
 
-    def __missing__(self, chunk: str) -> Chunk:
-        data = chunk.encode()
+    def _keep(self, chunk: str, a: bytes, b: bytes, joined: tuple[bytes, bytes] | None) -> None:
+        self.known[chunk] = a, b, joined
+        self.held += 2 * len(chunk) + len(a) + len(b) + 400
+
+    def _learn_alone(self, chunk: str) -> None:
         a, b = self.encode_a([chunk], add_special_tokens=False)[0].ids, self._pieces(chunk)
-        new = Chunk(data, a, b, [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b])
-        size = 2 * len(data) + 100 * (len(a) + len(b)) + 800
-        if size <= CACHE_BYTES // 8:
-            if self.held + size > CACHE_BYTES:
-                self.clear()
-                self.held = 0
-            self[chunk] = new
-            self.held += size
-        return new
-
-    def of(self, text: str) -> list[Chunk]:
-        """The chunks of space + text in order; none if the joined bytes of a tokenizer differ from it."""
-        full = " " + text
-        cuts = _CHUNK.findall(full) if self.cut else [full]
-        out = [self[c] for c in cuts]
-        if any(c.joined for c in out):
-            data = full.encode()
+        joined = b"".join([self.a_bytes[i] for i in a]), b"".join([self.b_bytes[i] for i in b])
+        data = chunk.encode()
+        self._keep(chunk, np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes(), None if joined == (data, data) else joined)
+
+    def _learn_together(self, chunks: list[str]) -> None:
+        """Encode chunks as one text; its tokens end where the chunks end, or else each is encoded alone."""
+        text = "".join(chunks)
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        both = []
+        for ids, size in ((self.encode_a([text], add_special_tokens=False)[0].ids, self.a_len), (self._pieces(text), self.b_len)):
+            ids = np.array(ids, "<u4")
+            token_ends = np.cumsum(size[ids])
+            at = np.searchsorted(token_ends, ends)
+            if token_ends[-1] != ends[-1] or (token_ends[at] != ends).any():
+                break
+            raw, at = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+            both.append([raw[lo:hi] for lo, hi in zip(at, at[1:], strict=False)])
+        if len(both) == 2:
+            data = text.encode()
+            same = all(b"".join([t[i] for i in np.frombuffer(b"".join(x), "<u4")]) == data
+                       for t, x in zip((self.a_bytes, self.b_bytes), both, strict=True))
+            if same:
+                for c, a, b in zip(chunks, *both, strict=True):
+                    self._keep(c, a, b, None)
+                return
+        for c in chunks:
+            self._learn_alone(c)
+
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """The chunks of space + text of every text, all of them known afterwards."""
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
+        cuts = [_CHUNK.findall(" " + t) if self.cut else [" " + t] for t in texts]
+        new = list({c for part in cuts for c in part if c not in self.known})
+        # Only chunks that end in no white space can be followed by another chunk.
+        alone = [c for c in new if not self.cut or c[-1:].isspace() or "▁" in c or len(c) > 200]
+        for c in alone:
+            self._learn_alone(c)
+        rest = [c for c in new if c not in self.known]
+        for lo in range(0, len(rest), 256):
+            self._learn_together(rest[lo:lo + 256])
+        return cuts
+
+    def tokens(self, cuts: list[str], text: str) -> list[tuple]:
+        """The known chunks of a text; none if the joined bytes of a tokenizer differ from space + text."""
+        out = [self.known[c] for c in cuts]
+        if any(x[2] for x in out):
+            data = (" " + text).encode()
             for k in (0, 1):
-                if b"".join([x.joined[k] if x.joined else c.encode() for c, x in zip(cuts, out, strict=True)]) != data:
+                if b"".join([x[2][k] if x[2] else c.encode() for c, x in zip(cuts, out, strict=True)]) != data:
                     return []
         return out
 
-
-def align(chunks: list[Chunk]) -> tuple[int, int, int, np.ndarray, str]:
-    """(A tokens, B tokens, groups, links as pair keys, group text) of chunks that follow one another."""
-    def flat(name: str) -> list:
-        return [x for c in chunks for x in getattr(c, name)]
-
-    a, b = np.array(flat("a"), np.int64), np.array(flat("b"), np.int64)
-    a_ends, b_ends = np.cumsum(flat("a_len")), np.cumsum(flat("b_len"))
-    a_text, b_text, groups, i, j = flat("a_text"), flat("b_text"), [], 0, 0
-    for p, q in zip(*common_ends(a_ends.tolist(), b_ends.tolist()), strict=True):
-        if p == i and q == j:
-            groups.append(a_text[p] + "|" + b_text[q])
-        else:
-            groups.append(",".join(a_text[i:p + 1]) + "|" + ",".join(b_text[j:q + 1]))
-        i, j = p + 1, q + 1
-    left, right = overlaps(a_ends, b_ends)
-    return a.size, b.size, len(groups), (a[left] << _SHIFT) + b[right], ";".join(groups)
+    def align(self, chunks: list[tuple]) -> tuple[int, int, int, np.ndarray, bytes]:
+        """(A tokens, B tokens, groups, links as pair keys, group text) of chunks that follow one another."""
+        a, b = (np.frombuffer(b"".join([c[k] for c in chunks]), "<u4").astype(np.int64) for k in (0, 1))
+        a_ends, b_ends = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        at_a, at_b = common_ends(a_ends.tolist(), b_ends.tolist())
+        # A token's group is the number of common ends before it; a group's last token has the closing separator.
+        last_a, last_b = np.zeros(a.size, np.int64), np.zeros(b.size, np.int64)
+        last_a[at_a], last_b[at_b] = 1, 1
+        group = np.concatenate([2 * (np.cumsum(last_a) - last_a), 2 * (np.cumsum(last_b) - last_b) + 1])
+        rows = np.concatenate([a + self.ids * last_a, b + 2 * self.ids * last_b])[np.argsort(group, kind="stable")]
+        line = b"".join(map(self.decimals.__getitem__, rows.tolist()))[:-1]
+        left, right = overlaps(a_ends, b_ends)
+        return a.size, b.size, len(at_a), (a[left] << _SHIFT) + b[right], line
 
 
 class PairSums:
@@ -213,22 +238,37 @@ class PairSums:
         self.keys, self.counts, self.parts, self.held = keys, counts, [], 0
 
 
-def align_text(text: str | None, chunks: Chunks) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-    """(n_a, n_b, n_groups, n_links, digest, pair keys, their counts) of a whole text."""
-    parts = chunks.of(text) if text else []
+def align_text(text: str | None, cuts: list[str], chunks: Chunks) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+    """(n_a, n_b, n_groups, n_links, digest, pair keys, their counts) of a whole text, cut into known chunks."""
+    parts = chunks.tokens(cuts, text) if text else []
     if not parts:
         return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
     n_a = n_b = n_groups = n_links = 0
     sums, digest = PairSums(), hashlib.sha256()
     for lo in range(0, len(parts), RUN_CHUNKS):
-        a, b, groups, links, line = align(parts[lo:lo + RUN_CHUNKS])
+        a, b, groups, links, line = chunks.align(parts[lo:lo + RUN_CHUNKS])
         n_a, n_b, n_groups, n_links = n_a + a, n_b + b, n_groups + groups, n_links + links.size
-        digest.update((";" if lo else "").encode() + line.encode())
+        digest.update(b";" + line if lo else line)
         sums.add(*np.unique(links, return_counts=True))
-    sums.flush()
+    if len(sums.parts) == 1 and not sums.keys.size:
+        sums.keys, sums.counts = sums.parts[0]
+    else:
+        sums.flush()
     return n_a, n_b, n_groups, n_links, digest.hexdigest(), sums.keys, sums.counts
 
 
+def align_texts(texts: list[str | None], chunks: Chunks) -> Iterator[tuple]:
+    """``align_text`` of every text, in runs of about ``TEXT_BYTES`` or one longer text."""
+    lo, size = 0, 0
+    for hi, t in enumerate(texts, 1):
+        size += len(t or "")
+        if size >= TEXT_BYTES or hi == len(texts):
+            part = texts[lo:hi]
+            cuts = iter(chunks.learn([t for t in part if t]))
+            yield from [align_text(t, next(cuts) if t else [], chunks) for t in part]
+            lo, size = hi, 0
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *[x.size for x in arrays]])
     values = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
@@ -263,9 +303,9 @@ def aligned(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc
         for b in batches:
             for part in (b.slice(lo, 500) for lo in range(0, b.num_rows, 500)):
                 rows = []
-                for x in part.column(1):
-                    rows.append(align_text(x.as_py(), chunks))
-                    sums.add(*rows[-1][5:])
+                for found in align_texts(part.column(1).to_pylist(), chunks):
+                    rows.append(found)
+                    sums.add(*found[5:])
                 yield batch(part.column(0), rows, False)
                 if sums.keys.size > TASK_PAIRS:
                     yield sent()
