@@ -48,7 +48,7 @@ MAX_BROADCAST = 2_000_000
 SALTS = 32
 #: Bytes of chunks and tokens that a task keeps, bytes of text it works on at a time, chunks aligned at a time, and
 #: pairs it sums before they leave.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 112 << 20
 TEXT_BYTES = 2 << 20
 RUN_CHUNKS = 20_000
 TASK_PAIRS = 300_000
@@ -65,7 +65,10 @@ def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     for i, end in enumerate(a):
         if low >= n:
             break
-        if b[low] < end:
+        here = b[low]
+        if here > end:
+            continue
+        if here < end:
             step = 1
             while low + step < n and b[low + step] < end:
                 low += step  # b[low] stays below end
@@ -80,7 +83,8 @@ def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
                     high = mid
             if low >= n:
                 break
-        if b[low] == end:
+            here = b[low]
+        if here == end:
             at_a.append(i)
             at_b.append(low)
             low += 1
