@@ -404,14 +404,3 @@ def is_exception_line(stripped: Column, fold: Column | None = None) -> Column:
     f = _fold(stripped, fold)
     hint = f.contains("exception") | f.contains("error")
     return F.when(hint, stripped.rlike(EXCEPTION_LINE)).otherwise(F.lit(False))
-
-
-def lower_contains_any(c: Column, words) -> Column:
-    """Any of ``words`` in ``lower(c)``; pass an already lower-cased column as
-    :func:`contains_any` to lower once for many word lists."""
-    return contains_any(F.lower(c), words)
-
-
-def contains_any(lowered: Column, words) -> Column:
-    return _any(lowered, words)
-

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfold.functions import patterns as P
-from logfold.functions.extract import contains_any, iso_text
+from logfold.functions.extract import iso_text
+from logfold.operators.rules import KINDS, RuleSet
 
 STAT_DIMENSIONS = (("components", "component"), ("request_ids", "request_id"), ("thread_names", "thread_name"))
 
@@ -22,25 +23,23 @@ def _truthy(c: str) -> Column:
     return F.when(F.col(c) != "", F.col(c))
 
 
-def source_summary(entries: DataFrame) -> DataFrame:
+#: Kinds whose rules are flags of a source; lifecycle rules select lines.
+SIGNAL_KINDS = tuple(k for k in KINDS if k != "lifecycle")
+
+
+def source_summary(entries: DataFrame, rules: DataFrame | RuleSet | None = None) -> DataFrame:
     """One row per source: counts, time range, levels and every keyword signal.
 
     Columns: total_lines, min_ts, max_ts, time_range, levels (sorted array),
     error_events (level exactly ERROR), warning_events, error_total (ERROR,
-    CRITICAL, FATAL), warning_total, and boolean flags ``kw_<name>``.
+    CRITICAL, FATAL), warning_total, and rule_masks, the bits of the keyword
+    rules that hold for any message (see :mod:`logfold.operators.rules`;
+    ``rules`` defaults to the built-in ones).
     """
     level = F.col("level")
-    low = F.col("_low")
-    flags = {
-        "kw_timeout": contains_any(low, ["timeout"]),
-        "kw_retry": contains_any(low, ["retry"]),
-        "kw_shutdown": contains_any(low, ["shutdown"]),
-    }
-    for i, (_, words) in enumerate(P.DETECTOR_PATTERN_RULES):
-        flags[f"kw_pattern{i}"] = contains_any(low, words)
-    for i, (_, words) in enumerate(P.DETECTOR_ANOMALY_RULES):
-        flags[f"kw_anomaly{i}"] = contains_any(low, words)
+    masks = RuleSet.of(rules).masks(F.col("_low"), SIGNAL_KINDS)
     rows = entries.select("source", "timestamp", "level", F.lower("message").alias("_low"))
+    rows = rows.select("source", "timestamp", "level", *[m.alias(f"_mask{i}") for i, m in enumerate(masks)])
     agg = rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("total_lines"),
         F.min("timestamp").alias("min_ts"),
@@ -50,7 +49,7 @@ def source_summary(entries: DataFrame) -> DataFrame:
         F.count_if(level == "WARNING").alias("warning_events"),
         F.count_if(level.isin(*P.ERROR_LEVELS)).alias("error_total"),
         F.count_if(level == P.WARNING_LEVEL).alias("warning_total"),
-        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(name) for name, c in flags.items()],
+        F.array(*[F.bit_or(f"_mask{i}") for i in range(len(masks))]).cast("array<bigint>").alias("rule_masks"),
     )
     return agg.withColumn(
         "time_range",

@@ -31,6 +31,7 @@ from logfold.functions.extract import ustrip
 from logfold.operators.aggregates import level_counts, source_summary, top_values
 from logfold.operators.evidence import evidence_lines
 from logfold.operators.joins import join_keys
+from logfold.operators.rules import RuleSet
 from logfold.staging import maybe_stage
 
 REPORT_DDL = (
@@ -61,7 +62,7 @@ def _map_of(dimension: str) -> Column:
 
 
 def evidence_bundle(entries: DataFrame, stage_entries: bool = True, level_lines: int = P.EVIDENCE_LEVEL_LINES,
-                    sample_lines: int = P.EVIDENCE_SAMPLE_LINES) -> DataFrame:
+                    sample_lines: int = P.EVIDENCE_SAMPLE_LINES, rules: DataFrame | RuleSet | None = None) -> DataFrame:
     """``(source, evidence)``; every nested list is bounded by the evidence caps."""
     entries = maybe_stage(entries, stage_entries, "entries")
     summ = source_summary(entries).select("source", "total_lines", "time_range")
@@ -70,7 +71,7 @@ def evidence_bundle(entries: DataFrame, stage_entries: bool = True, level_lines:
         F.row_number().over(Window.partitionBy("source").orderBy("first_line")).cast("bigint").alias("rank"))
     counts = lv.unionByName(top_values(entries).select("source", "dimension", "value", "n", "rank"))
     maps = counts.groupBy("source").agg(*[_map_of(d) for d in ("levels", "components", "request_ids", "thread_names")])
-    ev = evidence_lines(entries, level_lines, sample_lines)
+    ev = evidence_lines(entries, level_lines, sample_lines, rules)
     lists = ev.groupBy("source").pivot(
         "section", ["sample_lines", "error_lines", "warning_lines", "lifecycle_lines"]
     ).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfold.functions import patterns as P
-from logfold.functions.extract import iso_text, lower_contains_any
+from logfold.functions.extract import iso_text
 from logfold.operators.joins import join_keys
 from logfold.operators.ranking import first_rows
+from logfold.operators.rules import RuleSet
 
 
 def format_line(ts: Column, level: Column, raw: Column) -> Column:
@@ -29,9 +30,13 @@ def format_line(ts: Column, level: Column, raw: Column) -> Column:
 
 
 def evidence_lines(entries: DataFrame, level_lines: int = P.EVIDENCE_LEVEL_LINES,
-                   sample_lines: int = P.EVIDENCE_SAMPLE_LINES) -> DataFrame:
+                   sample_lines: int = P.EVIDENCE_SAMPLE_LINES, rules: DataFrame | RuleSet | None = None) -> DataFrame:
     """``(source, section, rank, line_number, line)`` for sections
-    error_lines, warning_lines, lifecycle_lines and sample_lines."""
+    error_lines, warning_lines, lifecycle_lines and sample_lines.
+
+    ``rules`` (see :mod:`logfold.operators.rules`) names the lifecycle keywords.
+    """
+    lifecycle = RuleSet.of(rules).holds(F.lower("message"), "lifecycle")
     base = entries.select(
         "source", "line_number", "level", "message",
         format_line(F.col("timestamp"), F.col("level"), F.col("raw")).alias("line"),
@@ -42,7 +47,7 @@ def evidence_lines(entries: DataFrame, level_lines: int = P.EVIDENCE_LEVEL_LINES
     tags = F.array_compact(F.array(
         F.when(F.col("level").isin(*P.ERROR_LEVELS), F.lit("error_lines")),
         F.when(F.col("level") == P.WARNING_LEVEL, F.lit("warning_lines")),
-        F.when(lower_contains_any(F.col("message"), P.LIFECYCLE_KEYWORDS), F.lit("lifecycle_lines")),
+        F.when(lifecycle, F.lit("lifecycle_lines")),
     ))
     tagged = base.select("source", "line_number", "line", F.explode(tags).alias("section"))
     prioritized_all = first_rows(

@@ -6,13 +6,16 @@ string built-ins; the only joins are one-row-per-source tables on ``source``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfold.functions import patterns as P
-from logfold.operators.aggregates import error_groups, first_values, source_summary, warning_groups
+from logfold.operators.aggregates import SIGNAL_KINDS, error_groups, first_values, source_summary, warning_groups
 from logfold.operators.joins import join_keys
 from logfold.operators.ranking import timeline
+from logfold.operators.rules import RuleSet
 from logfold.operators.snippets import snippets
 from logfold.staging import maybe_stage
 
@@ -42,24 +45,25 @@ def _collect_sorted(df: DataFrame, name: str, fields: list[str], rank: str = "ra
     return packed.select("source", F.transform("_a", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
 
 
-def signal_columns(s: DataFrame) -> DataFrame:
-    """Adds analyzer/detector pattern and anomaly lists to a :func:`source_summary` frame."""
-    analyzer_patterns = F.slice(_compact(
-        F.when(F.col("error_events") > 0, F.concat(_str(F.col("error_events")), F.lit(" error events detected."))),
-        F.when(F.col("warning_events") > 0, F.concat(_str(F.col("warning_events")), F.lit(" warning events detected."))),
-        F.when(F.col("kw_timeout"), F.lit(P.SENT_TIMEOUT_MESSAGES)),
-        F.when(F.col("kw_retry"), F.lit(P.SENT_RETRY_ACTIVITY)),
-    ), 1, P.ANALYZER_PATTERN_LIMIT)
-    analyzer_anomalies = _compact(
+def filled(template: str, **values: Column) -> Column:
+    """The text of a sentence template, with ``{name}`` replaced by a column; null if one of them is."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+
+
+def signal_columns(s: DataFrame, rules: DataFrame | RuleSet | None = None) -> DataFrame:
+    """Adds analyzer/detector pattern and anomaly lists to a :func:`source_summary` frame made with the same ``rules``."""
+    rules = RuleSet.of(rules)
+    masks = [F.get("rule_masks", F.lit(i)) for i in range(len(rules.masks(F.lit(""), SIGNAL_KINDS)))]
+    analyzer_patterns = F.slice(F.concat(_compact(
+        F.when(F.col("error_events") > 0, filled(P.SENT_ERROR_EVENTS, n=F.col("error_events"))),
+        F.when(F.col("warning_events") > 0, filled(P.SENT_WARNING_EVENTS, n=F.col("warning_events"))),
+    ), rules.sentences("analyzer_pattern", masks)), 1, P.ANALYZER_PATTERN_LIMIT)
+    analyzer_anomalies = F.concat(_compact(
         F.when((F.col("error_events") > 0) & (F.col("warning_events") > 0), F.lit(P.SENT_WARN_WITH_ERRORS)),
-        F.when(F.col("kw_shutdown"), F.lit(P.SENT_SHUTDOWN_EVENTS)),
-    )
-    detector_patterns = _compact(*[
-        F.when(F.col(f"kw_pattern{i}"), F.lit(sent)) for i, (sent, _) in enumerate(P.DETECTOR_PATTERN_RULES)
-    ])
-    detector_anomalies = _compact(*[
-        F.when(F.col(f"kw_anomaly{i}"), F.lit(sent)) for i, (sent, _) in enumerate(P.DETECTOR_ANOMALY_RULES)
-    ])
+    ), rules.sentences("analyzer_anomaly", masks))
+    detector_patterns = rules.sentences("pattern", masks)
+    detector_anomalies = rules.sentences("anomaly", masks)
     return s.select(
         "*",
         analyzer_patterns.alias("analyzer_patterns"),
@@ -84,17 +88,17 @@ def _empty_summary_defaults(summary: DataFrame, sources: DataFrame | None) -> Da
     fills = {c: F.coalesce(F.col(c), F.lit(0)) for c in
              ("total_lines", "error_events", "warning_events", "error_total", "warning_total")}
     fills["levels"] = F.coalesce(F.col("levels"), F.array().cast("array<string>"))
-    for c in summary.columns:
-        if c.startswith("kw_"):
-            fills[c] = F.coalesce(F.col(c), F.lit(False))
+    fills["rule_masks"] = F.coalesce(F.col("rule_masks"), F.array().cast("array<bigint>"))
     return j.withColumns(fills)
 
 
 def report_table(entries: DataFrame, sources: DataFrame | None = None,
                  nest_limit: int | None = DEFAULT_NEST_LIMIT, stage_entries: bool = True,
-                 stage_groups: bool = True) -> DataFrame:
+                 stage_groups: bool = True, rules: DataFrame | RuleSet | None = None) -> DataFrame:
     """One row per source with every report section as a column.
 
+    ``rules`` replaces the built-in keyword rules (see :mod:`logfold.operators.rules`).
+
     ``sources`` (optional, column ``source``) lists sources that must appear
     even when they have no entries (empty files).  The entries feed about ten
     aggregates; with ``stage_entries`` they are written once to the checkpoint
@@ -102,7 +106,8 @@ def report_table(entries: DataFrame, sources: DataFrame | None = None,
     ranked error groups, which feed four sections, are staged as well.
     """
     entries = maybe_stage(entries, stage_entries, "entries")
-    summary = signal_columns(_empty_summary_defaults(source_summary(entries), sources))
+    rules = RuleSet.of(rules)
+    summary = signal_columns(_empty_summary_defaults(source_summary(entries, rules), sources), rules)
     # The ranked error groups feed four consumers (nested list, facts, primary
     # issue, snippets); staged with the entries so the ranking runs once.
     eg = maybe_stage(error_groups(entries, stage=stage_groups), stage_groups, "error_groups")
@@ -122,11 +127,9 @@ def report_table(entries: DataFrame, sources: DataFrame | None = None,
         .groupBy("source").agg(F.sum("e").alias("error_group_count"), F.sum("w").alias("warning_group_count"))
     )
 
-    fact = F.concat(
-        F.col("label"), F.lit(" occurred "), _str(F.col("occurrence_count")), F.lit(" time(s) between "),
-        F.coalesce(F.col("first_occurrence"), F.lit("unknown")), F.lit(" and "),
-        F.coalesce(F.col("last_occurrence"), F.lit("unknown")), F.lit("."),
-    )
+    fact = filled(P.FACT_GROUP, label=F.col("label"), n=F.col("occurrence_count"),
+                  first=F.coalesce(F.col("first_occurrence"), F.lit("unknown")),
+                  last=F.coalesce(F.col("last_occurrence"), F.lit("unknown")))
     top3 = _collect_sorted(eg.filter(F.col("rank") <= P.FACT_GROUPS).withColumn("fact", fact), "_top", ["fact"])
     primary = eg.filter(F.col("rank") == 1).select("source", F.col("label").alias("_primary"))
 
@@ -172,13 +175,10 @@ def report_table(entries: DataFrame, sources: DataFrame | None = None,
     levels_txt = F.when(F.size("levels") > 0, F.array_join("levels", ", ")).otherwise(F.lit("unknown"))
     summary_txt = F.when(F.col("total_lines") == 0, F.lit(P.SUMMARY_EMPTY)).otherwise(F.concat_ws(
         " ",
-        F.concat(F.lit("The log contains "), _str(F.col("total_lines")), F.lit(" parsed line(s) with levels "),
-                 levels_txt, F.lit(".")),
-        F.when(F.col("time_range").isNotNull(), F.concat(F.lit("Time range: "), F.col("time_range"), F.lit("."))),
-        F.concat(F.lit("Execution appears "), health, F.lit(" with "), _str(F.col("error_total")),
-                 F.lit(" error occurrence(s) and "), _str(F.col("warning_total")), F.lit(" warning occurrence(s).")),
-        F.when(F.col("_primary").isNotNull(),
-               F.concat(F.lit("Primary issue: "), F.substring("_primary", 1, P.PRIMARY_ISSUE_CHARS), F.lit("."))),
+        filled(P.SUMMARY_COUNT, n=F.col("total_lines"), levels=levels_txt),
+        filled(P.SUMMARY_RANGE, range=F.col("time_range")),
+        filled(P.SUMMARY_HEALTH, health=health, errors=F.col("error_total"), warnings=F.col("warning_total")),
+        filled(P.SUMMARY_PRIMARY, label=F.substring("_primary", 1, P.PRIMARY_ISSUE_CHARS)),
     ))
 
     overview = F.struct(

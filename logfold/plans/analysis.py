@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from logfold.functions.patterns import ALLOWED_EXTENSIONS
 from logfold.operators.report import DEFAULT_NEST_LIMIT, report_table
+from logfold.operators.rules import RuleSet
 from logfold.sources.admission import admission_audit, split_inputs
 from logfold.sources.text_files import read_log_entries
 
@@ -35,9 +36,10 @@ def entries_view(entries: DataFrame) -> DataFrame:
 
 
 def static_result(entries: DataFrame, sources: DataFrame | None = None,
-                  nest_limit: int | None = DEFAULT_NEST_LIMIT, stage_entries: bool = True) -> DataFrame:
+                  nest_limit: int | None = DEFAULT_NEST_LIMIT, stage_entries: bool = True,
+                  rules: DataFrame | RuleSet | None = None) -> DataFrame:
     """Heuristic report per source with ``analysis_source = 'static_fallback'``."""
-    rep = report_table(entries, sources, nest_limit, stage_entries)
+    rep = report_table(entries, sources, nest_limit, stage_entries, rules=rules)
     return rep.select(
         "source", *REPORT_FIELDS,
         F.lit("static_fallback").alias("analysis_source"),
@@ -48,7 +50,7 @@ def static_result(entries: DataFrame, sources: DataFrame | None = None,
 def analyze_files(spark: SparkSession, paths: str | list[str],
                   extensions: Iterable[str] | str = ALLOWED_EXTENSIONS,
                   max_file_size_mb: float | None = None,
-                  nest_limit: int | None = DEFAULT_NEST_LIMIT) -> DataFrame:
+                  nest_limit: int | None = DEFAULT_NEST_LIMIT, rules: DataFrame | RuleSet | None = None) -> DataFrame:
     """Static report for every admitted log file under ``paths`` (files, directories or globs; empty files included)."""
     existing, _ = split_inputs(spark, paths)
     if not existing:
@@ -56,7 +58,7 @@ def analyze_files(spark: SparkSession, paths: str | list[str],
     audit = admission_audit(spark, existing, extensions, max_file_size_mb)
     admitted = audit.filter(F.col("status") == "admitted").select(F.col("path").alias("source"))
     entries = read_log_entries(spark, existing, extensions, max_file_size_mb)
-    return static_result(entries, admitted, nest_limit)
+    return static_result(entries, admitted, nest_limit, rules=rules)
 
 
 def result_json(result: DataFrame, include_source: bool = False) -> DataFrame:

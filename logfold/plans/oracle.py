@@ -10,6 +10,8 @@ NULLS)`` window per source over all lines, and the aggregates and top-k as
 from __future__ import annotations
 
 from logfold.functions import patterns as P
+from logfold.operators.rules import DEFAULT_RULES
+from logfold.plans.queries import CUSTOM_RULES
 from logfold.sources.corpus import EV_LEVELS, EV_MESSAGES
 
 
@@ -352,11 +354,12 @@ def _kw(words) -> str:
     return "(" + " OR ".join(f"contains(lower(message), {q(w)})" for w in words) + ")"
 
 
-def _signal_lists_cte() -> str:
-    det_p = ", ".join(
-        f"CASE WHEN bool_or({_kw(words)}) THEN {q(s)} END" for s, words in P.DETECTOR_PATTERN_RULES)
-    det_a = ", ".join(
-        f"CASE WHEN bool_or({_kw(words)}) THEN {q(s)} END" for s, words in P.DETECTOR_ANOMALY_RULES)
+def _signal_lists_cte(rules=DEFAULT_RULES) -> str:
+    def sentences(kind: str) -> str:
+        found = [(s, [w.lower() for w in words]) for k, _, s, words in sorted(rules, key=lambda r: (r[1], r[2])) if k == kind]
+        return ", ".join(f"CASE WHEN bool_or({_kw(words)}) THEN {q(s)} END" for s, words in found)
+
+    kept = "list_filter([{}], lambda x: x IS NOT NULL)".format
     return f"""sig AS (
     SELECT source, count(*) AS total_lines,
       count(*) FILTER (WHERE level = 'ERROR') AS error_events,
@@ -365,27 +368,24 @@ def _signal_lists_cte() -> str:
       count(*) FILTER (WHERE level = 'WARNING') AS warning_total,
       min(ts_val) AS min_ts, max(ts_val) AS max_ts,
       coalesce(string_agg(DISTINCT nullif(level, ''), ', ' ORDER BY nullif(level, '')), '') AS levels_txt,
-      bool_or({_kw(['timeout'])}) AS kw_timeout, bool_or({_kw(['retry'])}) AS kw_retry,
-      bool_or({_kw(['shutdown'])}) AS kw_shutdown,
-      list_filter([{det_p}], lambda x: x IS NOT NULL) AS detector_patterns,
-      list_filter([{det_a}], lambda x: x IS NOT NULL) AS detector_anomalies
+      {kept(sentences('analyzer_pattern'))} AS analyzer_patterns,
+      {kept(sentences('analyzer_anomaly'))} AS analyzer_anomalies,
+      {kept(sentences('pattern'))} AS detector_patterns,
+      {kept(sentences('anomaly'))} AS detector_anomalies
     FROM entries GROUP BY source),
   sig2 AS (SELECT *,
-      list_concat(list_filter([
+      list_concat(list_concat(list_filter([
         CASE WHEN error_events > 0 THEN CAST(error_events AS VARCHAR) || ' error events detected.' END,
-        CASE WHEN warning_events > 0 THEN CAST(warning_events AS VARCHAR) || ' warning events detected.' END,
-        CASE WHEN kw_timeout THEN {q(P.SENT_TIMEOUT_MESSAGES)} END,
-        CASE WHEN kw_retry THEN {q(P.SENT_RETRY_ACTIVITY)} END], lambda x: x IS NOT NULL), detector_patterns)
-        AS pattern_detection,
-      list_concat(list_filter([
-        CASE WHEN error_events > 0 AND warning_events > 0 THEN {q(P.SENT_WARN_WITH_ERRORS)} END,
-        CASE WHEN kw_shutdown THEN {q(P.SENT_SHUTDOWN_EVENTS)} END], lambda x: x IS NOT NULL), detector_anomalies)
-        AS anomalies
+        CASE WHEN warning_events > 0 THEN CAST(warning_events AS VARCHAR) || ' warning events detected.' END],
+        lambda x: x IS NOT NULL), analyzer_patterns)[1:8], detector_patterns) AS pattern_detection,
+      list_concat(list_concat(list_filter([
+        CASE WHEN error_events > 0 AND warning_events > 0 THEN {q(P.SENT_WARN_WITH_ERRORS)} END],
+        lambda x: x IS NOT NULL), analyzer_anomalies), detector_anomalies) AS anomalies
     FROM sig)"""
 
 
-def signals_sql() -> str:
-    return f""", {_signal_lists_cte()}
+def signals_sql(rules=DEFAULT_RULES) -> str:
+    return f""", {_signal_lists_cte(rules)}
 SELECT source, error_events, warning_events, array_to_string(pattern_detection, ' | ') AS pattern_detection,
   array_to_string(anomalies, ' | ') AS anomalies FROM sig2"""
 
@@ -408,7 +408,9 @@ SNIPPET_CTES = f""", eg AS ({groups_sql(f"level IN {ERR}", P.UNKNOWN_ERROR)}),
 SNIPPETS = SNIPPET_CTES + "\nSELECT source, rank, raw FROM snip"
 
 _FMT = f"'[' || coalesce({iso('ts_val')}, 'unknown') || '] ' || coalesce(nullif(level, ''), 'UNKNOWN') || ' ' || raw"
-EVIDENCE_CTES = f""", base AS (SELECT source, line_number, level, message, {_FMT} AS line FROM entries),
+def evidence_ctes(rules=DEFAULT_RULES) -> str:
+    lifecycle = [w.lower() for kind, _, _, words in rules if kind == "lifecycle" for w in words]
+    return f""", base AS (SELECT source, line_number, level, message, {_FMT} AS line FROM entries),
   sect AS (
     SELECT source, 'error_lines' AS section, row_number() OVER (PARTITION BY source ORDER BY line_number) AS rank,
       line_number, line FROM base WHERE level IN {ERR} QUALIFY rank <= 150
@@ -417,7 +419,7 @@ EVIDENCE_CTES = f""", base AS (SELECT source, line_number, level, message, {_FMT
       line_number, line FROM base WHERE level = 'WARNING' QUALIFY rank <= 150
     UNION ALL
     SELECT source, 'lifecycle_lines', row_number() OVER (PARTITION BY source ORDER BY line_number) AS rank,
-      line_number, line FROM base WHERE {_kw(P.LIFECYCLE_KEYWORDS)} QUALIFY rank <= 150),
+      line_number, line FROM base WHERE {_kw(lifecycle)} QUALIFY rank <= 150),
   prio AS (SELECT source, line, min(line_number) AS first_line FROM sect GROUP BY source, line),
   head AS (SELECT source, line_number, line, 1 AS part, line_number AS pos,
       row_number() OVER (PARTITION BY source ORDER BY line_number) AS r FROM base QUALIFY r <= 50),
@@ -433,10 +435,14 @@ EVIDENCE_CTES = f""", base AS (SELECT source, line_number, level, message, {_FMT
         UNION ALL SELECT source, line_number, line, part, pos FROM ht)
     QUALIFY rank <= 500)"""
 
-EVIDENCE = EVIDENCE_CTES + """
+
+EVIDENCE_CTES = evidence_ctes()
+EVIDENCE_ROWS = """
 SELECT source, section, rank, line_number, line FROM sect
 UNION ALL SELECT source, section, rank, line_number, line FROM sample"""
 
+EVIDENCE = EVIDENCE_CTES + EVIDENCE_ROWS
+
 EVIDENCE_BUNDLE = EVIDENCE_CTES + f""",
   tot AS (SELECT source, count(*) AS total_lines,
       CASE WHEN min(ts_val) IS NULL THEN NULL ELSE {iso('min(ts_val)')} || ' -> ' || {iso('max(ts_val)')} END AS time_range
@@ -622,6 +628,8 @@ FROM entries WHERE entry_type IN ('exception', 'stack_trace')"""),
     "timeline_doc": with_doc(TIMELINE),
     "signals": with_ev(signals_sql()),
     "signals_doc": with_doc(signals_sql()),
+    "signals_rules": with_ev(signals_sql(CUSTOM_RULES)),
+    "evidence_rules": with_ev(evidence_ctes(CUSTOM_RULES) + EVIDENCE_ROWS),
     "snippets": with_ev(SNIPPETS),
     "evidence_lines": with_ev(EVIDENCE),
     "report_sections": with_ev(report_sections_sql()),

@@ -17,6 +17,7 @@ from logfold.operators import aggregates as A
 from logfold.operators.evidence import evidence_lines
 from logfold.operators.ranking import timeline
 from logfold.operators.report import report_sections, report_table, signal_columns
+from logfold.operators.rules import RuleSet, rule_table
 from logfold.operators.snippets import snippets
 from logfold.sources.corpus import branch_entries, doc_entries, ev_entries
 from logfold.staging import stage
@@ -146,8 +147,9 @@ def q_timeline_doc(spark: SparkSession, sf: str) -> DataFrame:
     return timeline(doc_entries(spark, sf))
 
 
-def signals_of(e: DataFrame) -> DataFrame:
-    s = signal_columns(A.source_summary(e))
+def signals_of(e: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    rules = RuleSet.of(rules)
+    s = signal_columns(A.source_summary(e, rules), rules)
     return s.select(
         "source", "error_events", "warning_events",
         F.array_join("pattern_detection", " | ").alias("pattern_detection"),
@@ -163,6 +165,33 @@ def q_signals_doc(spark: SparkSession, sf: str) -> DataFrame:
     return signals_of(doc_entries(spark, sf))
 
 
+#: A second rule set (parameters of the query): keywords within keywords, over several kinds, with regex characters,
+#: capitals, other letters, and two rules of one keyword.
+CUSTOM_RULES = (
+    ("analyzer_pattern", 0, "Orders were touched.", ("order", "orders shipped")),
+    ("analyzer_anomaly", 0, "Payment trouble.", ("payment failed", "payment", "declined")),
+    ("pattern", 0, "Handlers ran.", ("handle", "Handler")),
+    ("pattern", 1, "User ids appear.", ("user", "user_")),
+    ("pattern", 1, "A second rule of one place.", ("user",)),
+    ("pattern", 2, "Dotted names appear.", ("app.", "a.b|c", "(")),
+    ("pattern", 3, "Umlauts appear.", ("ü", "größe")),
+    ("anomaly", 0, "Codes of the 500 range.", ("500", "502", "50")),
+    ("anomaly", 1, "Timeouts and more.", ("time", "timeout", "timeout after")),
+    ("anomaly", 2, "Nothing matches this.", ("no such words anywhere",)),
+    ("lifecycle", 0, "", ("retry", "retrying", "cache", "[", "user_1")),
+)
+
+
+def q_signals_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The signals of every EV source under a rule table given by the caller."""
+    return signals_of(ev_entries(spark, sf), rule_table(spark, CUSTOM_RULES))
+
+
+def q_evidence_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The evidence lines of every EV source under a rule table given by the caller."""
+    return evidence_lines(stage(ev_entries(spark, sf), "entries"), rules=rule_table(spark, CUSTOM_RULES))
+
+
 def q_snippets(spark: SparkSession, sf: str) -> DataFrame:
     return snippets(stage(ev_entries(spark, sf), "entries"))
 
@@ -289,6 +318,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "timeline_doc": q_timeline_doc,
     "signals": q_signals,
     "signals_doc": q_signals_doc,
+    "signals_rules": q_signals_rules,
+    "evidence_rules": q_evidence_rules,
     "snippets": q_snippets,
     "evidence_lines": q_evidence_lines,
     "report_sections": q_report_sections,
