@@ -6,47 +6,37 @@
 * :func:`complete` - ``mapInPandas`` that calls a caller-supplied client once
   per row (one client per partition and worker thread, optional concurrent
   calls per task); failures are captured per row.
+* :func:`stored_replies` - asks each distinct prompt once: replies are written
+  to a table keyed by the prompt's hash, and prompts that it answers already
+  are not asked again.
 * :func:`check_responses` - extracts the JSON object (a fenced block is
-  preferred) and tests it in column expressions; objects are validated against
-  the report shape by a small Arrow-batched helper.
+  preferred) and validates it against the report shape, in column expressions
+  over VARIANT values.
 * :func:`choose_reports` - per source, the model's report when it is valid,
   otherwise the heuristic report with the reason in ``llm_error``.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
-import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType, StructField, StructType
 
 from logfold.functions import patterns as P
 from logfold.functions.extract import ustrip
+from logfold.functions.json_text import indented_json
 from logfold.operators.aggregates import level_counts, source_summary, top_values
 from logfold.operators.evidence import evidence_lines
 from logfold.operators.joins import join_keys
 from logfold.operators.rules import RuleSet
-from logfold.staging import maybe_stage
-
-REPORT_DDL = (
-    "executive_summary string, "
-    "log_overview struct<time_range:string,total_lines_processed:bigint,log_levels_observed:array<string>,"
-    "major_components:array<string>,request_identifiers:array<string>,thread_names:array<string>>, "
-    "timeline array<struct<timestamp:string,message:string,source:string>>, "
-    "error_analysis array<struct<error_type:string,occurrence_count:bigint,first_occurrence:string,"
-    "last_occurrence:string,short_explanation:string>>, "
-    "warning_analysis array<struct<warning_type:string,occurrence_count:bigint,first_occurrence:string,"
-    "last_occurrence:string,short_explanation:string>>, "
-    "pattern_detection array<string>, anomalies array<string>, "
-    "likely_root_cause struct<observed_facts:array<string>,possible_causes:array<string>,assumptions:array<string>>, "
-    "recommendations array<string>, interesting_log_snippets array<string>"
-)
+from logfold.staging import maybe_stage, stage
+
 REPORT_FIELDS = (
     "executive_summary", "log_overview", "timeline", "error_analysis", "warning_analysis",
     "pattern_detection", "anomalies", "likely_root_cause", "recommendations", "interesting_log_snippets",
@@ -104,26 +94,28 @@ def evidence_bundle(entries: DataFrame, stage_entries: bool = True, level_lines:
 
 # --- prompts -------------------------------------------------------------------
 
-_JSON_OPTS = {"pretty": "true", "ignoreNullFields": "false"}
-
-
 def analysis_prompt(bundles: DataFrame) -> DataFrame:
     """``(source, prompt)`` from :func:`evidence_bundle` output."""
     head = (P.ANALYSIS_PROMPT_HEAD + P.ANALYSIS_RULES + "\n\nJSON schema:\n"
             + json.dumps(P.REPORT_SCHEMA_TEXT, indent=2) + "\n\nEvidence bundle:\n")
-    return bundles.select("source", F.concat(F.lit(head), F.to_json("evidence", _JSON_OPTS)).alias("prompt"))
+    body = indented_json(F.col("evidence"), bundles.schema["evidence"].dataType)
+    return bundles.select("source", F.concat(F.lit(head), body).alias("prompt"))
 
 
 def refinement_prompt(reports: DataFrame) -> DataFrame:
     """``(source, prompt)`` asking to refine an existing report (report columns as in REPORT_FIELDS)."""
-    body = F.to_json(F.struct(*[F.col(c) for c in REPORT_FIELDS]), _JSON_OPTS)
-    return reports.select("source", F.concat(F.lit(P.REFINEMENT_PROMPT_HEAD + "Report:\n"), body).alias("prompt"))
+    whole = reports.select("source", F.struct(*[F.col(c) for c in REPORT_FIELDS]).alias("report"))
+    body = indented_json(F.col("report"), whole.schema["report"].dataType)
+    return whole.select("source", F.concat(F.lit(P.REFINEMENT_PROMPT_HEAD + "Report:\n"), body).alias("prompt"))
 
 
 # --- completion ----------------------------------------------------------------
 
-def complete(prompts: DataFrame, client_factory: Callable[[], Any], concurrency: int = 1) -> DataFrame:
-    """``(source, response, error)``: one ``client.generate(prompt)`` call per row.
+def complete(prompts: DataFrame, client_factory: Callable[[], Any], concurrency: int = 1,
+             system_prompt: str = P.SYSTEM_PROMPT, key: str = "source") -> DataFrame:
+    """``(key, response, error)``: one ``client.generate(prompt)`` call per row, whenever the result is evaluated.
+
+    The client is given ``system_prompt`` as its attribute of that name, unless it has one already.
 
     ``client_factory`` is called on the executor, once per partition and
     worker thread, so a client holding a connection is created near the data;
@@ -144,7 +136,11 @@ def complete(prompts: DataFrame, client_factory: Callable[[], Any], concurrency:
         def call(prompt: str) -> tuple[str | None, str | None]:
             try:
                 if getattr(local, "client", None) is None:
-                    local.client = client_factory()
+                    client = client_factory()
+                    if not getattr(client, "system_prompt", None):
+                        with contextlib.suppress(AttributeError):  # a client that takes no attributes
+                            client.system_prompt = system_prompt
+                    local.client = client
                 return local.client.generate(prompt), None
             except Exception as exc:  # captured per row, never fails the task
                 return None, f"{type(exc).__name__}: {exc}"
@@ -153,12 +149,45 @@ def complete(prompts: DataFrame, client_factory: Callable[[], Any], concurrency:
             for pdf in batches:
                 results = list(pool.map(call, pdf["prompt"]))
                 yield pd.DataFrame({
-                    "source": pdf["source"],
+                    key: pdf[key],
                     "response": [r for r, _ in results],
                     "error": [e for _, e in results],
                 })
 
-    return prompts.select("source", "prompt").mapInPandas(run, "source string, response string, error string")
+    return prompts.select(key, "prompt").mapInPandas(run, f"{key} string, response string, error string")
+
+
+def stored_replies(prompts: DataFrame, client_factory: Callable[[], Any], concurrency: int = 1, replies: str | None = None,
+                   model: str = "", system_prompt: str = P.SYSTEM_PROMPT) -> DataFrame:
+    """``(source, response, error)`` of stored replies: each distinct prompt is asked once, when this is called.
+
+    ``replies`` is the path of a reply table (Parquet) that later calls read
+    again and add to; without it the replies are kept in the staging folder, so
+    only this call's results use them.  A prompt is known by the SHA-256 of
+    ``model``, system prompt and prompt (``model`` is any text that tells
+    models apart).  Failed calls are kept for the result but are asked again by
+    a later call.  Of several replies to one prompt, as two runs at once may
+    leave, the smallest text is used, so all sources with that prompt agree.
+    A null prompt has neither reply nor error.
+    """
+    whole = F.concat_ws("\x00", F.lit(model), F.lit(system_prompt), F.col("prompt"))
+    keyed = stage(prompts.select("source", "prompt", F.when(F.col("prompt").isNotNull(), F.sha2(whole.cast("binary"), 256)).alias("key")),
+                  "prompts")
+    ask = keyed.where("key is not null").dropDuplicates(["key"]).select("key", "prompt")
+    spark, ddl = prompts.sparkSession, "key string, response string, error string"
+    known = spark.createDataFrame([], ddl)
+    if replies is not None:
+        with contextlib.suppress(AnalysisException):  # the first call: there is no table yet
+            known = spark.read.schema(ddl).parquet(replies)
+            known = stage(known.where("response is not null").groupBy("key").agg(F.min("response").alias("response")).withColumn(
+                "error", F.lit(None).cast("string")), "known-replies")
+        ask = ask.join(known, "key", "left_anti")
+    # Written once: further evaluations of the result read the table and call no client.
+    new = stage(complete(ask, client_factory, concurrency, system_prompt, key="key"), "replies")
+    if replies is not None:
+        new.write.mode("append").parquet(replies)
+    answers = known.unionByName(new)
+    return keyed.join(answers, "key", "left").select("source", "response", "error")
 
 
 # --- response checking ----------------------------------------------------------
@@ -168,157 +197,152 @@ FENCED_JSON = r"```(?:json)?\s*([\s\S]*?)\s*```"
 NOT_JSON = "LLM returned invalid JSON: "
 NOT_AN_OBJECT = "LLM response must be a JSON object."
 
-_REQUIRED = object()
-_WHOLE = re.compile(r"[+-]?\d+(?:\.0+)?")
-
-
-class ShapeError(ValueError):
-    pass
-
-
-def _str(v, path, optional=False):
-    if v is None and optional:
-        return None
-    if not isinstance(v, str):
-        raise ShapeError(f"{path}: input should be a valid string")
-    return v
-
-
-def _int(v, path):
-    if isinstance(v, bool):
-        return int(v)
-    if isinstance(v, int):
-        return v
-    if isinstance(v, float) and v.is_integer():
-        return int(v)
-    if isinstance(v, str) and len(v) < 100 and _WHOLE.fullmatch(v.strip()):
-        return int(v.strip().partition(".")[0])
-    raise ShapeError(f"{path}: input should be a valid integer")
-
-
-def _strs(v, path):
-    if not isinstance(v, list):
-        raise ShapeError(f"{path}: input should be a valid list")
-    return [_str(x, f"{path}.{i}") for i, x in enumerate(v)]
-
-
-def _obj(v, path):
-    if not isinstance(v, dict):
-        raise ShapeError(f"{path}: input should be a valid dictionary")
-    return v
-
-
-def _field(d, key, conv, path, default=_REQUIRED):
-    if key not in d:
-        if default is _REQUIRED:
-            raise ShapeError(f"{path}{key}: field required")
-        return default() if callable(default) else default
-    return conv(d[key], f"{path}{key}")
-
-
-def _items(v, path, item):
-    if not isinstance(v, list):
-        raise ShapeError(f"{path}: input should be a valid list")
-    return [item(_obj(x, f"{path}.{i}"), f"{path}.{i}.") for i, x in enumerate(v)]
-
-
-def _group(kind):
-    def conv(d, p):
-        return {
-            kind: _field(d, kind, _str, p),
-            "occurrence_count": _field(d, "occurrence_count", _int, p),
-            "first_occurrence": _field(d, "first_occurrence", lambda v, q: _str(v, q, True), p, None),
-            "last_occurrence": _field(d, "last_occurrence", lambda v, q: _str(v, q, True), p, None),
-            "short_explanation": _field(d, "short_explanation", _str, p, ""),
-        }
-    return conv
-
-
-def validate_report(payload: Any) -> dict:
-    """Normalised report dict, or :class:`ShapeError` (unknown fields are ignored)."""
-    d = _obj(payload, "report")
-
-    def overview(v, p):
-        o = _obj(v, p)
-        q = p + "."
-        return {
-            "time_range": _field(o, "time_range", lambda x, r: _str(x, r, True), q, None),
-            "total_lines_processed": _field(o, "total_lines_processed", _int, q, 0),
-            "log_levels_observed": _field(o, "log_levels_observed", _strs, q, list),
-            "major_components": _field(o, "major_components", _strs, q, list),
-            "request_identifiers": _field(o, "request_identifiers", _strs, q, list),
-            "thread_names": _field(o, "thread_names", _strs, q, list),
-        }
-
-    def event(e, p):
-        return {
-            "timestamp": _field(e, "timestamp", lambda x, r: _str(x, r, True), p, None),
-            "message": _field(e, "message", _str, p),
-            "source": _field(e, "source", lambda x, r: _str(x, r, True), p, None),
-        }
-
-    def cause(v, p):
-        o = _obj(v, p)
-        q = p + "."
-        return {k: _field(o, k, _strs, q, list) for k in ("observed_facts", "possible_causes", "assumptions")}
-
-    empty_cause = {"observed_facts": [], "possible_causes": [], "assumptions": []}
-    return {
-        "executive_summary": _field(d, "executive_summary", _str, ""),
-        "log_overview": _field(d, "log_overview", overview, ""),
-        "timeline": _field(d, "timeline", lambda v, p: _items(v, p, event), "", list),
-        "error_analysis": _field(d, "error_analysis", lambda v, p: _items(v, p, _group("error_type")), "", list),
-        "warning_analysis": _field(d, "warning_analysis", lambda v, p: _items(v, p, _group("warning_type")), "",
-                                   list),
-        "pattern_detection": _field(d, "pattern_detection", _strs, "", list),
-        "anomalies": _field(d, "anomalies", _strs, "", list),
-        "likely_root_cause": _field(d, "likely_root_cause", cause, "", lambda: dict(empty_cause)),
-        "recommendations": _field(d, "recommendations", _strs, "", list),
-        "interesting_log_snippets": _field(d, "interesting_log_snippets", _strs, "", list),
-    }
+# One field's checked value: the column to put into the report, and the problem (null if there is none).
+Checked = tuple[Column, Column]
+
+
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+
+def _get(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def _problem(bad: Column, path: Column, what: str) -> Column:
+    return F.when(bad, F.concat(path, F.lit(f": input should be a valid {what}")))
+
+
+def _text(v: Column, path: Column) -> Checked:
+    return F.try_variant_get(v, "$", "string"), _problem(_kind(v) != "STRING", path, "string")
+
+
+def _maybe_text(v: Column, path: Column) -> Checked:
+    return F.try_variant_get(v, "$", "string"), _problem(~_kind(v).isin("STRING", "VOID"), path, "string")
 
 
-def _shape(body: str | None) -> tuple[str | None, str | None]:
-    """(normalised report JSON, None) or (None, problem) of a JSON object's text."""
-    if body is None:
-        return None, None
-    try:
-        return json.dumps(validate_report(json.loads(body))), None
-    except ShapeError as exc:
-        return None, f"Report validation failed: {exc}"
-    except (ValueError, RecursionError) as exc:  # numbers or nesting beyond what a report can hold
-        return None, f"{NOT_JSON}{type(exc).__name__}"
+#: A whole number as text, its fraction zeros only.
+_WHOLE = r"\A[+-]?[0-9]+(\.0+)?\z"
 
 
-_SHAPE_TYPE = StructType([StructField("report_json", StringType()), StructField("problem", StringType())])
+def _whole(v: Column, path: Column) -> Checked:
+    """Whole numbers, also as text, as a boolean or with a zero fraction; beyond 64 bits they are no valid count."""
+    kind, words = _kind(v), ustrip(F.try_variant_get(v, "$", "string"))
+    number, real = F.try_variant_get(v, "$", "bigint"), F.try_variant_get(v, "$", "double")
+    spelt = F.when(words.rlike(_WHOLE), F.split(words, r"\.", 2)[0].try_cast("bigint"))
+    value = (F.when(kind.isin("BIGINT", "BOOLEAN"), number)
+             .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.when(real == F.floor(real), number))
+             .when(kind == "STRING", spelt))
+    return value, _problem(value.isNull(), path, "integer")
+
+
+def _texts(v: Column, path: Column) -> Checked:
+    items = F.try_variant_get(v, "$", "array<variant>")
+    each = F.transform(items, lambda x, i: _text(x, F.concat(path, F.lit("."), i.cast("string")))[1])
+    first = F.get(F.filter(each, lambda p: p.isNotNull()), F.lit(0))
+    return (F.transform(items, lambda x: _text(x, path)[0]),
+            F.coalesce(_problem(items.isNull(), path, "list"), first))
+
+
+def _object(fields: dict, v: Column, path: Column) -> Checked:
+    """An object with ``fields``: name to (check, default or None if the field must be there)."""
+    dot = F.concat(path, F.lit("."))
+    return _fields(fields, v, dot, _problem(~_kind(v).startswith("OBJECT"), path, "dictionary"))
+
+
+def _fields(fields: dict, v: Column, prefix: Column, problem: Column) -> Checked:
+    values, problems = [], [problem]
+    for name, (check, default) in fields.items():
+        at, found = F.concat(prefix, F.lit(name)), _get(v, name)
+        value, wrong = check(found, at)
+        if default is None:
+            problems.append(F.when(found.isNull(), F.concat(at, F.lit(": field required"))).otherwise(wrong))
+        else:
+            problems.append(F.when(found.isNotNull(), wrong))
+            value = F.when(found.isNull(), default()).otherwise(value)
+        values.append(value.alias(name))
+    return F.struct(*values), F.coalesce(*problems)
+
+
+def _objects(fields: dict) -> Callable[[Column, Column], Checked]:
+    def check(v: Column, path: Column) -> Checked:
+        items = F.try_variant_get(v, "$", "array<variant>")
+        each = F.transform(items, lambda x, i: _object(fields, x, F.concat(path, F.lit("."), i.cast("string")))[1])
+        first = F.get(F.filter(each, lambda p: p.isNotNull()), F.lit(0))
+        return (F.transform(items, lambda x: _object(fields, x, path)[0]),
+                F.coalesce(_problem(items.isNull(), path, "list"), first))
+    return check
+
+
+def _group_fields(kind: str) -> dict:
+    return {kind: (_text, None), "occurrence_count": (_whole, None), "first_occurrence": (_maybe_text, _null),
+            "last_occurrence": (_maybe_text, _null), "short_explanation": (_text, lambda: F.lit(""))}
+
+
+def _null() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _report_fields() -> dict:
+    """The report's fields in the order in which they are checked; unknown fields are ignored."""
+    texts = (_texts, _no_texts)
+    overview = {"time_range": (_maybe_text, _null), "total_lines_processed": (_whole, lambda: F.lit(0).cast("bigint")),
+                "log_levels_observed": texts, "major_components": texts, "request_identifiers": texts, "thread_names": texts}
+    event = {"timestamp": (_maybe_text, _null), "message": (_text, None), "source": (_maybe_text, _null)}
+    cause = {"observed_facts": texts, "possible_causes": texts, "assumptions": texts}
+
+    def none_of(fields: dict) -> Callable[[], Column]:
+        return lambda: F.array().cast(f"array<{_ddl(fields)}>")
+
+    def listed(fields: dict) -> tuple:
+        return _objects(fields), none_of(fields)
+
+    return {
+        "executive_summary": (_text, None),
+        "log_overview": (lambda v, p: _object(overview, v, p), None),
+        "timeline": listed(event),
+        "error_analysis": listed(_group_fields("error_type")),
+        "warning_analysis": listed(_group_fields("warning_type")),
+        "pattern_detection": texts,
+        "anomalies": texts,
+        "likely_root_cause": (lambda v, p: _object(cause, v, p), lambda: F.struct(*[_no_texts().alias(k) for k in cause])),
+        "recommendations": texts,
+        "interesting_log_snippets": texts,
+    }
 
 
-@pandas_udf(_SHAPE_TYPE)
-def _shape_udf(body: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_shape(x if isinstance(x, str) else None) for x in body], columns=["report_json", "problem"])
+def _ddl(fields: dict) -> str:
+    """Type of an item of flat ``fields``: whole numbers and texts."""
+    return "struct<" + ",".join(f"{k}:{'bigint' if check is _whole else 'string'}" for k, (check, _) in fields.items()) + ">"
 
 
 def check_responses(responses: DataFrame) -> DataFrame:
     """``(source, report, llm_error)``: ``report`` is the parsed struct (NULL when rejected).
 
-    The JSON text is cut out and tested in column expressions; a reply that is
-    not JSON, not an object or nested beyond reason gives a row with its
-    reason.  Only objects reach the shape check.
+    The JSON text is cut out, parsed to a VARIANT and validated field by field in
+    column expressions.  A reply that is not JSON, not an object, nested beyond
+    reason or of another shape gives a row with its reason: for the shape, the
+    path of the first field that fails, in the report's order.
     """
     text = ustrip("response")
     fenced = F.when(text.rlike(FENCED_JSON), ustrip(F.regexp_extract(text, FENCED_JSON, 1)))
     replies = responses.select("source", F.nullif("error", F.lit("")).alias("failed"), F.coalesce(fenced, text).alias("body"))
-    value = F.try_parse_json("body")
+    parsed = replies.select("source", "failed", "body", F.try_parse_json("body").alias("v"))
     reason = (
         F.when(F.col("failed").isNotNull(), F.col("failed"))
         .when(F.col("body").isNull(), F.lit("Model returned no content."))
-        .when(value.isNull(), F.concat(F.lit(NOT_JSON), F.substring("body", 1, 80)))
-        .when(~F.schema_of_variant(value).startswith("OBJECT"), F.lit(NOT_AN_OBJECT))
+        .when(F.col("v").isNull(), F.concat(F.lit(NOT_JSON), F.substring("body", 1, 80)))
+        .when(~_kind(F.col("v")).startswith("OBJECT"), F.lit(NOT_AN_OBJECT))
     )
-    judged = replies.select("source", "body", reason.alias("reason"))
-    shaped = judged.select("source", "reason", _shape_udf(F.when(F.col("reason").isNull(), F.col("body"))).alias("c"))
-    return shaped.select("source", F.from_json("c.report_json", REPORT_DDL).alias("report"),
-                         F.coalesce("reason", "c.problem").alias("llm_error"))
+    judged = parsed.select("source", reason.alias("reason"), "v")
+    report, problem = _fields(_report_fields(), F.col("v"), F.lit(""), F.lit(None).cast("string"))
+    shaped = judged.select("source", "v", F.coalesce("reason", F.concat(F.lit("Report validation failed: "), problem)).alias("llm_error"))
+    # Only replies without a reason are taken apart a second time, for their values.
+    return shaped.select("source", F.when(F.col("llm_error").isNull(), report).alias("report"), "llm_error")
 
 
 def choose_reports(static: DataFrame, checked: DataFrame | None) -> DataFrame:

@@ -78,19 +78,25 @@ def write_results(result: DataFrame, path: str, mode: str = "overwrite") -> None
 
 
 def analyze_with_model(entries: DataFrame, client_factory, sources: DataFrame | None = None,
-                       nest_limit: int | None = DEFAULT_NEST_LIMIT, concurrency: int = 1) -> DataFrame:
+                       nest_limit: int | None = DEFAULT_NEST_LIMIT, concurrency: int = 1,
+                       rules: DataFrame | RuleSet | None = None, replies: str | None = None, model: str = "") -> DataFrame:
     """Model-first analysis: evidence -> prompt -> completion -> check, with the
-    heuristic report as the per-source fallback (``llm_error`` says why)."""
+    heuristic report as the per-source fallback (``llm_error`` says why).
+
+    The model is called while this function runs, once per distinct prompt;
+    evaluating the result calls it no more.  ``replies`` names a table that
+    keeps the replies for later runs (see :func:`logfold.operators.assist.stored_replies`).
+    """
     from logfold.operators.assist import (
-        analysis_prompt, check_responses, choose_reports, complete, evidence_bundle,
+        analysis_prompt, check_responses, choose_reports, evidence_bundle, stored_replies,
     )
-
     from logfold.staging import stage
 
     if client_factory is None:
-        return static_result(entries, sources, nest_limit)
+        return static_result(entries, sources, nest_limit, rules=rules)
     entries = stage(entries, "entries")
-    static = static_result(entries, sources, nest_limit, stage_entries=False)
-    prompts = analysis_prompt(evidence_bundle(entries, stage_entries=False))
-    checked = check_responses(complete(prompts, client_factory, concurrency))
+    rules = RuleSet.of(rules)
+    static = static_result(entries, sources, nest_limit, stage_entries=False, rules=rules)
+    prompts = analysis_prompt(evidence_bundle(entries, stage_entries=False, rules=rules))
+    checked = check_responses(stored_replies(prompts, client_factory, concurrency, replies, model))
     return choose_reports(static, checked)

@@ -9,9 +9,12 @@ NULLS)`` window per source over all lines, and the aggregates and top-k as
 
 from __future__ import annotations
 
+import json
+import re
+
 from logfold.functions import patterns as P
 from logfold.operators.rules import DEFAULT_RULES
-from logfold.plans.queries import CUSTOM_RULES
+from logfold.plans.queries import CUSTOM_RULES, REPLY_SHAPES
 from logfold.sources.corpus import EV_LEVELS, EV_MESSAGES
 
 
@@ -443,25 +446,6 @@ UNION ALL SELECT source, section, rank, line_number, line FROM sample"""
 
 EVIDENCE = EVIDENCE_CTES + EVIDENCE_ROWS
 
-EVIDENCE_BUNDLE = EVIDENCE_CTES + f""",
-  tot AS (SELECT source, count(*) AS total_lines,
-      CASE WHEN min(ts_val) IS NULL THEN NULL ELSE {iso('min(ts_val)')} || ' -> ' || {iso('max(ts_val)')} END AS time_range
-    FROM entries GROUP BY source),
-  lv AS (SELECT source, string_agg(level, ',' ORDER BY first_line) AS level_keys FROM (
-      SELECT source, level, min(line_number) AS first_line FROM entries WHERE nullif(level, '') IS NOT NULL
-      GROUP BY source, level) GROUP BY source),
-  cnt AS (SELECT source,
-      count(*) FILTER (WHERE section = 'error_lines') AS n_error,
-      count(*) FILTER (WHERE section = 'warning_lines') AS n_warning,
-      count(*) FILTER (WHERE section = 'lifecycle_lines') AS n_lifecycle FROM sect GROUP BY source),
-  smp AS (SELECT source, count(*) AS n_sample, arg_min(line, rank) AS first_sample, arg_max(line, rank) AS last_sample
-    FROM sample GROUP BY source)
-SELECT t.source, t.total_lines, t.time_range, coalesce(l.level_keys, '') AS level_keys,
-  coalesce(c.n_error, 0) AS n_error, coalesce(c.n_warning, 0) AS n_warning, coalesce(c.n_lifecycle, 0) AS n_lifecycle,
-  coalesce(m.n_sample, 0) AS n_sample, m.first_sample, m.last_sample
-FROM tot t LEFT JOIN lv l USING (source) LEFT JOIN cnt c USING (source) LEFT JOIN smp m USING (source)"""
-
-
 def _report_ctes() -> str:
     """CTEs up to ``r2``: the text sections of the report, one row per source."""
     fact_rules = ", ".join(
@@ -530,8 +514,8 @@ def _group_list(table: str, name: str, explanation: str) -> str:
       'short_explanation': {q(explanation)}}} ORDER BY rank) AS items FROM {table} GROUP BY source"""
 
 
-def report_json_sql() -> str:
-    """The nested report of each source as compact JSON text, all ten sections."""
+def _report_tables() -> str:
+    """CTEs of the whole report: ``r2`` and the lists of the other sections."""
     return f"""{_report_ctes()},
   wg AS ({groups_sql("level = 'WARNING'", P.UNKNOWN_WARNING)}),
   err_list AS ({_group_list('eg', 'error_type', 'Repeated error condition observed in logs.')}),
@@ -541,10 +525,20 @@ def report_json_sql() -> str:
       list(value ORDER BY rank) FILTER (WHERE dimension = 'request_id') AS reqs,
       list(value ORDER BY rank) FILTER (WHERE dimension = 'thread_name') AS thr FROM fv GROUP BY source),
   tl AS (SELECT source, list({{'timestamp': "timestamp", 'message': message, 'source': level}} ORDER BY rank) AS items
-    FROM ({TIMELINE}) GROUP BY source)
+    FROM ({TIMELINE}) GROUP BY source)"""
+
+
+_REPORT_JOIN = """FROM r2 r LEFT JOIN fvl f USING (source) LEFT JOIN tl t USING (source) LEFT JOIN err_list e USING (source)
+LEFT JOIN warn_list w USING (source)"""
+_LEVEL_LIST = "CASE WHEN levels_txt = '' THEN [] ELSE string_split(levels_txt, ', ') END"
+
+
+def report_json_sql() -> str:
+    """The nested report of each source as compact JSON text, all ten sections."""
+    return f"""{_report_tables()}
 SELECT r.source, CAST(to_json({{'source': r.source, 'executive_summary': r.executive_summary[1],
     'log_overview': {{'time_range': r.time_range, 'total_lines_processed': r.total_lines,
-      'log_levels_observed': CASE WHEN levels_txt = '' THEN [] ELSE string_split(levels_txt, ', ') END,
+      'log_levels_observed': {_LEVEL_LIST},
       'major_components': coalesce(f.comps, []), 'request_identifiers': coalesce(f.reqs, []),
       'thread_names': coalesce(f.thr, [])}},
     'timeline': coalesce(t.items, []), 'error_analysis': coalesce(e.items, []), 'warning_analysis': coalesce(w.items, []),
@@ -553,8 +547,130 @@ SELECT r.source, CAST(to_json({{'source': r.source, 'executive_summary': r.execu
       'assumptions': r.assumptions}},
     'recommendations': r.recommendations, 'interesting_log_snippets': r.interesting_log_snippets,
     'analysis_source': 'static_fallback'}}) AS VARCHAR) AS json
-FROM r2 r LEFT JOIN fvl f USING (source) LEFT JOIN tl t USING (source) LEFT JOIN err_list e USING (source)
-LEFT JOIN warn_list w USING (source)"""
+{_REPORT_JOIN}"""
+
+
+# JSON text with a two-space layout.  The EV lines are ASCII; the escapes they need are the quote, the backslash and tabs.
+
+def _js(x: str) -> str:
+    escaped = f"replace(replace(replace({x}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(9), chr(92) || 't')"
+    return f"coalesce('\"' || {escaped} || '\"', 'null')"
+
+
+def _nl(depth: int) -> str:
+    return "chr(10) || '" + "  " * depth + "'"
+
+
+def _sql_block(items: str, marks: str, depth: int) -> str:
+    """Item texts (a list expression) between brackets, one a line."""
+    return (f"CASE WHEN len(coalesce({items}, [])) = 0 THEN '{marks}' ELSE '{marks[0]}' || {_nl(depth + 1)} || "
+            f"array_to_string({items}, ',' || {_nl(depth + 1)}) || {_nl(depth)} || '{marks[1]}' END")
+
+
+def _sql_list(items: str, depth: int) -> str:
+    return _sql_block(f"list_transform({items}, lambda x: {_js('x')})", "[]", depth)
+
+
+def _sql_object(fields: dict[str, str], depth: int) -> str:
+    body = f" || ',' || {_nl(depth + 1)} || ".join(f"'\"{k}\": ' || {v}" for k, v in fields.items())
+    return f"'{{' || {_nl(depth + 1)} || {body} || {_nl(depth)} || '}}'"
+
+
+def _sql_map(items: str, depth: int) -> str:
+    entry = f"{_js('x.value')} || ': ' || CAST(x.n AS VARCHAR)"
+    return _sql_block(f"list_transform({items}, lambda x: {entry})", "{}", depth)
+
+
+def _num(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+def _bundle_ctes() -> str:
+    """CTE ``bundle``: the evidence of each source with its maps and lists."""
+    def section(name: str) -> str:
+        return f"list(line ORDER BY rank) FILTER (WHERE section = '{name}') AS {name}"
+
+    def dimension(name: str) -> str:
+        return f"list({{'value': value, 'n': n}} ORDER BY rank) FILTER (WHERE dimension = '{name}') AS {name}"
+
+    return EVIDENCE_CTES + f""",
+  tot AS (SELECT source, count(*) AS total_lines,
+      CASE WHEN min(ts_val) IS NULL THEN NULL ELSE {iso('min(ts_val)')} || ' -> ' || {iso('max(ts_val)')} END AS time_range
+    FROM entries GROUP BY source),
+  lists AS (SELECT source, {section('sample_lines')}, {section('error_lines')}, {section('warning_lines')}, {section('lifecycle_lines')}
+    FROM (SELECT * FROM sect UNION ALL SELECT * FROM sample) GROUP BY source),
+  lv AS (SELECT source, list({{'value': level, 'n': n}} ORDER BY first_line) AS levels FROM ({STATS_LEVELS}) GROUP BY source),
+  tops AS (SELECT source, {dimension('components')}, {dimension('request_ids')}, {dimension('thread_names')}
+    FROM ({STATS_TOP10}) GROUP BY source),
+  bundle AS (SELECT * FROM tot LEFT JOIN lists USING (source) LEFT JOIN lv USING (source) LEFT JOIN tops USING (source))"""
+
+
+def evidence_bundle_sql() -> str:
+    maps = " UNION ALL ".join(
+        f"SELECT source, '{d}' AS part, generate_subscripts({d}, 1) AS rank, unnest({d}).value AS text, unnest({d}).n AS n FROM bundle"
+        for d in ("levels", "components", "request_ids", "thread_names"))
+    lines = " UNION ALL ".join(
+        f"SELECT source, '{c}', generate_subscripts({c}, 1), unnest({c}), 0 FROM bundle"
+        for c in ("sample_lines", "error_lines", "warning_lines", "lifecycle_lines"))
+    return f"""{_bundle_ctes()}
+{maps} UNION ALL {lines}
+UNION ALL SELECT source, 'total_lines', 1, NULL, total_lines FROM bundle
+UNION ALL SELECT source, 'statistics_total', 1, NULL, total_lines FROM bundle
+UNION ALL SELECT source, 'time_range', 1, time_range, 0 FROM bundle"""
+
+
+def prompt_sql() -> str:
+    head = (P.ANALYSIS_PROMPT_HEAD + P.ANALYSIS_RULES + "\n\nJSON schema:\n" + json.dumps(P.REPORT_SCHEMA_TEXT, indent=2)
+            + "\n\nEvidence bundle:\n")
+    statistics = {"total_lines": _num("total_lines")} | {
+        d: _sql_map(d, 2) for d in ("levels", "components", "request_ids", "thread_names")}
+    evidence = {"total_lines": _num("total_lines"), "time_range": _js("time_range"), "statistics": _sql_object(statistics, 1)} | {
+        c: _sql_list(c, 1) for c in ("sample_lines", "error_lines", "warning_lines", "lifecycle_lines")}
+    return f"{_bundle_ctes()}\nSELECT source, {q(head)} || {_sql_object(evidence, 0)} AS prompt FROM bundle"
+
+
+def refinement_sql() -> str:
+    def groups(items: str, name: str) -> str:
+        fields = {name: _js(f"x.{name}"), "occurrence_count": _num("x.occurrence_count")} | {
+            k: _js(f"x.{k}") for k in ("first_occurrence", "last_occurrence", "short_explanation")}
+        return _sql_block(f"list_transform({items}, lambda x: {_sql_object(fields, 2)})", "[]", 1)
+
+    event = {k: _js(f'x."{k}"') for k in ("timestamp", "message", "source")}
+    overview = {"time_range": _js("r.time_range"), "total_lines_processed": _num("r.total_lines"),
+                "log_levels_observed": _sql_list(_LEVEL_LIST, 2), "major_components": _sql_list("f.comps", 2),
+                "request_identifiers": _sql_list("f.reqs", 2), "thread_names": _sql_list("f.thr", 2)}
+    report = {
+        "executive_summary": _js("r.executive_summary[1]"), "log_overview": _sql_object(overview, 1),
+        "timeline": _sql_block(f"list_transform(t.items, lambda x: {_sql_object(event, 2)})", "[]", 1),
+        "error_analysis": groups("e.items", "error_type"), "warning_analysis": groups("w.items", "warning_type"),
+        "pattern_detection": _sql_list("r.pattern_detection", 1), "anomalies": _sql_list("r.anomalies", 1),
+        "likely_root_cause": _sql_object({k: _sql_list(f"r.{k}", 2) for k in ("observed_facts", "possible_causes", "assumptions")}, 1),
+        "recommendations": _sql_list("r.recommendations", 1), "interesting_log_snippets": _sql_list("r.interesting_log_snippets", 1),
+    }
+    return f"""{_report_tables()}
+SELECT r.source, {q(P.REFINEMENT_PROMPT_HEAD + 'Report:' + chr(10))} || {_sql_object(report, 0)} AS prompt
+{_REPORT_JOIN}"""
+
+
+def model_report_sql() -> str:
+    """What the stand-in model answers (by the line count) and what becomes of it."""
+    summary = P.SYSTEM_PROMPT.split(".")[0]
+    return f"""{_report_tables()},
+  asked AS (SELECT source, count(*) AS n,
+      least(count(*) FILTER (WHERE level IN {ERR}), 150) AS errors FROM entries GROUP BY source),
+  lvs AS (SELECT source, list({{'level': level, 'n': n}} ORDER BY first_line) AS levels FROM ({STATS_LEVELS}) GROUP BY source),
+  answer AS (SELECT *, CASE n % 5 WHEN 2 THEN 'RuntimeError: no capacity for ' || n || ' lines'
+      WHEN 3 THEN 'LLM returned invalid JSON: I cannot read ' || n || ' lines.'
+      WHEN 4 THEN 'Report validation failed: log_overview: field required' END AS llm_error
+    FROM asked LEFT JOIN lvs USING (source))
+SELECT r.source, CASE WHEN llm_error IS NULL THEN 'llm' ELSE 'static_fallback' END AS analysis_source, llm_error,
+  CASE WHEN llm_error IS NULL THEN {q(summary)} || ': ' || n || ' lines, ' || errors || ' error lines'
+    ELSE r.executive_summary[1] END AS executive_summary,
+  r.total_lines, r.time_range,
+  CASE WHEN llm_error IS NULL THEN levels[1].level ELSE e.items[1].error_type END AS first_group,
+  CAST(CASE WHEN llm_error IS NULL THEN levels[1].n ELSE e.items[1].occurrence_count END AS VARCHAR) AS first_count,
+  CAST(CASE WHEN llm_error IS NULL THEN len(levels) ELSE coalesce(len(e.items), 0) END AS BIGINT) AS n_groups
+{_REPORT_JOIN} JOIN answer a ON a.source = r.source"""
 
 
 ADMISSION = f"""SELECT source AS folder, 'admitted' AS status, '' AS reason,
@@ -563,19 +679,72 @@ FROM lines GROUP BY source
 UNION ALL SELECT 'json', 'rejected', {q("unsupported file type '.json'")}, 0"""
 
 
-_RESP = """CASE doc_id % 6
-      WHEN 0 THEN 'Here is the report:' || chr(10) || '```json' || chr(10) || '{' || summ || ', ' || ov || ', ' || grp
-                  || n || '}]}' || chr(10) || '```'
-      WHEN 1 THEN '{' || summ || ', ' || ov || ', ' || grp || '"' || n || '"}], "extra": 1}'
-      WHEN 2 THEN 'not json ' || CAST(doc_id AS VARCHAR)
-      WHEN 3 THEN '[1, 2]'
-      WHEN 4 THEN '{' || summ || '}'
-      ELSE '{' || summ || ', ' || ov || ', "timeline": null}' END"""
-
 _FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
 
-MODEL_CHOICE = f"""WITH parts AS (
-    SELECT doc_id, toxic,
+
+def _reply_sql() -> str:
+    """The reply of a labelled document, by shape."""
+    fixed = {"SUMMARY": "summ", "OVERVIEW": "ov", "GROUP": "grp", "DOC": "d", "N": "n"}
+
+    def text(shape: str) -> str:
+        parts = [x for x in re.split(r"\b(SUMMARY|OVERVIEW|GROUP|DOC|N)\b", shape) if x]
+        return " || ".join(fixed.get(x) or q(x) for x in parts)
+
+    return f"CASE doc_id % {len(REPLY_SHAPES)} " + " ".join(f"WHEN {i} THEN {text(x)}" for i, x in enumerate(REPLY_SHAPES)) + " END"
+
+
+def _bad(path: str, bad: str, what: str, required: bool = False, at: str | None = None) -> str:
+    """CASE: the problem of one field of ``body``; ``at`` is the path to show."""
+    shown = at or q(path.removeprefix("$."))
+    missing = f"WHEN json_type({path!r}) IS NULL THEN {shown} || ': field required' " if required else ""
+    return f"CASE {missing}WHEN {bad} THEN {shown} || ': input should be a valid {what}' END".replace("json_type('", "json_type(body, '")
+
+
+def _not(path: str, *kinds: str) -> str:
+    return f"json_type(body, '{path}') NOT IN ({', '.join(map(q, kinds))})"
+
+
+def _each(path: str, problem: str) -> str:
+    """The first problem among the items ``x`` (index ``i``) of a list."""
+    return (f"list_filter(list_transform(json_extract(body, '{path}[*]'), lambda x, i: {problem}), lambda p: p IS NOT NULL)[1]")
+
+
+def _whole_sql(v: str) -> str:
+    s = f"json_extract_string({v}, '$')"
+    return (f"(CASE json_type({v}) WHEN 'UBIGINT' THEN true WHEN 'BIGINT' THEN true WHEN 'BOOLEAN' THEN true "
+            f"WHEN 'DOUBLE' THEN CAST({s} AS DOUBLE) = floor(CAST({s} AS DOUBLE)) "
+            f"WHEN 'VARCHAR' THEN regexp_full_match(trim({s}), '[+-]?[0-9]+(\\.0+)?') ELSE false END)")
+
+
+def _count_sql(v: str) -> str:
+    s = f"json_extract_string({v}, '$')"
+    return f"CASE {s} WHEN 'true' THEN '1' WHEN 'false' THEN '0' ELSE CAST(CAST(CAST({s} AS DOUBLE) AS BIGINT) AS VARCHAR) END"
+
+
+def model_choice_sql() -> str:
+    item = "CAST(i - 1 AS VARCHAR)"
+    text = "input should be a valid string"
+    event = (f"CASE WHEN json_type(x) <> 'OBJECT' THEN 'timeline.' || {item} || ': input should be a valid dictionary' "
+             f"WHEN json_type(x, '$.message') IS NULL THEN 'timeline.' || {item} || '.message: field required' END")
+    error = (f"CASE WHEN json_type(x) <> 'OBJECT' THEN 'error_analysis.' || {item} || ': input should be a valid dictionary' "
+             f"WHEN NOT {_whole_sql("json_extract(x, '$.occurrence_count')")} "
+             f"THEN 'error_analysis.' || {item} || '.occurrence_count: input should be a valid integer' END")
+    warning = (f"CASE WHEN json_type(x, '$.first_occurrence') NOT IN ('VARCHAR', 'NULL') "
+               f"THEN 'warning_analysis.' || {item} || '.first_occurrence: {text}' END")
+    words = f"CASE WHEN json_type(x) <> 'VARCHAR' THEN 'pattern_detection.' || {item} || ': {text}' END"
+    total = "json_extract(body, '$.log_overview.total_lines_processed')"
+    problems = [
+        _bad("$.executive_summary", _not("$.executive_summary", "VARCHAR"), "string", True),
+        _bad("$.log_overview", _not("$.log_overview", "OBJECT"), "dictionary", True),
+        f"CASE WHEN {total} IS NOT NULL AND NOT {_whole_sql(total)} "
+        "THEN 'log_overview.total_lines_processed: input should be a valid integer' END",
+        _bad("$.timeline", _not("$.timeline", "ARRAY"), "list"), _each("$.timeline", event),
+        _each("$.error_analysis", error), _each("$.warning_analysis", warning), _each("$.pattern_detection", words),
+        _bad("$.likely_root_cause", _not("$.likely_root_cause", "OBJECT"), "dictionary"),
+        _bad("$.likely_root_cause.observed_facts", _not("$.likely_root_cause.observed_facts", "ARRAY"), "list"),
+    ]
+    return f"""WITH parts AS (
+    SELECT doc_id, toxic, CAST(doc_id AS VARCHAR) AS d,
       '"executive_summary": "Doc ' || CAST(doc_id AS VARCHAR) || ' quality ' || CAST(quality AS VARCHAR) || '"' AS summ,
       '"log_overview": {{"total_lines_processed": ' || CAST(doc_id % 100 AS VARCHAR)
         || ', "log_levels_observed": ["INFO"]}}' AS ov,
@@ -583,25 +752,22 @@ MODEL_CHOICE = f"""WITH parts AS (
       CAST(doc_id % 100 AS VARCHAR) AS n
     FROM labels),
   resp AS (
-    SELECT CAST(doc_id AS VARCHAR) AS source,
-      CASE WHEN toxic = 1 AND doc_id % 5 = 0 THEN NULL ELSE {_RESP} END AS response,
+    SELECT d AS source, CASE WHEN toxic = 1 AND doc_id % 5 = 0 THEN NULL ELSE {_reply_sql()} END AS response,
       CASE WHEN toxic = 1 AND doc_id % 5 = 0 THEN 'RuntimeError: upstream unavailable' END AS error
     FROM parts),
   c AS (SELECT *, CASE WHEN regexp_matches(trim(response), {q(_FENCE)})
-      THEN trim(regexp_extract(trim(response), {q(_FENCE)}, 1)) ELSE trim(response) END AS body FROM resp),
-  v AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'client'
-      WHEN NOT json_valid(body) THEN 'json'
-      WHEN json_type(body) <> 'OBJECT' THEN 'object'
-      WHEN json_type(body, '$.executive_summary') IS DISTINCT FROM 'VARCHAR'
-        OR json_type(body, '$.log_overview') IS DISTINCT FROM 'OBJECT'
-        OR (json_type(body, '$.timeline') IS NOT NULL AND json_type(body, '$.timeline') <> 'ARRAY') THEN 'shape'
-      END AS error_kind FROM c)
-SELECT source, CASE WHEN error_kind IS NULL THEN 'llm' ELSE 'static_fallback' END AS analysis_source, error_kind,
-  CASE WHEN error_kind IS NULL THEN json_extract_string(body, '$.executive_summary') END AS executive_summary,
-  CASE WHEN error_kind IS NULL THEN CAST(CAST(json_extract_string(body, '$.log_overview.total_lines_processed')
-    AS BIGINT) AS VARCHAR) END AS total_lines,
-  CASE WHEN error_kind IS NULL THEN CAST(CAST(json_extract_string(body, '$.error_analysis[0].occurrence_count')
-    AS BIGINT) AS VARCHAR) END AS first_count
+      THEN trim(regexp_extract(trim(response), {q(_FENCE)}, 1)) ELSE trim(response) END AS text FROM resp),
+  j AS (SELECT *, CASE WHEN json_valid(text) AND json_type(text) = 'OBJECT' THEN CAST(text AS JSON) END AS body FROM c),
+  v AS (SELECT *, CASE WHEN error IS NOT NULL THEN error
+      WHEN NOT json_valid(text) THEN 'LLM returned invalid JSON'
+      WHEN body IS NULL THEN 'LLM response must be a JSON object.'
+      ELSE 'Report validation failed: ' || coalesce({", ".join(problems)}) END AS reason FROM j)
+SELECT source, CASE WHEN reason IS NULL THEN 'llm' ELSE 'static_fallback' END AS analysis_source, reason,
+  CASE WHEN reason IS NULL THEN json_extract_string(body, '$.executive_summary') END AS executive_summary,
+  CASE WHEN reason IS NULL THEN {_count_sql("json_extract(body, '$.log_overview.total_lines_processed')")} END AS total_lines,
+  CASE WHEN reason IS NULL THEN {_count_sql("json_extract(body, '$.error_analysis[0].occurrence_count')")} END AS first_count,
+  CASE WHEN reason IS NULL THEN CAST(coalesce(json_array_length(body, '$.likely_root_cause.assumptions'), 0) AS VARCHAR) END
+    AS n_assumptions
 FROM v"""
 
 
@@ -634,8 +800,11 @@ FROM entries WHERE entry_type IN ('exception', 'stack_trace')"""),
     "evidence_lines": with_ev(EVIDENCE),
     "report_sections": with_ev(report_sections_sql()),
     "report_sections_doc": with_doc(report_sections_sql()),
-    "model_choice": MODEL_CHOICE,
-    "evidence_bundle": with_ev(EVIDENCE_BUNDLE),
+    "model_choice": model_choice_sql(),
+    "model_report": with_ev(model_report_sql()),
+    "evidence_bundle": with_ev(evidence_bundle_sql()),
+    "prompt": with_ev(prompt_sql()),
+    "refinement": with_ev(refinement_sql()),
     "report_json": with_ev(report_json_sql()),
     "admission": with_ev_files(ADMISSION),
 }

@@ -7,6 +7,8 @@ names match the DuckDB oracle in :mod:`logfold.plans.oracle`.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -168,17 +170,18 @@ def q_signals_doc(spark: SparkSession, sf: str) -> DataFrame:
 #: A second rule set (parameters of the query): keywords within keywords, over several kinds, with regex characters,
 #: capitals, other letters, and two rules of one keyword.
 CUSTOM_RULES = (
-    ("analyzer_pattern", 0, "Orders were touched.", ("order", "orders shipped")),
-    ("analyzer_anomaly", 0, "Payment trouble.", ("payment failed", "payment", "declined")),
-    ("pattern", 0, "Handlers ran.", ("handle", "Handler")),
-    ("pattern", 1, "User ids appear.", ("user", "user_")),
-    ("pattern", 1, "A second rule of one place.", ("user",)),
-    ("pattern", 2, "Dotted names appear.", ("app.", "a.b|c", "(")),
-    ("pattern", 3, "Umlauts appear.", ("ü", "größe")),
-    ("anomaly", 0, "Codes of the 500 range.", ("500", "502", "50")),
-    ("anomaly", 1, "Timeouts and more.", ("time", "timeout", "timeout after")),
-    ("anomaly", 2, "Nothing matches this.", ("no such words anywhere",)),
-    ("lifecycle", 0, "", ("retry", "retrying", "cache", "[", "user_1")),
+    ("analyzer_pattern", 0, "Slow answers.", ("slow response", "slow", "Slow Answer")),
+    ("analyzer_anomaly", 0, "Refusals.", ("refused by", "refused", "declined")),
+    ("pattern", 0, "A database is named.", ("Database", "data", "database connection timeouts")),
+    ("pattern", 1, "Attempts.", ("attempt", "retry attempt")),
+    ("pattern", 1, "Second rule of one place and keyword.", ("attempt",)),
+    ("pattern", 2, "Server errors.", (" 500", "500 ", "502")),
+    ("pattern", 3, "Dots and brackets.", ("fooexception: ", "a.b|c", "(", "[x]*")),
+    ("pattern", 4, "Other letters.", ("ü", "größe")),
+    ("anomaly", 0, "Usage is high.", ("usage high", "memory usage highest")),
+    ("anomaly", 1, "Started or initiated.", ("application start", "initiated", "application started now")),
+    ("anomaly", 2, "Nothing holds this.", ("no such words anywhere",)),
+    ("lifecycle", 0, "", ("refused", "slow", "at com.", "retrying", "[")),
 )
 
 
@@ -213,31 +216,25 @@ def q_report_sections_doc(spark: SparkSession, sf: str) -> DataFrame:
 def label_responses(spark: SparkSession, sf: str) -> DataFrame:
     """Completion results synthesised from ``labels`` (one per labelled document).
 
-    Six response shapes by ``doc_id % 6``: a fenced valid report, a bare valid
-    report whose count is the string form, text that is not JSON, a JSON
-    array, a report without ``log_overview`` and a report whose ``timeline``
-    is null; toxic documents with ``doc_id % 5 = 0`` simulate a client error.
+    Eighteen shapes by ``doc_id % 18``: fenced and bare valid reports, text that
+    is no JSON, an array, null, deep nesting, missing, null and wrongly typed
+    fields at every level, and counts in every spelling; toxic documents with
+    ``doc_id % 5 = 0`` simulate a client error.
     """
     lab = spark.read.parquet(f"{sf}/labels.parquet")
     d = F.col("doc_id").cast("string")
-    q = F.col("quality").cast("string")
     n = (F.col("doc_id") % 100).cast("string")
-    summary = F.concat(F.lit('"executive_summary": "Doc '), d, F.lit(" quality "), q, F.lit('"'))
-    overview = F.concat(F.lit('"log_overview": {"total_lines_processed": '), n,
-                        F.lit(', "log_levels_observed": ["INFO"]}'))
-    group = F.concat(F.lit('"error_analysis": [{"error_type": "E'), (F.col("doc_id") % 7).cast("string"),
-                     F.lit('", "occurrence_count": '))
-    shape = F.col("doc_id") % 6
-    resp = (
-        F.when(shape == 0, F.concat(F.lit("Here is the report:\n```json\n{"), summary, F.lit(", "), overview,
-                                    F.lit(", "), group, n, F.lit("}]}\n```")))
-        .when(shape == 1, F.concat(F.lit("{"), summary, F.lit(", "), overview, F.lit(", "), group,
-                                   F.lit('"'), n, F.lit('"}], "extra": 1}')))
-        .when(shape == 2, F.concat(F.lit("not json "), d))
-        .when(shape == 3, F.lit("[1, 2]"))
-        .when(shape == 4, F.concat(F.lit("{"), summary, F.lit("}")))
-        .otherwise(F.concat(F.lit("{"), summary, F.lit(", "), overview, F.lit(', "timeline": null}')))
-    )
+    fixed = {
+        "SUMMARY": F.concat(F.lit('"executive_summary": "Doc '), d, F.lit(" quality "), F.col("quality").cast("string"), F.lit('"')),
+        "OVERVIEW": F.concat(F.lit('"log_overview": {"total_lines_processed": '), n, F.lit(', "log_levels_observed": ["INFO"]}')),
+        "GROUP": F.concat(F.lit('"error_analysis": [{"error_type": "E'), (F.col("doc_id") % 7).cast("string"),
+                          F.lit('", "occurrence_count": ')),
+        "DOC": d, "N": n,
+    }
+    resp = F.lit(None).cast("string")
+    for i, shape in enumerate(REPLY_SHAPES):
+        parts = [fixed.get(x, F.lit(x)) for x in re.split(r"\b(SUMMARY|OVERVIEW|GROUP|DOC|N)\b", shape) if x]
+        resp = F.when(F.col("doc_id") % len(REPLY_SHAPES) == i, F.concat(*parts)).otherwise(resp)
     failed = (F.col("toxic") == 1) & (F.col("doc_id") % 5 == 0)
     return lab.select(
         d.alias("source"),
@@ -246,28 +243,79 @@ def label_responses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Replies by shape; words in capitals stand for texts of the document.
+REPLY_SHAPES = (
+    "Here is the report:\n```json\n{SUMMARY, OVERVIEW, GROUP N}]}\n```",
+    '{SUMMARY, OVERVIEW, GROUP "N"}], "extra": 1}',
+    "not json DOC",
+    "[1, 2]",
+    "{SUMMARY}",
+    '{SUMMARY, OVERVIEW, "timeline": null}',
+    '{SUMMARY, OVERVIEW, "timeline": [{"timestamp": null, "message": "m"}, {"timestamp": "t"}]}',
+    '{"executive_summary": 5, OVERVIEW}',
+    '{SUMMARY, "log_overview": {"total_lines_processed": "N.0"}, GROUP N.0}]}',
+    '{SUMMARY, "log_overview": {"total_lines_processed": "N.5"}}',
+    '{SUMMARY, "log_overview": [], "anomalies": ["a"]}',
+    '{SUMMARY, OVERVIEW, GROUP N.25}]}',
+    '{SUMMARY, OVERVIEW, GROUP true}], "pattern_detection": ["a", 1]}',
+    '{SUMMARY, OVERVIEW, GROUP true}], "likely_root_cause": {"assumptions": ["x"], "other": {}}}',
+    '{SUMMARY, OVERVIEW, "likely_root_cause": {"observed_facts": "x"}}',
+    '```\n  {SUMMARY, OVERVIEW, GROUP 1}, "E"]}  \n``` and more',
+    "null",
+    '{SUMMARY, OVERVIEW, "warning_analysis": [{"warning_type": "W", "occurrence_count": 1, "first_occurrence": 3}]}',
+)
+
+
 def q_model_choice(spark: SparkSession, sf: str) -> DataFrame:
     from logfold.operators.assist import check_responses
 
     c = check_responses(label_responses(spark, sf))
-    err = F.col("llm_error")
-    kind = (
-        F.when(err.isNull(), F.lit(None))
-        .when(err.startswith("RuntimeError"), F.lit("client"))
-        .when(err.startswith("LLM returned invalid JSON"), F.lit("json"))
-        .when(err.startswith("LLM response must be a JSON object"), F.lit("object"))
-        .otherwise(F.lit("shape"))
-    )
+    # A text that is no JSON is quoted in the reason; the reason's fixed part is compared.
+    reason = F.regexp_replace("llm_error", "(?s)(invalid JSON): .*", "$1")
     return c.select(
         "source",
         F.when(F.col("report").isNotNull(), F.lit("llm")).otherwise(F.lit("static_fallback")).alias("analysis_source"),
-        kind.alias("error_kind"),
+        reason.alias("reason"),
         F.col("report.executive_summary").alias("executive_summary"),
         F.col("report.log_overview.total_lines_processed").cast("string").alias("total_lines"),
-        F.element_at(F.col("report.error_analysis"), 1)["occurrence_count"].cast("string").alias("first_count"),
+        F.try_element_at(F.col("report.error_analysis"), F.lit(1))["occurrence_count"].cast("string").alias("first_count"),
+        F.size("report.likely_root_cause.assumptions").cast("string").alias("n_assumptions"),
     )
 
 
+class EvidenceReader:
+    """Stand-in for a model: answers from the evidence in the prompt, in one of five ways by its line count."""
+
+    def generate(self, prompt: str) -> str:
+        evidence = json.loads(prompt.partition("Evidence bundle:\n")[2])
+        n, levels = evidence["total_lines"], evidence["statistics"]["levels"]
+        report = {
+            "executive_summary": f"{self.system_prompt.split('.')[0]}: {n} lines, {len(evidence['error_lines'])} error lines",
+            "log_overview": {"total_lines_processed": str(n), "time_range": evidence["time_range"]},
+            "error_analysis": [{"error_type": k, "occurrence_count": v} for k, v in levels.items()],
+        }
+        if n % 5 == 2:
+            raise RuntimeError(f"no capacity for {n} lines")
+        if n % 5 == 3:
+            return f"I cannot read {n} lines."
+        if n % 5 == 4:
+            del report["log_overview"]
+        return f"Here it is:\n```json\n{json.dumps(report)}\n```" if n % 5 == 0 else json.dumps(report)
+
+
+def q_model_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Model-first reports of the EV sources, completions stored, the heuristic report where the reply is unusable."""
+    from logfold.plans.analysis import analyze_with_model
+
+    r = analyze_with_model(ev_entries(spark, sf), EvidenceReader)
+    first = F.try_element_at("error_analysis", F.lit(1))
+    return r.select(
+        "source", "analysis_source", "llm_error", "executive_summary",
+        F.col("log_overview.total_lines_processed").alias("total_lines"), F.col("log_overview.time_range").alias("time_range"),
+        first["error_type"].alias("first_group"), first["occurrence_count"].cast("string").alias("first_count"),
+        F.size("error_analysis").cast("bigint").alias("n_groups"))
+
+
 def q_report_json(spark: SparkSession, sf: str) -> DataFrame:
     """The nested report per EV source as its JSON document (the sink's rows)."""
     from logfold.plans.analysis import result_json, static_result
@@ -276,20 +324,20 @@ def q_report_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_evidence_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    """The evidence bundle per EV source, flattened to its sizes and ends."""
+    """The whole evidence bundle per EV source as rows: totals, statistics maps and all lines, in their order."""
     from logfold.operators.assist import evidence_bundle
 
     b = evidence_bundle(ev_entries(spark, sf)).select("source", "evidence.*")
-    return b.select(
-        "source", "total_lines", "time_range",
-        F.array_join(F.map_keys("statistics.levels"), ",").alias("level_keys"),
-        F.size("error_lines").cast("bigint").alias("n_error"),
-        F.size("warning_lines").cast("bigint").alias("n_warning"),
-        F.size("lifecycle_lines").cast("bigint").alias("n_lifecycle"),
-        F.size("sample_lines").cast("bigint").alias("n_sample"),
-        F.try_element_at("sample_lines", F.lit(1)).alias("first_sample"),
-        F.try_element_at("sample_lines", F.lit(-1)).alias("last_sample"),
-    )
+    maps = {d: F.transform(F.map_entries(f"statistics.{d}"), lambda e: F.struct(e["key"].alias("text"), e["value"].alias("n")))
+            for d in ("levels", "components", "request_ids", "thread_names")}
+    totals = {"total_lines": F.array(F.struct(F.lit(None).cast("string").alias("text"), F.col("total_lines").alias("n"))),
+              "statistics_total": F.array(F.struct(F.lit(None).cast("string").alias("text"), F.col("statistics.total_lines").alias("n"))),
+              "time_range": F.array(F.struct(F.col("time_range").alias("text"), F.lit(0).cast("bigint").alias("n")))}
+    lines = {c: F.transform(c, lambda x: F.struct(x.alias("text"), F.lit(0).cast("bigint").alias("n")))
+             for c in ("sample_lines", "error_lines", "warning_lines", "lifecycle_lines")}
+    parts = F.array(*[F.struct(F.lit(k).alias("part"), v.alias("items")) for k, v in {**totals, **maps, **lines}.items()])
+    rows = b.select("source", F.explode(parts).alias("p")).select("source", "p.part", F.posexplode("p.items").alias("pos", "item"))
+    return rows.select("source", "part", (F.col("pos") + 1).cast("bigint").alias("rank"), "item.text", "item.n")
 
 
 def q_prompt(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,6 +346,13 @@ def q_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return analysis_prompt(evidence_bundle(ev_entries(spark, sf)))
 
 
+def q_refinement(spark: SparkSession, sf: str) -> DataFrame:
+    from logfold.operators.assist import refinement_prompt
+    from logfold.plans.analysis import static_result
+
+    return refinement_prompt(static_result(ev_entries(spark, sf)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_fields": q_parse_fields,
     "parse_fields_doc": q_parse_fields_doc,
@@ -327,6 +382,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_choice": q_model_choice,
     "evidence_bundle": q_evidence_bundle,
     "prompt": q_prompt,
+    "refinement": q_refinement,
+    "model_report": q_model_report,
     "report_json": q_report_json,
     "admission": q_admission,
 }
