@@ -108,13 +108,22 @@ def top_values(entries: DataFrame, limit: int = P.TOP_VALUES_LIMIT) -> DataFrame
     return counted.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= limit)
 
 
-def _groups(entries: DataFrame, selector: Column, unknown: str, explanation: str, stage: bool) -> DataFrame:
+def message_groups(entries: DataFrame, kinds: tuple[str, ...] = ("error", "warning"), stage: bool = False) -> DataFrame:
+    """Error-level (ERROR, CRITICAL, FATAL) and warning entries grouped by exact message, ranked per source and kind.
+
+    ``rank`` orders by count desc, ties by first appearance.  ``label`` is the
+    key's first 120 characters (two keys may share a label).  Both kinds take
+    one aggregation and one range sort.
+    """
+    kind = F.when(F.col("level").isin(*P.ERROR_LEVELS), F.lit("error")).when(F.col("level") == P.WARNING_LEVEL, F.lit("warning"))
+    error = F.col("kind") == "error"
     msg = F.col("message")
-    key = F.when(msg != "", msg).otherwise(F.lit(unknown))
+    key = F.when(msg != "", msg).when(error, F.lit(P.UNKNOWN_ERROR)).otherwise(F.lit(P.UNKNOWN_WARNING))
     real = F.when(msg != "", F.col("line_number"))
     grouped = (
-        entries.filter(selector)
-        .groupBy("source", key.alias("group_key"))
+        entries.select("source", "message", "timestamp", "line_number", "raw", kind.alias("kind"))
+        .filter(F.col("kind").isin(*kinds))
+        .groupBy("source", "kind", key.alias("group_key"))
         .agg(
             F.count(F.lit(1)).alias("occurrence_count"),
             F.min("timestamp").alias("first_ts"),
@@ -125,37 +134,32 @@ def _groups(entries: DataFrame, selector: Column, unknown: str, explanation: str
         )
     )
     out = grouped.select(
-        "source", "group_key",
+        "source", "kind", "group_key",
         F.substring("group_key", 1, P.GROUP_LABEL_CHARS).alias("label"),
         "occurrence_count",
         iso_text(F.col("first_ts")).alias("first_occurrence"),
         iso_text(F.col("last_ts")).alias("last_occurrence"),
-        F.lit(explanation).alias("short_explanation"),
+        F.when(error, F.lit(P.ERROR_EXPLANATION)).otherwise(F.lit(P.WARNING_EXPLANATION)).alias("short_explanation"),
         "first_line", "first_message_line", "first_message_raw",
     )
     if stage:
-        # The ranking reads the groups twice (rows and block counts).
+        # The range sort samples its input before it sorts it.
         from logfold.staging import stage as write_stage
 
         out = write_stage(out, "groups")
-    # Full ranking of every group (count desc, first appearance): exact and
-    # skew-safe, see ranking.rank_by_count.
     from logfold.operators.ranking import rank_by_count
 
-    return rank_by_count(out)
+    return rank_by_count(out, keys=("source", "kind"))
 
 
 def error_groups(entries: DataFrame, stage: bool = False) -> DataFrame:
-    """Error-level entries (ERROR, CRITICAL, FATAL) grouped by exact message.
-
-    ``rank`` orders by count desc, ties by first appearance.  ``label`` is the
-    key's first 120 characters (two keys may share a label).
-    """
-    return _groups(entries, F.col("level").isin(*P.ERROR_LEVELS), P.UNKNOWN_ERROR, P.ERROR_EXPLANATION, stage)
+    """The error groups of :func:`message_groups`."""
+    return message_groups(entries, ("error",), stage).drop("kind")
 
 
 def warning_groups(entries: DataFrame, stage: bool = False) -> DataFrame:
-    return _groups(entries, F.col("level") == P.WARNING_LEVEL, P.UNKNOWN_WARNING, P.WARNING_EXPLANATION, stage)
+    """The warning groups of :func:`message_groups`."""
+    return message_groups(entries, ("warning",), stage).drop("kind")
 
 
 def statistics(entries: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logfold.functions import patterns as P
 from logfold.functions.extract import iso_text
-from logfold.operators.joins import join_keys
+from logfold.staging import stage
 
 
 def first_rows(df: DataFrame, k: int, order: list[Column], partition: tuple[str, ...] = ("source",)) -> DataFrame:
@@ -47,40 +47,26 @@ def timeline(entries: DataFrame, limit: int = P.TIMELINE_LIMIT) -> DataFrame:
     )
 
 
-# Groups per block when ranking groups within a source (see rank_by_count).
-RANK_BLOCK = 1 << 20
-
-
 def rank_by_count(groups: DataFrame, count: str = "occurrence_count", tie: str = "first_line",
-                  block: int = RANK_BLOCK) -> DataFrame:
-    """Exact ``row_number() over (partition by source order by count desc, tie)``
+                  keys: tuple[str, ...] = ("source",)) -> DataFrame:
+    """Exact ``row_number() over (partition by keys order by count desc, tie)``
     without sorting a whole source in one task.
 
-    ``tie`` must be unique within a source (a first line number is).  The rank
-    of a group is: groups of the source with a larger count, plus groups with
-    the same count in earlier ``tie`` blocks, plus the position inside its own
-    block.  Every window and join is keyed by ``(source, count, tie div block)``
-    or runs over the small count/block tables, so even a source holding a
-    third of all groups, most of them with the same count, is spread over
-    bounded tasks.
+    ``tie`` must be unique within ``keys`` (a first line number is).  The groups
+    are range-sorted once by (keys, count descending, tie) and stored in that
+    order; a group's rank is its place in its partition plus the groups with
+    its keys in earlier partitions.  Even a source holding a third of all groups,
+    most of them with the same count, is spread over bounded tasks; the offsets
+    are one row per key and partition.
     """
-    g = groups.withColumn("_blk", F.floor(F.col(tie) / F.lit(block)).cast("bigint"))
-    per_block = g.groupBy("source", count, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    per_count = per_block.groupBy("source", count).agg(F.sum("_n").alias("_n"))
-    before_count = per_count.select(
-        "source", count,
-        F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy(F.col(count).desc())
-                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_c_off"),
-    )
-    blocks = per_block.select(
-        "source", count, "_blk",
-        F.coalesce(F.sum("_n").over(Window.partitionBy("source", count).orderBy("_blk")
-                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b_off"),
-    )
-    offsets = join_keys(blocks, before_count, ["source", count], "inner")
-    idx = F.row_number().over(Window.partitionBy("source", count, "_blk").orderBy(tie))
-    return (
-        join_keys(g, offsets, ["source", count, "_blk"], "inner")
-        .withColumn("rank", (F.col("_c_off") + F.col("_b_off") + idx).cast("bigint"))
-        .drop("_blk", "_c_off", "_b_off")
-    )
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*[F.col(k).asc_nulls_first() for k in keys], F.col(count).desc(), F.col(tie)]
+    ordered = groups.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # A NULL key is a key like any other: the struct around it is not null, so it joins.
+    ordered = stage(ordered.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
+                    .withColumn("_keys", F.struct(*keys)), "ranked")
+    spans = ordered.groupBy("_keys", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_keys").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("_keys", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return ordered.join(spans, ["_keys", "_part"]).withColumn("rank", F.col("_at") + F.col("_shift")).drop(
+        "_keys", "_part", "_at", "_shift")

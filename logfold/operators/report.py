@@ -7,12 +7,13 @@ string built-ins; the only joins are one-row-per-source tables on ``source``.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfold.functions import patterns as P
-from logfold.operators.aggregates import SIGNAL_KINDS, error_groups, first_values, source_summary, warning_groups
+from logfold.operators.aggregates import SIGNAL_KINDS, first_values, message_groups, source_summary
 from logfold.operators.joins import join_keys
 from logfold.operators.ranking import timeline
 from logfold.operators.rules import RuleSet
@@ -37,12 +38,22 @@ def _str(c: Column) -> Column:
     return c.cast("string")
 
 
-def _collect_sorted(df: DataFrame, name: str, fields: list[str], rank: str = "rank") -> DataFrame:
-    """``(source, name)`` with ``name`` = array of struct(fields) ordered by ``rank``."""
-    packed = df.groupBy("source").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(rank).alias("_r"), *[F.col(f) for f in fields]))).alias("_a")
-    )
-    return packed.select("source", F.transform("_a", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
+def _rows(df: DataFrame, part: str, **fields: Column | str) -> DataFrame:
+    """Rows of one section in the common form ``(source, part, rank, a, b, c, d, n)``."""
+    named = {k: F.col(v) if isinstance(v, str) else v for k, v in fields.items()}
+    texts = [named.get(k, F.lit(None)).cast("string").alias(k) for k in "abcd"]
+    return df.select("source", F.lit(part).alias("part"), F.col("rank"), *texts, named.get("n", F.lit(None)).cast("bigint").alias("n"))
+
+
+def _of_dimension(d: str):
+    return lambda x: x["dimension"] == d
+
+
+def _list_of(part: str, **fields: str) -> Column:
+    """Aggregate: the rows of ``part`` as an array of structs in rank order."""
+    row = F.struct("rank", "a", "b", "c", "d", "n")
+    rows = F.array_sort(F.collect_list(F.when(F.col("part") == part, row)))
+    return F.transform(rows, lambda x: F.struct(*[x[v].alias(k) for k, v in fields.items()])).alias(part)
 
 
 def filled(template: str, **values: Column) -> Column:
@@ -108,46 +119,46 @@ def report_table(entries: DataFrame, sources: DataFrame | None = None,
     entries = maybe_stage(entries, stage_entries, "entries")
     rules = RuleSet.of(rules)
     summary = signal_columns(_empty_summary_defaults(source_summary(entries, rules), sources), rules)
-    # The ranked error groups feed four consumers (nested list, facts, primary
-    # issue, snippets); staged with the entries so the ranking runs once.
-    eg = maybe_stage(error_groups(entries, stage=stage_groups), stage_groups, "error_groups")
-    wg = warning_groups(entries, stage=stage_groups)
-
-    group_fields = ["error_type", "occurrence_count", "first_occurrence", "last_occurrence", "short_explanation"]
-    eg_n = eg if nest_limit is None else eg.filter(F.col("rank") <= nest_limit)
-    wg_n = wg if nest_limit is None else wg.filter(F.col("rank") <= nest_limit)
-    err_list = _collect_sorted(eg_n.withColumnRenamed("label", "error_type"), "error_analysis", group_fields)
-    warn_fields = ["warning_type"] + group_fields[1:]
-    warn_list = _collect_sorted(wg_n.withColumnRenamed("label", "warning_type"), "warning_analysis", warn_fields)
-    # How many groups exist in total (the nested lists may stop at nest_limit; the
-    # full ranking is the error_groups / warning_groups table).
-    group_counts = (
-        eg.select("source", F.lit(1).alias("e"), F.lit(0).alias("w"))
-        .unionByName(wg.select("source", F.lit(0).alias("e"), F.lit(1).alias("w")))
-        .groupBy("source").agg(F.sum("e").alias("error_group_count"), F.sum("w").alias("warning_group_count"))
-    )
-
+    # The ranked groups feed four consumers (nested lists, facts, primary issue, snippets); staged with the
+    # entries so the ranking runs once.
+    groups = maybe_stage(message_groups(entries, stage=stage_groups), stage_groups, "message_groups")
+    eg = groups.filter(F.col("kind") == "error").drop("kind")
+    limit = F.lit(True) if nest_limit is None else F.col("rank") <= nest_limit
+    listed = groups.filter(limit)
     fact = filled(P.FACT_GROUP, label=F.col("label"), n=F.col("occurrence_count"),
                   first=F.coalesce(F.col("first_occurrence"), F.lit("unknown")),
                   last=F.coalesce(F.col("last_occurrence"), F.lit("unknown")))
-    top3 = _collect_sorted(eg.filter(F.col("rank") <= P.FACT_GROUPS).withColumn("fact", fact), "_top", ["fact"])
-    primary = eg.filter(F.col("rank") == 1).select("source", F.col("label").alias("_primary"))
-
-    tl = _collect_sorted(
-        timeline(entries).withColumnRenamed("level", "tl_source"), "timeline",
-        ["timestamp", "message", "tl_source"],
-    ).select("source", F.transform("timeline", lambda x: F.struct(
-        x["timestamp"].alias("timestamp"), x["message"].alias("message"), x["tl_source"].alias("source"))
-    ).alias("timeline"))
-    sn = _collect_sorted(snippets(entries, eg), "_snip", ["raw"])
-    fv = first_values(entries)
-    fv_lists = fv.groupBy("source").pivot("dimension", ["component", "request_id", "thread_name"]).agg(
-        F.array_sort(F.collect_list("value")).alias("v")
+    group = {"a": "label", "b": "first_occurrence", "c": "last_occurrence", "d": "short_explanation", "n": "occurrence_count"}
+    # How many groups exist in total (the nested lists may stop at nest_limit; the
+    # full ranking is the error_groups / warning_groups table).
+    totals = groups.groupBy("source").agg(F.count_if(F.col("kind") == "error").alias("e"), F.count_if(F.col("kind") == "warning").alias("w"))
+    # All sections as rows of one form, nested by a single aggregation.
+    parts = [
+        _rows(listed.filter(F.col("kind") == "error"), "error_analysis", **group),
+        _rows(listed.filter(F.col("kind") == "warning"), "warning_analysis", **group),
+        _rows(eg.filter(F.col("rank") <= P.FACT_GROUPS), "_top", a=fact, b="label"),
+        _rows(totals.withColumn("rank", F.lit(1)), "_totals", a=F.col("w"), n="e"),
+        _rows(timeline(entries), "timeline", a="timestamp", b="message", c="level"),
+        _rows(snippets(entries, eg), "_snip", a="raw"),
+        _rows(first_values(entries).withColumn("n", F.lit(0)), "_values", a="value", b="dimension"),
+    ]
+    group = {"first_occurrence": "b", "last_occurrence": "c", "short_explanation": "d"}
+    nested = reduce(DataFrame.unionByName, parts).groupBy("source").agg(
+        _list_of("error_analysis", error_type="a", occurrence_count="n", **group),
+        _list_of("warning_analysis", warning_type="a", occurrence_count="n", **group),
+        _list_of("_top", fact="a", label="b"),
+        _list_of("_totals", warnings="a", errors="n"),
+        _list_of("timeline", timestamp="a", message="b", source="c"),
+        _list_of("_snip", raw="a"),
+        _list_of("_values", value="a", dimension="b"),
     )
-
-    r = summary
-    for part in (err_list, warn_list, top3, primary, tl, sn, fv_lists, group_counts):
-        r = join_keys(r, part, ["source"])
+    r = join_keys(summary, nested, ["source"])
+    total = F.get("_totals", F.lit(0))
+    r = r.withColumns({
+        "_primary": F.get("_top", F.lit(0))["label"],
+        "error_group_count": total["errors"], "warning_group_count": total["warnings"].cast("bigint"),
+        **{d: F.transform(F.filter("_values", _of_dimension(d)), lambda x: x["value"]) for d in ("component", "request_id", "thread_name")},
+    })
     empty_s = F.array().cast("array<string>")
 
     def arr(c: str) -> Column:
