@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from logfold.llm import urls
 from logfold.llm.queries import URL_RULES
@@ -57,3 +58,16 @@ def test_empty_tables_repeated_rows_and_bad_rules(spark):
     assert {(r.rule, r.verdict) for r in urls.judge_urls(df, rules).collect()} == {(None, "allow")}
     assert urls.judge_urls(df, rules.where("verdict = 'x'")).count() == 3
     assert urls.judge_urls(df.where("url = 'x'"), rules).collect() == []
+
+
+def test_very_long_addresses(spark):
+    """Work is linear in the address: tens of thousands of slashes and labels take about as long as none."""
+    texts = ["http://www.example.com/en/" + "a/" * 20_000, "http://" + "a." * 20_000 + "net/es/x", "http://x.net/fr/" + "/" * 20_000]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(texts * 4)], "page_id long, url string")
+    rules = urls.rule_table(spark, URL_RULES)
+    urls.judge_urls(df.limit(0), rules).collect()
+    start = time.monotonic()
+    got = urls.judge_urls(df, rules).collect()
+    assert time.monotonic() - start < 20
+    assert {(r.page_id % 3, r.rule, r.verdict) for r in got} == {(0, "www.example.com/en/", "allow"), (1, "net/es/", "block"), (2, "net/fr/", "block")}
+    check(spark, texts, [("net", "/es/x", "block"), ("a.net", "", "allow"), ("com", "/" + "en/" + "a/" * 30, "block")])
