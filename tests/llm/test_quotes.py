@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from logfold.llm import quotes
 
 
@@ -76,3 +78,83 @@ def test_rewrapped_quote_of_some_paragraphs(spark):
     assert [r.turn for r in sorted(got.values(), key=lambda r: r.position)] == [0, 2, 3, 5, 1, 4]
     passages = quotes.parse_message(reply)[2]
     assert quotes._hash("the second one has a line break elsewhere.") in {h for *_, h in passages}
+
+
+def sequential(rows):
+    """Rows (turn, text) of one conversation, turns unique: (turn, parent, thread) in reply order, by one plain pass."""
+    parent, seen = {}, []
+    for turn, text in sorted(rows):
+        own, passages, quoted, _ = quotes.parse_message(text)
+        best = None
+        for _, level, chars, h in quoted:
+            holders = [t for t, have in seen if h in have]
+            if holders:
+                best = max(best or (-99, 0, -1), (-level, chars, max(holders)))
+        parent[turn] = best[2] if best else None
+        seen.append((turn, set(passages)))
+    out = []
+
+    def read(turn, thread):
+        out.append((turn, parent[turn], thread))
+        for t in sorted(t for t, p in parent.items() if p == turn):
+            read(t, thread)
+
+    for turn in sorted(parent):
+        if parent[turn] is None:
+            read(turn, turn)
+    return out
+
+
+def test_generated_conversations_against_a_sequential_pass(spark):
+    rnd = random.Random(12)
+    words = "sort list file error retry cache index query token stream".split()
+    rows, want = [], {}
+    for conv in range(40):
+        texts = []
+        for turn in range(rnd.choice([1, 4, 12, 40])):
+            own = [" ".join(rnd.choices(words, k=rnd.choice([1, 3, 6]))) if rnd.random() < 0.9 else "ok" for _ in range(rnd.randint(1, 3))]
+            lines = []
+            for _ in range(rnd.choice([0, 1, 1, 2]) if texts else 0):
+                source = rnd.choice(texts).split("\n")
+                lo = rnd.randrange(len(source))
+                lines += ["> " * rnd.choice([1, 1, 2]) + x for x in source[lo:lo + rnd.randint(1, 3)]]
+                if rnd.random() < 0.5:
+                    lines.append(own.pop() if len(own) > 1 else "")
+            texts.append("\n".join(lines + own))
+        rows += [(conv, t, "u", x) for t, x in enumerate(texts)]
+        want[conv] = sequential(list(enumerate(texts)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {}
+    for r in sorted(quotes.reply_ordered(df).collect(), key=lambda r: r.position):
+        got.setdefault(r.conv_id, []).append((r.turn, r.parent_turn, r.thread_turn))
+    assert got == want
+    assert sum(p is not None for part in want.values() for _, p, _ in part) > 100
+
+
+def test_answers_come_before_later_messages(spark):
+    rows = [(1, 0, "u", "The very first question"), (1, 1, "u", "> The very first question\nan answer to it"),
+            (1, 2, "u", "> The very first question\nanother answer"), (1, 3, "u", "> an answer to it\nthanks a lot"),
+            (1, 4, "u", "one line\nok\nthe end of it"), (1, 5, "u", "ok"), (1, 6, "u", "> ok\nfine by me"),
+            (1, 7, "u", "ok"), (1, 8, "u", "> ok\nfine by me too")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(quotes.reply_ordered(df).collect(), key=lambda r: r.position)
+    assert [r.turn for r in got] == [0, 1, 3, 2, 4, 5, 6, 7, 8]
+    assert {r.turn: r.parent_turn for r in got} == {0: None, 1: 0, 2: 0, 3: 1, 4: None, 5: None, 6: 5, 7: None, 8: 7}
+
+
+def test_one_passage_in_very_many_messages(spark, monkeypatch):
+    """A passage that all messages hold and quote spreads over partitions; each links to the message before it."""
+    rows = [(1, t, "u", "the common line here" if t % 2 == 0 else f"> the common line here\nreply {t} of them") for t in range(400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    want = [(t + k, t if k else None) for t in range(0, 400, 2) for k in (0, 1)]
+    for bound in (quotes.MAX_BROADCAST, 0):
+        monkeypatch.setattr(quotes, "MAX_BROADCAST", bound)
+        got = sorted(quotes.reply_ordered(df).collect(), key=lambda r: r.position)
+        assert [(r.turn, r.parent_turn) for r in got] == want
+
+
+def test_very_long_text(spark):
+    long = "\n".join(f"line {i} of a very long message" for i in range(20_000))
+    rows = [(1, 0, "u", long), (1, 1, "u", "> line 19999 of a very long message\nyes it is")]
+    got = {r.turn: r for r in quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].parent_turn == 0 and got[0].text == long
