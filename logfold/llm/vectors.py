@@ -3,24 +3,31 @@
 1. Rows with the same label and the same vector are one class (its row count
    is kept as a weight), so copies are never compared with each other.
 2. The second-moment matrix of all class vectors (unit length) gives the
-   principal axes.  Rotation keeps inner products; the leading coordinates
-   carry most of them.
+   principal axes, over at most the first ``AXES`` components: a task sums one
+   matrix, a second pass adds up the tasks', so a long vector costs no more.
+   Rotation keeps inner products; the leading coordinates carry most of them.
 3. Classes are range-sorted by label, the bins of the first two coordinates
    and the third coordinate, and cut into tiles of bounded bytes.  A tile
    keeps the bounding box of its leading coordinates and suffix norms.
 4. Unit vectors with cosine >= t lie within sqrt(2 - 2t), so only tiles of the
    same label in neighbouring bins of the first coordinate, whose boxes are
    that near, are paired.
-5. A task compares two tiles: it accumulates the leading coordinates first,
-   bounds the rest of each product by the product of suffix norms, and stops
-   for all pairs that cannot reach the threshold.  Pairs that survive are
-   decided by the cosine of the original vectors in double precision.  The
-   task returns link counts and a spanning star, never the pairs.
+5. Tiles that follow one another form groups of up to ``GROUP_TILES``.  A tile
+   is sent once to each pair of groups in which it has a partner, in the input's
+   own precision, not once to each partner.
+6. Two tiles are compared by accumulating the leading coordinates first,
+   bounding the rest of each product by the product of suffix norms (components
+   beyond the axes included), and stopping for all pairs that cannot reach the
+   threshold.  Pairs that survive are decided by the cosine of the original
+   vectors in double precision.  Link counts and a spanning star leave a task,
+   never the pairs.
 
 Defined results: a vector that is null, empty or zero, or that holds a null or
 non-finite component, and every vector with a null label, links with nothing
 (no links, its own component).  Vectors of different lengths do not link.
-Repeated rows are separate rows and link with each other.  A null id stays
+Very long vectors are compared whole.  Cosines at the threshold link.
+Repeated rows are separate rows and link with each other; an empty table gives
+no rows.  A null id stays
 null; a component's id is its smallest non-null id.  Only the id, label and
 vector columns are read, so further columns cannot clash.
 """
@@ -41,6 +48,9 @@ THRESHOLD = 0.98
 TILE_ROWS = 1024
 TILE_BYTES = 2 << 20
 BOX_DIMS = 8
+#: Leading components that the axes rotate, and tiles of a group.
+AXES = 256
+GROUP_TILES = 8
 #: Slack of the bounds for rounding; survivors are decided exactly.
 EPS = 1e-9
 
@@ -56,7 +66,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def principal_axes(classes: DataFrame, dim: int) -> np.ndarray:
-    """dim x dim rotation: eigenvectors of the second moment of all unit vectors, largest first."""
+    """dim x dim rotation of the first ``dim`` components: eigenvectors of their second moment, largest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
@@ -66,17 +76,21 @@ def principal_axes(classes: DataFrame, dim: int) -> np.ndarray:
             sizes = np.diff(off)
             for d in np.unique(sizes):
                 at = off[:-1][sizes == d]
-                x = _unit(flat[at[:, None] + np.arange(d)])
-                total[:d, :d] += x.T @ x
-        i, j = np.triu_indices(dim)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])],
-                                         ["i", "j", "v"])
+                x = _unit(flat[at[:, None] + np.arange(d)])[:, :dim]
+                total[:x.shape[1], :x.shape[1]] += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["moment"])
 
-    cells = classes.select("vec").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    gram = np.zeros((dim, dim))
-    for r in cells.collect():  # dim * (dim + 1) / 2 numbers
-        gram[r.i, r.j] = gram[r.j, r.i] = r.v
-    return np.linalg.eigh(gram)[1][:, ::-1]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(dim * dim)
+        for b in batches:
+            for x in b.column(0):
+                total += np.frombuffer(x.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["moment"])
+
+    # One matrix a task, then one for each of 16 partitions: a bounded number of bounded rows reaches the driver.
+    moments = classes.select("vec").mapInArrow(run, "moment binary").repartition(16).mapInArrow(add, "moment binary")
+    total = sum((np.frombuffer(r.moment) for r in moments.collect()), np.zeros(dim * dim))
+    return np.linalg.eigh(total.reshape(dim, dim))[1][:, ::-1]
 
 
 def _prefixes(dim: int) -> list[int]:
@@ -88,45 +102,59 @@ def _prefixes(dim: int) -> list[int]:
     return [*out, dim]
 
 
+class Tile:
+    """Unit rows of a tile, their rotated components and the norms of what follows each prefix of them."""
+
+    def __init__(self, rows: np.ndarray, axes: np.ndarray):
+        self.unit = _unit(rows)
+        head = self.unit[:, :len(axes)]
+        self.rotated = head @ axes[:head.shape[1]]
+        beyond = (self.unit[:, len(axes):] ** 2).sum(axis=1)
+        self.cuts = _prefixes(self.rotated.shape[1])
+        self.tails = [np.sqrt((self.rotated[:, k:] ** 2).sum(axis=1) + beyond) for k in self.cuts]
+
+    def links(self, other: Tile, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs (i, j) with cosine >= threshold (i < j for the tile itself), in blocks of its rows."""
+        same, ra, rb = other is self, self.rotated, other.rotated
+        for lo in range(0, len(ra), 256):
+            block = ra[lo:lo + 256]
+            dots = np.zeros((len(block), len(rb)))
+            i = j = None
+            start = 0
+            for k, sa, sb in zip(self.cuts, self.tails, other.tails, strict=True):
+                if i is None:
+                    dots += block[:, start:k] @ rb[:, start:k].T
+                    alive = dots + sa[lo:lo + 256, None] * sb[None, :] >= threshold - EPS
+                    if same:
+                        alive &= np.arange(lo, lo + len(block))[:, None] < np.arange(len(rb))[None, :]
+                    if alive.sum() * 8 < alive.size:  # few are left: go on pair by pair
+                        i, j = np.nonzero(alive)
+                        dots = dots[i, j]
+                else:
+                    dots = dots + np.einsum("ij,ij->i", block[i, start:k], rb[j, start:k])
+                    keep = dots + sa[lo + i] * sb[j] >= threshold - EPS
+                    i, j, dots = i[keep], j[keep], dots[keep]
+                start = k
+                if i is not None and not i.size:
+                    break
+            if i is None:
+                i, j = np.nonzero(alive)
+            step = max(256, (64 << 20) // (8 * self.unit.shape[1]))
+            hits = [np.einsum("ij,ij->i", self.unit[lo + i[s:s + step]], other.unit[j[s:s + step]]) >= threshold
+                    for s in range(0, i.size, step)]
+            ok = np.concatenate(hits) if hits else np.zeros(0, bool)
+            yield lo + i[ok], j[ok]
+
+
 def compare_tiles(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float,
                   same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) with cosine >= threshold (i < j if ``same``), in blocks of rows of ``a``."""
-    ua, ub = _unit(a), _unit(b)
-    d = a.shape[1]
-    ra, rb = ua @ axes[:d], ub @ axes[:d]
-    cuts = _prefixes(ra.shape[1])
-    tail = [(np.sqrt((ra[:, k:] ** 2).sum(axis=1)), np.sqrt((rb[:, k:] ** 2).sum(axis=1))) for k in cuts]
-    for lo in range(0, len(a), 256):
-        block = ra[lo:lo + 256]
-        dots = np.zeros((len(block), len(b)))
-        i = j = None
-        start = 0
-        for k, (sa, sb) in zip(cuts, tail, strict=True):
-            if i is None:
-                dots += block[:, start:k] @ rb[:, start:k].T
-                alive = dots + sa[lo:lo + 256, None] * sb[None, :] >= threshold - EPS
-                if same:
-                    alive &= np.arange(lo, lo + len(block))[:, None] < np.arange(len(b))[None, :]
-                if alive.sum() * 8 < alive.size:  # few are left: go on pair by pair
-                    i, j = np.nonzero(alive)
-                    dots = dots[i, j]
-            else:
-                dots = dots + np.einsum("ij,ij->i", block[i, start:k], rb[j, start:k])
-                keep = dots + sa[lo + i] * sb[j] >= threshold - EPS
-                i, j, dots = i[keep], j[keep], dots[keep]
-            start = k
-            if i is not None and not i.size:
-                break
-        if i is None:
-            i, j = np.nonzero(alive)
-        hits = [np.einsum("ij,ij->i", ua[lo + i[s:s + 65536]], ub[j[s:s + 65536]]) >= threshold
-                for s in range(0, i.size, 65536)]
-        ok = np.concatenate(hits) if hits else np.zeros(0, bool)
-        yield lo + i[ok], j[ok]
-
-
-def _tiles(classes: DataFrame, axes: np.ndarray, width: float) -> DataFrame:
-    """Bounded tiles of PCA-ordered classes, with their boxes."""
+    """``Tile.links`` of two matrices; ``same``: of ``a`` with itself."""
+    first = Tile(a, axes)
+    return first.links(first if same else Tile(b, axes), threshold)
+
+
+def _tiles(classes: DataFrame, axes: np.ndarray, width: float, element: str) -> DataFrame:
+    """Bounded tiles of PCA-ordered classes, with their boxes; a tile's number without its last 4 bits is its group's."""
     box = min(BOX_DIMS, axes.shape[1])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +165,7 @@ def _tiles(classes: DataFrame, axes: np.ndarray, width: float) -> DataFrame:
             pcs = np.zeros((b.num_rows, 3))
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
-                r = _unit(flat[start[at][:, None] + np.arange(d)]) @ axes[:d, :3]
+                r = _unit(flat[start[at][:, None] + np.arange(d)])[:, :len(axes)] @ axes[:d, :3]
                 pcs[at, :r.shape[1]] = r
             bins = np.floor(pcs[:, :2] / width).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -154,23 +182,25 @@ def _tiles(classes: DataFrame, axes: np.ndarray, width: float) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, group, seq, of = TaskContext.get().partitionId(), 0, 0, None
         held: list[tuple] = []
 
         def tile() -> pa.RecordBatch:
-            nonlocal held, seq
+            nonlocal held, group, seq, of
+            if seq == GROUP_TILES or of != held[0][:2]:  # a group's tiles have one label and length
+                group, seq, of = group + 1, 0, held[0][:2]
             ids, vecs, weights = ([x[k] for x in held] for k in (2, 3, 4))
             m = np.array(vecs)
-            r = _unit(m) @ axes[:m.shape[1]]
+            r = _unit(m)[:, :len(axes)] @ axes[:m.shape[1]]
             top = r[:, :box]
             rest = np.sqrt(np.maximum(0, 1 - (top * top).sum(axis=1)))
             top = np.column_stack([top, rest])
             out = pa.RecordBatch.from_pylist([{
-                "tile": (part << 32) + seq, "label": held[0][0], "dim": held[0][1],
+                "tile": (part << 40) + (group << 4) + seq, "label": held[0][0], "dim": held[0][1],
                 "b_lo": int(np.floor(r[:, 0].min() / width)), "b_hi": int(np.floor(r[:, 0].max() / width)),
                 "lo": top.min(axis=0).tolist(), "hi": top.max(axis=0).tolist(),
                 "ids": np.array(ids, np.int64).tobytes(), "weights": np.array(weights, np.int64).tobytes(),
-                "vecs": m.tobytes()}], schema=arrow)
+                "vecs": m.astype(element).tobytes()}], schema=arrow)
             held, seq = [], seq + 1
             return out
 
@@ -198,7 +228,7 @@ def _tiles(classes: DataFrame, axes: np.ndarray, width: float) -> DataFrame:
 
 
 def _tile_pairs(tiles: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) with a <= b: tiles of one label whose boxes come within the reach of the threshold."""
+    """(ga, gb, a, b) with a <= b: groups and tiles of one label whose boxes come within the reach of the threshold."""
     meta = tiles.select("tile", "label", "dim", "b_lo", "b_hi", "lo", "hi")
     left = meta.select(F.col("tile").alias("a"), "label", "dim", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"),
                        F.explode(F.sequence(F.col("b_lo") - 1, F.col("b_hi") + 1)).alias("bin"))
@@ -209,7 +239,8 @@ def _tile_pairs(tiles: DataFrame, threshold: float) -> DataFrame:
                     lambda x: F.greatest(F.lit(0.0), x["a_lo"] - x["b_hi"], x["b_lo"] - x["a_hi"])),
         F.lit(0.0), lambda s, g: s + g * g)
     return (left.join(right, ["label", "dim", "bin"]).where("a <= b")
-            .where(gap <= 2 - 2 * threshold + EPS).select("a", "b").distinct())
+            .where(gap <= 2 - 2 * threshold + EPS)
+            .select(F.shiftright("a", 4).alias("ga"), F.shiftright("b", 4).alias("gb"), "a", "b").distinct())
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
@@ -227,39 +258,54 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     dim = classes.agg(F.max(F.size("vec")).alias("d")).first().d
     if dim is None:  # no usable vector
         return src.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    axes = principal_axes(classes, dim)
-    tiles = stage(_tiles(classes, axes, float(np.sqrt(2 - 2 * threshold)) + EPS), "vectors-tiles")
-    a = tiles.select(F.col("tile").alias("a"), F.col("ids").alias("ids_a"), F.col("weights").alias("w_a"),
-                     F.col("vecs").alias("vecs_a"), "dim")
-    b = tiles.select(F.col("tile").alias("b"), F.col("ids").alias("ids_b"), F.col("weights").alias("w_b"),
-                     F.col("vecs").alias("vecs_b"))
+    axes = principal_axes(classes, min(dim, AXES))
+    # Vectors of 32-bit numbers travel as such; products are always taken in double precision.
+    element = "<f4" if rows.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
+    tiles = stage(_tiles(classes, axes, float(np.sqrt(2 - 2 * threshold)) + EPS, element), "vectors-tiles")
     pairs = stage(_tile_pairs(tiles, threshold), "vectors-pairs")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = pairs.join(a, "a").join(b, "b").repartition(n, "a", "b")
+    # A unit of work is a pair of groups: each of its tiles once, with its partners in the unit.
+    needed = pairs.select("ga", "gb", F.explode(F.array("a", "b")).alias("tile"), "a", "b").groupBy("ga", "gb", "tile").agg(
+        F.collect_set(F.when(F.col("tile") == F.col("a"), F.col("b"))).alias("partners"))
+    work = needed.join(tiles.select("tile", "dim", "ids", "weights", "vecs"), "tile").repartition(n, "ga", "gb")
+    work = work.sortWithinPartitions("ga", "gb", "tile").select("ga", "gb", "tile", "partners", "dim", "ids", "weights", "vecs")
+
+    def unit(held: list[tuple]) -> pa.RecordBatch:
+        """Link counts and spanning stars of the tile pairs of a unit: rows (tile, partners, dim, ids, weights, vecs)."""
+        tiles = {t: (Tile(np.frombuffer(v, element).astype(np.float64).reshape(-1, d), axes), np.frombuffer(i, np.int64),
+                     np.frombuffer(w, np.int64)) for t, _, d, i, w, v in held}
+        sums = {t: np.zeros(len(x[1]), np.int64) for t, x in tiles.items()}
+        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for t, partners, *_ in held:
+            for p in partners:
+                (x, ia, wa), (y, ib, wb) = tiles[t], tiles[p]
+                for i, j in x.links(y, threshold):
+                    np.add.at(sums[t], i, wb[j])
+                    np.add.at(sums[p], j, wa[i])
+                    u, v = star_edges(np.concatenate([u, ia[i]]), np.concatenate([v, ib[j]]))
+        ids = np.concatenate([x[1] for x in tiles.values()])
+        counts = np.concatenate(list(sums.values()))
+        some = counts > 0
+        ids, counts = ids[some], counts[some]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([ids, u])),
+             pa.array(np.concatenate([np.zeros_like(ids), v]), mask=np.arange(ids.size + v.size) < ids.size),
+             pa.array(np.concatenate([counts, np.zeros_like(u)]))], ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                r = {c: batch.column(c)[k] for c in batch.schema.names}
-                d, same = r["dim"].as_py(), r["a"].as_py() == r["b"].as_py()
-                ia, ib, wa, wb = (np.frombuffer(r[c].as_buffer(), np.int64) for c in ("ids_a", "ids_b", "w_a", "w_b"))
-                x, y = (np.frombuffer(r[c].as_buffer(), np.float64).reshape(-1, d) for c in ("vecs_a", "vecs_b"))
-                na, nb = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
-                u, v = ia[:0], ia[:0]
-                for i, j in compare_tiles(x, y, axes, threshold, same):
-                    np.add.at(na, i, wb[j])
-                    np.add.at(na if same else nb, j, wa[i])
-                    u, v = star_edges(np.concatenate([u, ia[i]]), np.concatenate([v, ib[j]]))
-                ids, counts = np.concatenate([ia, ib]), np.concatenate([na, nb])
-                some = counts > 0
-                ids, counts = ids[some], counts[some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([ids, u])),
-                     pa.array(np.concatenate([np.zeros_like(ids), v]), mask=np.arange(ids.size + v.size) < ids.size),
-                     pa.array(np.concatenate([counts, np.zeros_like(u)]))], ["a", "b", "n"])
-
-    found = stage(work.select("a", "b", "dim", "ids_a", "w_a", "vecs_a", "ids_b", "w_b", "vecs_b")
-                  .mapInArrow(run, "a long, b long, n long"), "vectors-links")
+        held, key = [], None
+        for b in batches:
+            for k in range(b.num_rows):
+                now = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                if held and now != key:
+                    yield unit(held)
+                    held = []
+                key = now
+                held.append(tuple(b.column(c)[k].as_py() for c in range(2, 8)))
+        if held:
+            yield unit(held)
+
+    found = stage(work.mapInArrow(run, "a long, b long, n long"), "vectors-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("b is not null")).withColumnRenamed("node", "id")
     rooted = stage(classes.join(counts, "id", "left").join(roots, "id", "left").select(

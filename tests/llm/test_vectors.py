@@ -86,3 +86,34 @@ def test_bounds_never_lose_a_pair():
     got = {(i, j) for x, y in vectors.compare_tiles(a, b, axes, 0.98, False) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
     cos = vectors._unit(a) @ vectors._unit(b).T
     assert got == set(map(tuple, np.argwhere(cos >= 0.98).tolist())) and got
+
+
+def test_wide_and_mixed_lengths(spark, monkeypatch):
+    """Lengths below, at and beyond the rotated components; 4096 components cost no matrix of that size."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for d in (3, 31, 32, 33, 200, 4096):
+        base = rng.normal(size=(3, d))
+        for _ in range(24):
+            v = base[rng.integers(0, 3)] + rng.normal(size=d) * 0.12
+            if d > 100:  # all that differs lies beyond the axes
+                v[:32] = base[0][:32]
+            rows.append((len(rows), 1, v.astype(np.float32).tolist()))
+    want = expected(rows)
+    assert sum(n > 0 for n, _ in want) > 40
+    for axes in (32, vectors.AXES):
+        monkeypatch.setattr(vectors, "AXES", axes)
+        got = run(spark, rows)
+        assert sorted(key(r.id, r.n_links, r.component) for r in got) == sorted(key(r[0], *w) for r, w in zip(rows, want, strict=True))
+
+
+def test_many_groups_of_one_label(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE_ROWS", 16)
+    monkeypatch.setattr(vectors, "GROUP_TILES", 2)
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(4, 12))
+    rows = [(i, 1, (base[i % 4] + rng.normal(size=12) * 0.1).tolist()) for i in range(400)]
+    want = expected(rows)
+    got = run(spark, rows, "array<double>")
+    assert sorted(key(r.id, r.n_links, r.component) for r in got) == sorted(key(r[0], *w) for r, w in zip(rows, want, strict=True))
+    assert max(n for n, _ in want) > 20
