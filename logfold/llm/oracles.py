@@ -53,16 +53,18 @@ WITH counted AS (
   FROM g, grid
 ), tests AS (
   SELECT lang, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND hit) AS k,
-         count(*) FILTER (NOT good AND hit) AS bad, count(*) OVER () AS made
+         count(*) FILTER (NOT good AND hit) AS bad
   FROM rated JOIN (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)
   WHERE NOT base_failed GROUP BY lang, rule, cutoff
-), proven AS (
-  SELECT *, bad - 20 * k AS gain FROM tests
-  WHERE k < n * 0.01 AND bad - 20 * k > 0 AND
+), proven AS (  -- the cutoffs of a rule in a fixed sequence, the most lenient first, up to the first that fails
+  SELECT *, bad - 20 * k AS gain, bool_and(
+    k < n * 0.01 AND
     (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))
-     FROM (SELECT unnest(range(0, k + 1)) AS i)) <= 0.05 / made
+     FROM (SELECT unnest(range(0, k + 1)) AS i)) <= 0.05 / (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM tests)))
+    OVER (PARTITION BY lang, rule ORDER BY cutoff DESC) AS certified
+  FROM tests
 ), chosen AS (
-  SELECT lang, rule, cutoff FROM proven
+  SELECT lang, rule, cutoff FROM proven WHERE certified AND gain > 0
   QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, cutoff DESC) = 1
 ), failed AS (
   SELECT DISTINCT doc_id FROM rated r JOIN chosen c

@@ -7,18 +7,21 @@ own document (n windows collide with a chance of about n^2 / 2^65).
 ``fit_thresholds`` turns a labelled holdout into cutoffs.  A rule rejects a
 text whose rate exceeds its cutoff.  Cutoffs come from a fixed grid, so the
 labels only certify: for each stratum, rule and cutoff, of n good rows (that
-pass the base rules) k are rejected; the cutoff is certified if
+pass the base rules) k are rejected; the cutoff passes its test if
 P(Binomial(n, a) <= k) <= d, that is if the exact (Clopper-Pearson) upper
-bound of the false rejection rate is at most a.  d is the error budget divided
-by all tests made (strata x rules x cutoffs, Bonferroni) and a is the allowed
-rate divided by the number of rules, so with confidence 1 - ``error`` the
-rules together falsely reject at most ``max_false`` of the good texts in every
-stratum.  Among the certified cutoffs of a rule the one with the largest gain
+bound of the false rejection rate is at most a.  The cutoffs of a rule are
+nested, so they are tested in a fixed sequence from the most lenient on, and
+all up to the first that fails are certified: the sequence spends its budget d
+once.  d is the error budget divided by the sequences (strata x rules,
+Bonferroni) and a is the allowed rate divided by the number of rules, so with
+confidence 1 - ``error`` the rules together falsely reject at most
+``max_false`` of the good texts in every stratum.  Among the certified cutoffs of a rule the one with the largest gain
 (bad rows rejected less ``cost`` times good rows rejected) is taken, the most
 lenient on ties, and none without a positive gain.  With few labels nothing is
 certified and the method keeps every text.
 
-Defined results: a null text has no words; a null label row is ignored and
+Defined results: a null text has no words; very long texts are counted whole; a
+rate equal to a cutoff is kept; an empty table gives no rows; a null label row is ignored and
 several labels of one id count as bad if any is; a null stratum is a stratum of
 its own; a text with a null id is judged but has no label; repeated rows are
 judged alike.  Internal columns are built on narrow projections; ``keep_good``
@@ -27,7 +30,7 @@ carries the row as one struct, so further columns cannot clash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfold.staging import stage
@@ -135,12 +138,15 @@ def fit_thresholds(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         .groupBy("stratum", "t.rule", "t.cutoff").agg(
             F.count_if("good").alias("n"), F.count_if(F.col("good") & F.col("t.hit")).alias("k"),
             F.count_if(~F.col("good") & F.col("t.hit")).alias("bad")), "quality-tests")
-    made = max(counted.count(), 1)
+    made = max(counted.select("stratum", "rule").distinct().count(), 1)
     allowed = max_false / len(grid)
     n, k = F.col("n"), F.col("k")
     proven = F.when(k < n * allowed, binomial_cdf(n, k, allowed) <= error / made).otherwise(F.lit(False))
     gain = F.col("bad") - cost * k
-    best = counted.where(gain > 0).where(proven).groupBy("stratum", "rule").agg(
+    # A window holds the cutoffs of one rule in one stratum, as many as the grid has.
+    lenient = Window.partitionBy("stratum", "rule").orderBy(F.col("cutoff").desc())
+    certified = counted.withColumn("certified", F.min(proven).over(lenient)).where("certified")
+    best = certified.where(gain > 0).groupBy("stratum", "rule").agg(
         F.max(F.struct(gain.alias("gain"), F.col("cutoff").alias("cutoff"))).alias("best"))
     return stage(best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "best.cutoff"))).alias("cutoffs")),
                  "quality-cutoffs")

@@ -76,7 +76,73 @@ def test_strata_labels_and_empty_tables(spark):
     assert quality.keep_good(docs.where("doc_id < 0"), labels).collect() == []
 
 
-def test_bound_holds_for_every_stratum(spark, sf):
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    cut = quality.fit_thresholds(stage(quality.features(docs), "t"), labels)
-    assert cut.columns == ["stratum", "cutoffs"]
+def test_bound_holds_for_every_stratum(spark):
+    """Simulated labels: many strata whose true false rejection rate lies just above what is allowed.
+
+    With the budget ``error`` x strata each stratum is a trial of its own; the certified share of
+    strata with a rate beyond the allowed one must stay within the error, with room for chance.
+    """
+    strata, n, allowed = 300, 2500, quality.MAX_FALSE / len(quality.GRID)
+    rate = {0.05: 4 * allowed, 0.1: 2 * allowed, 0.2: 1.05 * allowed, 0.3: 1.02 * allowed, 0.5: 0.2 * allowed, 1.0: 0.1 * allowed}
+    u = F.rand(5)
+    cut = F.lit(0.0)
+    for c in sorted(rate):  # a text's symbol rate exceeds cutoff c with chance rate[c]
+        cut = F.when(F.col("u") < rate[c], F.lit(c + 1e-3)).otherwise(cut)
+    rows = spark.range(strata * (n + 200)).select(
+        "id", (F.col("id") % strata).cast("string").alias("stratum"), (F.col("id") < strata * n).alias("good"), u.alias("u"))
+    # Bad texts lie between all cutoffs: a stricter one rejects more of them, so the strictest certified one is taken.
+    between = F.element_at(F.array(*[F.lit(x) for x in (0.07, 0.15, 0.25, 0.35, 0.6, 2.0)]), (F.floor(F.col("id") / strata) % 6 + 1).cast("int"))
+    rows = rows.withColumn("r", F.when(F.col("good"), cut).otherwise(between))
+    labels = stage(rows.select(F.col("id").alias("doc_id"), F.col("good").cast("int").alias("quality")), "t")
+    feats = stage(rows.select(
+        "id", "stratum", F.lit(1000).cast("long").alias("n_words"), F.lit(5000).cast("long").alias("word_chars"),
+        (1000 * F.col("r")).cast("long").alias("n_symbols"), F.lit(0).cast("long").alias("n_marks"), F.lit(10).cast("long").alias("n_lines"),
+        F.lit(0).cast("long").alias("n_dup_lines"), F.lit(0).cast("long").alias("n_repeat_words"), F.lit(False).alias("base_failed")), "t")
+    error = 0.05
+    found = quality.fit_thresholds(feats, labels, error=error * strata, cost=0, grid={"symbols": quality.GRID["symbols"]},
+                                   max_false=allowed).collect()
+    cutoffs = [r.cutoffs["symbols"] for r in found]
+    assert len(cutoffs) > 0.9 * strata  # the rates far below the allowed one are certified
+    broken = sum(rate[c] > allowed for c in cutoffs)
+    assert broken <= strata * error + 4 * math.sqrt(strata * error)
+
+
+def test_fixed_sequence_stops_at_the_first_failure(spark):
+    """A strict cutoff that passes behind a lenient one that does not is not certified; the budget is one per rule."""
+    clean, bad = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}##" for i in range(60))
+    rows = [(i, clean, "en", 1) for i in range(700)] + [(700 + i, bad, "en", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    feats = stage(quality.features(df), "t")
+    # 0.99^700 lies between 0.05 / 5 (one budget a rule) and 0.05 / 24 (one a cutoff) times a fifth.
+    found = quality.fit_thresholds(feats, df.select("doc_id", "quality")).collect()
+    assert found and found[0].cutoffs == {"symbols": 1.0}
+    worse = df.withColumn("text", F.when(F.col("doc_id") < 30, F.lit(bad)).otherwise(F.col("text")))
+    assert quality.fit_thresholds(stage(quality.features(worse), "t"), df.select("doc_id", "quality")).collect() == []
+
+
+def test_sql_where_cutoffs_are_certified(spark, tmp_path):
+    """The query's SQL on a table of its own with labels enough, two strata and a null one."""
+    import random
+
+    import duckdb
+
+    from logfold.llm.oracles import OP2
+
+    rnd, rows = random.Random(3), []
+    for i in range(5200):
+        lang, good = rnd.choice(["en", "de", None]), rnd.random() < 0.9
+        words = [f"w{rnd.randrange(40)}{'#!'[rnd.randrange(2)] * rnd.choice([0, 0, 1]) if not good else ''}" for _ in range(62)]
+        words += [f"u{k}" for k in range(50)] + (["!!!"] * 3 if rnd.random() < 0.01 else [])
+        rows.append((i, " ".join(words), lang, int(good)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    df.select("doc_id", "text", "lang").write.parquet(str(tmp_path / "documents"))
+    df.select("doc_id", "quality").write.parquet(str(tmp_path / "labels"))
+    docs, labels = (spark.read.parquet(str(tmp_path / t)) for t in ("documents", "labels"))
+    got = {r.id: (r.n_words, r.n_symbols, r.base_failed, r.kept) for r in quality.quality(docs, labels).collect()}
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}/*.parquet')")
+    want = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, n_words, n_symbols, base_failed, kept FROM ({OP2})").fetchall()}
+    assert got == want
+    cut = quality.fit_thresholds(stage(quality.features(docs), "t"), labels).collect()
+    assert len(cut) >= 2 and sum(not k and not b for *_, b, k in got.values()) > 50
