@@ -7,8 +7,9 @@
   penalties, on a sample of at most ``sample_rows`` labelled rows (a documented
   bound).  Spark counts the languages; each has at least ``sample_rows`` /
   (2 x languages) rows of the sample if it has so many, the rest goes in
-  proportion; within a language the hash of the id chooses.  A fifth of each
-  language's sample is kept out of the weights and sets the temperature of the
+  proportion; within a language the hash of id and text chooses, and rows that
+  agree in both are one row of the sample, however often they are repeated.  A
+  fifth of each language's sample is kept out of the weights and sets the temperature of the
   softmax.  More than ``max_languages`` languages are refused with an error.
 * Prediction reads every whole text in an Arrow pass with the broadcast
   weights, whose size is n-gram buckets x languages, both bounded.
@@ -17,7 +18,9 @@ Language, source and id are never inputs of a prediction.  Defined results: a
 null text and a text without a letter are ``und`` with score 0; without any
 learning row every text is ``und``; a null id counts as the empty string for
 the fold (held out); rows with a null language are not learned from; repeated
-rows are predicted alike.  Further columns are carried by ``keep_known`` and
+rows are predicted alike and counted in the document frequencies as often as
+they occur; of equal scores the first language by code point wins; an empty
+table is predicted as no rows.  Further columns are carried by ``keep_known`` and
 never read.
 """
 
@@ -164,7 +167,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ValueError if there are more than ``max_languages`` (or ``sample_rows``) languages.
     """
     learn = docs.where(~held_out(id_col)).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).cast("string").alias("lang"),
+        F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("h"), F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).cast("string").alias("text"))
     bound = min(max_languages, sample_rows)
     found = learn.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("low")).limit(bound + 1).collect()
@@ -178,7 +181,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     cuts = {r.lang: max(r.low, int(share[r.lang] * (1 << 64)) - (1 << 63)) for r in found}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, df = NGrams(), np.zeros(BUCKETS, np.int64)
+        grams, df, taken = NGrams(), np.zeros(BUCKETS, np.int64), set()
         kind = pa.list_(pa.int32())
         for b in batches:
             rows = []
@@ -187,7 +190,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 found = grams.counts(texts[k].as_py())
                 if found is not None:
                     df[found[0]] += 1
-                    if hashes[k] <= cuts[langs[k]]:
+                    # Repeated rows of a task pass the cut once; those that pass are little more than the sample.
+                    if hashes[k] <= cuts[langs[k]] and (langs[k], hashes[k]) not in taken:
+                        taken.add((langs[k], hashes[k]))
                         rows.append((langs[k], *found, hashes[k]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], kind),
@@ -207,7 +212,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         freq[r.bucket] = r.n
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "ids", "counts"))
     quota = F.element_at(F.create_map(*[F.lit(x) for item in quotas.items() for x in item]), F.col("lang"))
-    sample = found.where("lang is not null").withColumn("rank", rank).where(F.col("rank") <= sample_rows).where(
+    passed = found.where("lang is not null").dropDuplicates(["lang", "h"])  # at most one row a task of each
+    sample = passed.withColumn("rank", rank).where(F.col("rank") <= sample_rows).where(
         F.col("rank") <= quota).collect()  # at most sample_rows x buckets numbers
     languages = sorted({r.lang for r in sample})
     if not languages:
