@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
 1. Every whole document is tokenised in an Arrow pass (token bytes are cached
-   per white-space chunk; the tokenizer never joins tokens across white space)
+   per white-space chunk, for the task and bounded in bytes; the tokenizer never joins tokens across white space)
    and only documents beyond the capacity are cut.
 2. Pieces are range-sorted by length (with a hash as tie-breaker, so a very
    common length spans many partitions), which gives each piece its rank among
@@ -37,8 +37,8 @@ from logfold.staging import stage
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks cached in a worker, and bytes of text tokenised at a time.
-CACHE_CHUNKS = 400_000
+#: Bytes of cached chunks (with about 150 each for the tables) in a task, and bytes of text tokenised at a time.
+CACHE_BYTES = 64 << 20
 TEXT_BYTES = 2 << 20
 
 
@@ -76,7 +76,7 @@ class ChunkTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.parts = ChunkIndex(), []
+        self.index, self.parts, self.held = ChunkIndex(), [], 0
 
     def chunks(self, data: bytes) -> list[int]:
         if b"<|" not in data:
@@ -86,6 +86,7 @@ class ChunkTokenizer:
     def _tokenise(self) -> None:
         """Fill ``parts`` for the pending chunks; chunks of letters alone share calls, each is one word."""
         texts = [c.decode() for c in self.index.pending]
+        self.held += sum(map(len, self.index.pending)) + 150 * len(texts)
         self.index.pending = []
         base = len(self.parts)
         self.parts += [b""] * len(texts)
@@ -105,13 +106,14 @@ class ChunkTokenizer:
         found = self.encode([texts[i] for i in alone], add_special_tokens=False)
         for i, e in zip(alone, found, strict=True):
             self.parts[base + i] = np.array(e.ids, "<u4").tobytes()
+        self.held += sum(map(len, self.parts[base:]))
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         numbers = [self.chunks(t) for t in texts]
         self._tokenise()
         parts = self.parts
         out = [b"".join([parts[i] for i in n]) for n in numbers]
-        if len(parts) > CACHE_CHUNKS:
+        if self.held > CACHE_BYTES:
             self.clear()
         return out
 
@@ -149,6 +151,7 @@ def piece_table(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds)], names)  # noqa: B905
                     out = []
+        tokenizer.clear()  # the worker goes on to other stages
 
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
