@@ -161,7 +161,7 @@ def generic_message(x: str) -> str:
 
 # --- corpora ------------------------------------------------------------------
 
-def _ev_lines_cte(chunk: int | None = None) -> str:
+def _ev_lines_cte(chunk: int | None = None, tail: str = "''") -> str:
     lvl = "CASE event_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in EV_LEVELS) + " ELSE 'INFO' END"
     msgs = "[" + ", ".join(q(m) for m in EV_MESSAGES) + "]"
     tc = "replace(t, '.', ',')"
@@ -193,7 +193,7 @@ def _ev_lines_cte(chunk: int | None = None) -> str:
     SELECT event_id, user_id, event_type, ts, CAST(ts AS VARCHAR) AS t, {lvl} AS lvl,
            {msgs}[CAST(event_id % 7 AS INTEGER) + 1] AS msg
     FROM events),
-  ev_raw AS (SELECT {src} AS source, event_id, {raw} AS raw_line FROM ev_src),
+  ev_raw AS (SELECT {src} AS source, event_id, ({raw}) || {tail} AS raw_line FROM ev_src),
   lines AS (
     SELECT source, row_number() OVER (PARTITION BY source ORDER BY event_id) AS line_number, raw_line FROM ev_raw)"""
 
@@ -294,6 +294,29 @@ def with_ev_files(body: str) -> str:
     return f"WITH {_ev_lines_cte(EV_FILE_CHUNK)},\n  {_parse_ctes()}\n{body}"
 
 
+def file_reports_sql() -> str:
+    """Audit and report of the odd files; the bytes that are no UTF-8 are read as U+FFFD (3 bytes for 1)."""
+    from logfold.sources.corpus import ODD_BYTES_EVERY
+
+    odd = f"event_id % {ODD_BYTES_EVERY} = 0"
+    tail = f"CASE WHEN {odd} THEN ' ' || chr(65533) || 'x' || chr(65533) || '(' ELSE '' END"
+    return f"""WITH {_ev_lines_cte(tail=tail)},
+  {_parse_ctes()}{_report_ctes()},
+  sizes AS (SELECT source, CAST(sum(octet_length(encode(raw_line)) + 1 - CASE WHEN {odd} THEN 4 ELSE 0 END) AS BIGINT) AS bytes
+    FROM ev_raw GROUP BY source),
+  judged AS (SELECT *, bytes < max(bytes) OVER () AS kept FROM sizes)
+SELECT j.source AS name, CASE WHEN kept THEN 'admitted' ELSE 'rejected' END AS status,
+  CASE WHEN kept THEN '' ELSE 'exceeds the size limit' END AS reason, CASE WHEN kept THEN bytes ELSE 0 END AS bytes,
+  CASE WHEN kept THEN executive_summary[1] END AS executive_summary,
+  CASE WHEN kept THEN array_to_string(interesting_log_snippets, '|') END AS snippets,
+  CASE WHEN kept THEN array_to_string(recommendations, '|') END AS recommendations,
+  CASE WHEN kept THEN CAST(total_lines AS VARCHAR) END AS total_lines
+FROM judged j JOIN r2 ON r2.source = j.source
+UNION ALL SELECT 'empty', 'admitted', '', 0, {q(P.SUMMARY_EMPTY)}, '', {q(P.REC_DEFAULT)}, '0'
+UNION ALL SELECT 'json', 'rejected', {q("unsupported file type '.json'")}, 0, NULL, NULL, NULL, NULL
+UNION ALL SELECT 'missing', 'missing', 'file does not exist', 0, NULL, NULL, NULL, NULL"""
+
+
 def with_branches(body: str) -> str:
     return f"WITH {_branch_lines_cte()},\n  {_parse_ctes()}\n{body}"
 
@@ -807,4 +830,5 @@ FROM entries WHERE entry_type IN ('exception', 'stack_trace')"""),
     "refinement": with_ev(refinement_sql()),
     "report_json": with_ev(report_json_sql()),
     "admission": with_ev_files(ADMISSION),
+    "file_reports": file_reports_sql(),
 }

@@ -80,6 +80,32 @@ def q_admission(spark: SparkSession, sf: str) -> DataFrame:
         F.sum(F.when(admitted, F.col("size")).otherwise(F.lit(0))).alias("bytes"))
 
 
+def q_file_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit and reports of files with bytes that are no UTF-8, an empty one, one above the size limit, one of
+    another type and a missing one; the limit is one byte below the largest log file."""
+    from logfold.plans.analysis import analyze_files
+    from logfold.sources.admission import admission_audit
+    from logfold.sources.corpus import write_odd_log_files
+
+    path = write_odd_log_files(spark, sf)
+    inputs = [path, f"{path}/name=missing"]
+    largest = admission_audit(spark, path).where("status = 'admitted'").agg(F.max("size")).first()[0] or 1
+    limit = (largest - 1) / (1 << 20)  # exact: a power of two divides a whole number
+    audit = admission_audit(spark, inputs, max_file_size_mb=limit)
+    reports = analyze_files(spark, inputs, max_file_size_mb=limit)
+    name = F.regexp_extract("path", "name=([^/]+)", 1)
+    reason = F.coalesce(F.regexp_replace("reason", "limit of .*", "limit"), F.lit(""))
+    judged = audit.groupBy("path", name.alias("name"), "status", reason.alias("reason")).agg(F.sum("size").alias("bytes"))
+    joined = judged.join(reports.withColumnRenamed("source", "path"), "path", "left")
+    kept = F.col("status") == "admitted"
+    return joined.groupBy("name", "status", "reason").agg(
+        F.sum(F.when(kept, F.col("bytes")).otherwise(F.lit(0))).alias("bytes"),
+        F.max("executive_summary").alias("executive_summary"),
+        F.max(F.array_join("interesting_log_snippets", "|")).alias("snippets"),
+        F.max(F.array_join("recommendations", "|")).alias("recommendations"),
+        F.max(F.col("log_overview.total_lines_processed").cast("string")).alias("total_lines"))
+
+
 def q_line_numbering(spark: SparkSession, sf: str) -> DataFrame:
     return doc_entries(spark, sf).select("source", "line_number", "raw")
 
@@ -386,4 +412,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_report": q_model_report,
     "report_json": q_report_json,
     "admission": q_admission,
+    "file_reports": q_file_reports,
 }

@@ -144,6 +144,31 @@ def write_event_log_files(spark: SparkSession, sf_dir: str, chunk: int = EV_FILE
     return path
 
 
+#: Every how many events a line of the odd files ends in bytes that are no UTF-8: a lone FF and a cut-off C3.
+ODD_BYTES_EVERY = 97
+
+
+def write_odd_log_files(spark: SparkSession, sf_dir: str) -> str:
+    """Write the EV corpus as files that test admission: one per source, some lines with bytes that are no UTF-8.
+
+    Beside them an empty file and a JSON copy of the events.  Folders ``name=<source>``,
+    ``name=empty`` and ``name=json`` under a new folder of the checkpoint folder, which is returned.
+    """
+    import uuid
+
+    from logfold.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logfold/odd-files-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    odd = F.when(F.col("event_id") % ODD_BYTES_EVERY == 0, F.unhex(F.lit("20FF78C328"))).otherwise(F.lit(b"")).cast("string")
+    lines = event_lines(events).select("source", "event_id", F.concat("raw_line", odd).alias("value"))
+    (lines.repartition("source").sortWithinPartitions("source", "event_id").select("value", F.col("source").alias("name"))
+     .write.partitionBy("name").text(path))
+    lines.select("value").where(F.lit(False)).coalesce(1).write.text(f"{path}/name=empty")  # a file of no bytes
+    events.write.json(f"{path}/name=json")
+    return path
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return split_text_lines(docs, F.col("doc_id"), F.col("text"))
