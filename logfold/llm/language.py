@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logfold.llm.workers import tidy
 from logfold.staging import stage
 
 BUCKETS = 1 << 14
@@ -204,7 +205,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             [pa.nulls(ids.size, pa.string()), pa.array(list(ids[:, None].astype(np.int32)), kind),
              pa.nulls(ids.size, kind), pa.array(df[ids]), pa.nulls(ids.size, pa.int64())], ["lang", "ids", "counts", "n", "h"])
 
-    found = stage(learn.mapInArrow(run, "lang string, ids array<int>, counts array<int>, n long, h long"), "language-grams")
+    found = stage(learn.mapInArrow(tidy(run), "lang string, ids array<int>, counts array<int>, n long, h long"), "language-grams")
     # Document frequencies: at most one row a bucket reaches the driver.
     freq = np.zeros(BUCKETS)
     sums = found.where("n is not null").groupBy(F.col("ids")[0].alias("bucket")).agg(F.sum("n").alias("n"))
@@ -259,7 +260,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 [b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 ["id", "held_out", "lang_pred", "score"])
 
-    return src.mapInArrow(run, "id long, held_out boolean, lang_pred string, score double")
+    return src.mapInArrow(tidy(run), "id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
@@ -273,4 +274,4 @@ def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", min
             langs, scores = _scores(b.column(at), shared.value, grams)
             yield b.filter(pa.array([x != "und" and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.workers import worker_state
+from logfold.llm.workers import tidy
 from logfold.staging import stage
 
 CAPACITY = 4096
@@ -128,7 +128,7 @@ def piece_table(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][:5 + with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = worker_state(("packing", tokenizer_file), lambda: ChunkTokenizer(tokenizer_file))
+        tokenizer = ChunkTokenizer(tokenizer_file)  # a tenth of a second; it and its chunks end with the task
 
         def pieces(rows: list[int], texts: list[bytes], part: pa.RecordBatch) -> Iterator[tuple]:
             for k, ids in zip(rows, tokenizer.texts(texts), strict=True):
@@ -151,9 +151,8 @@ def piece_table(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds)], names)  # noqa: B905
                     out = []
-        tokenizer.clear()  # the worker goes on to other stages
 
-    return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return src.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def plan_rounds(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -231,7 +230,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
     from pyspark.sql import types as T
     schema = T.StructType([*ranged.schema.fields, T.StructField("_part", T.IntegerType()),
                            T.StructField("_rank", T.LongType())])
-    ranked = stage(ranged.mapInArrow(number, schema), "packing-ranked")
+    ranked = stage(ranged.mapInArrow(tidy(number), schema), "packing-ranked")
     # As many rows as partitions and lengths together: a sorted partition holds few lengths.
     runs = ranked.groupBy(F.col(length_col).alias("n"), "_part").agg(F.count("*").alias("c")).collect()
     counts: dict[int, int] = {}
@@ -258,7 +257,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
                 [*cols, "sequence_id", "offset"])
 
     out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(place, out)
+    return ranked.mapInArrow(tidy(place), out)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logfold.llm.workers import tidy
 from logfold.staging import stage
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -114,7 +115,7 @@ def _scanned(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
             base, more = _scan_column(b.column(len(names)))
             yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], base, more], [*names, "base", "more"])
 
-    return stage(src.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "secrets-scan")
+    return stage(src.mapInArrow(tidy(run), schema).withColumn("row", F.monotonically_increasing_id()), "secrets-scan")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -199,7 +200,7 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", r
 
     from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType([masked.schema["doc"], StructField("text", StringType())])
-    done = masked.mapInArrow(run, schema)
+    done = masked.mapInArrow(tidy(run), schema)
     kind = docs.schema
     cols = []
     for c in docs.columns:

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfold.llm.graphs import connected_components, star_edges
+from logfold.llm.workers import tidy
 from logfold.staging import stage
 
 SHINGLE_WORDS = 4
@@ -90,7 +91,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), _hash_column(b.column(1), shingle_words)], ["id", "fp"])
 
-    return src.mapInArrow(run, "id long, fp long")
+    return src.mapInArrow(tidy(run), "id long, fp long")
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -102,7 +103,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle_words: int
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), _hash_column(b.column(1), shingle_words)], ["doc", "fp"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def shard_masks(radius: int) -> list[int]:
@@ -233,7 +234,7 @@ def links(classes: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE) ->
             u, v = flush(True)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
 
-    return rows.select(*key, "own", "fp").mapInArrow(run, "a long, b long")
+    return rows.select(*key, "own", "fp").mapInArrow(tidy(run), "a long, b long")
 
 
 def _keepers(staged: DataFrame, order: Column, radius: int, max_tree: int) -> DataFrame:
