@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.workers import tidy
+from logfold.llm.workers import tidy, worker_state
 from logfold.staging import stage
 
 CAPACITY = 4096
@@ -128,7 +128,7 @@ def piece_table(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][:5 + with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkTokenizer(tokenizer_file)  # a tenth of a second; it and its chunks end with the task
+        tokenizer = worker_state(("packing", tokenizer_file), lambda: ChunkTokenizer(tokenizer_file))
 
         def pieces(rows: list[int], texts: list[bytes], part: pa.RecordBatch) -> Iterator[tuple]:
             for k, ids in zip(rows, tokenizer.texts(texts), strict=True):
@@ -151,6 +151,7 @@ def piece_table(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds)], names)  # noqa: B905
                     out = []
+        tokenizer.clear()  # the worker goes on to other stages
 
     return src.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
