@@ -23,6 +23,7 @@ Only the id and text columns are read, so further columns cannot clash.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -65,6 +66,8 @@ class ChunkTokenizer:
     """
 
     def __init__(self, tokenizer_file: str):
+        # Spark runs a task per core: the library's own threads would only add memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
