@@ -7,17 +7,25 @@
    common length spans many partitions), which gives each piece its rank among
    the pieces of its length: its rank in its partition plus the number in
    earlier partitions.
-3. Bulk-synchronous rounds match piece lengths with gaps.  Pieces of one length
-   are interchangeable, so a round works on runs: (length, next rank, count)
-   and (gap, first sequence, count).  It sweeps lengths from the longest;
-   each takes its successor, the smallest gap that holds it; conflicts over a
-   gap are resolved by rank; the gaps are updated for the next round, and
-   pieces without a successor open new sequences.  A round's state is bounded
-   by the capacity (at most that many lengths and gaps), not by the rows.
-4. Each task looks up the moves of its range of pieces by (length, rank).
+3. Bulk-synchronous rounds match piece lengths with gaps, all in Spark tables.
+   Pieces of one length are interchangeable, so a table holds runs: (length,
+   next rank, count) and (gap, first sequence, count).  A round range-sorts
+   runs and gaps together by size; each task sweeps its range from the longest
+   and gives every run its successor, the smallest gap that holds it; conflicts
+   over a gap are resolved by rank (longer lengths, then earlier pieces, first);
+   moves, updated gaps and waiting runs are written, and the next round begins.
+   Runs that no gap holds open new sequences.  A round uses a task for every
+   ``RUNS_PER_TASK`` rows; a round that moved nothing (the gaps were in other
+   ranges) is followed by one with half the tasks.  Only sums over the tables
+   reach the driver.
+4. Moves and pieces are range-sorted together by (length, rank); a piece belongs
+   to the last move before it, carried within a partition by a scan and across
+   partitions by one row each.
 
 Defined results: a null text is an empty document (one piece, the end token
 alone); a null id stays null; repeated rows are packed as separate documents.
+An empty table gives no rows.  Pieces of equal length are ordered by a hash of
+their columns; which of two identical rows goes where is undefined.
 Only the id and text columns are read, so further columns cannot clash.
 """
 
@@ -26,12 +34,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logfold.llm.workers import tidy, worker_state
 from logfold.staging import stage
@@ -41,6 +50,11 @@ END_ID = 1
 #: Bytes of cached chunks (with about 150 each for the tables) in a task, and bytes of text tokenised at a time.
 CACHE_BYTES = 64 << 20
 TEXT_BYTES = 2 << 20
+#: Runs and gaps that one task sweeps in a round.
+RUNS_PER_TASK = 1 << 14
+#: Kinds of rows in the tables of a round; gaps sort before runs of their size.
+GAP, RUN, MOVE = 0, 1, 2
+_STATE = "kind int, size long, first long, many long, sequence long, per long, offset long"
 
 
 class ChunkIndex(dict):
@@ -159,59 +173,82 @@ def piece_table(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     return src.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def plan_rounds(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Moves (length, first rank, count, first sequence, pieces a sequence, offset) that place all pieces.
+def sweep(rows: Iterable[tuple[int, int, int, int]], capacity: int) -> Iterator[tuple]:
+    """One range of a round: (kind, size, first, many) from the largest size, gaps before runs of their size.
 
-    ``counts``: pieces by length.  Piece ``rank`` of a move goes to sequence
-    ``first + i // per`` at ``offset + (i % per) * length`` with i = rank - first rank.
+    Yields moves (MOVE, length, first rank, count, first sequence, pieces a sequence, offset), updated and
+    untouched gaps and runs that wait.  Piece ``rank`` of a move goes to sequence ``first sequence + i // per``
+    at ``offset + (i % per) * length`` with i = rank - first rank.
     """
-    todo = sorted(((n, 0, c) for n, c in counts.items() if c), reverse=True)  # (length, next rank, left)
-    gaps: list[tuple[int, int, int]] = []  # (gap, first sequence, sequences)
-    opened, moves = 0, []
-    while todo:
-        largest = max(gaps)[0] if gaps else 0
-        stuck = sum(n * left for n, _, left in todo if n > largest)
-        if stuck:  # no gap holds these: at least so many new sequences are needed
-            new = -(-stuck // capacity)
-            gaps.append((capacity, opened, new))
+    gaps: list[tuple[int, int, int]] = []  # those that hold the current length, the smallest on top
+    for kind, size, rank, left in rows:
+        if kind == GAP:
+            gaps.append((size, rank, left))
+            continue
+        while left and gaps:
+            gap, sequence, free = gaps.pop()
+            per = gap // size
+            full = min(free, left // per)
+            if full:
+                yield MOVE, size, rank, full * per, sequence, per, capacity - gap
+                yield GAP, gap - per * size, sequence, full, None, None, None
+                rank, left, sequence, free = rank + full * per, left - full * per, sequence + full, free - full
+            if free and left:  # the last few pieces of this length share one sequence
+                yield MOVE, size, rank, left, sequence, per, capacity - gap
+                yield GAP, gap - left * size, sequence, 1, None, None, None
+                left, sequence, free = 0, sequence + 1, free - 1
+            if free:
+                gaps.append((gap, sequence, free))
+        if left:
+            yield RUN, size, rank, left, None, None, None
+    for gap in gaps:
+        yield GAP, *gap, None, None, None
+
+
+def match_rounds(lengths: DataFrame, capacity: int, runs_per_task: int = RUNS_PER_TASK) -> DataFrame:
+    """Moves (size, first, many, sequence, per, offset) that place all pieces of ``lengths`` (size, many)."""
+    names = [f.split()[0] for f in _STATE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = list(sweep((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True)), capacity))
+        columns = zip(*out, strict=True) if out else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int32() if n == "kind" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
+
+    def rows(df: DataFrame, kind: int, size, first, many) -> DataFrame:
+        values = [F.lit(kind), size, first, many, F.lit(None), F.lit(None), F.lit(None)]
+        return df.select(*(v.cast("int" if n == "kind" else "long").alias(n) for n, v in zip(names, values, strict=True)))
+
+    spark, size, kind = lengths.sparkSession, F.col("size"), F.col("kind")
+    state = stage(rows(lengths, RUN, size, F.lit(0), F.col("many")), "packing-round")
+    moves = state.where(kind == MOVE)
+    opened, before, tasks = 0, -1, 1
+    while True:
+        s = state.agg(F.sum(F.when(kind == RUN, F.col("many"))).alias("left"), F.min(F.when(kind == RUN, size)).alias("least"),
+                      F.max(F.when(kind == GAP, size)).alias("largest"), F.count("*").alias("n")).first()
+        if not s.left:
+            return moves
+        now = state.where((kind == RUN) | (size >= s.least))
+        stuck = state.where((kind == RUN) & (size > (s.largest or 0))).agg(F.sum(size * F.col("many"))).first()[0]
+        new = -(-(stuck or 0) // capacity)  # no gap holds these: at least so many new sequences are needed
+        if new:
+            now = now.union(rows(spark.range(1), GAP, F.lit(capacity), F.lit(opened), F.lit(new)))
             opened += new
-        gaps.sort(key=lambda g: (-g[0], g[1]))
-        stack: list[tuple[int, int, int]] = []  # gaps that hold the current length, the smallest on top
-        at, updated, waiting = 0, [], []
-        for n, rank, left in todo:
-            while at < len(gaps) and gaps[at][0] >= n:
-                stack.append(gaps[at])
-                at += 1
-            while left and stack:
-                gap, first, many = stack.pop()
-                per = gap // n
-                full = min(many, left // per)
-                if full:
-                    moves.append((n, rank, full * per, first, per, capacity - gap))
-                    updated.append((gap - per * n, first, full))
-                    rank, left, first, many = rank + full * per, left - full * per, first + full, many - full
-                if many and left:  # the last few pieces of this length share one sequence
-                    moves.append((n, rank, left, first, per, capacity - gap))
-                    updated.append((gap - left * n, first, 1))
-                    rank, left, first, many = rank + left, 0, first + 1, many - 1
-                if many:
-                    stack.append((gap, first, many))
-            if left:
-                waiting.append((n, rank, left))
-        todo, gaps = waiting, [g for g in updated + stack + gaps[at:] if g[0]]
-        if todo:
-            least = todo[-1][0]
-            gaps = [g for g in gaps if g[0] >= least]
-    return np.array(moves, np.int64).reshape(-1, 6)
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
-    """``pieces`` with sequence_id and offset; no sequence is longer than ``capacity``."""
+        tasks = tasks // 2 if s.left == before and tasks > 1 else -(-s.n // runs_per_task)
+        before = s.left
+        order = [size.desc(), kind, F.col("first")]
+        ranged = now.repartitionByRange(tasks, *order) if tasks > 1 else now.coalesce(1)
+        swept = stage(ranged.sortWithinPartitions(*order).mapInArrow(tidy(run), _STATE), "packing-round")
+        state = swept.where((kind < MOVE) & (size > 0))
+        moves = moves.union(swept.where(kind == MOVE))
+
+
+def _ranked(pieces: DataFrame, length_col: str) -> DataFrame:
+    """(size, at, row): every piece as a struct, with its rank among the pieces of its length."""
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = list(pieces.columns)
-    ranged = pieces.withColumn("_tie", F.xxhash64(*cols)).repartitionByRange(n, F.col(length_col).desc(), "_tie")
-    ranged = ranged.sortWithinPartitions(F.col(length_col).desc(), "_tie").drop("_tie")
-    at = cols.index(length_col)
+    rows = pieces.select(F.col(length_col).cast("long").alias("size"), F.struct(*pieces.columns).alias("row"))
+    order = [F.col("size").desc(), F.xxhash64("row")]
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -220,7 +257,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
         for b in batches:
             if not b.num_rows:
                 continue
-            size = b.column(at).to_numpy()
+            size = b.column(0).to_numpy()
             head = np.flatnonzero(np.concatenate([[True], size[1:] != size[:-1]]))
             base = np.repeat(head, np.diff(np.append(head, size.size)))
             rank = np.arange(size.size) - base
@@ -229,39 +266,68 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
             last, seen = int(size[-1]), int(rank[-1]) + 1
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(np.full(size.size, part, np.int32)), pa.array(rank.astype(np.int64))],
-                [*cols, "_part", "_rank"])
+                ["size", "row", "part", "at"])
 
-    from pyspark.sql import types as T
-    schema = T.StructType([*ranged.schema.fields, T.StructField("_part", T.IntegerType()),
-                           T.StructField("_rank", T.LongType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType())])
     ranked = stage(ranged.mapInArrow(tidy(number), schema), "packing-ranked")
     # As many rows as partitions and lengths together: a sorted partition holds few lengths.
-    runs = ranked.groupBy(F.col(length_col).alias("n"), "_part").agg(F.count("*").alias("c")).collect()
-    counts: dict[int, int] = {}
-    base: dict[tuple[int, int], int] = {}
-    for r in sorted(runs, key=lambda r: (r.n, r["_part"])):
-        base[r["_part"], r.n] = counts.get(r.n, 0)
-        counts[r.n] = counts.get(r.n, 0) + r.c
-    moves = plan_rounds(counts, capacity)
-    moves = moves[np.lexsort((moves[:, 1], moves[:, 0]))]
-    shared = ranked.sparkSession.sparkContext.broadcast((moves, base))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        moves, base = shared.value
-        key = (moves[:, 0] << 40) + moves[:, 1]
+    runs = ranked.groupBy("size", "part").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = runs.select("size", "part", F.coalesce(earlier, F.lit(0)).alias("shift"))
+    return ranked.join(shift, ["size", "part"]).select("size", (F.col("at") + F.col("shift")).alias("at"), "row")
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length",
+         runs_per_task: int = RUNS_PER_TASK) -> DataFrame:
+    """``pieces`` with sequence_id and offset; no sequence is longer than ``capacity``."""
+    spark = pieces.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lengths = pieces.groupBy(F.col(length_col).cast("long").alias("size")).agg(F.count("*").alias("many"))
+    moves = match_rounds(lengths, capacity, runs_per_task)
+    ranked = _ranked(pieces, length_col)
+    both = moves.select("size", F.col("first").alias("at"), "kind", F.col("first"), "sequence", "per", "offset").unionByName(
+        ranked.withColumn("kind", F.lit(MOVE + 1)), allowMissingColumns=True)
+    order = ["size", "at", "kind"]
+    held = ["first", "sequence", "per", "offset"]
+    names = ["size", "at", "row", *held, "part"]
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, last, row_type = TaskContext.get().partitionId(), None, None
         for b in batches:
-            size, part, rank = (b.column(i).to_numpy() for i in (at, len(cols), len(cols) + 1))
-            pairs, back = np.unique(np.stack([part, size]), axis=1, return_inverse=True)
-            add = np.array([base[p] for p in map(tuple, pairs.T.tolist())], np.int64)
-            rank = rank + (add[back.ravel()] if add.size else 0)
-            m = moves[np.searchsorted(key, (size << 40) + rank, "right") - 1]
-            i = rank - m[:, 1]
+            b = b.select(["size", "at", "row", *held, "kind"])
+            row_type = b.column(2).type
+            kind = b.column(7).to_numpy()
+            piece = kind != MOVE
+            before = np.maximum.accumulate(np.where(piece, -1, np.arange(kind.size)))
+            keep, known = pa.array(piece), (before >= 0) | (last is not None)
+            values = [c.fill_null(0).to_numpy() for c in b.columns[3:7]]
+            filled = [np.where(before >= 0, v[before], old) for v, old in zip(values, last or [0] * 4, strict=True)] if kind.size else values
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:len(cols)], pa.array(m[:, 3] + i // m[:, 4]), pa.array(m[:, 5] + i % m[:, 4] * size)],
-                [*cols, "sequence_id", "offset"])
-
-    out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(tidy(place), out)
+                [*(c.filter(keep) for c in b.columns[:3]), *(pa.array(f[piece], pa.int64(), mask=~known[piece]) for f in filled),
+                 pa.array(np.full(int(piece.sum()), part, np.int32))], names)
+            if kind.size and before[-1] >= 0:
+                last = [int(v[before[-1]]) for v in values]
+        if row_type is not None:  # the partition's last move, for the pieces that begin later partitions
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, row_type),
+                 *(pa.array([x], pa.int64()) for x in last or [None] * 4), pa.array([part], pa.int32())], names)
+
+    longs = [T.StructField(x, T.LongType()) for x in ("size", "at")]
+    schema = T.StructType([*longs, T.StructField("row", ranked.schema["row"].dataType),
+                           *(T.StructField(x, T.LongType()) for x in held), T.StructField("part", T.IntegerType())])
+    placed = stage(both.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(tidy(carry), schema), "packing-placed")
+    ends, found = [], None
+    for r in sorted(placed.where("size is null").collect(), key=lambda r: r.part):  # one row a partition
+        ends.append((r.part, *(found or [None] * 4)))
+        found = [r[x] for x in held] if r["first"] is not None else found
+    entering = spark.createDataFrame(ends, "part int, first0 long, sequence0 long, per0 long, offset0 long")
+    rows = placed.where("size is not null").join(F.broadcast(entering), "part", "left")
+    first, sequence, per, offset = (F.coalesce(F.col(x), F.col(f"{x}0")) for x in held)
+    i = F.col("at") - first
+    return rows.select("row.*", (sequence + ((i - i % per) / per).cast("long")).alias("sequence_id"),
+                       (offset + i % per * F.col("size")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",

@@ -71,26 +71,65 @@ def best_fit_decreasing(counts, capacity):
     return opened
 
 
+def rounds(counts, capacity):
+    """The rounds of ``match_rounds`` in one process, over the same sweep."""
+    runs, gaps, opened, moves = [(packing.RUN, n, 0, c) for n, c in counts.items()], [], 0, []
+    while runs:
+        largest = max((g[1] for g in gaps), default=0)
+        new = -(-sum(n * left for _, n, _, left in runs if n > largest) // capacity)
+        if new:
+            gaps.append((packing.GAP, capacity, opened, new))
+            opened += new
+        out = list(packing.sweep(sorted(runs + gaps, key=lambda r: (-r[1], r[0], r[2])), capacity))
+        moves += [r[1:] for r in out if r[0] == packing.MOVE]
+        runs = [r[:4] for r in out if r[0] == packing.RUN]
+        gaps = [r[:4] for r in out if r[0] == packing.GAP and r[1]]
+    return moves
+
+
+def check_moves(moves, counts, capacity):
+    used, placed = {}, {n: 0 for n in counts}
+    for n, rank, count, first, per, offset in sorted(moves):
+        assert rank == placed[n]
+        placed[n] += count
+        for i in range(count):
+            used.setdefault(first + i // per, []).append((offset + i % per * n, n))
+    assert placed == counts
+    for places in used.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return len(used)
+
+
 def test_rounds_place_everything_as_tightly_as_one_by_one():
     rnd = random.Random(3)
     for capacity in (16, 100, 4096):
         for _ in range(30):
             counts = {rnd.randint(1, capacity): rnd.randint(1, 400) for _ in range(rnd.randint(1, 60))}
-            moves = packing.plan_rounds(counts, capacity)
-            used, placed = {}, {n: 0 for n in counts}
-            for n, rank, count, first, per, offset in moves.tolist():
-                assert rank == placed[n]
-                placed[n] += count
-                for i in range(count):
-                    used.setdefault(first + i // per, []).append((offset + i % per * n, n))
-            assert placed == counts
-            for places in used.values():
-                at = 0
-                for offset, n in sorted(places):
-                    assert offset == at
-                    at += n
-                assert at <= capacity
-            assert len(used) <= 1.06 * best_fit_decreasing(counts, capacity) + 1
+            assert check_moves(rounds(counts, capacity), counts, capacity) <= 1.06 * best_fit_decreasing(counts, capacity) + 1
+
+
+def test_rounds_as_tables_in_one_and_several_ranges(spark):
+    rnd = random.Random(5)
+    counts = {rnd.randint(1, 100): rnd.randint(1, 50) for _ in range(40)}
+    lengths = spark.createDataFrame(list(counts.items()), "size long, many long")
+    one = [tuple(r)[1:] for r in packing.match_rounds(lengths, 100).collect()]
+    assert sorted(one) == sorted(rounds(counts, 100))
+    several = [tuple(r)[1:] for r in packing.match_rounds(lengths, 100, runs_per_task=16).collect()]
+    assert check_moves(several, counts, 100) <= 1.2 * best_fit_decreasing(counts, 100) + 1
+
+
+def test_pack_keeps_columns_of_any_name(spark):
+    rnd = random.Random(9)
+    data = [(k, rnd.choice([1, 7, 30, 64]), "x", k) for k in range(500)]
+    pieces = spark.createDataFrame(data, "at long, length long, kind string, part long").repartition(7)
+    rows = packing.pack(pieces, 64).collect()
+    assert sorted((r.at, r.length, r.kind, r.part) for r in rows) == data
+    counts = {n: sum(d[1] == n for d in data) for n in (1, 7, 30, 64)}
+    assert layout(rows, 64) <= 1.06 * best_fit_decreasing(counts, 64) + 1
 
 
 def test_one_length_in_every_row_and_empty_table(spark):
