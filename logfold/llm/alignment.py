@@ -5,13 +5,14 @@
    chunks before a space or line feed that follows a character which is no
    white space.  Both tokenizers begin a token there whatever stands around it
    (A's pattern splits there, no B piece goes on across a space or holds a line
-   feed), so a chunk is encoded once and its tokens are kept by the task, in a
-   cache bounded in bytes.  A model without these properties gets whole texts.
+   feed), so a chunk's start is a common end of both, and a chunk is encoded and
+   aligned once (steps 2 and 3), in runs of distinct chunks; the task keeps its
+   groups and links in a cache bounded in bytes, and a text takes those of its
+   chunks.  A model without these properties gets whole texts.
 2. The byte ends of A and B are two sorted lists.  Their common ends are found
    by galloping intersection: each end of the shorter list is searched in the
    longer from the last place on, in doubling steps, then by binary search
    between the last two.  The common ends slice both token lists into groups.
-   Long texts are aligned in runs of chunks; a chunk's start is a common end.
 3. An A token from byte s to e overlaps the B tokens from rank(s) to rank(e):
    the number of B ends at or below s, and of those below e.  The difference of
    the ranks, plus one, is the number of links of the token.
@@ -41,13 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logfold.llm.packing import ChunkIndex
 from logfold.staging import stage
 
 #: Pairs whose counts are sent to every task (about 32 MB); more are joined.
 MAX_BROADCAST = 2_000_000
 SALTS = 32
-#: Bytes of chunks and tokens that a task keeps, bytes of text it works on at a time, chunks aligned at a time, and
-#: pairs it sums before they leave.
+#: Bytes of chunks and their alignments that a task keeps, bytes of text it works on at a time, chunks of a text joined
+#: at a time, and pairs it sums before they leave.
 CACHE_BYTES = 112 << 20
 TEXT_BYTES = 2 << 20
 RUN_CHUNKS = 20_000
@@ -103,7 +105,10 @@ def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Chunks:
-    """Token ids (32-bit, as bytes) of chunks: (A ids, B ids, None or the token bytes where they are not the chunk's)."""
+    """Chunks of texts by number: group text, links as pair keys (64-bit, as bytes) and numbers of tokens and groups.
+
+    ``odd`` has the token bytes and ids of chunks whose token bytes are not the chunk's.
+    """
 
     def __init__(self, byte_file: str, piece_file: str):
         import sentencepiece
@@ -128,12 +133,19 @@ class Chunks:
         # Decimals of the ids followed by each separator; an id's row is separator x ids + id.
         self.ids = max(len(self.a_bytes), n)
         self.decimals = [f"{i}{c}".encode() for c in ",|;" for i in range(self.ids)]
+        self.decimal_len = np.array([len(x) for x in self.decimals], np.int64)
         self.space = sp.piece_to_id("▁")
         words = [sp.id_to_piece(i) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         self.cut = (sp.normalize(" a \n  b ") == "▁▁a▁\n▁▁b▁" and sp.id_to_piece(self.space) == "▁"
                     and not any("▁" in p.lstrip("▁") or "\n" in p for p in words))
-        self.known: dict[str, tuple] = {}
-        self.held = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.held = ChunkIndex(), 0
+        self.lines: list[bytes] = []
+        self.links: list[bytes] = []
+        self.sizes = np.zeros((0, 3), np.int64)
+        self.odd: dict[int, tuple[tuple[bytes, bytes], tuple[list[int], list[int]]]] = {}
 
     def _pieces(self, chunk: str) -> list[int]:
         """B's ids of a chunk as it stands in a text; the model puts a space before whatever it is given."""
@@ -144,78 +156,118 @@ class Chunks:
             raise ValueError("the piece model joins a space and a line feed")
         return ids[1:]
 
-    def _keep(self, chunk: str, a: bytes, b: bytes, joined: tuple[bytes, bytes] | None) -> None:
-        self.known[chunk] = a, b, joined
-        self.held += 2 * len(chunk) + len(a) + len(b) + 400
+    def align(self, a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> tuple[list[bytes], list[bytes], np.ndarray]:
+        """Group texts, links and (A tokens, B tokens, groups) of chunks that follow one another.
 
-    def _learn_alone(self, chunk: str) -> None:
+        ``a`` and ``b`` are the ids of all, the cuts the numbers of tokens at the chunks' ends, with a zero before.
+        """
+        a_ends, b_ends = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        at_a, at_b = common_ends(a_ends.tolist(), b_ends.tolist())
+        # A token's group is the number of common ends before it; a group's last token has the closing separator.
+        last_a, last_b = np.zeros(a.size, np.int64), np.zeros(b.size, np.int64)
+        last_a[at_a], last_b[at_b] = 1, 1
+        group = np.concatenate([2 * (np.cumsum(last_a) - last_a), 2 * (np.cumsum(last_b) - last_b) + 1])
+        rows = np.concatenate([a + self.ids * last_a, b + 2 * self.ids * last_b])[np.argsort(group, kind="stable")]
+        line = b"".join(map(self.decimals.__getitem__, rows.tolist()))
+        left, right = overlaps(a_ends, b_ends)
+        keys = ((a[left] << _SHIFT) + b[right]).astype("<i8").tobytes()
+        at_line = np.concatenate([[0], np.cumsum(self.decimal_len[rows])])[a_cut + b_cut].tolist()
+        at_link = (8 * np.searchsorted(left, a_cut)).tolist()
+        return ([line[lo:hi] for lo, hi in zip(at_line, at_line[1:], strict=False)],
+                [keys[lo:hi] for lo, hi in zip(at_link, at_link[1:], strict=False)],
+                np.stack([np.diff(a_cut), np.diff(b_cut), np.diff(np.searchsorted(at_a, a_cut))], 1))
+
+    def _learn_alone(self, chunk: str) -> tuple[list[bytes], list[bytes], np.ndarray]:
         a, b = self.encode_a([chunk], add_special_tokens=False)[0].ids, self._pieces(chunk)
         joined = b"".join([self.a_bytes[i] for i in a]), b"".join([self.b_bytes[i] for i in b])
         data = chunk.encode()
-        self._keep(chunk, np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes(), None if joined == (data, data) else joined)
+        if joined != (data, data):
+            self.odd[self.known[chunk]] = joined, (a, b)
+            return [b""], [b""], np.zeros((1, 3), np.int64)
+        return self.align(np.array(a), np.array(b), np.array([0, len(a)]), np.array([0, len(b)]))
 
-    def _learn_together(self, chunks: list[str]) -> None:
-        """Encode chunks as one text; its tokens end where the chunks end, or else each is encoded alone."""
+    def _learn_together(self, chunks: list[str]) -> tuple[list[bytes], list[bytes], np.ndarray] | None:
+        """Encode and align chunks as one text; None if a token goes on beyond a chunk's end."""
         text = "".join(chunks)
-        ends = np.cumsum([len(c.encode()) for c in chunks])
-        both = []
-        for ids, size in ((self.encode_a([text], add_special_tokens=False)[0].ids, self.a_len), (self._pieces(text), self.b_len)):
-            ids = np.array(ids, "<u4")
-            token_ends = np.cumsum(size[ids])
+        data, ends = text.encode(), np.cumsum([len(c.encode()) for c in chunks])
+        both, cuts = [], []
+        for ids, size, bytes_of in ((self.encode_a([text], add_special_tokens=False)[0].ids, self.a_len, self.a_bytes),
+                                    (self._pieces(text), self.b_len, self.b_bytes)):
+            both.append(np.array(ids))
+            token_ends = np.cumsum(size[both[-1]])
             at = np.searchsorted(token_ends, ends)
-            if token_ends[-1] != ends[-1] or (token_ends[at] != ends).any():
-                break
-            raw, at = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
-            both.append([raw[lo:hi] for lo, hi in zip(at, at[1:], strict=False)])
-        if len(both) == 2:
-            data = text.encode()
-            same = all(b"".join([t[i] for i in np.frombuffer(b"".join(x), "<u4")]) == data
-                       for t, x in zip((self.a_bytes, self.b_bytes), both, strict=True))
-            if same:
-                for c, a, b in zip(chunks, *both, strict=True):
-                    self._keep(c, a, b, None)
-                return
-        for c in chunks:
-            self._learn_alone(c)
-
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """The chunks of space + text of every text, all of them known afterwards."""
+            if token_ends[-1] != ends[-1] or (token_ends[at] != ends).any() or b"".join([bytes_of[i] for i in ids]) != data:
+                return None
+            cuts.append(np.concatenate([[0], at + 1]))
+        return self.align(*both, *cuts)
+
+    def learn(self, texts: list[str]) -> list[list[int]]:
+        """The chunks' numbers of space + text of every text, all of them aligned afterwards."""
         if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
-        cuts = [_CHUNK.findall(" " + t) if self.cut else [" " + t] for t in texts]
-        new = list({c for part in cuts for c in part if c not in self.known})
+            self.clear()
+        number = self.known.__getitem__
+        cuts = [list(map(number, _CHUNK.findall(" " + t) if self.cut else [" " + t])) for t in texts]
+        new, self.known.pending = self.known.pending, []
+        base, sizes = len(self.lines), np.zeros((len(new), 3), np.int64)
+        self.lines += [b""] * len(new)
+        self.links += [b""] * len(new)
+
+        def keep(where: list[int], found: tuple[list[bytes], list[bytes], np.ndarray]) -> None:
+            for i, line, links in zip(where, *found[:2], strict=True):
+                self.lines[base + i], self.links[base + i] = line, links
+                self.held += 2 * len(new[i]) + len(line) + len(links) + 300
+            sizes[where] = found[2]
+
         # Only chunks that end in no white space can be followed by another chunk.
-        alone = [c for c in new if not self.cut or c[-1:].isspace() or "▁" in c or len(c) > 200]
-        for c in alone:
-            self._learn_alone(c)
-        rest = [c for c in new if c not in self.known]
+        alone = [not self.cut or c[-1:].isspace() or "▁" in c or len(c) > 200 for c in new]
+        rest = [i for i, x in enumerate(alone) if not x]
         for lo in range(0, len(rest), 256):
-            self._learn_together(rest[lo:lo + 256])
+            block = rest[lo:lo + 256]
+            if found := self._learn_together([new[i] for i in block]):
+                keep(block, found)
+            else:
+                for i in block:
+                    alone[i] = True
+        for i, x in enumerate(alone):
+            if x:
+                keep([i], self._learn_alone(new[i]))
+        self.sizes = np.concatenate([self.sizes, sizes])
         return cuts
 
-    def tokens(self, cuts: list[str], text: str) -> list[tuple]:
-        """The known chunks of a text; none if the joined bytes of a tokenizer differ from space + text."""
-        out = [self.known[c] for c in cuts]
-        if any(x[2] for x in out):
-            data = (" " + text).encode()
-            for k in (0, 1):
-                if b"".join([x[2][k] if x[2] else c.encode() for c, x in zip(cuts, out, strict=True)]) != data:
-                    return []
+    def tokens(self, cuts: list[int], text: str) -> list[tuple[bytes, bytes]]:
+        """(A ids, B ids), 32-bit, of a text's chunks; none if the joined bytes of a tokenizer differ from space + text."""
+        if not self.whole(cuts, text):
+            return []
+        out = []
+        for n in cuts:
+            if n in self.odd:
+                ids = self.odd[n][1]
+            else:
+                groups = [g.split(b"|") for g in self.lines[n][:-1].split(b";")]
+                ids = [[int(i) for g in groups for i in g[k].split(b",")] for k in (0, 1)]
+            out.append(tuple(np.array(x, "<u4").tobytes() for x in ids))
         return out
 
-    def align(self, chunks: list[tuple]) -> tuple[int, int, int, np.ndarray, bytes]:
-        """(A tokens, B tokens, groups, links as pair keys, group text) of chunks that follow one another."""
-        a, b = (np.frombuffer(b"".join([c[k] for c in chunks]), "<u4").astype(np.int64) for k in (0, 1))
-        a_ends, b_ends = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-        at_a, at_b = common_ends(a_ends.tolist(), b_ends.tolist())
-        # A token's group is the number of common ends before it; a group's last token has the closing separator.
-        last_a, last_b = np.zeros(a.size, np.int64), np.zeros(b.size, np.int64)
-        last_a[at_a], last_b[at_b] = 1, 1
-        group = np.concatenate([2 * (np.cumsum(last_a) - last_a), 2 * (np.cumsum(last_b) - last_b) + 1])
-        rows = np.concatenate([a + self.ids * last_a, b + 2 * self.ids * last_b])[np.argsort(group, kind="stable")]
-        line = b"".join(map(self.decimals.__getitem__, rows.tolist()))[:-1]
-        left, right = overlaps(a_ends, b_ends)
-        return a.size, b.size, len(at_a), (a[left] << _SHIFT) + b[right], line
+    def whole(self, cuts: list[int], text: str) -> bool:
+        """Whether both tokenizers' joined bytes of a text's chunks are space + text."""
+        if not self.odd or self.odd.keys().isdisjoint(cuts):
+            return True
+        data = (" " + text).encode()
+        if not self.cut:
+            return self.odd[cuts[0]][0] == (data, data)
+        chunks = [c.encode() for c in _CHUNK.findall(" " + text)]
+        return all(b"".join([self.odd[n][0][k] if n in self.odd else c for n, c in zip(cuts, chunks, strict=True)]) == data
+                   for k in (0, 1))
+
+    def joined(self, cuts: list[int], text: str) -> tuple[np.ndarray, bytes, np.ndarray]:
+        """((A tokens, B tokens, groups), group text, links as pair keys) of chunks that follow one another in a text."""
+        if self.odd and not self.odd.keys().isdisjoint(cuts):  # equal as a whole only: no chunk's end need be a common end
+            a, b = (np.frombuffer(b"".join([c[k] for c in self.tokens(cuts, text)]), "<u4").astype(np.int64) for k in (0, 1))
+            (line,), (links,), (size,) = self.align(a, b, np.array([0, a.size]), np.array([0, b.size]))
+        else:
+            line, links = (b"".join(map(x.__getitem__, cuts)) for x in (self.lines, self.links))
+            size = self.sizes[cuts].sum(0)
+        return size, line[:-1], np.frombuffer(links, "<i8")
 
 
 class PairSums:
@@ -242,23 +294,23 @@ class PairSums:
         self.keys, self.counts, self.parts, self.held = keys, counts, [], 0
 
 
-def align_text(text: str | None, cuts: list[str], chunks: Chunks) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+def align_text(text: str | None, cuts: list[int], chunks: Chunks) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
     """(n_a, n_b, n_groups, n_links, digest, pair keys, their counts) of a whole text, cut into known chunks."""
-    parts = chunks.tokens(cuts, text) if text else []
-    if not parts:
+    if not text or not chunks.whole(cuts, text):
         return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n_a = n_b = n_groups = n_links = 0
+    total, n_links = np.zeros(3, np.int64), 0
     sums, digest = PairSums(), hashlib.sha256()
-    for lo in range(0, len(parts), RUN_CHUNKS):
-        a, b, groups, links, line = chunks.align(parts[lo:lo + RUN_CHUNKS])
-        n_a, n_b, n_groups, n_links = n_a + a, n_b + b, n_groups + groups, n_links + links.size
+    run = len(cuts) if chunks.odd and not chunks.odd.keys().isdisjoint(cuts) else RUN_CHUNKS
+    for lo in range(0, len(cuts), run):
+        size, line, links = chunks.joined(cuts[lo:lo + run], text)
+        total, n_links = total + size, n_links + links.size
         digest.update(b";" + line if lo else line)
         sums.add(*np.unique(links, return_counts=True))
     if len(sums.parts) == 1 and not sums.keys.size:
         sums.keys, sums.counts = sums.parts[0]
     else:
         sums.flush()
-    return n_a, n_b, n_groups, n_links, digest.hexdigest(), sums.keys, sums.counts
+    return *total.tolist(), n_links, digest.hexdigest(), sums.keys, sums.counts
 
 
 def align_texts(texts: list[str | None], chunks: Chunks) -> Iterator[tuple]:

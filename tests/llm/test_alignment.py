@@ -132,3 +132,27 @@ def test_runs_and_caches_change_nothing(both, monkeypatch, doc_rows):
     assert want[0] > 1000
     small.learn(["one more text"])
     assert small.held < 20_000
+
+
+def test_repeated_chunks_are_aligned_once(both, monkeypatch):
+    ends, real = [], alignment.common_ends
+    monkeypatch.setattr(alignment, "common_ends", lambda a, b: ends.append(len(a)) or real(a, b))
+    texts = [" ".join(["some words", "come often", "here\nand there"] * k) for k in range(1, 60)]
+    small = alignment.Chunks(A_FILE, B_FILE)
+    found = list(alignment.align_texts(texts, small))
+    assert sum(ends) < 30 < 1000 < sum(f[0] for f in found)
+    again = list(alignment.align_texts(texts, small))
+    assert [f[:5] for f in again] == [f[:5] for f in found] and sum(ends) < 30
+
+
+def test_chunks_whose_tokens_fit_only_as_a_whole(both):
+    text = "one odd chunk, and\nothers around it"
+    want = next(alignment.align_texts([text], alignment.Chunks(A_FILE, B_FILE)))
+    small = alignment.Chunks(A_FILE, B_FILE)
+    cuts = small.learn([text])[0]
+    ids = [np.frombuffer(x, "<u4").tolist() for x in small.tokens(cuts, text)[1]]
+    small.odd[cuts[1]] = (b" odd", b" odd"), ids
+    got = alignment.align_text(text, cuts, small)
+    assert got[:5] == want[:5] and all(np.array_equal(x, y) for x, y in zip(got[5:], want[5:], strict=True))
+    small.odd[cuts[1]] = (b" odd", b" od"), ids
+    assert alignment.align_text(text, cuts, small)[:5] == (0, 0, 0, 0, "")
