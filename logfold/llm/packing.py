@@ -1,8 +1,9 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
-1. Every whole document is tokenised in an Arrow pass (token bytes are cached
+1. Every whole document is tokenised in an Arrow pass (token ids are cached
    per white-space chunk, for the task and bounded in bytes; the tokenizer never joins tokens across white space)
-   and only documents beyond the capacity are cut.
+   and only documents beyond the capacity are cut.  The chunks of a run of texts are found, numbered and
+   replaced by their ids as whole arrays; only distinct ones are looked up one by one.
 2. Pieces are range-sorted by length (with a hash as tie-breaker, so a very
    common length spans many partitions), which gives each piece its rank among
    the pieces of its length: its rank in its partition plus the number in
@@ -32,7 +33,6 @@ Only the id and text columns are read, so further columns cannot clash.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -49,7 +49,14 @@ CAPACITY = 4096
 END_ID = 1
 #: Bytes of cached chunks (with about 150 each for the tables) in a task, and bytes of text tokenised at a time.
 CACHE_BYTES = 64 << 20
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
+#: Kinds of bytes, for chunks: lower-case letters, punctuation and white space of ASCII, others.
+_LETTER, _PUNCTUATION, _SPACE = 1, 2, 3
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[0x21:0x7F] = _PUNCTUATION
+_KINDS[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = 0
+_KINDS[[*b"abcdefghijklmnopqrstuvwxyz"]] = _LETTER
+_KINDS[[*b" \t\n\r\x0b\x0c"]] = _SPACE
 #: Runs and gaps that one task sweeps in a round.
 RUNS_PER_TASK = 1 << 14
 #: Kinds of rows in the tables of a round; gaps sort before runs of their size.
@@ -89,24 +96,35 @@ class ChunkTokenizer:
         vocab = tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocab.values()) + 1, bool)
         self.word_end[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.split_at = re.compile(rb"([a-z])(?=[!-/:-@\[-`{-~])").sub
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.parts, self.held = ChunkIndex(), [], 0
-
-    def chunks(self, data: bytes) -> list[int]:
-        if b"<|" not in data:
-            data = self.split_at(rb"\1 ", data.lower())
-        return list(map(self.index.__getitem__, data.split()))
+        self.index, self.held = ChunkIndex(), 0
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # of all chunks, and where each ends
+
+    def chunks(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(distinct chunks, place of every chunk among them, number of chunks up to each text's end)."""
+        special = [b"<|" in t for t in texts]
+        data = np.frombuffer(b" ".join([t if s else t.lower() for t, s in zip(texts, special, strict=True)]), np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        kinds = _KINDS[data]
+        solid = kinds != _SPACE
+        begins, cut = solid.copy(), (kinds[1:] == _PUNCTUATION) & (kinds[:-1] == _LETTER)
+        for k in np.flatnonzero(special).tolist():
+            cut[ends[k] - len(texts[k]):ends[k]] = False
+        begins[1:] &= ~solid[:-1] | cut
+        count = np.searchsorted(np.flatnonzero(begins), ends)
+        offsets = np.append(np.flatnonzero(begins[solid]), np.count_nonzero(solid)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), offsets.size - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])])
+        found = found.dictionary_encode()
+        return found.dictionary.to_pylist(), found.indices.to_numpy(), count
 
     def _tokenise(self) -> None:
-        """Fill ``parts`` for the pending chunks; chunks of letters alone share calls, each is one word."""
+        """Add the ids of the pending chunks; chunks of letters alone share calls, each is one word."""
         texts = [c.decode() for c in self.index.pending]
         self.held += sum(map(len, self.index.pending)) + 150 * len(texts)
         self.index.pending = []
-        base = len(self.parts)
-        self.parts += [b""] * len(texts)
+        parts = [b""] * len(texts)
         words = [i for i, t in enumerate(texts) if t.isalpha()]
         alone = [i for i, t in enumerate(texts) if not t.isalpha()]
         blocks = [words[i:i + 256] for i in range(0, len(words), 256)]
@@ -119,20 +137,29 @@ class ChunkTokenizer:
                 continue
             raw, ends = ids.tobytes(), (4 * ends).tolist()
             for i, lo, hi in zip(block, [0, *ends[:-1]], ends, strict=True):
-                self.parts[base + i] = raw[lo:hi]
+                parts[i] = raw[lo:hi]
         found = self.encode([texts[i] for i in alone], add_special_tokens=False)
         for i, e in zip(alone, found, strict=True):
-            self.parts[base + i] = np.array(e.ids, "<u4").tobytes()
-        self.held += sum(map(len, self.parts[base:]))
+            parts[i] = np.array(e.ids, "<u4").tobytes()
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        self.held += ids.nbytes
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)])
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        numbers = [self.chunks(t) for t in texts]
-        self._tokenise()
-        parts = self.parts
-        out = [b"".join([parts[i] for i in n]) for n in numbers]
+        distinct, places, count = self.chunks(texts)
+        numbers = np.array(list(map(self.index.__getitem__, distinct)), np.int64)
+        if self.index.pending:
+            self._tokenise()
+        first, size = self.ends[numbers][places], np.diff(self.ends)[numbers][places]
+        ends = np.cumsum(size)
+        where = np.repeat(first - ends + size, size)
+        where += np.arange(where.size)
+        raw = self.ids[where].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[count]).tolist()
         if self.held > CACHE_BYTES:
             self.clear()
-        return out
+        return [raw[lo:hi] for lo, hi in zip([0, *cuts], cuts, strict=False)]
 
 
 def piece_table(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",

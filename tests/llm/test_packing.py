@@ -143,3 +143,36 @@ def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "one two"), (1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
     rows = packing.pack_documents(df, tokenizer_file()).collect()
     assert len(rows) == 4 and layout(rows, 4096) == 1
+
+
+def test_each_distinct_chunk_of_a_run_is_looked_up_once():
+    looked = []
+
+    class Index(packing.ChunkIndex):
+        def __getitem__(self, chunk):
+            looked.append(chunk)
+            return super().__getitem__(chunk)
+
+    tokenizer = packing.ChunkTokenizer(tokenizer_file())
+    tokenizer.index = Index()
+    text = "Some words, again " * 500
+    found = tokenizer.texts([text.encode()] * 20)
+    assert sorted(looked) == [b",", b"again", b"some", b"words"]
+    assert found == [np.array(plain(text)[:-1], "<u4").tobytes()] * 20
+
+
+def test_runs_of_odd_texts_have_the_tokens_of_each_text(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole, rnd = Tokenizer.from_file(tokenizer_file()), random.Random(6)
+    parts = [" ", " ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\xa0", "　", "word", "Word", "'S", "it's", "!", "...", "12", "é", "é", "İ",
+             "<|", "|>", "<|endoftext|>", "a<|endoftext|>b", "\U0001f600", "_", "-", "\x00", "a.b"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 30))) for _ in range(2000)] + [""]
+    for cached in (packing.CACHE_BYTES, 500):
+        monkeypatch.setattr(packing, "CACHE_BYTES", cached)
+        tokenizer = packing.ChunkTokenizer(tokenizer_file())
+        for lo in range(0, len(texts), 40):
+            run = texts[lo:lo + 40]
+            want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in run]
+            assert tokenizer.texts([t.encode() for t in run]) == want
+    assert tokenizer.texts([b""]) == [b""] and tokenizer.texts([b"", b" "]) == [b"", b""]
